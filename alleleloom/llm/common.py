@@ -56,3 +56,12 @@ def with_offsets(units: DataFrame, bucket: str, order: list[str], copies: str, w
 def each_copy(units: DataFrame, copies: str, number: str) -> DataFrame:
     """One row for each of ``copies`` equal rows, numbered from 0 in ``number``."""
     return units.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))).drop(copies)
+
+
+#: A table of so few rows, each of a few numbers and a short key, may be broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, which must have been cut or written, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

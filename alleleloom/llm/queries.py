@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import decision_list, mixing, packing, rule_ensemble, sharding, token_counts
+from . import decision_list, mixing, packing, rule_ensemble, sharding, token_counts, top_k
 
 QUERIES = {
     "op1_mix_hash_threshold": mixing.op1_mix,
     "op2_shard_feistel": sharding.op2_shard,
     "op5_token_prefix_counts": token_counts.op5_tokens,
     "op6_pack_length_buckets": packing.op6_pack,
+    "op7_search_ball_tree": top_k.op7_search,
     "op9_quality_decision_list": decision_list.op9_quality,
     "op10_quality_rule_ensemble": rule_ensemble.op10_quality,
 }
 
-ORACLES = {"op1_mix_hash_threshold": mixing.OP1_SQL}
+ORACLES = {"op1_mix_hash_threshold": mixing.OP1_SQL, "op7_search_ball_tree": top_k.OP7_SQL}
