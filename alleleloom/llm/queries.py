@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_list, mixing, packing, rule_ensemble, sharding, token_counts, top_k
+from . import decision_list, mixing, packing, rule_ensemble, sharding, token_counts, top_k, toxicity
 
 QUERIES = {
     "op1_mix_hash_threshold": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_prefix_counts": token_counts.op5_tokens,
     "op6_pack_length_buckets": packing.op6_pack,
     "op7_search_ball_tree": top_k.op7_search,
+    "op8_toxicity_crf": toxicity.op8_toxicity,
     "op9_quality_decision_list": decision_list.op9_quality,
     "op10_quality_rule_ensemble": rule_ensemble.op10_quality,
 }
