@@ -8,10 +8,10 @@ subset of them. No rows are sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, each_copy, table, word_count
+from .common import cut, each_copy, small, table, word_count
 
 #: Bits of a row's hash, and bits that one histogram looks at.
 HASH_BITS, LEVEL_BITS = 60, 10
@@ -61,14 +61,26 @@ def mix_to_weights(
     counted first, and as many of them are taken as the budget has room for. No rows, no result rows. Other
     columns are not read, whatever their names.
     """
-    text = F.col(text_col)
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    units, limits = budgets(docs, id_col, text_col, source_col, weights, share, cap)
+    joined = each_copy(units.join(limits, units["source"].eqNullSafe(limits["of"])).drop("of"), "copies", "copy")
+    extra = F.when(F.col("hash") < F.col("threshold"), 1).when((F.col("hash") == F.col("threshold")) & (F.col("copy") < F.col("at")), 1).otherwise(0)
+    times = (F.col("whole") + extra).cast("long")
+    return joined.select(
+        "doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken")
+    )
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    """HASH_BITS of a digest of a row's id and text."""
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def budgets(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows with their size, hash and number of copies; and one row per source with its threshold."""
     units = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(text).alias("size"),
-            F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(id_col, text_col).alias("hash")
         )
         .groupBy("doc_id", "source", "size", "hash")
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -80,13 +92,24 @@ def mix_to_weights(
         .withColumn("whole", whole)
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    limits = hash_thresholds(units, targets)
-    joined = each_copy(units.join(limits, units["source"].eqNullSafe(limits["of"])).drop("of"), "copies", "copy")
-    extra = F.when(F.col("hash") < F.col("threshold"), 1).when((F.col("hash") == F.col("threshold")) & (F.col("copy") < F.col("at")), 1).otherwise(0)
-    times = (F.col("whole") + extra).cast("long")
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken")
-    )
+    return units, small(cut(hash_thresholds(units, targets)))
+
+
+def mixed_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: a filter on the hash, without any shuffle of texts.
+
+    Like mix_to_weights, but equal rows at a threshold are taken all or none, whichever is nearer to the budget.
+    """
+    _, limits = budgets(docs, id_col, text_col, source_col, weights, share, cap)
+    limits = limits.select("of", "threshold", "whole", (2 * F.col("at") >= F.col("n")).alias("edge"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), row_hash(id_col, text_col).alias("hash"))
+    rows = rows.join(limits, rows["source"].eqNullSafe(limits["of"]))
+    extra = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("edge"))
+    times = (F.col("whole") + extra.cast("int")).cast("int")
+    return rows.filter(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def hash_thresholds(units: DataFrame, targets: DataFrame) -> DataFrame:
@@ -99,7 +122,7 @@ def hash_thresholds(units: DataFrame, targets: DataFrame) -> DataFrame:
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         # A source whose budget was not used up by its whole histogram (prefix null) has no boundary bucket.
         inside = units.join(
-            bounds.select("of", "prefix", "room"),
+            small(bounds.select("of", "prefix", "room")),
             units["source"].eqNullSafe(F.col("of")) & (F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix")),
         )
         hist = inside.groupBy("of", F.shiftright("hash", shift).alias("bucket")).agg(
@@ -111,7 +134,7 @@ def hash_thresholds(units: DataFrame, targets: DataFrame) -> DataFrame:
         first = first.select(F.col("of").alias("was"), F.col("b.bucket").alias("prefix"), F.col("b.room").alias("room"))
         kept = bounds.drop("prefix", "room")
         bounds = cut(kept.join(first, kept["of"].eqNullSafe(first["was"]), "left").drop("was"))
-    edge = units.join(bounds.select("of", "prefix"), units["source"].eqNullSafe(F.col("of")) & (F.col("hash") == F.col("prefix")))
+    edge = units.join(small(bounds.select("of", "prefix")), units["source"].eqNullSafe(F.col("of")) & (F.col("hash") == F.col("prefix")))
     edge = edge.groupBy(F.col("of").alias("was")).agg(F.sum("copies").alias("n"), F.max("size").alias("size"))
     both = bounds.join(edge, bounds["of"].eqNullSafe(edge["was"]), "left")
     at = F.least(F.floor(F.col("room") / F.col("size") + 0.5), F.col("n"))
@@ -120,6 +143,7 @@ def hash_thresholds(units: DataFrame, targets: DataFrame) -> DataFrame:
         "of",
         F.coalesce("prefix", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(0)).cast("long").alias("threshold"),
         F.coalesce(at, F.lit(0)).cast("long").alias("at"),
+        F.coalesce("n", F.lit(1)).alias("n"),
     )
 
 

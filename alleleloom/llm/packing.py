@@ -16,7 +16,7 @@ from .common import cut, each_copy, table, with_offsets, word_count
 #: histogram to EXACT + 64 * STEPS rows at any size of the corpus.
 EXACT, STEPS = 2048, 512
 #: Rows of a bucket are numbered piece by piece, so that no task sorts a whole bucket.
-PIECES = 4096
+PIECES = 1024
 
 
 def upper_edge(length):

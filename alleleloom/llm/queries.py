@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decision_list, mixing, packing, repeats, rule_ensemble, sharding, token_counts, top_k, toxicity
+from . import decision_list, mixing, near_copies, packing, repeats, rule_ensemble, sharding, token_counts, top_k, toxicity
 
 QUERIES = {
     "op1_mix_hash_threshold": mixing.op1_mix,
     "op2_shard_feistel": sharding.op2_shard,
+    "op3_near_copies_chosen_path": near_copies.op3_near_copies,
     "op4_remove_repeats": repeats.op4_repeats,
     "op5_token_prefix_counts": token_counts.op5_tokens,
     "op6_pack_length_buckets": packing.op6_pack,

@@ -197,11 +197,12 @@ def marked(uid: np.ndarray, start: np.ndarray, size: np.ndarray, parts: int, kin
     yield from dealt(np.mod(uid, parts), {"uid": uid, "start": start.astype(np.uint32), "size": size.astype(np.uint16)}, kind=kind)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), texts: bool = False, prefix: str = "") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns ``keep`` and, with ``texts``, ``kept_text`` for every row.
 
     ``n_spans`` are maximal removed runs. ``kept_text`` are the remaining bytes as text; bytes that the removal has
-    cut off from their character are left out there, and only there. A null text stays null there.
+    cut off from their character are left out there, and only there. A null text stays null there. ``prefix`` goes
+    before the names of all columns but those of ``keep``, so that none clash.
 
     A null text is empty. A null id counts as greater than all others; rows with one id, null included, don't
     remove from each other. Texts under LENGTH bytes stay whole. Equal rows are treated alike. Strings are taken for
@@ -210,7 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = (1 << 63) - 1
     text = F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).cast("long").alias("__doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"),
         text.alias("text"),
@@ -346,16 +347,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at = b
             kept = b"".join([*kept, data[at:]])
             out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-        columns = [texts_["doc_id"], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
+        columns = [texts_["__doc_id"], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if texts:
             none = texts_["no_text"].to_pylist()
             columns.append(pa.array([None if x else o[4].decode(errors="ignore") for o, x in zip(out, none)], pa.string()))
             names.append("kept_text")
-        return pa.table(columns + [texts_[f"keep_{c}"] for c in keep], names + list(keep))
+        return pa.table(columns + [texts_[f"keep_{c}"] for c in keep], [prefix + n for n in names] + list(keep))
 
     kinds = dict(docs.dtypes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
+    own_schema = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept_text string"] * texts
+    schema = ", ".join(prefix + c for c in own_schema)
     schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
     texts_by_part = rows.withColumn("part", F.pmod("uid", F.lit(parts)).cast("int"))
     first = cut(rows.select("id", "uid", "text").mapInArrow(first_pass, PACKED).groupBy("kind", "key").applyInArrow(refine, MARKS))

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .textstats import FEATURES, labelled, with_features, with_statistics
+from .textstats import FEATURES, one_label, with_features, with_statistics
 
-#: At most so many labelled rows are fitted, those with the least hashes: a few numbers of each come to the driver.
+#: At most so many labelled rows are fitted, those whose ids have the least hashes: a few numbers of each come to the driver.
 SAMPLE = 20_000
 TREES, DEPTH, TRIED, EDGES, PENALTY, STEPS = 24, 3, 4, 32, 0.002, 600
 
@@ -121,10 +121,17 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 10) -> Ensemble:
     return Ensemble(float(b - (weights * share).sum()), kept)
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE, seed: int = 10) -> Ensemble:
-    """From rows with doc_id, FEATURES and ``label``: at most ``sample`` of them, those with the least hashes."""
-    # Equal hashes are equal rows or as good as that: the features break the tie, so reruns agree.
-    drawn = rows.orderBy(F.xxhash64("doc_id"), *FEATURES, "label").limit(sample).select(*FEATURES, "label").collect()
+def learn(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int = SAMPLE, seed: int = 10) -> Ensemble:
+    """From rows with doc_id and text and labels with ``quality``: at most ``sample`` ids outside the fold.
+
+    The ids with the least hashes are taken from the labels, so only their texts' statistics are worked out.
+    """
+    known = one_label(labels, "quality").filter(~held_out(F.col("__of"), folds, fold))
+    ids = cut(known.orderBy(F.xxhash64("__of"), "__of").limit(sample))  # bounded, so it may be broadcast
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__of"]).select("doc_id", "label", "text")
+    stats = with_features(with_statistics(rows, ["doc_id", "label"]))
+    # Rows that tie in all of these are alike, so reruns agree.
+    drawn = stats.orderBy(F.xxhash64("doc_id"), *FEATURES, "label").limit(sample).select(*FEATURES, "label").collect()
     data = np.array([tuple(r) for r in drawn], dtype=np.int64).reshape(-1, len(FEATURES) + 1)
     return fit(data[:, :-1], data[:, -1].astype(np.float64), seed)
 
@@ -134,18 +141,23 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score for every row; the score is the chance of quality 1.
+def score_quality(
+    docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, whole: bool = False, text_col: str = "text", id_col: str = "doc_id"
+) -> DataFrame:
+    """doc_id, held_out, score for every row; the score is the chance of quality 1. ``whole`` rows come along as ``row``.
 
     Only the statistics of the whole text go into a score. Null and empty texts have statistics of 0 and are
     scored like others. Labels that are null, neither 0 nor 1, or in contradiction are left out; without any
-    the score is the same for all rows, near 1. Equal texts have equal scores. No rows, no result rows.
+    the score is the same for all rows, near 1. Equal texts have equal scores. No rows, no result rows. Other
+    columns are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = cut(with_features(with_statistics(rows, ["doc_id"])).select("doc_id", *FEATURES))
-    out = F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False))
-    model = learn(labelled(stats, labels, "quality").filter(~out))
-    return stats.select("doc_id", out.alias("held_out"), model.score().alias("score"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.struct("*").alias("row")] * whole)
+    model = learn(rows, labels, folds, fold)
+    stats = with_features(with_statistics(rows, ["doc_id"] + ["row"] * whole))
+    out = held_out(F.col("doc_id"), folds, fold)
+    # Spark would move a filter on the score below the statistics and work these out once for each mention; a column
+    # that isn't deterministic keeps it above.
+    return stats.select("doc_id", out.alias("held_out"), (model.score() + F.rand(0) * 0).alias("score"), *["row"] * whole)
 
 
 #: What a score must reach for label 1.

@@ -1,8 +1,61 @@
-"""A corpus pipeline of operators from alleleloom.llm (stages follow as the operators do)."""
+"""A corpus pipeline of operators from alleleloom.llm: from raw documents to packed batches."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alleleloom.llm import mixing, near_copies, packing, repeats, rule_ensemble
+from alleleloom.llm.common import checkpoint_folder, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    scored = rule_ensemble.score_quality(docs, table(spark, sf_dir, "labels"), whole=True)
+    return scored.filter(F.col("score") >= rule_ensemble.ACCEPT).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, with a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs, percent=80)
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the byte strings that an earlier one has; those of which nothing is left go."""
+    kept = repeats.remove_repeats(docs.select("*", F.col("doc_id").alias("__id")), keep=[c for c in docs.columns if c != "text"], texts=True, id_col="__id", prefix="__")
+    kept = kept.filter((F.col("__n_removed") < F.col("__n_bytes")) | (F.col("__n_bytes") == 0))
+    now = {"text": F.col("__kept_text"), "n_chars": F.char_length("__kept_text").cast("long")}
+    return kept.select(*[now.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of the documents by length."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near copies", near_dedup),
+    ("repeated strings", repeat_dedup),
+    ("mix of sources", mix),
+    ("packing", pack),
+]
+
+#: A learned classifier and minwise hashing have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written to the checkpoint folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
