@@ -1,6 +1,497 @@
-"""The library's queries and their SQL, by name."""
+"""The library's queries and their SQL for DuckDB, by name. All run on the adapters' relations over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import alleles, slots
+from .operators import align, cohort, models, records, score
+from .plans import space
+from .sources import adapters
+from .sources.adapters import duckdb
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None, plain: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql if plain else duckdb(sql)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = adapters.genotypes(spark, sf_dir)
+    return align.classify(adapters.weights(spark, sf_dir), variants, align.incomplete(adapters.calls(spark, sf_dir, variants.select("vrow", "alt"))))
+
+
+def scored(spark: SparkSession, sf_dir: str, reasons: tuple[str, ...] = ("ok",)) -> DataFrame:
+    """The effect dosages of the aligned variants: the calls come from the aligned rows themselves, so nothing is joined again."""
+    rows = align.classify(adapters.weights(spark, sf_dir), adapters.genotypes(spark, sf_dir))
+    if reasons == ("ok",):
+        rows = classified(spark, sf_dir)
+    calls = adapters.calls(spark, sf_dir, rows.filter("reason = 'ok'").select("source_row", "w_int", "side", "vrow", "alt"))
+    return calls.select("sample_id", "source_row", "w_int", alleles.effect_dosage(F.col("alt_dosage"), F.col("side")).alias("effect_dosage"))
+
+
+CLASSIFY = """
+wd as (select w.*, count(*) over (partition by chrom, position) as n_weights from w),
+v1 as (select chrom, position, count(*) as n_genotypes, min_by(vrow, vrow) as vrow, min_by(ref, vrow) as ref, min_by(alt, vrow) as alt from v group by 1, 2),
+gaps as (select vrow, bool_or(alt_dosage is null) as gap from g group by 1),
+c0 as (select wd.*, v1.n_genotypes, v1.vrow, v1.ref, v1.alt, coalesce(gaps.gap, false) as gap,
+    translate(effect_allele,'ACGT','TGCA') as fe, translate(other_allele,'ACGT','TGCA') as fo
+  from wd left join v1 using (chrom, position) left join gaps using (vrow)),
+c1 as (select *, (effect_allele=alt and other_allele=ref) or (effect_allele=ref and other_allele=alt) as direct,
+    (fe=alt and fo=ref) or (fe=ref and fo=alt) as turned from c0),
+c2 as (select *, case when n_weights>1 then 'duplicate_pgs_variant' when n_genotypes is null then 'missing_from_vcf'
+    when n_genotypes>1 then 'duplicate_vcf_variant' when alt like '%,%' then 'multiallelic_variant'
+    when ref||alt in ('AT','TA','CG','GC') then 'strand_ambiguous' when not direct and not turned then 'allele_mismatch'
+    {gap} else 'ok' end as reason from c1),
+c as (select *, case when reason='ok' then case when direct then case when effect_allele=alt then 'ALT' else 'REF' end
+    else case when fe=alt then 'ALT' else 'REF' end end end as side, reason='ok' and not direct as flipped from c2)"""
+FULL = CLASSIFY.format(gap="when gap then 'missing_genotype'")
+LOOSE = CLASSIFY.format(gap="")
+EFFECT = """, e as (select g.sample_id, c.source_row, c.w_int, case when side='ALT' then alt_dosage else 2-alt_dosage end as d
+  from g join c using (vrow) where c.reason='ok')"""
+ORDERED = EFFECT + ", o as (select e.*, k.ord from e join (select source_row, row_number() over (order by source_row)-1 as ord from c where reason='ok') k using (source_row))"
+
+
+@query(FULL + " select reason, count(*) as n, count(*) filter (side='ALT') as n_alt, count(*) filter (flipped) as n_flipped from c group by 1")
+def align_report(spark, sf_dir):
+    return align.report(classified(spark, sf_dir))
+
+
+@query(FULL + " select chrom, position, source_row, reason from c where reason<>'ok'")
+def align_exclusions(spark, sf_dir):
+    return classified(spark, sf_dir).filter("reason <> 'ok'").select("chrom", "position", "source_row", "reason")
+
+
+@query(FULL + " select source_row, side, flipped, vrow from c where reason='ok'")
+def align_orientation(spark, sf_dir):
+    return classified(spark, sf_dir).filter("reason = 'ok'").select("source_row", "side", "flipped", "vrow")
+
+
+@query(FULL + " select distinct v.chrom, v.position from v where not exists (select 1 from c where c.chrom=v.chrom and c.position=v.position and n_weights=1 and n_genotypes=1)")
+def align_vcf_only(spark, sf_dir):
+    return align.unused_genotypes(classified(spark, sf_dir), adapters.genotypes(spark, sf_dir))
+
+
+@query("x as (select 1) select chrom, position, vrow, ref, alt from v where exists (select 1 from w where w.chrom=v.chrom and w.position=v.position and w_int>0)")
+def align_semijoin_pushdown(spark, sf_dir):
+    wanted = adapters.weights(spark, sf_dir).filter("w_int > 0")
+    return align.wanted_genotypes(adapters.genotypes(spark, sf_dir), wanted).select("chrom", "position", "vrow", "ref", "alt")
+
+
+@query(FULL + EFFECT + " select sample_id, count(d) as n, sum(d*w_int)::bigint as score_int from e group by 1")
+def prs_fixed(spark, sf_dir):
+    return score.scores(scored(spark, sf_dir), ["sample_id"])
+
+
+@query(FULL + EFFECT + " select sample_id, round(sum(d*w_int)/10000.0, 6)::double as score from e group by 1")
+def prs_float_round6(spark, sf_dir):
+    return score.scores(scored(spark, sf_dir), ["sample_id"]).select("sample_id", F.round(F.col("score_int") / 10000.0, 6).alias("score"))
+
+
+@query(FULL + EFFECT + """, s as (select unnest([0,1,2])::int as score_id)
+  select sample_id, score_id, sum(d * case score_id when 0 then w_int when 1 then abs(w_int) else w_int%7 end)::bigint as score_int from e, s group by 1, 2""")
+def prs_multi_score(spark, sf_dir):
+    w = F.col("w_int")
+    sums = [F.struct(F.lit(k).alias("score_id"), F.sum(F.col("effect_dosage") * x).alias("score_int")) for k, x in enumerate((w, F.abs(w), w % 7))]
+    rows = scored(spark, sf_dir).groupBy("sample_id").agg(F.array(*sums).alias("s"))
+    return rows.select("sample_id", F.inline("s"))
+
+
+def in_order(spark, sf_dir):
+    ok = classified(spark, sf_dir).filter("reason = 'ok'").select("source_row", "w_int", "side", "vrow", "alt")
+    calls = adapters.calls(spark, sf_dir, score.numbered(ok))
+    return calls.select("sample_id", "variant_ord", "w_int", (alleles.effect_dosage(F.col("alt_dosage"), F.col("side")) * F.col("w_int")).alias("product"))
+
+
+@query(FULL + ORDERED + """, p as (select sample_id, ord//128 as win, sum(d*w_int) as part from o group by 1, 2)
+  select sample_id, count(*) as windows, sum(part)::bigint as score_int from p group by 1""")
+def prs_windowed_reduce_then_add(spark, sf_dir):
+    parts = in_order(spark, sf_dir).groupBy("sample_id", F.floor(F.col("variant_ord") / 128).alias("window")).agg(F.sum("product").alias("part"))
+    return parts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("part").alias("score_int"))
+
+
+@query(FULL + ORDERED + """, p as (select sample_id, ord%128 as slot, sum(d*w_int) as part from o group by 1, 2)
+  select sample_id, count(*) as slots, sum(part)::bigint as score_int from p group by 1""")
+def prs_windowed_add_then_reduce(spark, sf_dir):
+    parts = in_order(spark, sf_dir).groupBy("sample_id", (F.col("variant_ord") % 128).alias("slot")).agg(F.sum("product").alias("part"))
+    return parts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("slots"), F.sum("part").alias("score_int"))
+
+
+@query(FULL + EFFECT + " select sample_id//13 as site, count(distinct sample_id) as n_samples, sum(d*w_int)::bigint as site_sum from e group by 1")
+def prs_site_sums(spark, sf_dir):
+    rows = score.scores(scored(spark, sf_dir), ["sample_id"])
+    site = cohort.site_of(adapters.SAMPLES, 5)
+    return rows.groupBy(site(F.col("sample_id")).alias("site")).agg(F.count(F.lit(1)).alias("n_samples"), F.sum("score_int").alias("site_sum"))
+
+
+@query(FULL + ORDERED + """, p as (select sample_id//4 as block, ord//256 as win, sum(d*w_int)::bigint as part from o group by 1, 2)
+  select block, win, part from p""")
+def prs_block_sums(spark, sf_dir):
+    rows = in_order(spark, sf_dir)
+    return rows.groupBy(F.floor(F.col("sample_id") / 4).alias("block"), F.floor(F.col("variant_ord") / 256).alias("win")).agg(F.sum("product").alias("part"))
+
+
+@query(FULL + EFFECT + """, s as (select sample_id, sum(d*w_int)::bigint as score_int from e group by 1), m as (select *, ((score_int%65537)+65537)%65537 as r from s)
+  select sample_id, r as residue, case when r>32768 then r-65537 else r end as centered from m""")
+def prs_mod_p_centered(spark, sf_dir):
+    s = F.col("score_int")
+    return score.scores(scored(spark, sf_dir), ["sample_id"]).select("sample_id", F.pmod(s, F.lit(65537)).cast("long").alias("residue"), alleles.centered(s, 65537).cast("long").alias("centered"))
+
+
+def loose(spark, sf_dir, policy):
+    rows = score.fill_missing(scored(spark, sf_dir, ()), policy)
+    return rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("effect_dosage") * F.col("w_int")) / 10000.0, 6).alias("score"))
+
+
+@query(LOOSE + EFFECT + """, k as (select source_row from e group by 1 having count(d)=count(*))
+  select sample_id, count(*) as n, round(sum(d*w_int)/10000.0, 6)::double as score from e join k using (source_row) group by 1""")
+def missing_exclude(spark, sf_dir):
+    return loose(spark, sf_dir, "exclude_variant")
+
+
+@query(LOOSE + EFFECT + " select sample_id, count(*) as n, round(sum(coalesce(d,0)*w_int)/10000.0, 6)::double as score from e group by 1")
+def missing_zero(spark, sf_dir):
+    return loose(spark, sf_dir, "zero")
+
+
+@query(LOOSE + EFFECT + """, m as (select source_row, avg(d) as mean from e group by 1)
+  select sample_id, count(*) as n, round(sum(coalesce(d, mean, 0)*w_int)/10000.0, 6)::double as score from e join m using (source_row) group by 1""")
+def missing_mean(spark, sf_dir):
+    return loose(spark, sf_dir, "mean_dosage")
+
+
+@query("""x as (select vrow, count(alt_dosage) as n_calls, coalesce(sum(alt_dosage),0)::bigint as alt_count from g group by 1)
+  select vrow, n_calls, alt_count, least(alt_count, 2*n_calls-alt_count) as minor_count from x""")
+def allele_counts(spark, sf_dir):
+    return cohort.allele_counts(adapters.calls(spark, sf_dir))
+
+
+@query("""x as (select vrow, count(alt_dosage) as n_calls, coalesce(sum(alt_dosage),0)::bigint as alt_count from g group by 1)
+  select vrow, round(alt_count/(2.0*n_calls), 6)::double as frequency from x where least(alt_count, 2*n_calls-alt_count) >= 40""")
+def allele_frequency_mac(spark, sf_dir):
+    counts = cohort.allele_counts(adapters.calls(spark, sf_dir)).filter("minor_count >= 40")
+    return counts.select("vrow", F.round(F.col("alt_count") / (2.0 * F.col("n_calls")), 6).alias("frequency"))
+
+
+PHENOTYPE = EFFECT + """, s as (select sample_id, sum(d*w_int)::bigint as score_int from e group by 1),
+  t as (select score_int as threshold from (select score_int, row_number() over (order by score_int, sample_id) as r, count(*) over () as n from s) x where r = n//2+1),
+  ph as (select sample_id, score_int, (score_int>=threshold)::int as phenotype from s, t)"""
+
+
+@query(FULL + PHENOTYPE + " select * from ph")
+def phenotype_upper_median(spark, sf_dir):
+    return cohort.upper_median_phenotypes(score.scores(scored(spark, sf_dir), ["sample_id"]).drop("n"))
+
+
+@query(FULL + PHENOTYPE + """ select vrow, coalesce(sum(alt_dosage) filter (phenotype=1),0)::bigint as case_count,
+  coalesce(sum(alt_dosage) filter (phenotype=0),0)::bigint as control_count from g join ph using (sample_id) group by 1""")
+def case_control_counts(spark, sf_dir):
+    phenotypes = phenotype_upper_median(spark, sf_dir).select("sample_id", "phenotype")
+    return cohort.case_control_counts(adapters.calls(spark, sf_dir), F.broadcast(phenotypes))  # one row per sample of a fixed list
+
+
+@query(FULL + EFFECT + """, s as (select sample_id, sum(d*w_int)::bigint as score_int from e group by 1)
+  select count(*) as n, round(avg(score_int),6)::double as mean, round(stddev_pop(score_int),6)::double as sd, min(score_int) as lo, max(score_int) as hi from s""")
+def score_summary_pop(spark, sf_dir):
+    rows = cohort.summary(score.scores(scored(spark, sf_dir), ["sample_id"]), "score_int")
+    return rows.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+
+
+@query(FULL + EFFECT + """, s as (select sample_id, sum(d*w_int)/10000.0::double as a, sum(d*round(w_int/100.0))/100.0::double as b from e group by 1)
+  select round(max(abs(b-a)),6)::double as max_abs, round(avg(abs(b-a)),6)::double as mean_abs, round(max(abs(b-a)/greatest(abs(a),1e-15)),6)::double as max_rel,
+    round(avg(abs(b-a)/greatest(abs(a),1e-15)),6)::double as mean_rel, true as all_finite from s""")
+def error_metrics(spark, sf_dir):
+    d, w = F.col("effect_dosage"), F.col("w_int")
+    pairs = scored(spark, sf_dir).groupBy("sample_id").agg((F.sum(d * w) / 10000.0).alias("a"), (F.sum(d * F.round(w / 100.0)) / 100.0).alias("b"))
+    out = cohort.errors(pairs, "a", "b")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns[:4]], "all_finite")
+
+
+@query(FULL + EFFECT + """, k as (select source_row, any_value(w_int) as w from e group by 1)
+  select (select min(d) from e) as min_dosage, (select max(d) from e) as max_dosage, count(*) as variants, round(avg(w),6)::double as mean_weight,
+    round(stddev_pop(w),6)::double as sd_weight, max(abs(w)) as max_abs, sum(abs(w))::bigint as sum_abs, count(*) filter (w=0) as zeros from k""")
+def workload_features(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    w = classified(spark, sf_dir).filter("reason = 'ok'").select(F.col("w_int").alias("w"))
+    parts = w.agg(
+        F.count(F.lit(1)).alias("variants"), F.round(F.avg("w"), 6).alias("mean_weight"), F.round(F.stddev_pop("w"), 6).alias("sd_weight"),
+        F.max(F.abs("w")).alias("max_abs"), F.sum(F.abs("w")).alias("sum_abs"), F.count_if(F.col("w") == 0).alias("zeros"),
+    )
+    return rows.agg(F.min("effect_dosage").alias("min_dosage"), F.max("effect_dosage").alias("max_dosage")).crossJoin(parts)  # one row each
+
+
+@query(FULL + """ select 2*sum(abs(w_int))::bigint as bound, (2147352577//2 - 2*sum(abs(w_int)))::bigint as margin, 2*sum(abs(w_int)) < 2147352577//2 as safe from c where reason='ok'""")
+def dot_bound_margin(spark, sf_dir):
+    bound = classified(spark, sf_dir).filter("reason = 'ok'").agg((2 * F.sum(F.abs("w_int"))).alias("bound"))
+    return bound.select("bound", (F.lit(2147352577 // 2) - F.col("bound")).alias("margin"), (F.col("bound") < 2147352577 // 2).alias("safe"))
+
+
+@query("""select vec_id, round(list_sum(list_transform(embedding, lambda x, i: round(x*1000)*(i%7))), 3)::double as dot from embeddings""", plain=True)
+def embedding_dot(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    values = F.transform("embedding", lambda x: F.round(x * 1000).cast("double"))
+    weights = F.transform("embedding", lambda x, i: ((i + 1) % 7).cast("double"))
+    return rows.select("vec_id", F.round(score.dense_score(values, weights), 3).alias("dot"))
+
+
+@query("""select c_custkey as sample_id, c_mktsegment as population from customer where c_mktsegment='BUILDING' order by c_custkey limit 20""", plain=True)
+def panel_select(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("population"))
+    return rows.filter("population = 'BUILDING'").orderBy("sample_id").limit(20)
+
+
+@query("""x as (select position, max_by(w_int, source_row) as w_int, max(source_row) as source_row from w group by 1)
+  select v.vrow, x.source_row, x.w_int from v join x using (position)""")
+def cache_last_weight_wins(spark, sf_dir):
+    last = adapters.weights(spark, sf_dir).groupBy("position").agg(F.max_by("w_int", "source_row").alias("w_int"), F.max("source_row").alias("source_row"))
+    return adapters.genotypes(spark, sf_dir).join(last, "position").select("vrow", "source_row", "w_int")
+
+
+@query("x as (select 1) select v.vrow, w.source_row, w.w_int from v join w on v.position=w.position and v.chrom=w.chrom")
+def scan_one_to_many(spark, sf_dir):
+    return adapters.genotypes(spark, sf_dir).join(adapters.weights(spark, sf_dir), align.KEY).select("vrow", "source_row", "w_int")
+
+
+@query("x as (select 1) select chrom, position, ref, alt, min(vrow) as vrow from v group by 1,2,3,4")
+def dedupe_ignore_first(spark, sf_dir):
+    return adapters.genotypes(spark, sf_dir).groupBy("chrom", "position", "ref", "alt").agg(F.min("vrow").alias("vrow"))
+
+
+SPACE_SQL = """with base as (select s.scheme, r.ring, w.width, a.strategy, case when s.scheme='CKKS' then r.ring//2 else r.ring end as slots
+  from (select unnest(['CKKS','BFV','BGV']) as scheme) s, (select unnest([8192,16384,32768])::bigint as ring) r,
+    (select unnest([512,1024,2048,4096])::bigint as width) w, (select unnest(['reduce_then_add','add_then_reduce']) as strategy) a),
+  sp as (select b.*, x.scale_bits::bigint as scale_bits, 60::bigint as first_bits, null::bigint as fixed_scale, null::bigint as modulus
+    from base b, (select unnest([40,50]) as scale_bits) x where scheme='CKKS' and width<=slots
+  union all select b.*, null, null, x.fixed_scale::bigint, 2147352577 from base b, (select unnest([100000,1000000,10000000]) as fixed_scale) x where scheme<>'CKKS' and width<=slots)"""
+
+
+@query(SPACE_SQL + " select scheme, ring, width, strategy, slots, coalesce(scale_bits,0) as scale_bits, coalesce(first_bits,0) as first_bits, coalesce(fixed_scale,0) as fixed_scale, coalesce(modulus,0) as modulus from sp", plain=True)
+def candidate_space(spark, sf_dir):
+    return space.candidates(spark).na.fill(0)
+
+
+#: The workload that plans are judged for.
+SAMPLES, VARIANTS, BOUND = 4, 51225, 60.0
+FAULTS_SQL = SPACE_SQL + """, lim as (select *, case when scheme='CKKS' then first_bits+scale_bits*2 else 120 end as bits,
+    case ring when 8192 then 218 when 16384 then 438 else 881 end as lim from sp),
+  f as (select *, list_filter([case when bits>lim then 'modulus_budget_exceeded' end,
+    case when scheme='BGV' and ring<16384 then 'bgv_ring_dimension_below_openfhe_minimum' end,
+    case when scheme<>'CKKS' and 2*ceil(60.0*fixed_scale+51225*0.5)>=modulus then 'fixed_point_wraparound' end], lambda x: x is not null) as faults from lim)"""
+
+
+def judged(spark):
+    primes = [m for m in space.SPACE["modulus"] if space.is_prime(m)]
+    return space.candidates(spark).withColumn("faults", space.faults(SAMPLES, VARIANTS, BOUND, primes))
+
+
+@query(FAULTS_SQL + " select scheme, ring, width, strategy, coalesce(scale_bits,0) as scale_bits, coalesce(fixed_scale,0) as fixed_scale, array_to_string(faults, ',') as faults, len(faults)=0 as valid from f", plain=True)
+def candidate_validate(spark, sf_dir):
+    return judged(spark).select("scheme", "ring", "width", "strategy", "scale_bits", "fixed_scale", F.array_join("faults", ",").alias("faults"), (F.size("faults") == 0).alias("valid")).na.fill(0)
+
+
+@query("""select p_partkey, range(0, p_partkey, p_size)[k]::bigint as "start", least(range(0, p_partkey, p_size)[k]+p_size, p_partkey)::bigint as "end"
+  from part, unnest(range(1, (ceil(p_partkey/p_size::double))::bigint+1)) as t(k) where p_partkey<200 and p_partkey>0""", plain=True)
+def chunk_ranges(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").filter("p_partkey < 200")
+    return rows.select("p_partkey", F.inline(slots.chunk_ranges(F.col("p_partkey"), F.col("p_size").cast("long"))))
+
+
+@query("""select p_partkey, list_sum(list_transform(range(0, 40), lambda i: case when (1::bigint<<i) < p_partkey then 1::bigint<<i else 0 end))::bigint as total,
+  len(list_filter(range(0, 40), lambda i: (1::bigint<<i) < p_partkey))::bigint as n from part""", plain=True)
+def rotation_indices(spark, sf_dir):
+    r = slots.rotations(F.col("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(r).cast("long").alias("n"))
+
+
+HALVINGS = "case when {0}>1 then len(bin(({0}-1)::bigint)) else 0 end"
+COUNTS_SQL = SPACE_SQL + f""", oc as (select *, (51225+width-1)//width as chunks, (51225//width)*({HALVINGS.format('width')}) + ({HALVINGS.format('(51225%width)')}) as each from sp),
+  ot as (select *, case when strategy='add_then_reduce' then {HALVINGS.format('width')} else each end as turns from oc)"""
+
+
+@query(COUNTS_SQL + """ select distinct scheme, ring, width, strategy, (4*chunks)::bigint as ciphertext_count, (4*chunks)::bigint as multiplication_count,
+  (4*turns)::bigint as rotation_count, (4*(turns+chunks-1))::bigint as addition_count from ot""", plain=True)
+def operation_counts(spark, sf_dir):
+    counts = slots.operation_counts(F.lit(SAMPLES), F.lit(VARIANTS), F.col("width"), F.col("strategy"))
+    return space.candidates(spark).select("scheme", "ring", "width", "strategy", *[c.alias(n) for n, c in counts.items()]).distinct()
+
+
+RANK_SQL = FAULTS_SQL + f""", rk as (select *, concat_ws(':', scheme, ring, width, strategy, coalesce(scale_bits::varchar,'-'), coalesce(first_bits::varchar,'-'), coalesce(fixed_scale::varchar,'-'), coalesce(modulus::varchar,'-')) as plan,
+    (4*((51225+width-1)//width)*ring)::bigint as cost from f),
+  rr as (select plan, scheme, cost, len(faults)=0 as feasible, (row_number() over (order by len(faults)>0, case when len(faults)=0 then cost end nulls last, plan))::int as rank from rk)"""
+
+
+def ranked(spark):
+    rows = judged(spark).select("*", space.plan_key().alias("plan"), (SAMPLES * slots.chunk_count(F.lit(VARIANTS), F.col("width")) * F.col("ring")).alias("cost"))
+    rows = rows.withColumn("feasible", F.size("faults") == 0)
+    place = Window.orderBy(~F.col("feasible"), F.when(F.col("feasible"), F.col("cost")).asc_nulls_last(), "plan")
+    return rows.select("plan", "scheme", "cost", "feasible", F.row_number().over(place).alias("rank"))
+
+
+@query(RANK_SQL + " select * from rr", plain=True)
+def rank_candidates(spark, sf_dir):
+    return ranked(spark)
+
+
+@query(RANK_SQL + " select * from rr where feasible order by rank limit 5", plain=True)
+def topk_feasible(spark, sf_dir):
+    return ranked(spark).filter("feasible").orderBy("rank").limit(5)
+
+
+@query(RANK_SQL + " select scheme, min_by(plan, rank) as plan, min(rank) as rank from rr where feasible group by 1", plain=True)
+def first_feasible_per_scheme(spark, sf_dir):
+    return ranked(spark).filter("feasible").groupBy("scheme").agg(F.min_by("plan", "rank").alias("plan"), F.min("rank").alias("rank"))
+
+
+PARETO = """p as (select candidate_id, scheme, round(avg(evaluation_seconds),6)::double as seconds, max(peak_memory_mb)::double as memory, min(ciphertext_bytes) as bytes from rec where status='ok' group by 1,2)"""
+
+
+def candidate_means(spark, sf_dir):
+    rows = adapters.records(spark, sf_dir).filter("status = 'ok'").groupBy("candidate_id", "scheme")
+    return rows.agg(F.round(F.avg("evaluation_seconds"), 6).alias("seconds"), F.max("peak_memory_mb").alias("memory"), F.min("ciphertext_bytes").alias("bytes"))
+
+
+@query(PARETO + """ select p.* from p where not exists (select 1 from p q where q.seconds<=p.seconds and q.memory<=p.memory and q.bytes<=p.bytes
+  and (q.seconds<p.seconds or q.memory<p.memory or q.bytes<p.bytes))""")
+def pareto_frontier(spark, sf_dir):
+    return space.frontier(candidate_means(spark, sf_dir), ["seconds", "memory", "bytes"])
+
+
+@query(PARETO + """, z as (select *, ln(1+seconds) as a, ln(1+bytes) as b from p)
+  select candidate_id, scheme, round(coalesce((a-min(a) over ())/nullif(max(a) over ()-min(a) over (),0),0)+coalesce((b-min(b) over ())/nullif(max(b) over ()-min(b) over (),0),0),6)::double as objective from z""")
+def measured_objective_balanced(spark, sf_dir):
+    rows = candidate_means(spark, sf_dir).select("candidate_id", "scheme", F.log1p("seconds").alias("a"), F.log1p("bytes").alias("b"))
+    span = rows.agg(*[f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))])
+    share = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(span)).select("candidate_id", "scheme", F.round(share("a") + share("b"), 6).alias("objective"))  # one row
+
+
+@query("""l as (select candidate_id, 'evaluation_seconds' as metric, evaluation_seconds as value from rec where status='ok'
+    union all select candidate_id, 'peak_memory_mb', peak_memory_mb from rec where status='ok' union all select candidate_id, 'ciphertext_bytes', ciphertext_bytes::double from rec where status='ok')
+  select candidate_id, metric, round(median(value),6)::double as median, round(avg(value),6)::double as mean, round(coalesce(stddev_samp(value),0),6)::double as sd,
+    min(value) as lo, max(value) as hi, count(value) as n from l where value is not null group by 1,2""")
+def records_summary_median(spark, sf_dir):
+    rows = records.summaries(adapters.records(spark, sf_dir), ["candidate_id"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("median", "mean", "sd")})
+
+
+@query("""x as (select 1) select candidate_id, scheme, count(*) as repeats, count(*) filter (status='ok') as ok_repeats, case when bool_and(status='ok') then 'ok' else 'mixed' end as status,
+  coalesce(arg_min_null(ciphertext_bytes, rec_ord), 0) as first_bytes, round(avg(evaluation_seconds),6)::double as mean_seconds from rec group by 1,2""")
+def records_group_stats(spark, sf_dir):
+    rows = records.group_statistics(adapters.records(spark, sf_dir), ["candidate_id", "scheme"])
+    return rows.withColumns({"mean_seconds": F.round("mean_seconds", 6), "first_bytes": F.coalesce("first_bytes", F.lit(0))})
+
+
+@query("""x as (select 1) select 'status' as kind, status as value, count(*) as n from rec group by 2 union all select 'scheme', scheme, count(*) from rec group by 2""")
+def records_status_counts(spark, sf_dir):
+    rows = adapters.records(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("status", "scheme")])).alias("s"))
+    return rows.groupBy("s.kind", "s.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""x as (select 1) select rec_ord, upper(scheme) as scheme, (status='ok')::int as execution_success, 'candidate:'||candidate_id as workload_group,
+  case when status='ok' then 'measured' else 'failed' end as measurement_kind, coalesce(nullif(ciphertext_bytes,0),1)::bigint as ciphertext_bytes,
+  round(sign(evaluation_seconds)*ln(1+abs(evaluation_seconds)),6)::double as log_seconds from rec""")
+def records_canonicalize(spark, sf_dir):
+    return records.canonical(adapters.records(spark, sf_dir)).withColumn("log_seconds", F.round("log_seconds", 6))
+
+
+@query("""x as (select 1) select rec_ord, scheme, status, null::double as peak_memory_mb from rec where status='failed'
+  union all by name select rec_ord, scheme, status, peak_memory_mb from rec where status='ok'""")
+def records_union_by_name(spark, sf_dir):
+    rows = adapters.records(spark, sf_dir)
+    failed, ok = rows.filter("status = 'failed'").select("rec_ord", "scheme", "status"), rows.filter("status = 'ok'").select("status", "peak_memory_mb", "scheme", "rec_ord")
+    return failed.unionByName(ok, allowMissingColumns=True).select("rec_ord", "scheme", "status", "peak_memory_mb")
+
+
+HELD_OUT = records.held_out_groups([str(k) for k in range(20)])
+
+
+@query(f"""x as (select 1) select candidate_id in ({','.join(HELD_OUT)}) as held_out, count(*) as n, count(distinct candidate_id) as n_groups from rec group by 1""")
+def group_heldout_split(spark, sf_dir):
+    rows = adapters.records(spark, sf_dir).withColumn("held_out", F.col("candidate_id").isin([int(k) for k in HELD_OUT]))
+    return rows.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate_id").alias("n_groups"))
+
+
+FIT = """x as (select evaluation_seconds as a, ciphertext_bytes/10.0::double as g, (rec_ord%3=0)::int as y, ciphertext_bytes/1000.0::double as p, ciphertext_bytes as b from rec where status='ok')"""
+
+
+def fit_rows(spark, sf_dir):
+    bytes_ = F.col("ciphertext_bytes")
+    return adapters.records(spark, sf_dir).filter("status = 'ok'").select(
+        F.col("evaluation_seconds").alias("a"), (bytes_ / 10.0).alias("g"), (F.col("rec_ord") % 3 == 0).cast("int").alias("y"), (bytes_ / 1000.0).alias("p"), bytes_.alias("b"), "peak_memory_mb"
+    )
+
+
+@query(FIT + """ select count(*) as n, round(avg(abs(a-g)),6)::double as mae, round(sqrt(avg((a-g)*(a-g))),6)::double as rmse, round(avg(case when a<>0 then abs((a-g)/a) end),6)::double as mape,
+  round(1-sum((a-g)*(a-g))/(var_pop(a)*count(*)),6)::double as r2 from x""")
+def regression_metrics(spark, sf_dir):
+    rows = models.regression_metrics(fit_rows(spark, sf_dir), "a", "g")
+    return rows.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "mape", "r2")])
+
+
+@query(FIT + """, r as (select rank() over (order by a)+(count(*) over (partition by a)-1)/2.0 as ra, rank() over (order by b)+(count(*) over (partition by b)-1)/2.0 as rb from x)
+  select round(corr(ra, rb),6)::double as spearman from r""")
+def spearman_avg_rank(spark, sf_dir):
+    return models.spearman(fit_rows(spark, sf_dir), "a", "b").select(F.round("spearman", 6).alias("spearman"))
+
+
+@query(FIT + """, k as (select count(*) filter (y=1 and p>=0.5) as tp, count(*) filter (y=0 and p<0.5) as tn, count(*) filter (y=0 and p>=0.5) as fp, count(*) filter (y=1 and p<0.5) as fn,
+    avg((p-y)*(p-y)) as brier, avg(-case when y=1 then ln(least(greatest(p,1e-12),1-1e-12)) else ln(1-least(greatest(p,1e-12),1-1e-12)) end) as log_loss from x)
+  select tp, tn, fp, fn, round(brier,6)::double as brier, round(log_loss,6)::double as log_loss, round((tp/(tp+fn)+tn/(tn+fp))/2.0,6)::double as balanced_accuracy from k""")
+def classification_metrics(spark, sf_dir):
+    rows = models.classification_metrics(fit_rows(spark, sf_dir), "y", "p")
+    return rows.withColumns({c: F.round(c, 6) for c in ("brier", "log_loss", "balanced_accuracy")})
+
+
+@query("""x as (select 1.0::double as f0, peak_memory_mb as f1, ciphertext_bytes::double as f2, evaluation_seconds as y from rec where status='ok'),
+  u as (select [f0,f1,f2] as f, y from x)
+  select i::int as i, j::int as j, round(sum(f[i+1] * case when j<0 then y else f[j+1] end), 2)::double as value from u, (select unnest(range(0,3)) as i) a, (select unnest(range(-1,3)) as j) b group by 1,2""")
+def ridge_gram(spark, sf_dir):
+    rows = adapters.records(spark, sf_dir).filter("status = 'ok'")
+    return models.gram(rows, ["peak_memory_mb", "ciphertext_bytes"], "evaluation_seconds").select("i", "j", F.round("value", 2).alias("value"))
+
+
+@query("""x as (select scheme, sum(evaluation_seconds) as s, count(*) filter (status='ok') as n, sum(ciphertext_bytes)::bigint as b from rec group by 1)
+  select scheme, round(coalesce(n/nullif(s,0),0),6)::double as per_second, round(coalesce(b/nullif(n,0),0),6)::double as bytes_each from x""")
+def throughput_ratios(spark, sf_dir):
+    rows = adapters.records(spark, sf_dir).groupBy("scheme").agg(F.sum("evaluation_seconds").alias("s"), F.count_if(F.col("status") == "ok").alias("n"), F.sum("ciphertext_bytes").alias("b"))
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return rows.select("scheme", ratio("n", "s").alias("per_second"), ratio("b", "n").alias("bytes_each"))
+
+
+@query("""select p_partkey, case when lower(p_name||' '||p_type) like '%synthetic%' then 'synthetic' when lower(p_name||' '||p_type) like '%real%' then 'real' else 'unspecified' end as domain from part""", plain=True)
+def source_domain_class(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", records.source_domain(F.col("p_name"), F.col("p_type")).alias("domain"))
+
+
+@query("""select c_custkey, round(sign(c_acctbal)*ln(1+abs(c_acctbal)),6)::double as scaled from customer""", plain=True)
+def feature_log_scale(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(models.log_scaled(F.col("c_acctbal")), 6).alias("scaled"))
+
+
+@query()
+def prs_fsum_exact(spark, sf_dir):
+    """The correctly rounded sum of weights as doubles; Arrow batches of a sample's values, no SQL for it."""
+    rows = scored(spark, sf_dir).select("sample_id", (F.col("effect_dosage") * (F.col("w_int") / 10000.0)).alias("x"))
+    return rows.groupBy("sample_id").agg(score.exact_sum("x").alias("score"))
+
+
+@query("""x as (select 1) select scheme, date_trunc('hour', ts) as hour, count(*) as n from rec join events on event_id=rec_ord group by 1,2""")
+def records_hourly(spark, sf_dir):
+    """Batch twin of the streaming count: records per scheme and hour."""
+    from .streaming import hourly
+
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_id", "rec_ord").select("rec_ord", "ts")
+    return hourly.counts(adapters.records(spark, sf_dir).join(rows, "rec_ord"))
