@@ -495,3 +495,32 @@ def records_hourly(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events").withColumnRenamed("event_id", "rec_ord").select("rec_ord", "ts")
     return hourly.counts(adapters.records(spark, sf_dir).join(rows, "rec_ord"))
+
+
+def costed(spark):
+    """Feasible plans with rank and vector, for the search; a stand-in measures them: rotations and additions per slot."""
+    from .plans import search
+
+    rows = judged(spark).select("*", space.plan_key().alias("plan"), search.plan_vector().alias("vector"))
+    return rows.join(ranked(spark).select("plan", "rank", "feasible"), "plan")
+
+
+def stand_in(plan):
+    """Not a timing: a number that depends on the plan alone, to run the search without a backend."""
+    return None if plan["scheme"] == "BFV" else plan["ring"] / 8192 + abs(plan["width"] - 2048) / 1024
+
+
+@query()
+def tune_fake_evaluator(spark, sf_dir):
+    from .plans import search
+
+    rows = search.tune(costed(spark), stand_in, top=3, refine=4)
+    return spark.createDataFrame([(r["plan"], r["seconds"], r["by"]) for r in rows], "plan string, value double, chosen_by string")
+
+
+@query()
+def baseline_search(spark, sf_dir):
+    from .plans import search
+
+    rows = search.baselines(costed(spark), stand_in)
+    return spark.createDataFrame([(r["way"], r["plan"], r["seconds"], r["regret"]) for r in rows], "way string, plan string, value double, regret double")

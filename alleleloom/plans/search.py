@@ -1,0 +1,100 @@
+"""Choosing plans by measuring few of them: top-k of a ranking, baselines, and Gaussian-process suggestions.
+
+What is searched is the candidate list, whose size depends on its options alone, so its rows may come to the driver.
+``measure`` is whatever runs a plan: a function from a plan's row to seconds, or None if the plan failed.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
+
+Measure = Callable[[Row], float | None]
+#: Length scale of the kernel, and the noise on its diagonal.
+LENGTH, NOISE = 1.5, 1e-6
+
+
+def plan_vector() -> Column:
+    """Scheme, ring, width, scale bits and fixed scale of a plan as comparable numbers."""
+    scheme = F.when(F.col("scheme") == "CKKS", 0.0).when(F.col("scheme") == "BFV", 1.0).otherwise(2.0)
+    return F.array(
+        scheme, F.log2(F.col("ring").cast("double")), F.log2(F.col("width").cast("double")),
+        F.coalesce("scale_bits", F.lit(0)) / 60.0, F.coalesce(F.log10(F.nullif("fixed_scale", F.lit(0)).cast("double")), F.lit(0.0)),
+    )
+
+
+def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) / (2 * LENGTH**2))
+
+
+def expected_improvement(seen: np.ndarray, values: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(improvement over the least value, predicted mean) of ``others``."""
+    centre = values.mean()
+    inner = kernel(seen, seen) + NOISE * np.eye(len(seen))
+    across = kernel(others, seen)
+    mean = centre + across @ np.linalg.solve(inner, values - centre)
+    spread = np.sqrt(np.maximum(1e-12, 1 - (across * np.linalg.solve(inner, across.T).T).sum(axis=1)))
+    z = (values.min() - mean) / spread
+    below = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in z])
+    return (values.min() - mean) * below + spread * np.exp(-z * z / 2) / math.sqrt(2 * math.pi), mean
+
+
+def suggest(plans: list[Row], measured: dict[str, float | None]) -> Row | None:
+    """The plan that promises most, ties by predicted mean and then name. A failure counts as ten times the worst."""
+    rest = [p for p in plans if p["plan"] not in measured]
+    done = [p for p in plans if p["plan"] in measured]
+    known = [v for v in measured.values() if v is not None]
+    if not rest or not known:
+        return rest[0] if rest else None
+    values = np.array([10 * max(known) if measured[p["plan"]] is None else measured[p["plan"]] for p in done])
+    gain, mean = expected_improvement(np.array([p["vector"] for p in done]), values, np.array([p["vector"] for p in rest]))
+    return min(zip(rest, gain, mean), key=lambda x: (-x[1], x[2], x[0]["plan"]))[0]
+
+
+def tune(ranked: DataFrame, measure: Measure, top: int = 3, refine: int = 0) -> list[dict]:
+    """Measures the first ``top`` feasible plans by rank, then ``refine`` suggested ones; rows of plan, seconds and how it was chosen, best first.
+
+    ``ranked`` has plan, rank, feasible and vector. Failures stay as rows without seconds, last.
+    """
+    plans = ranked.filter("feasible").orderBy("rank").collect()
+    out, measured = [], {}
+    for n in range(min(len(plans), top + refine)):
+        plan = plans[n] if n < top else suggest(plans, measured)
+        measured[plan["plan"]] = measure(plan)
+        out.append({"plan": plan["plan"], "seconds": measured[plan["plan"]], "by": "rank" if n < top else "refinement"})
+    return sorted(out, key=lambda r: (r["seconds"] is None, r["seconds"] or 0.0))
+
+
+def baselines(ranked: DataFrame, measure: Measure, budget: int = 4, seed: int = 20260728) -> list[dict]:
+    """The best of each way to spend a budget of measurements, and its regret against the best of all plans measured.
+
+    A plan that several ways choose is measured once.
+    """
+    plans = ranked.filter("feasible").orderBy("plan").collect()
+    cache: dict[str, float | None] = {}
+
+    def best(chosen: list[Row]) -> tuple[str | None, float | None]:
+        for p in chosen:
+            if p["plan"] not in cache:
+                cache[p["plan"]] = measure(p)
+        good = [(cache[p["plan"]], p["plan"]) for p in chosen if cache[p["plan"]] is not None]
+        return (min(good)[1], min(good)[0]) if good else (None, None)
+
+    shuffled = list(plans)
+    random.Random(seed).shuffle(shuffled)
+    minimal = sorted(plans, key=lambda p: (*p["vector"], p["plan"]))
+    stepwise: dict[str, float | None] = {}
+    for _ in range(min(budget, len(plans))):
+        plan = suggest(plans, stepwise)
+        stepwise[plan["plan"]] = cache.setdefault(plan["plan"], measure(plan))
+    ways = {
+        "minimal": best(minimal[:1]), "grid": best(plans[:: max(1, len(plans) // budget)][:budget]), "random": best(shuffled[:budget]),
+        "bayesian": best([p for p in plans if p["plan"] in stepwise]),
+    }
+    least = min((v for v in cache.values() if v is not None), default=None)
+    return [{"way": w, "plan": p, "seconds": s, "regret": None if s is None else s - least} for w, (p, s) in ways.items()]

@@ -1,0 +1,33 @@
+from pyspark.sql import functions as F
+
+from alleleloom import catalogue
+from alleleloom.plans import search
+
+
+def plans(spark):
+    rows = catalogue.judged(spark).select("*", catalogue.space.plan_key().alias("plan"), search.plan_vector().alias("vector"))
+    return rows.join(catalogue.ranked(spark).select("plan", "rank", "feasible"), "plan")
+
+
+def seconds(plan):
+    return None if plan["width"] == 512 else plan["ring"] / 8192 + abs(plan["width"] - 2048) / 1024
+
+
+def test_tune_finds_better_than_rank(spark):
+    ranked = plans(spark).cache()
+    first, refined = search.tune(ranked, seconds, top=2), search.tune(ranked, seconds, top=2, refine=8)
+    assert [r["by"] for r in first] == ["rank"] * 2 and len(refined) == 10
+    assert refined[0]["seconds"] <= first[0]["seconds"] and refined == search.tune(ranked, seconds, top=2, refine=8)
+    assert all(r["seconds"] is None for r in search.tune(ranked, lambda p: None))
+
+
+def test_baselines_have_regret(spark):
+    measured = []
+    rows = search.baselines(plans(spark), lambda p: measured.append(p["plan"]) or seconds(p), budget=4)
+    assert {r["way"] for r in rows} == {"minimal", "grid", "random", "bayesian"}
+    assert min(r["regret"] for r in rows if r["regret"] is not None) == 0
+
+
+def test_vectors(spark):
+    got = plans(spark).filter("scheme = 'CKKS'").select(F.size("vector")).distinct().collect()
+    assert [r[0] for r in got] == [5]
