@@ -1,9 +1,9 @@
 """Near copies by chosen-path set similarity join.
 
 A text's set are its distinct shingles of five words. Trees branch the sets: at each node a set goes to the child
-of its token that is least under a chosen hash function, so similar sets tend to go the same way. Small nodes are
-compared exhaustively; in larger ones all are compared with one member, and the node branches on by two further
-functions unless all its members are connected by then. Independent trees repeat this: a pair at the threshold
+of its token that is least under a chosen hash function, so similar sets tend to go the same way. All members of a
+node are compared with one of them. What is connected by then needs no comparing; if few other comparisons are open,
+as in small nodes, they are made exhaustively, else the node branches on by two further functions. Independent trees repeat this: a pair at the threshold
 is missed by all with a chance of a few in a million or less. Every link is confirmed on the full sets.
 
 Equal sets are one class from the start, and components are found by passing least members along stars, so
@@ -12,7 +12,7 @@ neither copies nor near copies are ever paired all with all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,13 @@ from .common import cut, small, table
 
 WORDS, PERCENT = 5, 85
 TREES, FUNCTIONS = 8, 32
-#: Members of a node that are compared exhaustively, levels after which any node is.
-EXHAUSTIVE, LEVELS = 12, 9
+#: A node is compared exhaustively if no more than half as many comparisons are open for each member; after so many
+#: levels any node is.
+EXHAUSTIVE, LEVELS = 16, 9
 #: Of FUNCTIONS minima, those that must agree for a pair's full sets to be compared. Pairs at the threshold fall
 #: short of it with a chance under 1e-8.
 AGREE = 13
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _draw = np.random.Generator(np.random.PCG64(3))
@@ -58,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingles(texts: list[bytes]) -> Iterator[np.ndarray]:
+def shingles(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct fingerprints of each text's shingles."""
     for part in batches(texts):
         data = np.frombuffer(b" ".join(part) + b" ", np.uint8)
@@ -84,7 +85,7 @@ def shingles(texts: list[bytes]) -> Iterator[np.ndarray]:
                 yield np.empty(0, dtype=np.uint64)
 
 
-def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
+def batches(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -113,7 +114,7 @@ def signed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, uid) and the class, size and minima of each text's set; the class is null where that is empty."""
     with np.errstate(over="ignore"):
         for batch in stream:
-            sets = [(class_of(s) if len(s) else None, len(s), minima(s) if len(s) else None) for s in shingles(batch.column(2).to_pylist())]
+            sets = [(class_of(s) if len(s) else None, len(s), minima(s) if len(s) else None) for s in shingles(x.as_py() for x in batch.column(2))]
             columns = [pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64()), pa.array([s[2] for s in sets], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "uid", "c", "n_shingles", "minima"])
 
@@ -121,7 +122,7 @@ def signed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def as_sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in stream:
-            sets = list(shingles(batch.column(0).to_pylist()))
+            sets = list(shingles(x.as_py() for x in batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "tokens"])
 
 
@@ -145,18 +146,18 @@ def components(links: DataFrame) -> DataFrame:
     neighbours, and the others to that one. Rounds grow as the logarithm of the number of members.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
+        # Done when each member points to one other and none of those points further.
+        ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        small_ = large.join(down, F.col("u") == F.col("x"))
-        edges = cut(small_.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        next_ = large.join(down, F.col("u") == F.col("x"))
+        next_ = next_.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = cut(next_.select("e.u", "e.v").filter("u <> v").distinct())
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
 
 
@@ -188,28 +189,35 @@ def link_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc
     )
     minima_of = classes.select("c", "minima")
     members = classes.select("c", "id", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "minima")
-    members = members.select("c", "id", "n", "tree", F.xxhash64("tree", F.get("minima", chosen(F.col("tree"), 0, 0))).alias("node"))
-    links = None
+    members = members.select("c", "id", "n", "tree", F.xxhash64("tree", F.get("minima", chosen(F.col("tree"), 0, 0))).alias("node"), F.col("c").alias("root"))
+    links, near = None, lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     for level in range(LEVELS):
-        heads = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "c", "n")).alias("head")).filter("k > 1")
-        members = cut(members.join(heads.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of"))
-        near = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-        stars = members.filter((F.col("c") != F.col("head.c")) & near(F.col("n"), F.col("head.n"))).select(F.col("c").alias("a"), F.col("head.c").alias("b"))
-        few = members.filter((F.col("k") <= EXHAUSTIVE if level < LEVELS - 1 else F.lit(True)) & (F.col("k") > 2) & (F.col("c") != F.col("head.c")))
-        few = few.select("node", "c", "n")
-        other = few.select(F.col("node").alias("with"), F.col("c").alias("b"), F.col("n").alias("m"))
-        pairs = few.join(other, (F.col("node") == F.col("with")) & (F.col("c") < F.col("b")) & near(F.col("n"), F.col("m")))
-        pairs = stars.unionByName(pairs.select(F.col("c").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = confirm(pairs, minima_of, classes, rows, percent)
-        links = found if links is None else cut(links.unionByName(found).distinct())
-        large = members.filter(F.col("k") > EXHAUSTIVE)
-        if level == LEVELS - 1 or large.isEmpty():
-            break
+        # Of a node's members one is its head: at first that with the least id, further down another each time.
+        order = F.col("id") if level == 0 else F.xxhash64("c", F.lit(level))
+        heads = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("order"), "c", "n", "root")).alias("head"))
+        members = cut(members.join(heads.filter("k > 1").withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of", "k"))
+        stars = members.filter((F.col("root") != F.col("head.root")) & near(F.col("n"), F.col("head.n")))
+        found = confirm(stars.select(F.col("c").alias("a"), F.col("head.c").alias("b")), minima_of, classes, rows, percent)
+        links = found if links is None else links.unionByName(found)
         roots = components(links)
-        large = large.join(roots.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left").withColumn("root", F.coalesce("root", "c")).drop("of")
-        still = large.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(F.col("node").alias("of"))
-        members = large.join(still, F.col("node") == F.col("of"), "left_semi").select("c", "id", "n", "tree", "node")
-        members = branched(members, minima_of, level + 1, percent)
+        members = members.drop("head", "root").join(roots.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left").drop("of")
+        members = members.withColumn("root", F.coalesce("root", "c"))
+        # Only members of different components are still to be compared: k * k less the components' squares, halved.
+        nodes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n_root")).groupBy("node")
+        nodes = nodes.agg(F.sum("n_root").alias("k"), F.sum(F.col("n_root") * F.col("n_root")).alias("squares"), F.max(F.struct("n_root", "root")).alias("most"))
+        nodes = nodes.filter("k * k > squares").select(
+            F.col("node").alias("of"), F.col("most.root").alias("major"), (F.col("k") * F.col("k") - F.col("squares") <= EXHAUSTIVE * F.col("k")).alias("few")
+        )
+        members = cut(members.join(nodes, F.col("node") == F.col("of")).drop("of"))
+        few = members.filter("few" if level < LEVELS - 1 else "true")
+        other = few.select(F.col("node").alias("with"), F.col("c").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+        both = (F.col("node") == F.col("with")) & (F.col("root") != F.col("r")) & near(F.col("n"), F.col("m"))
+        pairs = few.filter("root <> major").join(other, both & ((F.col("r") == F.col("major")) | (F.col("c") < F.col("b"))))
+        links = links.unionByName(confirm(pairs.select(F.col("c").alias("a"), "b"), minima_of, classes, rows, percent))
+        members = members.filter("not few")
+        if level == LEVELS - 1 or members.isEmpty():
+            break
+        members = branched(members.select("c", "id", "n", "tree", "node", "root"), minima_of, level + 1, percent)
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "r")
@@ -240,19 +248,22 @@ def branched(members: DataFrame, minima_of: DataFrame, level: int, percent: int)
     """
     rows = members.join(minima_of.withColumnRenamed("c", "of"), F.col("c") == F.col("of")).drop("of")
     keys = F.array(*[F.xxhash64("node", F.lit(level), F.lit(b), F.get("minima", chosen(F.col("tree"), level, b))) for b in (0, 1)])
-    rows = rows.select("c", "id", "n", "tree", F.explode(keys).alias("node"))
+    rows = rows.select("c", "id", "n", "tree", "root", F.explode(keys).alias("node"))
     if level == 1:
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9)
-        rows = rows.select("c", "id", "n", "tree", "node", F.explode(F.array(band, band + 1)).alias("band")).withColumn("node", F.xxhash64("node", "band")).drop("band")
+        rows = rows.select("c", "id", "n", "tree", "root", "node", F.explode(F.array(band, band + 1)).alias("band")).withColumn("node", F.xxhash64("node", "band")).drop("band")
     return rows
 
 
 def confirm(pairs: DataFrame, minima_of: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of the ``pairs`` of classes (a, b) whose full sets are similar enough."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first, second = (minima_of.select(F.col("c").alias(f"c_{x}"), F.col("minima").alias(f"m_{x}")) for x in "ab")
     agree = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     likely = pairs.join(first, F.col("a") == F.col("c_a")).join(second, F.col("b") == F.col("c_b")).filter(agree >= AGREE)
     likely = cut(likely.select("a", "b"))
+    if likely.isEmpty():
+        return likely
     sought = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
     wanted = cut(classes.join(sought, "c", "left_semi").select(F.col("uid").alias("of")))
     texts = rows.join(small(wanted), F.col("uid") == F.col("of"), "left_semi").dropDuplicates(["uid"]).select("text")

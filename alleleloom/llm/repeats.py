@@ -20,7 +20,7 @@ strings is dealt out: a passage in a third of all documents comes from each batc
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ LENGTH, Q = 50, 16
 W = LENGTH - Q + 1
 #: Bytes of text that one array operation works on, contexts that a task gathers before it deals them out, and bytes
 #: of text behind one group: what a task holds is bounded by these, at any size of the corpus.
-CHUNK, GATHERED, GROUP = 1 << 20, 1 << 20, 16 << 20
+CHUNK, GATHERED, GROUP = 1 << 18, 1 << 17, 6 << 20
 BASE = 0x9E3779B97F4A7C15
 K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -109,7 +109,7 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, a, e, o, g[o], c, sixteen(o + Q + 1, o + Q + 1 <= end), sixteen(o - Q - 1, o - Q - 1 >= a)
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts laid end to end, CHUNK bytes or so at a time: (bytes, ends, numbers of the texts, their offsets there).
 
     A longer text comes in pieces that share LENGTH - 1 bytes, so that each of its strings is in one piece.
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             ids, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             gathered, n = [], 0
-            for data, ends, numbers, offsets in chunks(batch.column(2).to_pylist()):
+            for data, ends, numbers, offsets in chunks(x.as_py() for x in batch.column(2)):
                 t, a, e, o, h, c, r, b = contexts(data, ends)
                 shift = offsets[t] - np.concatenate([[0], ends[:-1]])[t]
                 gathered.append((numbers[t], a + shift, e - a, o - a, h, c, r, b))
