@@ -24,8 +24,9 @@ from .common import cut, small, table
 WORDS, PERCENT = 5, 85
 TREES, FUNCTIONS = 8, 32
 #: A node is compared exhaustively if no more than half as many comparisons are open for each member; after so many
-#: levels any node is.
-EXHAUSTIVE, LEVELS = 16, 9
+#: levels any node is. Sets a little below the threshold keep together however often they branch, and every level
+#: reads the texts again, so it is cheaper to compare some more.
+EXHAUSTIVE, LEVELS = 128, 9
 #: Of FUNCTIONS minima, those that must agree for a pair's full sets to be compared. Pairs at the threshold fall
 #: short of it with a chance under 1e-8.
 AGREE = 13
