@@ -106,7 +106,8 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         other = np.where(reaches, other, 0)
         return np.where(reaches, (mixed(g[o] * K[0] + g[other] * K[1]) >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint16)
 
-    return text, a, e, o, g[o], c, sixteen(o + Q + 1, o + Q + 1 <= end), sixteen(o - Q - 1, o - Q - 1 >= a)
+    # Least buckets are small numbers; mixed again, they are dealt out evenly.
+    return text, a, e, o, mixed(g[o]), c, sixteen(o + Q + 1, o + Q + 1 <= end), sixteen(o - Q - 1, o - Q - 1 >= a)
 
 
 def chunks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
