@@ -33,10 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     Nothing refers to the shuffle files behind it any more; Spark deletes them as soon as both collectors have
     noticed, which they are asked to do now, so that only one step's files lie on the disks at a time.
     """
-    checkpoint_folder(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_folder(spark)
     out = df.checkpoint(eager=True)
+    del df  # else the plan, and with it the shuffle files, would outlive the collection
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
