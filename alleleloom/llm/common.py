@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,17 +28,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, wait: float = 0) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
     Nothing refers to the shuffle files behind it any more; Spark deletes them as soon as both collectors have
-    noticed, which they are asked to do now, so that only one step's files lie on the disks at a time.
+    noticed, which they are asked to do now, so that only one step's files lie on the disks at a time. What Python
+    has let go of is told to the JVM from another thread, which looks about once a second: where the files are
+    large, ``wait`` that many seconds for it.
     """
     spark = df.sparkSession
     checkpoint_folder(spark)
     out = df.checkpoint(eager=True)
     del df  # else the plan, and with it the shuffle files, would outlive the collection
     gc.collect()
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
     return out
 

@@ -361,10 +361,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join(prefix + c for c in own_schema)
     schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
     texts_by_part = rows.withColumn("part", F.pmod("uid", F.lit(parts)).cast("int"))
-    first = cut(rows.select("id", "uid", "text").mapInArrow(first_pass, PACKED).groupBy("kind", "key").applyInArrow(refine, MARKS))
+    first = cut(rows.select("id", "uid", "text").mapInArrow(first_pass, PACKED).groupBy("kind", "key").applyInArrow(refine, MARKS), wait=2)
     open_ = first.filter("kind = 2").groupBy("part")
     pairs = texts_by_part.select("part", "id", "uid", "text").groupBy("part").cogroup(open_).applyInArrow(strings, PACKED)
-    second = cut(pairs.groupBy("kind", "key").applyInArrow(compare, MARKS))
+    second = cut(pairs.groupBy("kind", "key").applyInArrow(compare, MARKS), wait=2)
     marks = first.filter("kind = 1").unionByName(second).groupBy("part")
     return texts_by_part.groupBy("part").cogroup(marks).applyInArrow(removed, schema)
 
