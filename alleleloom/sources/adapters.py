@@ -6,8 +6,9 @@ The queries of the catalogue run on these. The SQL is the same for Spark and Duc
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Samples are the customers with keys below this.
+#: Samples of ``calls`` are the customers with keys below this.
 SAMPLES = 64
 
 WEIGHTS = """
@@ -69,11 +70,26 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str, variants: DataFrame | None = None) -> DataFrame:
     """(sample_id, vrow, alt_dosage) of ``variants``, with vrow and alt, or of all genotypes.
 
-    The samples are a list of fixed length, so each variant's calls come from its own row; no join.
+    Dense, for the customers with keys below SAMPLES alone, as the SQL has it. ``all_calls`` has no such bound.
     """
     variants = genotypes(spark, sf_dir) if variants is None else variants
+    samples = _table(spark, sf_dir, "customer").filter(F.col("c_custkey") < SAMPLES).select(F.col("c_custkey").alias("sample_id"))
+    return _dosed(variants.crossJoin(F.broadcast(samples)))  # a bounded list of keys
+
+
+def all_calls(spark: SparkSession, sf_dir: str, variants: DataFrame | None = None) -> DataFrame:
+    """As ``calls``, of all customers, sparse: a customer has one call of each variant whose part (vrow) they ordered.
+
+    The lines are reduced to one row for each customer and part before the join, so it never multiplies calls.
+    """
+    variants = genotypes(spark, sf_dir) if variants is None else variants
+    orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("sample_id"), F.col("l_partkey").alias("part")).distinct()
+    return _dosed(variants.join(pairs, F.col("vrow") == F.col("part")).drop("part"))
+
+
+def _dosed(rows: DataFrame) -> DataFrame:
     text = DOSAGE.format(c="sample_id").replace("v.", "")
-    rows = variants.selectExpr("*", f"explode(sequence(0L, {SAMPLES - 1}L)) as sample_id")
     return rows.selectExpr(*[c for c in rows.columns if c != "sample_id"], "sample_id", f"{text} as alt_dosage")
 
 
