@@ -309,8 +309,13 @@ def candidate_validate(spark, sf_dir):
 @query("""select p_partkey, range(0, p_partkey, p_size)[k]::bigint as "start", least(range(0, p_partkey, p_size)[k]+p_size, p_partkey)::bigint as "end"
   from part, unnest(range(1, (ceil(p_partkey/p_size::double))::bigint+1)) as t(k) where p_partkey<200 and p_partkey>0""", plain=True)
 def chunk_ranges(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 200")
-    return rows.select("p_partkey", F.inline(slots.chunk_ranges(F.col("p_partkey"), F.col("p_size").cast("long"))))
+    return chunk_ranges_all_parts(spark, sf_dir).filter("p_partkey < 200")
+
+
+@query()
+def chunk_ranges_all_parts(spark, sf_dir):
+    """As ``chunk_ranges``, without the bound on the parts that its SQL has."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(slots.chunk_ranges(F.col("p_partkey"), F.col("p_size").cast("long"))))
 
 
 @query("""select p_partkey, list_sum(list_transform(range(0, 40), lambda i: case when (1::bigint<<i) < p_partkey then 1::bigint<<i else 0 end))::bigint as total,
