@@ -13,6 +13,10 @@ fingerprints of Q bytes, so that pointers mean the same in every task.
    just before the anchor are shared: only then can parts of them be equal.
 3. The strings of such contexts are compared one by one, by the buckets that cover each.
 
+A bucket that is estimated to hold more than HOT contexts is dealt out by context instead. Equal contexts still meet;
+which buckets behind and before are shared is found by an aggregation of the least and greatest document for each, and
+goes to all tasks of the anchor as two bitmaps.
+
 What a task knows to be repeated within its own batch goes at once, and only one of several equal contexts or
 strings is dealt out: a passage in a third of all documents comes from each batch once.
 """
@@ -24,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,9 @@ W = LENGTH - Q + 1
 #: Bytes of text that one array operation works on, contexts that a task gathers before it deals them out, and bytes
 #: of text behind one group: what a task holds is bounded by these, at any size of the corpus.
 CHUNK, GATHERED, GROUP = 1 << 18, 1 << 17, 6 << 20
+#: Contexts that one anchor may have in a task; one document of so many is counted to find anchors that have more. The
+#: result doesn't depend on either.
+HOT, SAMPLE = 1 << 14, 64
 BASE = 0x9E3779B97F4A7C15
 K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -183,6 +191,21 @@ def dealt(part: np.ndarray, columns: dict[str, np.ndarray], **more) -> Iterator[
         yield {"part": int(part[lo]), **more} | {n: np.ascontiguousarray(c[at]).tobytes() for n, c in columns.items()}
 
 
+def places(h: np.ndarray, c: np.ndarray, parts: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, key) of the task of each context: by its anchor's bucket (0), or of ``hot`` anchors by the context too (3).
+
+    ``hot`` are the buckets in ascending order, the first key of each and its number of keys.
+    """
+    kind, key = np.zeros(len(h), np.int64), (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    anchors, base, n = hot
+    if len(anchors):
+        at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
+        own = anchors[at] == h
+        kind[own] = 3
+        key[own] = base[at[own]] + (mixed(c[own]) % n[at[own]].astype(np.uint64)).astype(np.int64)
+    return kind, key
+
+
 def marked(uid: np.ndarray, start: np.ndarray, size: np.ndarray, parts: int, kind: int = 1) -> Iterator[dict]:
     """Rows that mark ``size`` bytes from ``start`` of texts; what overlaps within 128 bytes is joined first."""
     order = np.lexsort((start, uid))
@@ -222,7 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             ids, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             gathered, n = [], 0
@@ -232,10 +255,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gathered.append((numbers[t], a + shift, e - a, o - a, h, c, r, b))
                 n += len(t)
                 if n >= GATHERED:
-                    yield as_batch(list(deal(ids, uids, gathered)), PACKED)
+                    yield ids, uids, gathered
                     gathered, n = [], 0
             if n:
-                yield as_batch(list(deal(ids, uids, gathered)), PACKED)
+                yield ids, uids, gathered
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, gathered in gather(batches):
+            h, c = (np.concatenate([x[k] for x in gathered]) for k in (4, 5))
+            order = np.lexsort((c, h))
+            group, h = groups(h[order], c[order]), h[order]
+            h, n = np.unique(h[np.concatenate([[True], group[1:] != group[:-1]])], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, uids, gathered in gather(batches):
+            yield as_batch(list(deal(ids, uids, gathered)), PACKED)
+
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, gathered in gather(batches):
+            doc, h, r, b = (np.concatenate([x[k] for x in gathered]) for k in (0, 4, 6, 7))
+            at = np.minimum(np.searchsorted(hot[0], h), len(hot[0]) - 1)
+            for side, x in enumerate((r, b)):
+                own = (hot[0][at] == h) & (x != 0)
+                if not own.any():
+                    continue
+                anchor, other, of = at[own], x[own].astype(np.int64), ids[doc[own]]
+                order = np.lexsort((other, anchor))
+                anchor, other, of = anchor[order], other[order], of[order]
+                group = groups(anchor, other)
+                first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+                columns = (anchor[first], np.full(len(first), side), other[first], np.minimum.reduceat(of, first), np.maximum.reduceat(of, first))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "side", "x", "lo", "hi"])
+
+    def bitmaps(found: pa.Table) -> pa.Table:
+        anchor, (side, x) = found["anchor"][0].as_py(), (found[n].to_numpy() for n in ("side", "x"))
+        bits = np.zeros((2, 1 << 16), dtype=bool)
+        bits[side, x] = True
+        row = (int(hot[1][anchor]), int(hot[2][anchor]), *(np.packbits(b).tobytes() for b in bits))
+        return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["base", "n", "behind", "before"])
 
     def deal(ids: np.ndarray, uids: np.ndarray, gathered: list[tuple]) -> Iterator[dict]:
         doc, a, more, back, h, c, r, b = (np.concatenate(x) for x in zip(*gathered))
@@ -246,12 +304,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for row in marked(uids[doc[repeated]], a[repeated], more[repeated] + LENGTH, parts):
             yield {"key": row["part"], "kind": 1, "uids": row["uid"], "o": row["start"], "size": row["size"]}
         doc, a, more, back, h, c, r, b = (x[~repeated] for x in (doc, a, more, back, h, c, r, b))
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascends with h
-        cuts = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]]) if len(part) else []
+        kind, part = places(h, c, parts, hot)
+        order = np.lexsort((part, kind))  # keeps what has ascended with h
+        doc, a, more, back, h, c, r, b, kind, part = (x[order] for x in (doc, a, more, back, h, c, r, b, kind, part))
+        cuts = np.concatenate([[0], np.nonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1]))[0] + 1, [len(part)]]) if len(part) else []
         for lo, hi in zip(cuts, cuts[1:]):
             used, index = np.unique(doc[lo:hi], return_inverse=True)
             yield {
-                "key": int(part[lo]), "kind": 0, "ids": ids[used].tobytes(), "uids": uids[used].tobytes(),
+                "key": int(part[lo]), "kind": int(kind[lo]), "ids": ids[used].tobytes(), "uids": uids[used].tobytes(),
                 "doc": index.astype(np.uint32).tobytes(), "h": six(h[lo:hi]), "c": six(c[lo:hi]),
                 "behind": r[lo:hi].tobytes(), "before": b[lo:hi].tobytes(), "o": a[lo:hi].astype(np.uint32).tobytes(),
                 "back": back[lo:hi].astype(np.uint8).tobytes(), "size": more[lo:hi].astype(np.uint8).tobytes(),
@@ -262,6 +322,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if kind == 1:
             uid, start, size = joined(contexts_["uids"], np.int64), joined(contexts_["o"], np.uint32), joined(contexts_["size"], np.uint16)
             return pa.Table.from_batches([as_batch(list(marked(uid, start, size, parts)), MARKS)])
+        flags = contexts_.filter(pc.is_null(contexts_["ids"]))
+        contexts_ = contexts_.filter(pc.is_valid(contexts_["ids"]))
+        if not contexts_.num_rows:
+            return pa.Table.from_batches([as_batch([], MARKS)])
         own, uid = with_documents(contexts_)
         h, c = (from_six(b"".join(contexts_[x].to_pylist())) for x in "hc")
         r, b = joined(contexts_["behind"], np.uint16), joined(contexts_["before"], np.uint16)
@@ -271,7 +335,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         repeated = own > least_of(groups(h, c), own)
         out = list(marked(uid[repeated], a[repeated], more[repeated].astype(np.int64) + LENGTH, parts))
         own, uid, h, c, r, b, a, back, more = (x[~repeated] for x in (own, uid, h, c, r, b, a, back, more))
-        side = shared(h, r, own).astype(np.uint8) + 2 * shared(h, b, own).astype(np.uint8)
+        if kind == 0:
+            far, near = shared(h, r, own), shared(h, b, own)
+        elif flags.num_rows:
+            far, near = (np.unpackbits(np.frombuffer(flags[n][0].as_py(), np.uint8))[x] for n, x in (("behind", r), ("before", b)))
+        else:
+            far, near = (np.zeros(len(own), dtype=bool) for _ in range(2))
+        side = far.astype(np.uint8) + 2 * near.astype(np.uint8)
         left = side > 0
         columns = {"uid": uid, "start": a, "size": more, "back": back, "side": side}
         out += dealt(np.mod(uid[left], parts), {n: x[left] for n, x in columns.items()}, kind=2)
@@ -361,7 +431,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join(prefix + c for c in own_schema)
     schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
     texts_by_part = rows.withColumn("part", F.pmod("uid", F.lit(parts)).cast("int"))
-    first = cut(rows.select("id", "uid", "text").mapInArrow(first_pass, PACKED).groupBy("kind", "key").applyInArrow(refine, MARKS), wait=2)
+    read = rows.select("id", "uid", "text")
+    sampled = read.filter(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInArrow(count, "h long, n long").groupBy("h").agg((F.sum("n") * SAMPLE).alias("n"))
+    counted = sampled.filter(F.col("n") > HOT).collect()  # at most one for each HOT contexts, of 16 bytes
+    counted = sorted((r["h"] % (1 << 64), -(-r["n"] // HOT)) for r in counted)
+    pieces = np.array([n for _, n in counted], dtype=np.int64)
+    hot = np.array([h for h, _ in counted], dtype=np.uint64), np.cumsum(pieces) - pieces, pieces
+    packed = read.mapInArrow(first_pass, PACKED)
+    if counted:
+        each = read.mapInArrow(sharing, "anchor long, side long, x long, lo long, hi long").groupBy("anchor", "side", "x").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        maps = each.filter("lo < hi").groupBy("anchor").applyInArrow(bitmaps, "base int, n int, behind binary, before binary")
+        to_all = maps.select(F.explode(F.expr("sequence(base, base + n - 1)")).alias("key"), F.lit(3).alias("kind"), "behind", "before")
+        packed = packed.unionByName(to_all, allowMissingColumns=True)
+    first = cut(packed.groupBy("kind", "key").applyInArrow(refine, MARKS), wait=2)
     open_ = first.filter("kind = 2").groupBy("part")
     pairs = texts_by_part.select("part", "id", "uid", "text").groupBy("part").cogroup(open_).applyInArrow(strings, PACKED)
     second = cut(pairs.groupBy("kind", "key").applyInArrow(compare, MARKS), wait=2)

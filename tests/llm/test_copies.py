@@ -123,3 +123,25 @@ def test_repeats_of_random_strings(spark):
 @pytest.mark.parametrize("f", [near_copies.link_near_copies, near_copies.one_of_each, repeats.remove_repeats])
 def test_empty_tables(empty, f):
     assert f(empty).count() == 0
+
+
+def test_contexts_of_a_hot_anchor_are_dealt_out():
+    """No task gets all contexts of one anchor, and equal contexts meet."""
+    h, c = np.full(20000, 7, np.uint64), np.random.default_rng(3).integers(0, 1 << 63, 10000).astype(np.uint64)
+    c = np.concatenate([c, c])
+    kind, key = repeats.places(h, c, 8, (np.array([7], np.uint64), np.array([100]), np.array([10])))
+    assert set(kind) == {3} and set(key) == set(range(100, 110)) and max(Counter(key.tolist()).values()) < 3000
+    assert (key[:10000] == key[10000:]).all()
+
+
+@pytest.mark.parametrize("gathered", [1 << 17, 50])
+def test_repeats_with_hot_anchors(spark, monkeypatch, gathered):
+    """Passages with other surroundings in each document, some of which are shared in part, whichever anchors are hot."""
+    for name, value in (("HOT", 3), ("SAMPLE", 1), ("GATHERED", gathered)):
+        monkeypatch.setattr(repeats, name, value)
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, ends = word(300), [word(r.randint(5, 40)) for _ in range(6)]
+    rows = [(k, word(60) + r.choice(ends) + passage[r.choice([0, 0, 9]) :] + r.choice(ends) + word(r.randint(0, 60))) for k in range(60)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(tuple(g) for g in got) == brute_repeats(rows)
