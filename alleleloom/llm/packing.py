@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-A histogram of all lengths is counted by Spark; dynamic programming over it chooses the bucket boundaries
+A histogram of all lengths, each with a bin of its own, is counted by Spark; dynamic programming over it chooses the bucket boundaries
 that need the least padding, and batches of at most a token budget form inside each bucket.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, each_copy, table, with_offsets, word_count
 
-#: Lengths up to EXACT have a bin each; above, STEPS bins lie between a power of two and the next. This bounds the
-#: histogram to EXACT + 64 * STEPS rows at any size of the corpus.
+#: For coarse bins, which ``pack`` does without: lengths up to EXACT have a bin each; above, STEPS bins lie between a
+#: power of two and the next.
 EXACT, STEPS = 2048, 512
 #: Rows of a bucket are numbered piece by piece, so that no task sorts a whole bucket.
 PIECES = 1024
@@ -76,9 +76,10 @@ def pack(docs: DataFrame, lengths: DataFrame | None = None, buckets: int = 8, bu
     first and numbered in turn. No rows, no result rows. Other columns are not read, whatever their names.
     """
     units = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens"))
-    units = cut(units.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies")).withColumn("edge", upper_edge(F.col("n_tokens"))))
-    histogram = units.groupBy("edge").agg(F.sum("copies").alias("n")).orderBy("edge").collect()  # bounded by the bins
-    bounds = choose_boundaries([r["edge"] for r in histogram], [r["n"] for r in histogram], buckets)
+    units = cut(units.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies")))
+    # d different lengths need at least d * (d - 1) / 2 words: 100,000 of them have 5 * 10^9, so the histogram fits the driver.
+    histogram = units.groupBy("n_tokens").agg(F.sum("copies").alias("n")).orderBy("n_tokens").collect()
+    bounds = choose_boundaries([r["n_tokens"] for r in histogram], [r["n"] for r in histogram], buckets)
     if not bounds:
         bounds = [0]
     bucket = F.lit(len(bounds) - 1)
