@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,30 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    Only where there is none (tests on one machine) a temporary one is made.
+    Only where there is none and the master is local (tests on one machine) a temporary one is made.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame, wait: float = 0) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the session ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
-    Nothing refers to the shuffle files behind it any more; Spark deletes them as soon as both collectors have
-    noticed, which they are asked to do now, so that only one step's files lie on the disks at a time. What Python
-    has let go of is told to the JVM from another thread, which looks about once a second: where the files are
-    large, ``wait`` that many seconds for it.
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again, its lineage cut.
+
+    A written table is computed once (a checkpoint would compute it a second time) and its columns are read singly.
     """
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    out = df.checkpoint(eager=True)
-    del df  # else the plan, and with it the shuffle files, would outlive the collection
-    gc.collect()
-    time.sleep(wait)
-    spark.sparkContext._jvm.System.gc()
-    return out
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_keys(*values: Column) -> tuple[Column, Column]:
+    """128 bits, as two longs, that tell rows apart by ``values``."""
+    return F.xxhash64(*values).alias("k1"), F.xxhash64(F.lit(0x5DEECE66D), *reversed(values)).alias("k2")
 
 
 def word_count(text: Column) -> Column:

@@ -1,44 +1,51 @@
 """Near copies by chosen-path set similarity join.
 
-A text's set are its distinct shingles of five words. Trees branch the sets: at each node a set goes to the child
-of its token that is least under a chosen hash function, so similar sets tend to go the same way. All members of a
-node are compared with one of them. What is connected by then needs no comparing; if few other comparisons are open,
-as in small nodes, they are made exhaustively, else the node branches on by two further functions. Independent trees repeat this: a pair at the threshold
-is missed by all with a chance of a few in a million or less. Every link is confirmed on the full sets.
-
-Equal sets are one class from the start, and components are found by passing least members along stars, so
-neither copies nor near copies are ever paired all with all.
+A text's set are its distinct shingles of five words. Independent trees branch the sets by minwise tokens: at each
+node a set goes to the child of its token that is least under the chosen hash function. A node of few members is
+compared exhaustively in one task, first by minima, then on the full sets of those members that minima don't rule
+out. A larger node branches on: it has 1/threshold children functions on average, so that pairs at the threshold
+hold and those below thin out.
+
+1. Equal sets are one class (by a 128-bit digest of the set) from the start.
+2. The first level has TREES nodes a class. Nodes of one member go at once. A pair is compared in the first tree
+   in which it meets in a small node, and in no other.
+3. Large nodes are dealt out in random blocks, each compared like a small node. Where the links so found join a whole
+   node, it is done; else it branches on. What is still large after LEVELS more levels is compared block by block.
+4. Tasks emit links that join a node's components, never pairs, so neither copies nor near copies come all with all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, row_keys, small, table
 
 WORDS, PERCENT = 5, 85
-TREES, FUNCTIONS = 8, 32
-#: A node is compared exhaustively if no more than half as many comparisons are open for each member; after so many
-#: levels any node is. Sets a little below the threshold keep together however often they branch, and every level
-#: reads the texts again, so it is cheaper to compare some more.
-EXHAUSTIVE, LEVELS = 128, 9
-#: Of FUNCTIONS minima, those that must agree for a pair's full sets to be compared. Pairs at the threshold fall
-#: short of it with a chance under 1e-8.
-AGREE = 13
+#: Trees; levels below the first; hash functions: one a tree for the first level, then a pool of as many for each level.
+TREES, LEVELS, POOL = 16, 6, 8
+FUNCTIONS = TREES + LEVELS * POOL
+#: Members and shingles of a node that one task compares exhaustively. This bounds memory, not what is compared.
+NODE, TOKENS = 2048, 1 << 20
+#: Chance that the minima of a pair at the threshold rule it out.
+RULED_OUT = 1e-8
 CHUNK = 1 << 18
-BASE = 0x9E3779B97F4A7C15
+LAST = (1 << 63) - 1
 K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _draw = np.random.Generator(np.random.PCG64(3))
-XOR, MULTIPLY = (_draw.integers(0, 1 << 63, FUNCTIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+XOR, MULTIPLY = (_draw.integers(0, 1 << 31, FUNCTIONS).astype(np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: The first 0 to 8 bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mixed(h):
@@ -46,40 +53,39 @@ def mixed(h):
     return h ^ (h >> np.uint64(32))
 
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers from 0, and their inverses, modulo 2 to the 64."""
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            steps = np.full(n, base & ((1 << 64) - 1), dtype=np.uint64)
-            steps[:1] = 1
-            _powers.append(np.cumprod(steps))
-    return _powers[0], _powers[1]
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, hash) of each word; each eight bytes of a word are mixed by a key of their own."""
+    space = SPACE[data]
+    starts = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
+    ends = np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
+    n = ends - starts
+    if not len(n):
+        return starts, np.empty(0, np.uint64)
+    pieces = (n + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    word = np.repeat(np.arange(len(n)), pieces)
+    j = np.arange(len(word)) - first[word]
+    lower = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data), dtype="<u8", buffer=lower, strides=(1,))[starts[word] + 8 * j]
+    eight &= FIRST[np.minimum(n[word] - 8 * j, 8)]
+    eight = mixed(mixed(eight ^ mixed(j.astype(np.uint64) * K[0] + K[1])) * K[2])
+    return starts, mixed(np.add.reduceat(eight, first) + n.astype(np.uint64) * K[3])
 
 
 def shingles(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct fingerprints of each text's shingles."""
     for part in batches(texts):
-        data = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-        space = SPACE[data]
-        starts = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
-        ends = np.nonzero(space & np.concatenate([[False], ~space[:-1]]))[0]
-        up, down = powers(max(len(data) + 1, CHUNK + 1))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * K[0])
+        starts, each = words(np.frombuffer(b" ".join(part) + b" ", np.uint8))
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in part]))
-        if len(words) >= WORDS:
-            m = len(words) - WORDS + 1
-            windows = mixed(sum((words[k : k + m] * K[k] for k in range(1, WORDS)), words[:m] * K[0]))
+        if len(each) >= WORDS:
+            m = len(each) - WORDS + 1
+            windows = mixed(sum((each[k : k + m] * K[k] for k in range(1, WORDS)), each[:m] * K[0]))
         for lo, hi in zip(bounds, bounds[1:]):
             if hi - lo >= WORDS:
                 yield np.unique(windows[lo : hi - WORDS + 1])
             elif hi > lo:
                 h = np.uint64(hi - lo)
-                for w in words[lo:hi]:
+                for w in each[lo:hi]:
                     h = mixed(np.array([h * K[1] + w]))[0]
                 yield np.array([h], dtype=np.uint64)
             else:
@@ -99,45 +105,142 @@ def batches(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
 
 
 def minima(tokens: np.ndarray) -> np.ndarray:
-    out = np.full(FUNCTIONS, (1 << 31) - 1, dtype=np.uint64)
-    for at in range(0, len(tokens), 4096):
-        t = tokens[at : at + 4096]
-        out = np.minimum(out, (((t[None, :] ^ XOR[:, None]) * MULTIPLY[:, None]) >> np.uint64(33)).min(axis=1))
-    return out.astype(np.int32)
+    """The least value of the tokens under each hash function, 31 bits each."""
+    out = np.full(FUNCTIONS, (1 << 32) - 1, dtype=np.uint32)
+    for at in range(0, len(tokens), 2048):
+        h = ((tokens[at : at + 2048] >> np.uint64(32)).astype(np.uint32)[None, :] ^ XOR[:, None]) * MULTIPLY[:, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        out = np.minimum(out, h.min(axis=1))
+    return (out >> np.uint32(1)).astype(np.int32)
 
 
-def class_of(tokens: np.ndarray) -> int:
-    h = mixed(np.array([mixed(tokens * K[2]).sum(dtype=np.uint64) + np.uint64(len(tokens)) * K[3]], dtype=np.uint64))
-    return int(h.view(np.int64)[0])
+def class_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def signed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, uid) and the class, size and minima of each text's set; the class is null where that is empty."""
+    """(doc_id, k1, k2) and the class, size and minima of each text's set; the class is null where that is empty."""
     with np.errstate(over="ignore"):
         for batch in stream:
-            sets = [(class_of(s) if len(s) else None, len(s), minima(s) if len(s) else None) for s in shingles(x.as_py() for x in batch.column(2))]
-            columns = [pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64()), pa.array([s[2] for s in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "uid", "c", "n_shingles", "minima"])
+            sets = [(class_of(s), len(s), minima(s)) if len(s) else (None, 0, None) for s in shingles(x.as_py() for x in batch.column(3))]
+            columns = [pa.array([s[0] for s in sets], pa.binary()), pa.array([s[1] for s in sets], pa.int64()), pa.array([s[2] for s in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "k1", "k2", "c", "n_shingles", "minima"])
 
 
 def as_sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in stream:
             sets = list(shingles(x.as_py() for x in batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "tokens"])
-
-
-def confirmed(percent: int):
-    def linked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "tokens"])
+
+
+def agreeing(percent: int) -> int:
+    """How many minima agree for a pair at the threshold, but for a chance of RULED_OUT."""
+    s, below = percent / 100, 0.0
+    for k in range(FUNCTIONS + 1):
+        below += comb(FUNCTIONS, k) * s**k * (1 - s) ** (FUNCTIONS - k)
+        if below > RULED_OUT:
+            return k
+    return FUNCTIONS
+
+
+def by_node(f: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]) -> Callable:
+    """Calls ``f(rows, starts, sizes)`` with whole nodes, of which a partition sorted by its first column holds the rows."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            held: list[pa.RecordBatch] = []
+            for batch in stream:
+                if not batch.num_rows:
+                    continue
+                node = batch.column(0).to_numpy()
+                open_ = int(np.argmax(node == node[-1]))
+                if not open_ and (not held or held[0].column(0)[0].as_py() == node[0]):
+                    held.append(batch)
+                    continue
+                yield from whole([*held, batch.slice(0, open_)])
+                held = [batch.slice(open_)]
+            yield from whole(held)
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            node = rows.column(0).to_numpy()
+            starts = np.nonzero(np.concatenate([[True], node[1:] != node[:-1]]))[0]
+            yield from f(rows, starts, np.diff(np.concatenate([starts, [len(node)]]))).to_batches()
+
+    return run
+
+
+def opened(percent: int, agree: int) -> Callable:
+    """(node, c) of the members with another member that sizes and minima don't rule out, and with which neither an earlier
+    tree nor a link has brought them together.
+
+    Members are (node, c, n, tree, done, root, minima): ``done`` has a bit for each tree whose first node is compared
+    exhaustively, ``tree`` is the number of such trees that come first, ``root`` names the component.
+    """
 
-    return linked
+    def compare(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        n, tree, done, root = (rows.column(x).to_numpy() for x in ("n", "tree", "done", "root"))
+        least = rows.column("minima").chunk(0).flatten().to_numpy().reshape(-1, FUNCTIONS)
+        met = (done[:, None] >> np.arange(TREES) & 1).astype(bool) & (np.arange(TREES) < tree[:, None])
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(n))
+        at, out = np.arange(len(n)), np.zeros(len(n), dtype=bool)
+        for d in range(1, int(sizes.max())):
+            at = at[left[at] > d]
+            for i in np.array_split(at, len(at) // 4096 + 1):
+                i = i[(100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & (root[i] != root[i + d])]
+                same = least[i] == least[i + d]
+                i = i[(same.sum(axis=1) >= agree) & ~(same[:, :TREES] & met[i]).any(axis=1)]
+                out[i] = out[i + d] = True
+        return rows.select(["node", "c"]).filter(pa.array(out))
+
+    return by_node(compare)
+
+
+def linked(percent: int) -> Callable:
+    """Links (a, b) that join the components of each node's members (node, c, tokens), compared on the full sets."""
+
+    def compare(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        c, tokens = rows.column("c").to_pylist(), [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        a, b = [], []
+        for start, size in zip(starts.tolist(), sizes.tolist()):
+            root = components_of(tokens[start : start + size], percent)
+            for k, r in enumerate(root.tolist()):
+                if k != r:
+                    a.append(c[start + k])
+                    b.append(c[start + r])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return by_node(compare)
+
+
+def components_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The number of the first set of each set's component, by comparing all with all."""
+    m, n = len(sets), np.array([len(s) for s in sets])
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = (np.cumsum(shared) - 1)[of]
+    ends = np.cumsum(n)
+    width = -(-max(1, int(shared.sum())) // 64) * 64
+    bits = np.zeros((m, width // 8), np.uint8)
+    for k in range(m):
+        own = slice(ends[k] - n[k], ends[k])
+        row = np.zeros(width, dtype=bool)
+        row[column[own][shared[of[own]]]] = True
+        bits[k] = np.packbits(row)
+    bits, root = bits.view(np.uint64), np.arange(m)
+    for k in range(1, m):
+        # Sets before it that are not in its component yet.
+        other = np.nonzero(100 * np.minimum(n[:k], n[k]) >= percent * np.maximum(n[:k], n[k]))[0]
+        for some in np.array_split(other, len(other) * width // (1 << 27) + 1):
+            both = np.bitwise_count(bits[some] & bits[k]).sum(axis=1, dtype=np.int64)
+            near = np.unique(root[some[100 * both >= percent * (n[some] + n[k] - both)]])
+            if len(near):
+                near = np.unique(np.append(near, root[k]))
+                root[np.isin(root, near)] = near[0]
+    return root
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,116 +265,131 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
 
 
-def chosen(tree: Column, level: int, branch: int) -> Column:
-    """The number of the function by which nodes of a tree branch at a level: none comes twice on a path."""
-    return (tree + 5 * level + 3 * branch) % TREES + TREES * ((2 * level + branch - (level > 0)) % (FUNCTIONS // TREES))
+MEMBER = ["node", "c", "n", "tree", "done", "root", "minima"]
+
+
+def meet(members: DataFrame, percent: int) -> DataFrame:
+    """(node, c) of those members of small nodes that are still to be compared on their full sets."""
+    rows = members.select(MEMBER).repartition("node").sortWithinPartitions("node")
+    return rows.mapInArrow(opened(percent, agreeing(percent)), "node long, c binary")
+
+
+def sized(members: DataFrame) -> DataFrame:
+    """The members of nodes of two or more, with the node's ``k`` members and whether it is ``few`` enough to be compared."""
+    k, tokens = F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")
+    nodes = members.groupBy("node").agg(k, tokens).filter("k > 1").withColumnRenamed("node", "of")
+    few = ((F.col("k") <= NODE) & (F.col("tokens") <= TOKENS)) | (F.col("k") == 2)
+    return members.join(nodes, F.col("node") == F.col("of")).drop("of").withColumn("few", few)
+
+
+def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of nodes that links don't join as a whole, with their present ``root``."""
+    rows = members.drop("root").join(roots.select(F.col("c").alias("of"), "root"), F.col("c") == F.col("of"), "left").drop("of")
+    rows = rows.withColumn("root", F.xxhash64(F.coalesce("root", "c")))
+    nodes = rows.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select(F.col("node").alias("of"))
+    return rows.join(nodes, F.col("node") == F.col("of"), "left_semi")
+
+
+def branched(members: DataFrame, level: int, percent: int) -> DataFrame:
+    """The members in the children of their nodes: those of one function of the level's pool, and by chance of a second one."""
+    first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(POOL))
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(POOL - 1)), F.lit(POOL))
+    twice = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(percent)) < 100 - percent
+    rows = members.withColumn("f", F.explode(F.when(twice, F.array(first, second)).otherwise(F.array(first))))
+    f = (F.col("f") + TREES + POOL * (level - 1)).cast("int")
+    return rows.withColumn("node", F.xxhash64("node", f, F.get("minima", f))).select(MEMBER)
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of large nodes dealt out for comparing all with all, but for the pairs within a node's largest component."""
+    roots = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n_root"), F.sum("n").alias("tokens"))
+    nodes = roots.groupBy(F.col("node").alias("of")).agg(F.max(F.struct("n_root", "tokens", "root")).alias("most"), F.sum("n_root").alias("k"), F.sum("tokens").alias("tokens"))
+    blocks = lambda k, tokens: F.ceil(F.greatest(2 * k / NODE, 2 * tokens / TOKENS)).cast("int")
+    rest = blocks(F.col("k") - F.col("most.n_root"), F.col("tokens") - F.col("most.tokens")).alias("rest")
+    nodes = nodes.select("of", F.col("most.root").alias("major"), rest, blocks(F.col("most.n_root"), F.col("most.tokens")).alias("most"))
+    rows, h = members.join(nodes.filter("rest > 0"), F.col("node") == F.col("of")), F.xxhash64("c")
+    is_major = F.col("root") == F.col("major")
+    own = F.when(is_major, F.col("rest") + F.pmod(h, F.col("most"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(is_major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return rows.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select(MEMBER)
+
+
+def confirm(met: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) on the full sets of the members (node, c) of each node."""
+    wanted = cut(met.select("c").distinct().join(classes.select("c", "k1", "k2"), "c").select(F.col("k1").alias("w1"), F.col("k2").alias("w2")))
+    texts = rows.join(small(wanted), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")), "left_semi").select("text")
+    sets = texts.mapInArrow(as_sets, "c binary, tokens binary").dropDuplicates(["c"]).withColumnRenamed("c", "of")
+    full = met.join(sets, F.col("c") == F.col("of")).select("node", "c", "tokens").repartition("node").sortWithinPartitions("node")
+    return cut(full.mapInArrow(linked(percent), "a binary, b binary"))
 
 
 def link_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; and uid, a fingerprint of id and text, and group, the same for all rows of a component.
+    """doc_id, n_shingles, component_id, kept for every row; and k1, k2 (row_keys of id and text) and c and root, the classes of its set and of its component.
 
-    Two rows are linked if their sets' intersection is at least ``percent`` (85 or more) hundredths of their
+    Two rows are linked if their sets' intersection is at least ``percent`` (80 or more) hundredths of their
     union. A component's id is its least doc_id, and the rows with that id are kept.
 
     Words are runs of anything but ASCII white space, A to Z in lower case. A text of one to four words is one
     shingle; a null or empty one has no set and is linked with nothing. A null id counts as greater than all
     others and stays null. Rows with equal ids are rows of their own, linked by their texts. No rows, no result
     rows. Other columns are not read, whatever their names.
+
+    Two sets are one class, without a further look, if their digests of 128 bits agree; words and shingles are told apart by 64 bits.
     """
     text = F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), text.alias("text"))
-    signs = cut(rows.mapInArrow(signed, "doc_id long, uid long, c long, n_shingles long, minima array<int>"))
-    last = F.lit((1 << 63) - 1)
-    classes = cut(
-        signs.filter(F.col("c").isNotNull())
-        .groupBy("c")
-        .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "uid", "n_shingles", "minima")).alias("least"))
-        .select("c", F.col("least.id").alias("id"), F.col("least.uid").alias("uid"), F.col("least.n_shingles").alias("n"), "least.minima")
-    )
-    minima_of = classes.select("c", "minima")
-    members = classes.select("c", "id", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "minima")
-    members = members.select("c", "id", "n", "tree", F.xxhash64("tree", F.get("minima", chosen(F.col("tree"), 0, 0))).alias("node"), F.col("c").alias("root"))
-    links, near = None, lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    for level in range(LEVELS):
-        # Of a node's members one is its head: at first that with the least id, further down another each time.
-        order = F.col("id") if level == 0 else F.xxhash64("c", F.lit(level))
-        heads = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("order"), "c", "n", "root")).alias("head"))
-        members = cut(members.join(heads.filter("k > 1").withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of", "k"))
-        stars = members.filter((F.col("root") != F.col("head.root")) & near(F.col("n"), F.col("head.n")))
-        found = confirm(stars.select(F.col("c").alias("a"), F.col("head.c").alias("b")), minima_of, classes, rows, percent)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        members = members.drop("head", "root").join(roots.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left").drop("of")
-        members = members.withColumn("root", F.coalesce("root", "c"))
-        # Only members of different components are still to be compared: k * k less the components' squares, halved.
-        nodes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n_root")).groupBy("node")
-        nodes = nodes.agg(F.sum("n_root").alias("k"), F.sum(F.col("n_root") * F.col("n_root")).alias("squares"), F.max(F.struct("n_root", "root")).alias("most"))
-        nodes = nodes.filter("k * k > squares").select(
-            F.col("node").alias("of"), F.col("most.root").alias("major"), (F.col("k") * F.col("k") - F.col("squares") <= EXHAUSTIVE * F.col("k")).alias("few")
-        )
-        members = cut(members.join(nodes, F.col("node") == F.col("of")).drop("of"))
-        few = members.filter("few" if level < LEVELS - 1 else "true")
-        other = few.select(F.col("node").alias("with"), F.col("c").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-        both = (F.col("node") == F.col("with")) & (F.col("root") != F.col("r")) & near(F.col("n"), F.col("m"))
-        pairs = few.filter("root <> major").join(other, both & ((F.col("r") == F.col("major")) | (F.col("c") < F.col("b"))))
-        links = links.unionByName(confirm(pairs.select(F.col("c").alias("a"), "b"), minima_of, classes, rows, percent))
-        members = members.filter("not few")
-        if level == LEVELS - 1 or members.isEmpty():
-            break
-        members = branched(members.select("c", "id", "n", "tree", "node", "root"), minima_of, level + 1, percent)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)), text.alias("text"))
+    signs = cut(rows.mapInArrow(signed, "doc_id long, k1 long, k2 long, c binary, n_shingles long, minima array<int>"))
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "k1", "k2", F.col("n_shingles").alias("n"), "minima")).alias("least")
+    classes = cut(signs.filter(F.col("c").isNotNull()).groupBy("c").agg(least).select("c", "least.*"))
+    paths = F.posexplode(F.slice("minima", 1, TREES)).alias("tree", "m")
+    nodes = sized(classes.select("c", "n", paths).select("c", "n", "tree", F.xxhash64("tree", "m").alias("node")))
+    bit = F.when(F.col("few"), F.expr("shiftleft(1, tree)")).otherwise(0)
+    nodes = nodes.groupBy(F.col("c").alias("of")).agg(F.bit_or(bit).alias("done"), F.collect_list(F.struct("node", "tree", "few", "k", "tokens")).alias("nodes"))
+    members = classes.join(nodes, F.col("c") == F.col("of")).select("c", "n", "done", "minima", F.xxhash64("c").alias("root"), F.explode("nodes").alias("x"))
+    members = cut(members.select("c", "n", "done", "root", "minima", "x.*"))
+    blocks = F.ceil(F.greatest(2 * F.col("k") / NODE, 2 * F.col("tokens") / TOKENS)).cast("int")
+    block = F.when(F.col("few"), F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("c", "tree"), blocks)))
+    met = cut(meet(members.withColumn("node", block), percent))
+    links = confirm(met, classes, rows, percent)
     roots = components(links)
-    named = classes.join(roots.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "r")
-    named = named.join(least, F.col("root") == F.col("r")).select(F.col("c").alias("of"), "root", F.nullif("least", last).alias("least"))
-    named = named.withColumnRenamed("root", "group")
-    out = signs.join(named, F.col("c") == F.col("of"), "left")
+    large, open_ = cut(still_open(members.filter("not few"), roots).withColumn("tree", F.lit(TREES))), None
+    for level in range(1, LEVELS + 1):
+        if large.isEmpty():
+            break
+        members = cut(sized(branched(large, level, percent)))
+        found = meet(members.filter("few"), percent)
+        open_ = found if open_ is None else open_.unionByName(found)
+        large = members.filter("not few")
+    else:
+        open_ = open_.unionByName(meet(in_blocks(large), percent))
+    if open_ is not None:
+        links = links.unionByName(confirm(cut(open_), classes, rows, percent))
+        roots = components(links)
+    named = classes.select("c", "id").join(roots.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))
+    least = named.groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least"))
+    named = named.join(least, F.col("root") == F.col("r")).select(F.col("c").alias("of"), "root", F.nullif("least", F.lit(LAST)).alias("least"))
+    out = signs.select("doc_id", "k1", "k2", "c", "n_shingles").join(named, F.col("c") == F.col("of"), "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "uid", F.coalesce("group", "uid").alias("group"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "k1", "k2", "c", "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each component of linked rows: that with the least id, of equal ones the least fingerprint.
-
-    Rows without words are linked with nothing and stay, but of rows equal in id and text one stays.
-    """
-    linked = link_near_copies(docs, percent, id_col, text_col)
-    first = linked.groupBy("group").agg(F.min_by("uid", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "uid")).alias("of"))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"))
-    return rows.join(small(cut(first.select("of"))), F.col("uid") == F.col("of"), "left_semi").dropDuplicates(["uid"]).select("row.*")
-
-
-def branched(members: DataFrame, minima_of: DataFrame, level: int, percent: int) -> DataFrame:
-    """The members in the children of their nodes, two functions each.
+    """The rows of ``docs``, one of each component of linked rows: that with the least id, of equal ones the least keys.
 
-    The first level also tells sizes apart: each set lies in the band of its size and in the next, so two sets
-    that are near enough in size share a band.
+    Rows without words are linked with nothing and stay, but of rows equal in id and text one stays. Null ids come last.
     """
-    rows = members.join(minima_of.withColumnRenamed("c", "of"), F.col("c") == F.col("of")).drop("of")
-    keys = F.array(*[F.xxhash64("node", F.lit(level), F.lit(b), F.get("minima", chosen(F.col("tree"), level, b))) for b in (0, 1)])
-    rows = rows.select("c", "id", "n", "tree", "root", F.explode(keys).alias("node"))
-    if level == 1:
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9)
-        rows = rows.select("c", "id", "n", "tree", "root", "node", F.explode(F.array(band, band + 1)).alias("band")).withColumn("node", F.xxhash64("node", "band")).drop("band")
-    return rows
-
-
-def confirm(pairs: DataFrame, minima_of: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of the ``pairs`` of classes (a, b) whose full sets are similar enough."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first, second = (minima_of.select(F.col("c").alias(f"c_{x}"), F.col("minima").alias(f"m_{x}")) for x in "ab")
-    agree = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = pairs.join(first, F.col("a") == F.col("c_a")).join(second, F.col("b") == F.col("c_b")).filter(agree >= AGREE)
-    likely = cut(likely.select("a", "b"))
-    if likely.isEmpty():
-        return likely
-    sought = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
-    wanted = cut(classes.join(sought, "c", "left_semi").select(F.col("uid").alias("of")))
-    texts = rows.join(small(wanted), F.col("uid") == F.col("of"), "left_semi").dropDuplicates(["uid"]).select("text")
-    sets = cut(texts.mapInArrow(as_sets, "c long, tokens binary"))
-    first, second = (sets.select(F.col("c").alias(f"c_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
-    full = likely.join(first, F.col("a") == F.col("c_a")).join(second, F.col("b") == F.col("c_b")).select("a", "b", "t_a", "t_b")
-    return cut(full.mapInArrow(confirmed(percent), "a long, b long"))
+    keys = F.struct(F.coalesce("doc_id", F.lit(LAST)), "k1", "k2")
+    linked_ = cut(link_near_copies(docs, percent, id_col, text_col).select("root", "k1", "k2", keys.alias("keys")))
+    first = linked_.filter(F.col("root").isNotNull()).groupBy(F.col("root").alias("of")).agg(F.min("keys").alias("first"))
+    each = linked_.groupBy("root", "k1", "k2", "keys").agg(F.count(F.lit(1)).alias("copies"))
+    each = each.join(first, F.col("root") == F.col("of"), "left").select("k1", "k2", "copies", (F.col("first").isNull() | (F.col("first") == F.col("keys"))).alias("stays"))
+    each = cut(each.filter("copies > 1 or not stays").select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "stays"))
+    rows = docs.select(F.struct("*").alias("row"), *row_keys(F.col(id_col), F.col(text_col)))
+    same = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
+    once = rows.join(small(each.filter("stays").drop("stays")), same, "left_semi").dropDuplicates(["k1", "k2"])
+    return rows.join(small(each.drop("stays")), same, "left_anti").unionByName(once).select("row.*")
 
 
 def op3_near_copies(spark, sf_dir: str) -> DataFrame:

@@ -443,10 +443,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         maps = each.filter("lo < hi").groupBy("anchor").applyInArrow(bitmaps, "base int, n int, behind binary, before binary")
         to_all = maps.select(F.explode(F.expr("sequence(base, base + n - 1)")).alias("key"), F.lit(3).alias("kind"), "behind", "before")
         packed = packed.unionByName(to_all, allowMissingColumns=True)
-    first = cut(packed.groupBy("kind", "key").applyInArrow(refine, MARKS), wait=2)
+    first = cut(packed.groupBy("kind", "key").applyInArrow(refine, MARKS))
     open_ = first.filter("kind = 2").groupBy("part")
     pairs = texts_by_part.select("part", "id", "uid", "text").groupBy("part").cogroup(open_).applyInArrow(strings, PACKED)
-    second = cut(pairs.groupBy("kind", "key").applyInArrow(compare, MARKS), wait=2)
+    second = cut(pairs.groupBy("kind", "key").applyInArrow(compare, MARKS))
     marks = first.filter("kind = 1").unionByName(second).groupBy("part")
     return texts_by_part.groupBy("part").cogroup(marks).applyInArrow(removed, schema)
 

@@ -47,7 +47,7 @@ def test_components(docs, rows, percent):
 
 def test_large_nodes_branch(spark, monkeypatch):
     """With tiny nodes everything goes through the deeper levels, and the links stay the same."""
-    monkeypatch.setattr(near_copies, "EXHAUSTIVE", 3)
+    monkeypatch.setattr(near_copies, "NODE", 4)
     r = random.Random(1)
     common = [f"c{k}" for k in range(120)]
     rows = []
@@ -60,15 +60,26 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 85)
 
 
-def test_functions_differ_along_a_path(spark):
-    from pyspark.sql import functions as F
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement agree in every polynomial modulo 2 to the 64; they are kept apart."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = near_copies.link_near_copies(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
 
-    for tree in range(near_copies.TREES):
-        paths = [[near_copies.chosen(F.lit(tree), level, b) for b in ((0, 1) if level else (0,))] for level in range(near_copies.LEVELS)]
-        numbers = [spark.range(1).select(*p).first() for p in paths]
-        for level in range(near_copies.LEVELS):
-            for deeper in range(level + 1, near_copies.LEVELS):
-                assert not set(numbers[level]) & set(numbers[deeper]) or deeper - level >= 8
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_components_of_sets(percent):
+    r = np.random.default_rng(percent)
+    base = r.integers(0, 1 << 60, 80).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, n, replace=False), r.integers(0, 1 << 60, r.integers(0, 9)).astype(np.uint64)])) for n in r.integers(60, 80, 50)]
+    root, want = near_copies.components_of(sets, percent), list(range(50))
+    for a in range(50):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                want = [want[b] if w == want[a] else w for w in want]
+    assert Counter(zip(root.tolist(), want)).keys() == {(x, y) for x, y in zip(root.tolist(), want)} and len(set(root.tolist())) == len(set(want)) == len(set(zip(root.tolist(), want)))
 
 
 def test_one_of_each(docs, rows):
