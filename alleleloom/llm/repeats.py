@@ -2,23 +2,23 @@
 
 A byte goes if a string of LENGTH bytes covers it that also starts in a document with a smaller id. Comparing
 all suffixes is avoided as in bucket-pointer refinement: suffixes lie in buckets by their first Q bytes, a bucket
-that holds one document is done, and the others are refined by the buckets of later offsets. The buckets here are
-fingerprints of Q bytes, so that pointers mean the same in every task.
+that holds one document is done, and the others are refined by the buckets of later offsets, with what is known of
+a bucket by then. The buckets here are fingerprints of Q bytes, so that they mean the same in every task.
+
+Texts are dealt out once, in parts of GROUP bytes, and every step reads them there. A part asks the tasks to which
+buckets are dealt, and gets one answer for each of its questions, in the order in which they were put, so that no
+answer says where in which text it belongs.
 
 1. In each string of LENGTH bytes the Q-gram with the least fingerprint is its anchor, which depends on the
    string alone; equal strings meet in their anchor's bucket. Strings next to each other with one anchor are a
-   context. Contexts, not suffixes, are dealt out, by anchor.
-2. In a bucket of several documents, contexts are told apart by the buckets Q, 2Q, ... further on. Of equal ones,
-   all but those of the least document go whole. Those left are refined further if the buckets just behind or
-   just before the anchor are shared: only then can parts of them be equal.
-3. The strings of such contexts are compared one by one, by the buckets that cover each.
-
-A bucket that is estimated to hold more than HOT contexts is dealt out by context instead. Equal contexts still meet;
-which buckets behind and before are shared is found by an aggregation of the least and greatest document for each, and
-goes to all tasks of the anchor as two bitmaps.
-
-What a task knows to be repeated within its own batch goes at once, and only one of several equal contexts or
-strings is dealt out: a passage in a third of all documents comes from each batch once.
+   context. First question, for each anchor, in three bytes: does its bucket hold several documents?
+2. Contexts in such buckets are told apart by the buckets Q, 2Q, ... further on. Of equal ones, all but those of the
+   least document go whole. For those left the refined buckets Q + 1 after and before the anchor tell whether a part of
+   them, to either side, can still be equal to another one. That is the second question.
+3. The strings of such sides are compared one by one, by fingerprints of 96 bits: the third question.
+
+A bucket of more than HOT contexts isn't gathered in a task: its contexts are dealt out by their content, and
+its refined buckets likewise, each as one pair of ids from a part. What a part knows to be repeated within itself goes at once and asks nothing.
 """
 
 from __future__ import annotations
@@ -28,21 +28,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import row_keys, table
 
 LENGTH, Q = 50, 16
 #: Q-grams in a string; windows of the anchor's search.
 W = LENGTH - Q + 1
-#: Bytes of text that one array operation works on, contexts that a task gathers before it deals them out, and bytes
-#: of text behind one group: what a task holds is bounded by these, at any size of the corpus.
-CHUNK, GATHERED, GROUP = 1 << 18, 1 << 17, 6 << 20
-#: Contexts that one anchor may have in a task; one document of so many is counted to find anchors that have more. The
-#: result doesn't depend on either.
-HOT, SAMPLE = 1 << 14, 64
+#: Bytes of text that one array operation works on, and bytes of text in a part: what a task holds is bounded by these.
+CHUNK, GROUP = 1 << 18, 6 << 20
+#: Contexts that one bucket may have in a task. The result doesn't depend on it.
+HOT = 1 << 14
+LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -68,10 +67,12 @@ def sliding(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(a[: len(a) - (w - n)], a[w - n :]) if n < w else a
 
 
-def strings_of(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """An identifier of the LENGTH bytes at each offset, from the buckets that cover them."""
+def strings_of(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits that identify the LENGTH bytes at each offset, from the buckets that cover them."""
     h = mixed(g[at] * K[0] + g[at + Q] * K[1])
-    return mixed(h + g[at + 2 * Q] * K[2] + g[at + LENGTH - Q] * K[3])
+    h = mixed(h + g[at + 2 * Q] * K[2] + g[at + LENGTH - Q] * K[3])
+    other = mixed(g[at] * K[3] + g[at + Q] * K[2] + mixed(g[at + 2 * Q] * K[1] + g[at + LENGTH - Q] * K[0]))
+    return h, (other >> np.uint64(32)).astype(np.uint32)
 
 
 def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -118,15 +119,15 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, a, e, o, mixed(g[o]), c, sixteen(o + Q + 1, o + Q + 1 <= end), sixteen(o - Q - 1, o - Q - 1 >= a)
 
 
-def chunks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts laid end to end, CHUNK bytes or so at a time: (bytes, ends, numbers of the texts, their offsets there).
+def chunks(texts: Iterable[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end, ``chunk`` bytes or so at a time: (bytes, ends, numbers of the texts, their offsets there).
 
     A longer text comes in pieces that share LENGTH - 1 bytes, so that each of its strings is in one piece.
     """
     parts, ends, numbers, offsets, size = [], [], [], [], 0
     for n, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), CHUNK):
-            part = t[at : at + CHUNK + LENGTH - 1]
+        for at in range(0, max(1, len(t) - LENGTH + 1), chunk):
+            part = t[at : at + chunk + LENGTH - 1]
             if len(part) < LENGTH:
                 continue
             parts.append(part)
@@ -134,26 +135,22 @@ def chunks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             ends.append(size)
             numbers.append(n)
             offsets.append(at)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield np.frombuffer(b"".join(parts), np.uint8), np.array(ends), np.array(numbers), np.array(offsets)
                 parts, ends, numbers, offsets, size = [], [], [], [], 0
     if parts:
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(ends), np.array(numbers), np.array(offsets)
 
 
-def six(a: np.ndarray) -> bytes:
-    """The upper 48 bits of each number."""
-    return np.ascontiguousarray((a >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
+def low_bytes(a: np.ndarray, n: int) -> bytes:
+    """The low ``n`` bytes of each number, all first ones, all second ones and so on from the highest, which compresses where they ascend."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, n - 1 :: -1].T).tobytes()
 
-def from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
 
-
-def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def from_low_bytes(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(b) // n, 8), dtype=np.uint8)
+    out[:, n - 1 :: -1] = np.frombuffer(b, np.uint8).reshape(n, -1).T
+    return out.view("<u8").ravel()
 
 
 def groups(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -165,323 +162,316 @@ def groups(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def least_of(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The least of ``values`` in each row's group; rows of a group lie together."""
-    starts = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
-    return np.minimum.reduceat(values, starts)[group] if len(values) else values
+def firsts(group: np.ndarray) -> np.ndarray:
+    return np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0] if len(group) else np.empty(0, np.int64)
 
 
-PACKED = "key int, kind int, ids binary, uids binary, doc binary, h binary, c binary, behind binary, before binary, o binary, back binary, size binary"
-MARKS = "part int, kind int, uid binary, start binary, size binary, back binary, side binary"
+def later(own: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether a row with equal keys has a smaller id."""
+    order = np.lexsort(keys)
+    group = groups(*(k[order] for k in keys))
+    out = np.zeros(len(own), dtype=bool)
+    if len(own):
+        out[order] = own[order] > np.minimum.reduceat(own[order], firsts(group))[group]
+    return out
 
 
-def as_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    fields = [f.split() for f in schema.split(", ")]
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
+def several(own: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether rows with equal keys have several ids."""
+    order = np.lexsort(keys)
+    group = groups(*(k[order] for k in keys))
+    out = np.zeros(len(own), dtype=bool)
+    if len(own):
+        start = firsts(group)
+        out[order] = (np.minimum.reduceat(own[order], start) < np.maximum.reduceat(own[order], start))[group]
+    return out
 
 
-def dealt(part: np.ndarray, columns: dict[str, np.ndarray], **more) -> Iterator[dict]:
-    """One row of packed columns for each part."""
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    starts = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else []
-    for lo, hi in zip(starts, [*starts[1:], len(part)]):
-        at = order[lo:hi]
-        yield {"part": int(part[lo]), **more} | {n: np.ascontiguousarray(c[at]).tobytes() for n, c in columns.items()}
+#: Questions and answers: to which task or part, of which kind, from where; and packed columns, as each kind has them.
+LETTER = "to int, kind int, at int, ids binary, doc binary, h binary, c binary, x binary, y binary, n binary"
+ANCHORS, CONTEXTS, HOT_CONTEXTS, SIDES, STRINGS, KNOWN, MARKS = range(7)
+GONE = 4
 
 
-def places(h: np.ndarray, c: np.ndarray, parts: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(kind, key) of the task of each context: by its anchor's bucket (0), or of ``hot`` anchors by the context too (3).
-
-    ``hot`` are the buckets in ascending order, the first key of each and its number of keys.
-    """
-    kind, key = np.zeros(len(h), np.int64), (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    anchors, base, n = hot
-    if len(anchors):
-        at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
-        own = anchors[at] == h
-        kind[own] = 3
-        key[own] = base[at[own]] + (mixed(c[own]) % n[at[own]].astype(np.uint64)).astype(np.int64)
-    return kind, key
-
-
-def marked(uid: np.ndarray, start: np.ndarray, size: np.ndarray, parts: int, kind: int = 1) -> Iterator[dict]:
-    """Rows that mark ``size`` bytes from ``start`` of texts; what overlaps within 128 bytes is joined first."""
-    order = np.lexsort((start, uid))
-    uid, start, size = uid[order], start[order].astype(np.int64), size[order].astype(np.int64)
-    if len(uid):
-        # Each block of 128 bytes joins what starts in it, if it has no gap.
-        block = groups(uid, start >> 7)
-        ends = np.maximum.accumulate(start + size + block * (1 << 40)) - block * (1 << 40)
-        gap = np.concatenate([[True], (block[1:] != block[:-1]) | (start[1:] > ends[:-1])])
-        first = np.nonzero(gap)[0]
-        last = np.concatenate([first[1:], [len(uid)]]) - 1
-        uid, start, size = uid[first], start[first], ends[last] - start[first]
-    yield from dealt(np.mod(uid, parts), {"uid": uid, "start": start.astype(np.uint32), "size": size.astype(np.uint16)}, kind=kind)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), texts: bool = False, prefix: str = "") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns ``keep`` and, with ``texts``, ``kept_text`` for every row.
+def letters(rows: list[dict], schema: str = LETTER) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.table([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
+
+
+def task_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(to: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The order in which rows are sent, and the bounds of each letter in it."""
+    order = np.argsort(to, kind="stable")
+    cuts = [*firsts(to[order]).tolist(), len(to)]
+    return order, list(zip(cuts, cuts[1:]))
+
+
+def answered(to: np.ndarray, answers: pa.Table, kind: int) -> np.ndarray:
+    """What is answered to rows that were sent ``to`` tasks, in their own order."""
+    order, _ = dealt(to)
+    mine = answers.filter(pa.array(answers["kind"].to_numpy() == kind))
+    by = dict(zip(mine["at"].to_pylist(), mine["n"].to_pylist()))
+    out = np.zeros(len(to), dtype=np.uint8)
+    out[order] = np.frombuffer(b"".join(by[t] for t in sorted(by)), np.uint8)
+    return out
+
+
+def with_ids(ids: np.ndarray, doc: np.ndarray) -> dict:
+    used, index = np.unique(doc, return_inverse=True)
+    return {"ids": ids[used].tobytes(), "doc": index.astype(np.uint32).tobytes()}
+
+
+def ids_of(letters_: pa.Table) -> tuple[np.ndarray, list[int]]:
+    """The ids of all rows in letters, and where each letter's rows begin and end."""
+    own = [np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint32)] for i, d in zip(letters_["ids"].to_pylist(), letters_["doc"].to_pylist())]
+    return np.concatenate(own), np.cumsum([0] + [len(x) for x in own]).tolist()
+
+
+class Part:
+    """The texts of a part, in an order that depends on them alone, and their contexts."""
+
+    def __init__(self, texts: pa.Table, parts: int, chunk: int):
+        self.number, self.parts, self.chunk = texts["part"][0].as_py(), parts, chunk
+        self.order = np.lexsort([texts[c].to_numpy() for c in ("k2", "k1", "id")])
+        self.ids = texts["id"].to_numpy()[self.order]
+        self.column = texts["text"]
+
+    def text(self, doc: int) -> bytes:
+        return self.column[int(self.order[doc])].as_py()
+
+    def find(self) -> None:
+        """Sets doc, start, more (strings after the first), back (from the first to the anchor), h, c, behind, before."""
+        found = []
+        for data, ends, numbers, offsets in chunks((self.text(k) for k in range(len(self.ids))), self.chunk):
+            t, a, e, o, *more = contexts(data, ends)
+            found.append((numbers[t], a + (offsets - np.concatenate([[0], ends[:-1]]))[t], (e - a).astype(np.uint8), (o - a).astype(np.uint8), *more))
+        empty = [np.empty(0, t) for t in "qqBBQQHH"]
+        self.doc, self.start, self.more, self.back, self.h, self.c, self.behind, self.before = (np.concatenate([e, *x]) for e, x in zip(empty, zip(*found) if found else [()] * 8))
+        self.own = self.ids[self.doc]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, each by the task of its bucket and the low 24 bits, and the anchor of each context."""
+        return np.unique(task_of(self.h, self.parts) << 24 | (self.h & np.uint64(0xFFFFFF)).astype(np.int64), return_inverse=True)
+
+    def choose(self, known: pa.Table) -> None:
+        """Keeps only the contexts in buckets of several documents; sets ``hot`` and ``gone`` (repeated within the part)."""
+        v, anchor = self.anchors()
+        state = answered(v >> 24, known, KNOWN)[anchor]
+        for name in ("doc", "start", "more", "back", "h", "c", "behind", "before", "own"):
+            setattr(self, name, getattr(self, name)[state > 0])
+        self.hot, self.gone = state[state > 0] == 2, later(self.own, self.c, self.h)
+
+    def questions(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For contexts, those of hot buckets, and their two sides: (which contexts, to which task)."""
+        cold, hot = np.nonzero(~self.gone & ~self.hot)[0], np.nonzero(~self.gone & self.hot)[0]
+        return {CONTEXTS: (cold, task_of(self.h[cold], self.parts)), HOT_CONTEXTS: (hot, task_of(mixed(self.h[hot] + self.c[hot] * K[1]), self.parts))}
+
+    def sides(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct refined buckets of contexts: (value, least id, greatest id, which of them each context has behind and before or -1)."""
+        x = np.stack([self.behind[hot], self.before[hot]])
+        value = mixed(self.h[hot] * K[0] + x.astype(np.uint64) * K[1] + np.array([[2], [3]], np.uint64) * K[2])
+        u, index = np.unique(value[x > 0], return_inverse=True)
+        own = np.stack([self.own[hot]] * 2)[x > 0]
+        least, most = np.full(len(u), LAST), np.full(len(u), -LAST - 1)
+        np.minimum.at(least, index, own)
+        np.maximum.at(most, index, own)
+        of = np.full(x.shape, -1)
+        of[x > 0] = index
+        return u, least, most, of
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; with ``whole`` also ``kept_text`` and ``row``.
 
     ``n_spans`` are maximal removed runs. ``kept_text`` are the remaining bytes as text; bytes that the removal has
-    cut off from their character are left out there, and only there. A null text stays null there. ``prefix`` goes
-    before the names of all columns but those of ``keep``, so that none clash.
+    cut off from their character are left out there, and only there. A null text stays null there. ``row`` is a struct of
+    all columns of ``docs``, whatever their names, with a null in place of the text.
 
     A null text is empty. A null id counts as greater than all others; rows with one id, null included, don't
-    remove from each other. Texts under LENGTH bytes stay whole. Equal rows are treated alike. Strings are taken for
-    equal if fingerprints of 96 or 64 bits agree. No rows, no result rows.
+    remove from each other. Texts under LENGTH bytes stay whole. Equal rows are treated alike. Contexts and strings are taken for
+    equal if fingerprints of 96 bits agree. No rows, no result rows.
     """
-    last = (1 << 63) - 1
-    text = F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b""))
+    id_ = F.col(id_col).cast("long")
+    columns = [F.lit(None).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(
-        F.col(id_col).cast("long").alias("__doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"),
-        text.alias("text"),
-        F.col(text_col).isNull().alias("no_text"),
-        *[F.col(c).alias(f"keep_{c}") for c in keep],
-    )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            ids, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            gathered, n = [], 0
-            for data, ends, numbers, offsets in chunks(x.as_py() for x in batch.column(2)):
-                t, a, e, o, h, c, r, b = contexts(data, ends)
-                shift = offsets[t] - np.concatenate([[0], ends[:-1]])[t]
-                gathered.append((numbers[t], a + shift, e - a, o - a, h, c, r, b))
-                n += len(t)
-                if n >= GATHERED:
-                    yield ids, uids, gathered
-                    gathered, n = [], 0
-            if n:
-                yield ids, uids, gathered
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, gathered in gather(batches):
-            h, c = (np.concatenate([x[k] for x in gathered]) for k in (4, 5))
-            order = np.lexsort((c, h))
-            group, h = groups(h[order], c[order]), h[order]
-            h, n = np.unique(h[np.concatenate([[True], group[1:] != group[:-1]])], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, uids, gathered in gather(batches):
-            yield as_batch(list(deal(ids, uids, gathered)), PACKED)
-
-    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, gathered in gather(batches):
-            doc, h, r, b = (np.concatenate([x[k] for x in gathered]) for k in (0, 4, 6, 7))
-            at = np.minimum(np.searchsorted(hot[0], h), len(hot[0]) - 1)
-            for side, x in enumerate((r, b)):
-                own = (hot[0][at] == h) & (x != 0)
-                if not own.any():
-                    continue
-                anchor, other, of = at[own], x[own].astype(np.int64), ids[doc[own]]
-                order = np.lexsort((other, anchor))
-                anchor, other, of = anchor[order], other[order], of[order]
-                group = groups(anchor, other)
-                first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
-                columns = (anchor[first], np.full(len(first), side), other[first], np.minimum.reduceat(of, first), np.maximum.reduceat(of, first))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "side", "x", "lo", "hi"])
-
-    def bitmaps(found: pa.Table) -> pa.Table:
-        anchor, (side, x) = found["anchor"][0].as_py(), (found[n].to_numpy() for n in ("side", "x"))
-        bits = np.zeros((2, 1 << 16), dtype=bool)
-        bits[side, x] = True
-        row = (int(hot[1][anchor]), int(hot[2][anchor]), *(np.packbits(b).tobytes() for b in bits))
-        return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["base", "n", "behind", "before"])
-
-    def deal(ids: np.ndarray, uids: np.ndarray, gathered: list[tuple]) -> Iterator[dict]:
-        doc, a, more, back, h, c, r, b = (np.concatenate(x) for x in zip(*gathered))
-        order = np.lexsort((c, h))
-        doc, a, more, back, h, c, r, b = (x[order] for x in (doc, a, more, back, h, c, r, b))
-        own = ids[doc]
-        repeated = own > least_of(groups(h, c), own)
-        for row in marked(uids[doc[repeated]], a[repeated], more[repeated] + LENGTH, parts):
-            yield {"key": row["part"], "kind": 1, "uids": row["uid"], "o": row["start"], "size": row["size"]}
-        doc, a, more, back, h, c, r, b = (x[~repeated] for x in (doc, a, more, back, h, c, r, b))
-        kind, part = places(h, c, parts, hot)
-        order = np.lexsort((part, kind))  # keeps what has ascended with h
-        doc, a, more, back, h, c, r, b, kind, part = (x[order] for x in (doc, a, more, back, h, c, r, b, kind, part))
-        cuts = np.concatenate([[0], np.nonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1]))[0] + 1, [len(part)]]) if len(part) else []
-        for lo, hi in zip(cuts, cuts[1:]):
-            used, index = np.unique(doc[lo:hi], return_inverse=True)
-            yield {
-                "key": int(part[lo]), "kind": int(kind[lo]), "ids": ids[used].tobytes(), "uids": uids[used].tobytes(),
-                "doc": index.astype(np.uint32).tobytes(), "h": six(h[lo:hi]), "c": six(c[lo:hi]),
-                "behind": r[lo:hi].tobytes(), "before": b[lo:hi].tobytes(), "o": a[lo:hi].astype(np.uint32).tobytes(),
-                "back": back[lo:hi].astype(np.uint8).tobytes(), "size": more[lo:hi].astype(np.uint8).tobytes(),
-            }
-
-    def refine(contexts_: pa.Table) -> pa.Table:
-        kind = contexts_.column("kind")[0].as_py()
-        if kind == 1:
-            uid, start, size = joined(contexts_["uids"], np.int64), joined(contexts_["o"], np.uint32), joined(contexts_["size"], np.uint16)
-            return pa.Table.from_batches([as_batch(list(marked(uid, start, size, parts)), MARKS)])
-        flags = contexts_.filter(pc.is_null(contexts_["ids"]))
-        contexts_ = contexts_.filter(pc.is_valid(contexts_["ids"]))
-        if not contexts_.num_rows:
-            return pa.Table.from_batches([as_batch([], MARKS)])
-        own, uid = with_documents(contexts_)
-        h, c = (from_six(b"".join(contexts_[x].to_pylist())) for x in "hc")
-        r, b = joined(contexts_["behind"], np.uint16), joined(contexts_["before"], np.uint16)
-        a, back, more = joined(contexts_["o"], np.uint32), joined(contexts_["back"], np.uint8), joined(contexts_["size"], np.uint8)
-        order = np.lexsort((c, h))
-        own, uid, h, c, r, b, a, back, more = (x[order] for x in (own, uid, h, c, r, b, a, back, more))
-        repeated = own > least_of(groups(h, c), own)
-        out = list(marked(uid[repeated], a[repeated], more[repeated].astype(np.int64) + LENGTH, parts))
-        own, uid, h, c, r, b, a, back, more = (x[~repeated] for x in (own, uid, h, c, r, b, a, back, more))
-        if kind == 0:
-            far, near = shared(h, r, own), shared(h, b, own)
-        elif flags.num_rows:
-            far, near = (np.unpackbits(np.frombuffer(flags[n][0].as_py(), np.uint8))[x] for n, x in (("behind", r), ("before", b)))
-        else:
-            far, near = (np.zeros(len(own), dtype=bool) for _ in range(2))
-        side = far.astype(np.uint8) + 2 * near.astype(np.uint8)
-        left = side > 0
-        columns = {"uid": uid, "start": a, "size": more, "back": back, "side": side}
-        out += dealt(np.mod(uid[left], parts), {n: x[left] for n, x in columns.items()}, kind=2)
-        return pa.Table.from_batches([as_batch(out, MARKS)])
-
-    def strings(texts_: pa.Table, left: pa.Table) -> pa.Table:
-        out: list[dict] = []
-        if texts_.num_rows and left.num_rows:
-            uids = texts_["uid"].to_numpy()
-            uid, start = joined(left["uid"], np.int64), joined(left["start"], np.uint32).astype(np.int64)
-            more, back, side = (joined(left[x], np.uint8).astype(np.int64) for x in ("size", "back", "side"))
-            order = np.argsort(uid, kind="stable")
-            uid, start, more, back, side = (x[order] for x in (uid, start, more, back, side))
+        id_.alias("doc_id"), F.coalesce(id_, F.lit(LAST)).alias("id"), *row_keys(F.col(id_col), F.col(text_col)),
+        F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b"")).alias("text"), F.col(text_col).isNull().alias("no_text"),
+        *([F.struct(*columns).alias("row")] if whole else []),
+    )
+    total = rows.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
+    chunk, parts = CHUNK, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
+
+    def ask_anchors(texts: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            p = Part(texts, parts, chunk)
+            p.find()
+            v, anchor = p.anchors()
+            order, start = np.argsort(anchor, kind="stable"), np.cumsum(np.concatenate([[0], np.bincount(anchor, minlength=len(v))]))[:-1]
+            least, most = (f.reduceat(p.own[order], start) if len(v) else start for f in (np.minimum, np.maximum))
+            n = np.minimum(np.diff(np.append(start, len(order))), 127).astype(np.uint8) | ((least < most).astype(np.uint8) << 7)
+            order, cuts = dealt(v >> 24)
+            return letters([{"to": int(v[lo] >> 24), "kind": ANCHORS, "at": p.number, "h": low_bytes(v[lo:hi], 3), "n": n[lo:hi].tobytes()} for lo, hi in cuts])
+
+    def tell_anchors(asked: pa.Table) -> pa.Table:
+        h, n = ([f(x) for x in asked[c].to_pylist()] for c, f in (("h", lambda x: from_low_bytes(x, 3)), ("n", lambda x: np.frombuffer(x, np.uint8))))
+        ends = np.cumsum([len(x) for x in h])[:-1]
+        _, index, times = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        n = np.concatenate(n)
+        held, inside = np.bincount(index, weights=n & 127), np.bincount(index, weights=n >> 7)
+        state = np.where((times > 1) | (inside > 0), np.where(held > HOT, 2, 1), 0).astype(np.uint8)[index]
+        return letters([{"to": p, "kind": KNOWN, "at": t, "n": x.tobytes()} for p, t, x in zip(asked["at"].to_pylist(), asked["to"].to_pylist(), np.split(state, ends))])
+
+    def ask_contexts(texts: pa.Table, known: pa.Table) -> pa.Table:
+        if not texts.num_rows or not known.num_rows:
+            return letters([])
+        with np.errstate(over="ignore"):
+            p = Part(texts, parts, chunk)
+            p.find()
+            p.choose(known)
+            out = [{"to": p.number, "kind": KNOWN, "at": t, "n": n} for t, n in zip(known["at"].to_pylist(), known["n"].to_pylist())]
+            for kind, (which, to) in p.questions().items():
+                order, cuts = dealt(to)
+                for lo, hi in cuts:
+                    at = which[order[lo:hi]]
+                    packed = {"h": low_bytes(p.h[at] >> np.uint64(16), 6), "c": low_bytes(p.c[at] >> np.uint64(16), 6)}
+                    packed |= {"x": p.behind[at].tobytes(), "y": p.before[at].tobytes()} if kind == CONTEXTS else {}
+                    out.append({"to": int(to[order[lo]]), "kind": kind, "at": p.number} | packed | with_ids(p.ids, p.doc[at]))
+            value, least, most, _ = p.sides(p.questions()[HOT_CONTEXTS][0])
+            order, cuts = dealt(task_of(value, parts))
+            for lo, hi in cuts:
+                at = order[lo:hi]
+                out.append({"to": int(task_of(value[at[:1]], parts)[0]), "kind": SIDES, "at": p.number, "h": value[at].tobytes(), "x": least[at].tobytes(), "y": most[at].tobytes()})
+            return letters(out)
+
+    def tell_contexts(asked: pa.Table) -> pa.Table:
+        out = []
+        for kind in (CONTEXTS, HOT_CONTEXTS, SIDES, KNOWN):
+            some = asked.filter(pa.array(asked["kind"].to_numpy() == kind))
+            if kind == KNOWN:
+                out.append(some)
+            elif some.num_rows:
+                if kind == SIDES:
+                    value, least, most = (np.frombuffer(b"".join(some[c].to_pylist()), t) for c, t in (("h", np.uint64), ("x", np.int64), ("y", np.int64)))
+                    bounds = np.cumsum([0] + [len(x) // 8 for x in some["h"].to_pylist()]).tolist()
+                    both = np.concatenate([value, value])
+                    told = several(np.concatenate([least, most]), both)[: len(value)].astype(np.uint8)
+                else:
+                    own, bounds = ids_of(some)
+                    h, c = (np.concatenate([from_low_bytes(x, 6) for x in some[n].to_pylist()]) for n in "hc")
+                    gone = later(own, c, h)
+                    told = gone.astype(np.uint8) * GONE
+                    if kind == CONTEXTS:
+                        left = np.nonzero(~gone)[0]
+                        for bit, n in ((1, "x"), (2, "y")):
+                            side = np.frombuffer(b"".join(some[n].to_pylist()), np.uint16)[left]
+                            told[left] |= (several(own[left], side, h[left]) & (side > 0)).astype(np.uint8) * np.uint8(bit)
+                out.append(letters([{"to": p, "kind": kind, "at": t, "n": told[lo:hi].tobytes()} for p, t, lo, hi in zip(some["at"].to_pylist(), some["to"].to_pylist(), bounds, bounds[1:])]))
+        return pa.concat_tables(out)
+
+    def ask_strings(texts: pa.Table, known: pa.Table) -> pa.Table:
+        if not texts.num_rows or not known.num_rows:
+            return letters([])
+        with np.errstate(over="ignore"):
+            p = Part(texts, parts, chunk)
+            p.find()
+            p.choose(known)
+            told, asked = p.gone.astype(np.uint8) * GONE, p.questions()
+            for kind, (which, to) in asked.items():
+                told[which] = answered(to, known, kind)
+            hot = asked[HOT_CONTEXTS][0]
+            value, _, _, of = p.sides(hot)
+            shared = np.append(answered(task_of(value, parts), known, SIDES), 0)
+            told[hot] |= np.where(told[hot] == GONE, 0, shared[of[0]] + 2 * shared[of[1]]).astype(np.uint8)
+            gone, left = told == GONE, np.nonzero((told > 0) & (told != GONE))[0]
+            doc, start, more, back = (getattr(p, n)[left].astype(np.int64) for n in ("doc", "start", "more", "back"))
             # Behind the anchor's half only strings that reach to its shared bucket, before it likewise.
-            keep_far, keep_near = (side & 1) > 0, (side & 2) > 0
-            lo = np.where(keep_near, 0, np.maximum(0, back - Q - 1))
-            hi = np.where(keep_far, more, np.minimum(more, back - Q - 1))
-            seen, found = set(), []
-            for row in range(texts_.num_rows):
-                u = int(uids[row])
-                first, end = np.searchsorted(uid, [u, u + 1] if u < last else [u, u], side="left")
-                end = end if u < last else len(uid)
-                if first == end or u in seen:
-                    continue
-                seen.add(u)
-                data = np.frombuffer(texts_["text"][row].as_py(), np.uint8)
-                n = hi[first:end] - lo[first:end] + 1
-                at = np.repeat(start[first:end] + lo[first:end], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                found.append((np.full(len(at), row), at, strings_of(buckets_of(data), at)))
-            if found:
-                row, at, s = (np.concatenate(x) for x in zip(*found))
-                ids = texts_["id"].to_numpy()
-                order = np.argsort(s, kind="stable")
-                row, at, s = row[order], at[order], s[order]
-                repeated = ids[row] > least_of(groups(s), ids[row])
-                for m in marked(uids[row[repeated]], at[repeated], np.full(repeated.sum(), LENGTH), parts):
-                    out.append({"key": m["part"], "kind": 1, "uids": m["uid"], "o": m["start"], "size": m["size"]})
-                row, at, s = row[~repeated], at[~repeated], s[~repeated]
-                part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cuts = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]])
-                for lo_, hi_ in zip(cuts, cuts[1:]):
-                    used, index = np.unique(row[lo_:hi_], return_inverse=True)
-                    out.append({
-                        "key": int(part[lo_]), "kind": 0, "ids": ids[used].tobytes(), "uids": uids[used].tobytes(),
-                        "doc": index.astype(np.uint32).tobytes(), "h": s[lo_:hi_].tobytes(), "o": at[lo_:hi_].astype(np.uint32).tobytes(),
-                    })
-        return pa.Table.from_batches([as_batch(out, PACKED)])
-
-    def compare(found: pa.Table) -> pa.Table:
-        if found.column("kind")[0].as_py() == 1:
-            uid, start, size = joined(found["uids"], np.int64), joined(found["o"], np.uint32), joined(found["size"], np.uint16)
-        else:
-            own, uid = with_documents(found)
-            s, start = joined(found["h"], np.uint64), joined(found["o"], np.uint32)
-            order = np.argsort(s, kind="stable")
-            own, uid, s, start = (x[order] for x in (own, uid, s, start))
-            repeated = own > least_of(groups(s), own)
-            uid, start, size = uid[repeated], start[repeated], np.full(repeated.sum(), LENGTH)
-        return pa.Table.from_batches([as_batch(list(marked(uid, start, size, parts)), MARKS)])
-
-    def removed(texts_: pa.Table, marks: pa.Table) -> pa.Table:
-        uid, start = joined(marks["uid"], np.int64), joined(marks["start"], np.uint32).astype(np.int64)
-        end = start + joined(marks["size"], np.uint16)
-        order = np.lexsort((start, uid))
-        uid, start, end = uid[order], start[order], end[order]
-        uids, out = texts_["uid"].to_numpy(), []
-        firsts, ends = np.searchsorted(uid, uids, side="left"), np.searchsorted(uid, uids, side="right")
-        for row, (lo, hi) in enumerate(zip(firsts, ends)):
-            data = texts_["text"][row].as_py()
-            spans = spans_of(start[lo:hi], end[lo:hi])
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(data[at:a])
-                at = b
-            kept = b"".join([*kept, data[at:]])
-            out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-        columns = [texts_["__doc_id"], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
+            lo = np.where(told[left] & 2, 0, np.maximum(0, back - Q - 1))
+            n = np.where(told[left] & 1, more, np.minimum(more, back - Q - 1)) - lo + 1
+            at = np.repeat(start + lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            doc = np.repeat(doc, n)
+            s, s2 = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
+            piece = firsts(groups(doc, at // chunk))
+            for b, e in zip(piece, np.append(piece[1:], len(doc))):
+                data, first = p.text(doc[b]), at[b]
+                s[b:e], s2[b:e] = strings_of(buckets_of(np.frombuffer(data[first : at[e - 1] + LENGTH], np.uint8)), at[b:e] - first)
+            own = later(p.ids[doc], s2, s)
+            spans = joined(np.append(p.doc[gone], doc[own]), np.append(p.start[gone], at[own]), np.append(p.more[gone] + np.int64(LENGTH), np.full(own.sum(), LENGTH)))
+            doc, at, s, s2 = doc[~own], at[~own], s[~own], s2[~own]
+            to = task_of(s, parts)
+            order, cuts = dealt(to)
+            out = [
+                {"to": int(to[order[lo]]), "kind": STRINGS, "at": p.number, "h": s[order[lo:hi]].tobytes(), "c": s2[order[lo:hi]].tobytes()} | with_ids(p.ids, doc[order[lo:hi]])
+                for lo, hi in cuts
+            ]
+            steps = {"doc": doc.astype(np.uint32), "x": np.diff(at, prepend=0), "y": to.astype(np.uint16 if parts <= 1 << 16 else np.uint32)}
+            out.append({"to": p.number, "kind": MARKS, "at": -1, "ids": np.stack(spans).tobytes()} | {k: x.tobytes() for k, x in steps.items()})
+            return letters(out)
+
+    def tell_strings(asked: pa.Table) -> pa.Table:
+        out = [asked.filter(pa.array(asked["kind"].to_numpy() == MARKS))]
+        some = asked.filter(pa.array(asked["kind"].to_numpy() == STRINGS))
+        if some.num_rows:
+            own, bounds = ids_of(some)
+            s, s2 = (np.frombuffer(b"".join(some[c].to_pylist()), t) for c, t in (("h", np.uint64), ("c", np.uint32)))
+            told = later(own, s2, s).astype(np.uint8)
+            out.append(letters([{"to": p, "kind": STRINGS, "at": t, "n": told[lo:hi].tobytes()} for p, t, lo, hi in zip(some["at"].to_pylist(), some["to"].to_pylist(), bounds, bounds[1:])]))
+        return pa.concat_tables(out)
+
+    def removed(texts: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        if texts.num_rows:
+            p, spans = Part(texts, parts, chunk), np.empty((3, 0), np.int64)
+            marks = told.filter(pa.array(told["kind"].to_numpy() == MARKS)) if told.num_rows else told
+            if marks.num_rows:
+                m = marks.to_pylist()[0]
+                doc, at = np.frombuffer(m["doc"], np.uint32).astype(np.int64), np.cumsum(np.frombuffer(m["x"], np.int64))
+                gone = answered(np.frombuffer(m["y"], np.uint16 if parts <= 1 << 16 else np.uint32).astype(np.int64), told, STRINGS) > 0
+                spans = np.frombuffer(m["ids"], np.int64).reshape(3, -1)
+                more = doc[gone], at[gone], np.full(gone.sum(), LENGTH)
+                spans = joined(*(np.append(x, y) for x, y in zip(spans, more)))
+            bounds = np.searchsorted(spans[0], np.arange(len(p.ids) + 1)).tolist()
+            for doc in range(len(p.ids)):
+                data, kept, done = p.text(doc), [], 0
+                for k in range(bounds[doc], bounds[doc + 1]):
+                    kept.append(data[done : spans[1][k]])
+                    done = int(spans[1][k] + spans[2][k])
+                kept = b"".join([*kept, data[done:]])
+                out.append((len(data), len(data) - len(kept), bounds[doc + 1] - bounds[doc], hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if whole else None))
+            texts = texts.drop_columns(["text"]).take(pa.array(p.order))
+        columns = [texts["doc_id"], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if texts:
-            none = texts_["no_text"].to_pylist()
-            columns.append(pa.array([None if x else o[4].decode(errors="ignore") for o, x in zip(out, none)], pa.string()))
-            names.append("kept_text")
-        return pa.table(columns + [texts_[f"keep_{c}"] for c in keep], [prefix + n for n in names] + list(keep))
-
-    kinds = dict(docs.dtypes)
-    own_schema = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept_text string"] * texts
-    schema = ", ".join(prefix + c for c in own_schema)
-    schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
-    texts_by_part = rows.withColumn("part", F.pmod("uid", F.lit(parts)).cast("int"))
-    read = rows.select("id", "uid", "text")
-    sampled = read.filter(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInArrow(count, "h long, n long").groupBy("h").agg((F.sum("n") * SAMPLE).alias("n"))
-    counted = sampled.filter(F.col("n") > HOT).collect()  # at most one for each HOT contexts, of 16 bytes
-    counted = sorted((r["h"] % (1 << 64), -(-r["n"] // HOT)) for r in counted)
-    pieces = np.array([n for _, n in counted], dtype=np.int64)
-    hot = np.array([h for h, _ in counted], dtype=np.uint64), np.cumsum(pieces) - pieces, pieces
-    packed = read.mapInArrow(first_pass, PACKED)
-    if counted:
-        each = read.mapInArrow(sharing, "anchor long, side long, x long, lo long, hi long").groupBy("anchor", "side", "x").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        maps = each.filter("lo < hi").groupBy("anchor").applyInArrow(bitmaps, "base int, n int, behind binary, before binary")
-        to_all = maps.select(F.explode(F.expr("sequence(base, base + n - 1)")).alias("key"), F.lit(3).alias("kind"), "behind", "before")
-        packed = packed.unionByName(to_all, allowMissingColumns=True)
-    first = cut(packed.groupBy("kind", "key").applyInArrow(refine, MARKS))
-    open_ = first.filter("kind = 2").groupBy("part")
-    pairs = texts_by_part.select("part", "id", "uid", "text").groupBy("part").cogroup(open_).applyInArrow(strings, PACKED)
-    second = cut(pairs.groupBy("kind", "key").applyInArrow(compare, MARKS))
-    marks = first.filter("kind = 1").unionByName(second).groupBy("part")
-    return texts_by_part.groupBy("part").cogroup(marks).applyInArrow(removed, schema)
-
-
-def with_documents(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the uids of the documents that packed rows speak of."""
-    own, uid = [], []
-    for ids, uids, doc in zip(*(packed[x].to_pylist() for x in ("ids", "uids", "doc"))):
-        index = np.frombuffer(doc, np.uint32)
-        own.append(np.frombuffer(ids, np.int64)[index])
-        uid.append(np.frombuffer(uids, np.int64)[index])
-    return np.concatenate(own), np.concatenate(uid)
-
-
-def shared(bucket: np.ndarray, refined: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Whether a context's bucket, refined by another, holds contexts of several documents."""
-    order = np.lexsort((refined, bucket))
-    group = groups(bucket[order], refined[order])
-    starts = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0] if len(group) else []
-    if not len(group):
-        return np.zeros(0, dtype=bool)
-    least, most = np.minimum.reduceat(own[order], starts), np.maximum.reduceat(own[order], starts)
-    out = np.empty(len(own), dtype=bool)
-    out[order] = (least < most)[group]
-    return out & (refined != 0)
-
-
-def spans_of(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of what is marked; ``start`` ascends."""
-    if not len(start):
-        return []
-    upto = np.maximum.accumulate(end)
-    first = np.nonzero(np.concatenate([[True], start[1:] > upto[:-1]]))[0]
-    last = np.concatenate([first[1:], [len(start)]]) - 1
-    return list(zip(start[first].tolist(), upto[last].tolist()))
+        if whole:
+            none = texts["no_text"].to_pylist()
+            columns += [pa.array([None if x else o[4] for o, x in zip(out, none)], pa.string()), texts["row"]]
+            names += ["kept_text", "row"]
+        return pa.table(columns, names)
+
+    schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if whole:
+        schema = schema.add("kept_text", "string").add(rows.schema["row"])
+    texts = rows.withColumn("part", F.pmod("k1", F.lit(parts)).cast("int")).groupBy("part")
+    known = texts.applyInArrow(ask_anchors, LETTER).groupBy("to").applyInArrow(tell_anchors, LETTER)
+    known = texts.cogroup(known.groupBy("to")).applyInArrow(ask_contexts, LETTER).groupBy("to").applyInArrow(tell_contexts, LETTER)
+    known = texts.cogroup(known.groupBy("to")).applyInArrow(ask_strings, LETTER).groupBy("to").applyInArrow(tell_strings, LETTER)
+    return texts.cogroup(known.groupBy("to")).applyInArrow(removed, schema)
+
+
+def joined(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of marked bytes, in order of texts and offsets."""
+    order = np.lexsort((start, doc))
+    doc, start, end = (x[order].astype(np.int64) for x in (doc, start, start + size))
+    if not len(doc):
+        return doc, start, end
+    # Texts lie far apart on one line, so that one running maximum does for all.
+    far = groups(doc) << 40
+    upto = np.maximum.accumulate(far + end)
+    first = np.nonzero(np.concatenate([[True], far[1:] + start[1:] > upto[:-1]]))[0]
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], start[first], upto[last] - far[last] - start[first]
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:

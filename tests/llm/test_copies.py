@@ -111,11 +111,13 @@ def brute_repeats(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("chunk", "gathered", "group"), [(1 << 18, 1 << 17, 6 << 20), (700, 50, 3000)])
-def test_repeats(docs, rows, monkeypatch, chunk, gathered, group):
-    for name, value in (("CHUNK", chunk), ("GATHERED", gathered), ("GROUP", group)):
+@pytest.mark.parametrize(("chunk", "group"), [(1 << 18, 6 << 20), (700, 3000)])
+def test_repeats(docs, rows, monkeypatch, chunk, group):
+    for name, value in (("CHUNK", chunk), ("GROUP", group)):
         monkeypatch.setattr(repeats, name, value)
-    got = repeats.remove_repeats(docs, texts=True, keep=["lang"]).collect()
+    got = repeats.remove_repeats(docs, whole=True).collect()
+    assert Counter((r["doc_id"], r["row"]["doc_id"]) for r in got) == Counter((r[0], r[0]) for r in rows)
+    assert all(r["row"].asDict().keys() == set(docs.columns) and r["row"]["text"] is None for r in got)
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows)
     whole = {(r[0], r[1]) for r in rows}
     assert all((r["doc_id"], r["kept_text"]) in whole for r in got if not r["n_removed"])
@@ -137,18 +139,20 @@ def test_empty_tables(empty, f):
 
 
 def test_contexts_of_a_hot_anchor_are_dealt_out():
-    """No task gets all contexts of one anchor, and equal contexts meet."""
-    h, c = np.full(20000, 7, np.uint64), np.random.default_rng(3).integers(0, 1 << 63, 10000).astype(np.uint64)
-    c = np.concatenate([c, c])
-    kind, key = repeats.places(h, c, 8, (np.array([7], np.uint64), np.array([100]), np.array([10])))
-    assert set(kind) == {3} and set(key) == set(range(100, 110)) and max(Counter(key.tolist()).values()) < 3000
-    assert (key[:10000] == key[10000:]).all()
-
-
-@pytest.mark.parametrize("gathered", [1 << 17, 50])
-def test_repeats_with_hot_anchors(spark, monkeypatch, gathered):
+    """Contexts of one bucket go to many tasks if it is hot, and equal contexts meet."""
+    p = object.__new__(repeats.Part)
+    c = np.random.default_rng(3).integers(0, 1 << 63, 10000).astype(np.uint64)
+    p.parts, p.h, p.c, p.hot = 10, np.full(20000, 7, np.uint64), np.concatenate([c, c]), np.ones(20000, dtype=bool)
+    p.gone = ~p.hot
+    with np.errstate(over="ignore"):
+        which, to = p.questions()[repeats.HOT_CONTEXTS]
+    assert len(which) == 20000 and (to[:10000] == to[10000:]).all() and set(to) == set(range(10)) and max(Counter(to.tolist()).values()) < 3000
+
+
+@pytest.mark.parametrize(("hot", "group"), [(3, 6 << 20), (3, 2000), (1 << 14, 2000)])
+def test_repeats_with_hot_anchors(spark, monkeypatch, hot, group):
     """Passages with other surroundings in each document, some of which are shared in part, whichever anchors are hot."""
-    for name, value in (("HOT", 3), ("SAMPLE", 1), ("GATHERED", gathered)):
+    for name, value in (("HOT", hot), ("GROUP", group)):
         monkeypatch.setattr(repeats, name, value)
     r = random.Random(6)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
