@@ -56,7 +56,7 @@ def mix_to_weights(
     A source with target T and size S is taken whole floor(T / S) times; of the rest, the rows with hashes
     below its threshold once more. At the threshold itself the copies nearest to the budget are taken.
 
-    Nulls: a text without words has size 0 and is taken 0 words; a null source is a source of its own, last
+    Nulls: a text without words has size 0 and is taken 0 words, as a row as often as its hash says, up to ``cap`` times; a null source is a source of its own, last
     in order; a null id is hashed like any other value. Equal rows (id, source, text) share a hash: they are
     counted first, and as many of them are taken as the budget has room for. No rows, no result rows. Other
     columns are not read, whatever their names.
@@ -141,8 +141,9 @@ def hash_thresholds(units: DataFrame, targets: DataFrame) -> DataFrame:
     return both.select(
         *targets.drop("source", "budget").columns,
         "of",
-        F.coalesce("prefix", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(0)).cast("long").alias("threshold"),
-        F.coalesce(at, F.lit(0)).cast("long").alias("at"),
+        # Of a source whose whole copies use up its budget nothing more is taken, not even rows without words.
+        F.when(F.col("budget") <= 0, F.lit(0)).otherwise(F.coalesce("prefix", F.lit(1 << HASH_BITS))).cast("long").alias("threshold"),
+        F.when(F.col("budget") <= 0, F.lit(0)).otherwise(F.coalesce(at, F.lit(0))).cast("long").alias("at"),
         F.coalesce("n", F.lit(1)).alias("n"),
     )
 
