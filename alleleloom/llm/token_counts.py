@@ -3,14 +3,18 @@
 The encoding of a prefix ends in exactly one token t that is compatible with the last token of what stands
 before it, so the encoding of every prefix is known from one table: its last token and its token count. The
 table answers how long a text is in tokens, where to cut it for a budget, and what any prefix costs, without
-encoding anything again. White space ends a piece in the vocabularies read here, so the table of a text is the
+encoding anything again. (A cut in the middle of a character belongs to the prefix before that character.) White space ends a piece in the vocabularies read here, so the table of a text is the
 running sum of the tables of its words, and each distinct word is worked out once per Python worker.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -38,6 +42,7 @@ class PrefixCounter:
         self.library = Tokenizer.from_file(path)
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.special_pattern = re.compile(b"|".join(map(re.escape, sorted(self.special)))) if self.special else None
         vocab = [t for t in model["vocab"] if t.encode() not in self.special]
         # What may join across the left or right edge of a token: its parts at that edge, each with the rank at
         # which it becomes part of a larger one. Only tokens that are their own encoding can stand in one.
@@ -145,10 +150,15 @@ class PrefixCounter:
         return counts
 
     def split(self, word: bytes) -> list[str]:
-        """The pieces of a text without ASCII white space, as symbols; special tokens are pieces of one token."""
-        if found := [(word.index(s), s) for s in self.special if s in word]:
-            before, _, after = word.partition(min(found)[1])
-            return [*self.split(before), "", *self.split(after)]
+        """The pieces of a text without ASCII white space, as symbols; special tokens are empty pieces, of one token."""
+        out, at = [], 0
+        for found in self.special_pattern.finditer(word) if self.special_pattern else ():
+            out += [*self.plain(word[at : found.start()]), ""]
+            at = found.end()
+        return out + self.plain(word[at:]) if at else self.plain(word)
+
+    def plain(self, word: bytes) -> list[str]:
+        """The pieces of a text without ASCII white space or special strings."""
         text = word.decode()
         if self.pattern and text.isascii() and text.isprintable():  # as the library below, without its calls' cost
             return self.pattern.findall(text.lower())
@@ -178,20 +188,60 @@ class PrefixCounter:
             total += count(w) if n is None else n
         return total
 
-    def prefix_counts(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Ends (in bytes) of the text's words, and the tokens of the text up to each."""
-        ends, counts, at, total = [], [], 0, 0
-        for w in text.split():
-            at = text.index(w, at) + len(w)
-            total += self.word_count(w)
-            ends.append(at)
-            counts.append(total)
-        return ends, counts
+    def word_table(self, word: bytes) -> list[int]:
+        """Tokens of each prefix of a text without ASCII white space, from one byte on; a character counts from its last byte."""
+        out, before, at = [], 0, 0
+        for found in self.special_pattern.finditer(word) if self.special_pattern else ():
+            plain, special = word[at : found.start()], found[0]
+            out += [before + n for n in self.plain_table(plain)]
+            # Part of a special string is text like that before it.
+            out += [before + self.word_count(plain + special[:k]) for k in range(1, len(special))]
+            before, at = before + self.word_count(plain) + 1 if plain else before + 1, found.end()
+            out.append(before)
+        return out + [before + n for n in self.plain_table(word[at:])]
+
+    def plain_table(self, word: bytes) -> list[int]:
+        text, pieces = word.decode(), self.plain(word) if word else []
+        same = text.isascii() or (unicodedata.is_normalized("NFC", text) and all(len(c.lower().encode()) == len(c.encode()) for c in text))
+        counted = lambda w: sum(self.piece_table(p, every=False)[0] for p in self.plain(w))
+        out, before = [], 0
+        if same and sum(map(len, pieces)) == len(word):
+            # Cut short, a run of characters of one kind is a piece, but a mark with letters may be two.
+            for piece in pieces:
+                out += [before + n for n in ([counted(piece[:k].encode()) for k in range(1, len(piece) + 1)] if piece[0] == "'" else self.piece_table(piece))]
+                before = out[-1]
+        else:
+            out = [counted(word[:k].decode(errors="ignore").encode()) for k in range(1, len(word) + 1)]
+        for k in range(1, len(word)):
+            if word[k] & 0xC0 == 0x80:
+                out[k - 1] = out[k - 2] if k > 1 else 0
+        return out
 
-    def cut(self, text: bytes, budget: int) -> int:
-        """Bytes of the longest prefix, whole words only, of at most ``budget`` tokens."""
-        ends, counts = self.prefix_counts(text)
-        return max((e for e, n in zip(ends, counts) if n <= budget), default=0)
+    def prefix_counts(self, text: bytes) -> list[int]:
+        """Tokens of each prefix of the text, from one byte on: those of its words before, and of the part of a word at its end."""
+        out, total, tables = [], 0, {}
+        for w in text.split():
+            start = text.index(w, len(out))
+            out += [total] * (start - len(out))
+            if w not in tables:
+                tables[w] = self.word_table(w)
+            out += [total + n for n in tables[w]]
+            total = out[-1]
+        return out + [total] * (len(text) - len(out))
+
+    def cut(self, text: bytes, budget: int, most: int | None = None) -> int:
+        """Bytes of the longest prefix of at most ``budget`` tokens; ``most`` are the tokens of the text, where they are known."""
+        if most is not None and most <= budget:
+            return len(text)
+        words = text.split()
+        upto = list(accumulate(map(self.word_count, words)))
+        k = bisect_right(upto, budget)
+        if k == len(words):
+            return len(text)
+        # The word that takes the text over the budget begins behind the first k and the white space behind those.
+        start = len(text) - len(text.split(None, k)[k]) if k else text.index(words[0])
+        left = budget - (upto[k - 1] if k else 0)
+        return start + max((n for n, tokens in enumerate(self.word_table(words[k]), 1) if tokens <= left), default=0)
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -215,28 +265,27 @@ def count_tokens(
     docs: DataFrame, name: str = "word_bpe_49k.json", prefixes: bool = False, budget: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_bytes, n_tokens for every row; with ``prefixes`` also the table of its words, with a ``budget`` where to cut.
+    """doc_id, n_bytes, n_tokens for every row; with ``prefixes`` also the table, with a ``budget`` where to cut.
 
-    ``prefix_ends`` are the ends of the words in bytes, ``prefix_tokens`` the tokens of the text up to each, and
-    ``cut_bytes`` is the longest prefix of whole words within the budget.
+    ``prefix_tokens`` has the tokens of the text's first byte, its first two bytes and so on; a character counts from its last
+    byte. ``cut_bytes`` is the length of the longest prefix of at most ``budget`` tokens, read off the same table.
 
-    A null text is empty: 0 bytes, 0 tokens, empty tables. Special strings inside texts are one token, as in
-    the library. Equal rows have equal counts. Texts go through one at a time, so a batch holds no more than
+    A null text is empty: 0 bytes, 0 tokens, an empty table. Special strings inside texts are one token, as in
+    the library, however many there are. Equal rows have equal counts. Texts go through one at a time, so a batch holds no more than
     its texts. No rows, no result rows. Other columns are not read, whatever their names.
     """
-    fields = "doc_id long, n_bytes long, n_tokens long"
-    fields += ", prefix_ends array<long>, prefix_tokens array<long>" * prefixes + ", cut_bytes long" * (budget is not None)
+    fields = "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens array<long>" * prefixes + ", cut_bytes long" * (budget is not None)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(tokenizer_path(name))
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column(1)]
-            out = [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(tokens.count, texts), pa.int64())]
+            counts = [tokens.count(t) for t in texts]
+            out = [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64())]
             if prefixes:
-                tables = [tokens.prefix_counts(t) for t in texts]
-                out += [pa.array([t[k] for t in tables], pa.list_(pa.int64())) for k in (0, 1)]
+                out.append(pa.array(map(tokens.prefix_counts, texts), pa.list_(pa.int64())))
             if budget is not None:
-                out.append(pa.array([tokens.cut(t, budget) for t in texts], pa.int64()))
+                out.append(pa.array([tokens.cut(t, budget, n) for t, n in zip(texts, counts)], pa.int64()))
             yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in fields.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "utf-8").alias("text")).mapInArrow(counted, fields)
@@ -247,4 +296,4 @@ LIMIT = 2048
 
 
 def op5_tokens(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return count_tokens(table(spark, sf_dir, "documents"), budget=LIMIT).withColumn("over_limit", F.col("n_tokens") > LIMIT)

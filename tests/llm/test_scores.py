@@ -26,9 +26,31 @@ def test_token_counts_are_the_library_s(docs, rows):
         if r["doc_id"] is None or r["n_bytes"] > 5000:
             continue
         text = texts[r["doc_id"]]
-        for end, n in zip(r["prefix_ends"], r["prefix_tokens"]):
-            assert len(library.encode(text[:end].decode(), add_special_tokens=False).ids) == n
-        assert len(library.encode(text[: r["cut_bytes"]].decode(), add_special_tokens=False).ids) <= 30
+        assert len(r["prefix_tokens"]) == len(text)
+        if len(text) < 400:
+            for end in range(1, len(text) + 1):
+                assert len(library.encode(text[:end].decode(errors="ignore"), add_special_tokens=False).ids) == r["prefix_tokens"][end - 1]
+        assert r["cut_bytes"] == max((k for k, n in enumerate(r["prefix_tokens"], 1) if n <= 30), default=0)
+
+
+def test_every_prefix():
+    counter = token_counts.counter(token_counts.tokenizer_path("word_bpe_49k.json"))
+    count = lambda b: len(counter.library.encode(b.decode(errors="ignore"), add_special_tokens=False).ids)
+    r = random.Random(9)
+    odd = ["it's we'll x're 'T''s", "a<|endoftext|>b!!<|startoftext|>", "<|endoftext|>" * 3, "été naïve 漢字かな 😀😀!", "İI ΣΑΣ e\u0301e", "  lead and trail \n", "", "don't!!'re"]
+    odd += ["".join(r.choice(["ab", "é", "'s", "!", "7", " ", "漢", "Q", "<|endoftext|>"]) for _ in range(12)) for _ in range(60)]
+    for text in map(str.encode, odd):
+        table = counter.prefix_counts(text)
+        assert table == [count(text[:k]) for k in range(1, len(text) + 1)], text
+        for budget in range(6):
+            assert counter.cut(text, budget) == max((k for k, n in enumerate(table, 1) if n <= budget), default=0)
+
+
+def test_many_special_strings(spark):
+    """As many special strings as may be are split one after the other."""
+    text = "<|endoftext|>" * 5000
+    got = token_counts.count_tokens(spark.createDataFrame([(1, text), (2, "a" + text)], "doc_id long, text string"), budget=2048).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["cut_bytes"]) for r in got} == {1: (5000, 13 * 2048), 2: (5001, 1 + 13 * 2047)}
 
 
 def test_prefixes_of_pieces():
