@@ -8,28 +8,17 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import registry
 from .functions import alleles, slots
 from .operators import align, cohort, models, records, score
 from .plans import space
+from .registry import ORACLES, QUERIES, table
 from .sources import adapters
 from .sources.adapters import duckdb
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
 def query(sql: str | None = None, plain: bool = False):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql if plain else duckdb(sql)
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Registers a query with its SQL, which is over the adapters' relations unless it is ``plain``."""
+    return registry.query(sql if plain or not sql else duckdb(sql))
 
 
 def classified(spark: SparkSession, sf_dir: str, calls=adapters.calls) -> DataFrame:
@@ -506,35 +495,8 @@ def records_hourly(spark, sf_dir):
     return hourly.counts(adapters.records(spark, sf_dir).join(rows, "rec_ord"))
 
 
-def costed(spark):
-    """Feasible plans with rank and vector, for the search; a stand-in measures them: rotations and additions per slot."""
-    from .plans import search
-
-    rows = judged(spark).select("*", space.plan_key().alias("plan"), search.plan_vector().alias("vector"))
-    return rows.join(ranked(spark).select("plan", "rank", "feasible"), "plan")
-
-
-def stand_in(plan):
-    """Not a timing: a number that depends on the plan alone, to run the search without a backend."""
-    return None if plan["scheme"] == "BFV" else plan["ring"] / 8192 + abs(plan["width"] - 2048) / 1024
-
-
-@query()
-def tune_fake_evaluator(spark, sf_dir):
-    from .plans import search
-
-    rows = search.tune(costed(spark), stand_in, top=3, refine=4)
-    return spark.createDataFrame([(r["plan"], r["seconds"], r["by"]) for r in rows], "plan string, value double, chosen_by string")
-
-
-@query()
-def baseline_search(spark, sf_dir):
-    from .plans import search
-
-    rows = search.baselines(costed(spark), stand_in)
-    return spark.createDataFrame([(r["way"], r["plan"], r["seconds"], r["regret"]) for r in rows], "way string, plan string, value double, regret double")
-
-
 #: Queries of calls: with ``_all_samples`` after their names they score all customers instead of the SQL's 64. No SQL.
 OF_CALLS = [n for n, f in QUERIES.items() if "calls" in inspect.signature(f).parameters]
 QUERIES |= {f"{n}_all_samples": partial(QUERIES[n], calls=adapters.all_calls) for n in OF_CALLS}
+
+from . import catalogue_plans  # noqa: E402, F401  it registers its queries

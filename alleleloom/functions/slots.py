@@ -36,15 +36,6 @@ def rotations(n: Column) -> Column:
     return F.when(n > 1, F.transform(steps, lambda i: F.pow(F.lit(2.0), i).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
-def rotated_left(values: Column, k: Column) -> Column:
-    return F.concat(F.slice(values, k + 1, F.size(values) - k), F.slice(values, F.lit(1), k))
-
-
-def rotate_and_add(values: Column, active: Column) -> Column:
-    """The sum of the first ``active`` values by adding rotations; all slots end up with partial sums, the first with the sum."""
-    return F.get(F.aggregate(rotations(active), values, lambda acc, k: F.zip_with(acc, rotated_left(acc, k.cast("int")), lambda a, b: a + b)), F.lit(0))
-
-
 def operation_counts(samples: Column, items: Column, width: Column, strategy: Column) -> dict[str, Column]:
     """Multiplications, rotations and additions of a weighted sum in windows, by order of aggregation."""
     chunks = chunk_count(items, width)
@@ -57,3 +48,13 @@ def operation_counts(samples: Column, items: Column, width: Column, strategy: Co
         "rotation_count": (samples * turns).cast("long"),
         "addition_count": (samples * (turns + F.greatest(chunks - 1, F.lit(0)))).cast("long"),
     }
+
+
+def block_size(variants: Column, preferred: Column, degree: int) -> Column:
+    """Samples in a packed block: as many as preferred, or as fit half the degree, but one at least."""
+    return F.greatest(F.lit(1), F.least(preferred, F.floor(degree // 2 / variants))).cast("long")
+
+
+def window_size(preferred: Column, degree: int) -> Column:
+    """Variants in a window of blocks of the preferred size."""
+    return F.greatest(F.lit(1), F.floor(degree // 2 / preferred)).cast("long")
