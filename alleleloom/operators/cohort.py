@@ -50,3 +50,9 @@ def errors(pairs: DataFrame, expected: str, observed: str, floor: float = 1e-15)
         F.max(off).alias("max_abs"), F.avg(off).alias("mean_abs"), F.max(relative).alias("max_rel"), F.avg(relative).alias("mean_rel"),
         F.bool_and(~F.isnan(off)).alias("all_finite"),
     )
+
+
+def site_errors(sums: DataFrame, expected: str, observed: str, size: str, by: list[str]) -> DataFrame:
+    """Per group the greatest absolute error of a sum, and the greatest of its mean, which is divided by the site's size."""
+    off = F.abs(F.col(observed) - F.col(expected))
+    return sums.groupBy(*by).agg(F.max(off).alias("max_abs"), F.max(off / F.col(size)).alias("max_mean_abs"))

@@ -13,6 +13,15 @@ def log_scaled(x: Column) -> Column:
     return F.when(fine, F.signum(x) * F.log1p(F.abs(x))).otherwise(F.lit(0.0))
 
 
+def sigmoid(x: Column) -> Column:
+    """1 / (1 + exp(-x)) without overflow at either end."""
+    return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
+
+
+def one_hot(column: Column, names: list[str]) -> dict[str, Column]:
+    return {n: F.coalesce((F.upper(column) == n).cast("double"), F.lit(0.0)) for n in names}
+
+
 def gram(rows: DataFrame, features: list[str], target: str) -> DataFrame:
     """(i, j, value) of X'X with a leading 1, and of X'y at j = -1, by one aggregation."""
     names = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
