@@ -217,13 +217,12 @@ def error_metrics(spark, sf_dir, calls=adapters.calls):
   select (select min(d) from e) as min_dosage, (select max(d) from e) as max_dosage, count(*) as variants, round(avg(w),6)::double as mean_weight,
     round(stddev_pop(w),6)::double as sd_weight, max(abs(w)) as max_abs, sum(abs(w))::bigint as sum_abs, count(*) filter (w=0) as zeros from k""")
 def workload_features(spark, sf_dir, calls=adapters.calls):
-    rows = scored(spark, sf_dir, calls=calls)
-    w = classified(spark, sf_dir, calls=calls).filter("reason = 'ok'").select(F.col("w_int").alias("w"))
-    parts = w.agg(
-        F.count(F.lit(1)).alias("variants"), F.round(F.avg("w"), 6).alias("mean_weight"), F.round(F.stddev_pop("w"), 6).alias("sd_weight"),
-        F.max(F.abs("w")).alias("max_abs"), F.sum(F.abs("w")).alias("sum_abs"), F.count_if(F.col("w") == 0).alias("zeros"),
+    each = scored(spark, sf_dir, calls=calls).groupBy("source_row", "w_int").agg(F.min("effect_dosage").alias("lo"), F.max("effect_dosage").alias("hi"))
+    w = F.col("w_int")
+    return each.agg(
+        F.min("lo").alias("min_dosage"), F.max("hi").alias("max_dosage"), F.count(F.lit(1)).alias("variants"), F.round(F.avg(w), 6).alias("mean_weight"), F.round(F.stddev_pop(w), 6).alias("sd_weight"),
+        F.max(F.abs(w)).alias("max_abs"), F.sum(F.abs(w)).alias("sum_abs"), F.count_if(w == 0).alias("zeros"),
     )
-    return rows.agg(F.min("effect_dosage").alias("min_dosage"), F.max("effect_dosage").alias("max_dosage")).crossJoin(parts)  # one row each
 
 
 @query(FULL + """ select 2*sum(abs(w_int))::bigint as bound, (2147352577//2 - 2*sum(abs(w_int)))::bigint as margin, 2*sum(abs(w_int)) < 2147352577//2 as safe from c where reason='ok'""")
@@ -485,9 +484,9 @@ def feature_log_scale(spark, sf_dir):
 
 @query()
 def prs_fsum_exact(spark, sf_dir, calls=adapters.calls):
-    """The correctly rounded sum of weights as doubles; Arrow batches of a sample's values, no SQL for it."""
+    """The correctly rounded sum of weights as doubles, added in exact pieces. No SQL for it."""
     rows = scored(spark, sf_dir, calls=calls).select("sample_id", (F.col("effect_dosage") * (F.col("w_int") / 10000.0)).alias("x"))
-    return rows.groupBy("sample_id").agg(score.exact_sum("x").alias("score"))
+    return score.exact_sums(rows, ["sample_id"], "x").withColumnRenamed("x", "score")
 
 
 @query("""x as (select 1) select scheme, date_trunc('hour', ts) as hour, count(*) as n from rec join events on event_id=rec_ord group by 1,2""")
@@ -503,4 +502,4 @@ def records_hourly(spark, sf_dir):
 OF_CALLS = [n for n, f in QUERIES.items() if "calls" in inspect.signature(f).parameters]
 QUERIES |= {f"{n}_all_samples": partial(QUERIES[n], calls=adapters.all_calls) for n in OF_CALLS}
 
-from . import catalogue_plans, catalogue_records  # noqa: E402, F401  they register their queries
+from . import catalogue_genomes, catalogue_plans, catalogue_records  # noqa: E402, F401  they register their queries

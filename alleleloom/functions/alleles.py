@@ -14,6 +14,52 @@ def chromosome(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), "^(?i)chr", "")
 
 
+def chromosome_as_is(name: Column) -> Column:
+    """Without a leading chr in small letters, and otherwise as it is."""
+    return F.regexp_replace(name, "^chr", "")
+
+
+def single_bases(ref: Column, alt: Column) -> Column:
+    """Whether both alleles are one character."""
+    return (F.length(ref) == 1) & (F.length(alt) == 1) & (alt != ",")
+
+
+def label(chrom: Column, position: Column, ref: Column, alt: Column, rsid: Column) -> Column:
+    """chrom:position:ref:alt:rsid; a missing or empty id is a dot."""
+    return F.concat_ws(":", chrom, position.cast("string"), ref, alt, F.coalesce(F.nullif(rsid, F.lit("")), F.lit(".")))
+
+
+def of_label(text: Column) -> Column:
+    """The parts of chrom:position:ref:alt with or without an id, as a struct; an error for anything else."""
+    k = F.split(text, ":")
+    fine = F.size(k).isin(4, 5) & F.get(k, F.lit(1)).try_cast("long").isNotNull()
+    parts = F.struct(
+        F.regexp_replace(k[0], "^(?i)chr", "").alias("chrom"), F.get(k, F.lit(1)).try_cast("long").alias("position"), F.upper(F.get(k, F.lit(2))).alias("ref"),
+        F.upper(F.get(k, F.lit(3))).alias("alt"), F.coalesce(F.get(k, F.lit(4)), F.lit(".")).alias("rsid"),
+    )
+    return F.when(fine, parts).otherwise(F.raise_error(F.concat(F.lit("not a variant: "), text)).cast("struct<chrom:string,position:bigint,ref:string,alt:string,rsid:string>"))
+
+
+def preferred_rsid(genotype: Column, weight: Column) -> Column:
+    """The genotype's id unless it is a dot."""
+    return F.when(genotype != ".", genotype).otherwise(weight)
+
+
+def near_whole(dosage: Column) -> Column:
+    whole = F.bround(dosage)
+    return F.abs(dosage - whole) <= 1e-9 * F.greatest(F.abs(dosage), F.abs(whole))
+
+
+def hard_call(dosage: Column) -> Column:
+    """Whether a dosage is 0, 1 or 2, but for rounding."""
+    return near_whole(dosage) & F.bround(dosage).isin(0, 1, 2)
+
+
+def imputed(dosage: Column) -> Column:
+    """Whether a dosage isn't a whole number, but for rounding."""
+    return ~near_whole(dosage)
+
+
 def number(text: Column) -> Column:
     """A finite number, or null: only plain decimal notation counts."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))

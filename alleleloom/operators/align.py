@@ -64,3 +64,31 @@ def wanted_genotypes(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
 def incomplete(calls: DataFrame) -> DataFrame:
     """vrow of the variants with a missing call."""
     return calls.groupBy("vrow").agg(F.bool_or(F.col("alt_dosage").isNull()).alias("gap")).filter("gap").select("vrow")
+
+
+def full_report(classified: DataFrame, rejects: DataFrame, genotypes: DataFrame, filtered: int = 0) -> DataFrame:
+    """One row of all counters of an alignment. ``rejects`` (reason) are weights that weren't usable, ``filtered`` genotypes that weren't read."""
+    none = F.lit(None)
+    rows = classified.select("reason", "side", "flipped").unionByName(rejects.select("reason", none.cast("string").alias("side"), none.cast("boolean").alias("flipped")))
+    unused = unused_genotypes(classified, genotypes).select(F.lit("unused").alias("reason"), none.cast("string").alias("side"), none.cast("boolean").alias("flipped"))
+    reason = F.col("reason")
+    count = lambda *names: F.count_if(reason.isin(*names))
+    return rows.unionByName(unused).agg(
+        F.count_if(reason != "unused").alias("total_pgs_variants"), count("ok").alias("matched_variants"), F.count_if(F.col("side") == "ALT").alias("alt_oriented_variants"),
+        F.count_if(F.col("side") == "REF").alias("ref_oriented_variants"), count("strand_ambiguous").alias("strand_ambiguous_variants"), F.count_if("flipped").alias("strand_flipped_variants"),
+        count("multiallelic_variant", "multiallelic_or_haplotype").alias("multiallelic_exclusions"), count("missing_from_vcf", "missing_genotype").alias("missing_variants"),
+        count("duplicate_pgs_variant", "duplicate_vcf_variant").alias("duplicate_variants"),
+        F.count_if(reason.startswith("unsupported") | (reason == "incomplete_variant")).alias("unsupported_variants"), count("ok").alias("final_scored_variants"),
+        (count("unused") + filtered).alias("vcf_only_variants"),
+    )
+
+
+def exclusions(classified: DataFrame, rejects: DataFrame) -> DataFrame:
+    """(chrom, position, reason, n): each weight that isn't scored, and each reject under no chromosome with its row in the file as position.
+
+    Rejects of other chromosomes are one row, the first, with their number as ``n``.
+    """
+    outside = F.col("reason") == "outside_target_chromosome"
+    own = classified.filter("reason <> 'ok'").select("chrom", "position", "reason", F.lit(1).cast("long").alias("n"))
+    each = rejects.groupBy(F.when(outside, F.lit(-1)).otherwise(F.col("line")).alias("key"), "reason").agg(F.min("line").alias("position"), F.count(F.lit(1)).alias("n"))
+    return own.unionByName(each.select(F.lit("").alias("chrom"), "position", "reason", "n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,12 +53,74 @@ def numbered(ok: DataFrame) -> DataFrame:
     return ok.withColumn("chunk", F.floor(F.col("source_row") / 4096)).withColumn("place", place).join(before, "chunk").withColumn("variant_ord", (F.col("start") + F.col("place")).cast("long")).drop("chunk", "place", "start")
 
 
+def exact_sums(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, ``column``): the correctly rounded sum of each group's finite doubles, whatever their order.
+
+    A double is a whole number times a power of two: its bits above and below each multiple of 30 are summed apart, as whole numbers
+    that Spark adds exactly in parts on every task. The few sums of a group are then put together in a small list.
+    """
+    x = F.col(column)
+    power = F.when(x != 0, F.floor(F.log2(F.abs(x))) - 1).otherwise(0)  # rounding may be off by one either way
+    low = F.greatest((F.floor((power - 53) / PIECE) * PIECE).cast("int"), F.lit(-1080))
+    # Three pieces of PIECE bits from the lowest multiple that the number can reach; each is a whole number of 2 ** low.
+    pieces, rest = [], x
+    for n in (3, 2, 1, 0):
+        at = low + PIECE * n
+        scaled = scaled_by(rest, -at)
+        whole = F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled)).cast("long")
+        pieces.append(F.struct(at.alias("at"), whole.alias("whole")))
+        rest = rest - scaled_by(whole.cast("double"), at)
+    each = rows.filter(x.isNotNull()).select(*by, F.explode(F.array(*pieces)).alias("p")).filter("p.whole <> 0 or p.at = 0")
+    sums = each.groupBy(*by, F.col("p.at").alias("at")).agg(F.sum(F.col("p.whole").cast("decimal(38,0)")).alias("whole"))
+    found = sums.groupBy(*by).agg(F.collect_list(F.struct("at", F.col("whole").cast("string").alias("whole"))).alias("parts"))
+    groups = rows.groupBy(*by).agg(F.count(column).alias("__n")).drop("__n")
+    out = groups.join(found, by, "left") if by else found
+    return out.select(*by, F.coalesce(put_together("parts"), F.lit(0.0)).alias(column))
+
+
+#: Bits of a piece of a double.
+PIECE = 30
+
+
+def scaled_by(x: Column, power: Column) -> Column:
+    """x times two to the power, in two steps, so that neither overflows."""
+    half = F.floor(power / 2)
+    return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+
+
 @F.pandas_udf(T.DoubleType())
-def exact_sum(values: pd.Series) -> float:
-    """The correctly rounded sum of doubles, whatever their order."""
-    return math.fsum(values.dropna())
+def put_together(parts: pd.Series) -> pd.Series:
+    def one(found) -> float | None:
+        if found is None:
+            return None
+        total = sum((Fraction(int(p["whole"])) * Fraction(2) ** int(p["at"]) for p in found), Fraction(0))
+        return total.numerator / total.denominator
+
+    return parts.map(one)
+
+
+def weight_features(weights: DataFrame, most_dosage: float) -> DataFrame:
+    """One row about weights: their number, mean, deviation, greatest and summed sizes, share of zeros, decimal places, and the bound of a score."""
+    w, size = F.col("effect_weight"), F.abs("effect_weight")
+    return weights.withColumn("places", decimal_places("effect_weight")).agg(
+        F.count(w).alias("variants"), F.avg(w).alias("mean"), F.stddev_pop(w).alias("sd"), F.max(size).alias("max_abs"), F.sum(size).alias("sum_abs"),
+        (F.count_if(w == 0) / F.count(w)).alias("sparsity"), F.max("places").alias("decimals"), (most_dosage * F.sum(size)).alias("bound"),
+    )
+
+
+@F.pandas_udf(T.IntegerType())
+def decimal_places(x: pd.Series) -> pd.Series:
+    """Decimal places of a number to fifteen digits, without zeros at the end: of the exact value, which Java's formats don't print."""
+    return x.map(lambda v: len(f"{abs(v):.15f}".rstrip("0").partition(".")[2]), na_action="ignore").astype("Int32")
 
 
 def dense_score(dosages: Column, weights: Column) -> Column:
     """The dot product of two arrays of one length."""
     return F.aggregate(F.zip_with(dosages, weights, lambda d, w: d * w), F.lit(0.0), lambda a, x: a + x)
+
+
+def positional_scores(dosages: DataFrame, weights: DataFrame) -> DataFrame:
+    """(sample_id, score) of rows (sample_id, variant_ord, effect_dosage) and weights (variant_ord, effect_weight): the column of a dosage is its weight's row."""
+    w = weights.select(F.col("variant_ord").alias("of"), "effect_weight")
+    rows = dosages.join(w, F.col("variant_ord") == F.col("of"))
+    return rows.groupBy("sample_id").agg(F.sum(F.col("effect_dosage") * F.col("effect_weight")).alias("score"))

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,9 +131,17 @@ def test_split_keeps_groups(spark):
     assert len(held) == 2 and held == records.held_out_groups([str(k) for k in reversed(range(10))])
 
 
-def test_exact_sum(spark):
-    rows = spark.createDataFrame([(1e16,), (1.0,), (-1e16,)], "x double")
-    assert rows.agg(score.exact_sum("x")).first()[0] == math.fsum([1e16, 1.0, -1e16])
+def test_exact_sums(spark):
+    r = random.Random(4)
+    groups = {0: [1e16, 1.0, -1e16], 1: [0.1] * 10, 2: [r.uniform(-1, 1) * 10 ** r.randint(-30, 30) for _ in range(500)], 3: [1e308, -1e308, 5e-324], 4: [0.0, -0.0], 5: [None], 6: [2.0**1023, 2.0**-1074]}
+    rows = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "k int, x double").repartition(3)
+    got = {row["k"]: row["x"] for row in score.exact_sums(rows, ["k"], "x").collect()}
+    assert got == {k: math.fsum(x for x in v if x is not None) for k, v in groups.items()}
+
+
+def test_decimal_places(spark):
+    got = spark.createDataFrame([(0.1,), (1.0,), (-0.1234567,), (1 / 3,)], "x double").select(score.decimal_places("x")).collect()
+    assert [r[0] for r in got] == [1, 0, 7, 15]
 
 
 def test_stream_counts_like_a_batch(spark, tmp_path):
