@@ -60,22 +60,27 @@ def regression_metrics(rows: DataFrame, actual: str, guess: str) -> DataFrame:
     return sums.select("n", "mae", "rmse", "mape", F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(0.0).alias("r2"))
 
 
-def average_rank(column: str) -> Column:
-    """Rank by a column where ties share the mean of their places."""
-    w = Window.orderBy(column)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2.0
+def average_ranks(rows: DataFrame, column: str, rank: str, pieces: int = 64) -> DataFrame:
+    """One row for each distinct value of ``column``: (of_``column``, ``rank``), where ties share the mean of their places.
+
+    Values are counted first. They are put in order range by range, in pieces between estimated quantiles, and the counts of
+    the pieces are summed up, so no task sorts all values.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    bounds = counts.agg(F.array_distinct(F.percentile_approx("v", [k / pieces for k in range(1, pieces)], 1000)).alias("bounds"))
+    piece = F.size(F.filter("bounds", lambda b: b < F.col("v")))
+    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("piece", piece).drop("bounds")  # one row
+    ahead = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each piece
+    starts = counts.groupBy(F.col("piece").alias("of")).agg(F.sum("m").alias("m")).select("of", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(starts, F.col("piece") == F.col("of"))
+    return counts.select(F.col("v").alias(f"of_{column}"), (F.col("start") + F.col("before") + (F.col("m") + 1) / 2.0).alias(rank))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks, 0 where either doesn't vary. Ranks come from counts of values, so few rows are sorted together."""
-
-    def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(F.col(c).alias(f"of_{c}")).agg(F.count(F.lit(1)).alias("m"))
-        before = F.coalesce(F.sum("m").over(Window.orderBy(f"of_{c}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.withColumn(f"r_{c}", before + (F.col("m") + 1) / 2.0).drop("m")
-
-    both = rows.join(ranks(a), F.col(a) == F.col(f"of_{a}")).join(ranks(b), F.col(b) == F.col(f"of_{b}"))
-    x, y = F.col(f"r_{a}"), F.col(f"r_{b}")
+    """Correlation of average ranks, 0 where either doesn't vary."""
+    both = rows.join(average_ranks(rows, a, "r_a"), F.col(a) == F.col(f"of_{a}")).join(average_ranks(rows, b, "r_b"), F.col(b) == F.col(f"of_{b}"))
+    x, y = F.col("r_a"), F.col("r_b")
     sums = both.agg(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
     return sums.select(F.coalesce(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")), F.lit(0.0)).alias("spearman"))
 

@@ -5,8 +5,11 @@ The axes are short lists of options; their product grows with the options, not w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +86,34 @@ def plan_key() -> Column:
 
 
 def frontier(rows: DataFrame, objectives: list[str]) -> DataFrame:
-    """Rows that no other is as good as in all objectives and better in one; rows with a null objective don't count."""
+    """Rows that no other is as good as in all objectives and better in one; rows with a null objective don't count.
+
+    Distinct points are thinned out to each task's own frontier first, then to that of groups of tasks, each an eighth as many,
+    and only what is left meets in one task: points of a frontier, which are few unless almost all rows belong to it.
+    """
     rows = rows.dropna(subset=objectives)
-    distinct = rows.select(*[F.col(c).alias(f"o_{c}") for c in objectives]).distinct()
-    no_worse = reduce(lambda a, b: a & b, [F.col(f"o_{c}") <= F.col(c) for c in objectives])
-    better = reduce(lambda a, b: a | b, [F.col(f"o_{c}") < F.col(c) for c in objectives])
-    return rows.join(distinct, no_worse & better, "left_anti")
+    points = rows.select(*[F.col(c).alias(f"o_{c}") for c in objectives]).distinct()
+    n = max(1, points.sparkSession.sparkContext.defaultParallelism)
+    points = points.mapInPandas(undominated, points.schema)
+    while n > 1:
+        n = -(-n // 8)
+        points = points.repartition(n).mapInPandas(undominated, points.schema)
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"o_{c}") for c in objectives])
+    return rows.join(points, same, "left_semi")
+
+
+def undominated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The points of all batches that no other one is as good as everywhere and better somewhere."""
+    kept = None
+    for batch in batches:
+        both = (batch if kept is None else pd.concat([kept, batch])).drop_duplicates()
+        both = both.sort_values(list(both.columns), ignore_index=True)  # what comes later can't dominate
+        x = both.to_numpy(dtype=np.float64)
+        left = np.zeros(len(x), dtype=bool)
+        best = np.empty((0, x.shape[1]))
+        for k, p in enumerate(x):
+            if not (best <= p).all(axis=1).any():
+                left[k], best = True, np.vstack([best, p])
+        kept = both[left]
+    if kept is not None:
+        yield kept

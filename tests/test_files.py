@@ -103,7 +103,7 @@ def test_errors_and_ranks(spark):
     pairs = spark.createDataFrame([(1.0, 1.1), (0.0, 0.0)], "a double, b double")
     assert cohort.errors(pairs, "a", "b").first()["max_abs"] == pytest.approx(0.1)
     rows = spark.createDataFrame([(1.0, 5.0), (1.0, 6.0), (2.0, 7.0)], "a double, b double")
-    assert sorted(r[0] for r in rows.select(models.average_rank("a")).collect()) == [1.5, 1.5, 3.0]
+    assert sorted(r["r"] for r in rows.join(models.average_ranks(rows, "a", "r"), F.col("a") == F.col("of_a")).collect()) == [1.5, 1.5, 3.0]
     assert models.spearman(rows.withColumn("b", F.lit(1.0)), "a", "b").first()[0] == 0.0
 
 
@@ -152,3 +152,20 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, hourly.counts(rows).collect()))
+
+
+@pytest.mark.parametrize("values", [[5], [3, 3, 3], [-(2**63), 2**63 - 1, 0, 7, 7], list(range(-50, 1000, 7))])
+def test_nth_value(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "x long").repartition(3)
+    for n in {1, len(values) // 2 + 1, len(values)}:
+        assert cohort.nth_value(rows, "x", F.lit(n)).first()[0] == sorted(values)[n - 1]
+    assert cohort.nth_value(rows.filter("false"), "x", F.lit(1)).count() == 0
+
+
+def test_frontier(spark):
+    r = random.Random(3)
+    points = [(k, float(r.randint(0, 9)), float(r.randint(0, 9)), r.choice([1.0, 2.0, None])) for k in range(300)]
+    full = [p for p in points if p[3] is not None]
+    want = {p[0] for p in full if not any(all(q[i] <= p[i] for i in (1, 2, 3)) and q[1:] != p[1:] for q in full)}
+    got = space.frontier(spark.createDataFrame(points, "k int, a double, b double, c double").repartition(5), ["a", "b", "c"])
+    assert {row["k"] for row in got.collect()} == want
