@@ -1,27 +1,32 @@
 """Exact top-k search by inner product: ball-tree branch and bound in each shard.
 
-Rows are dealt into shards of bounded size and queries into blocks of bounded size; a task holds one shard
-and one block. It builds a ball tree over its shard and walks it for each query, the node with the greatest
-upper bound first, until no bound reaches the k-th score so far. A first round searches each query's own
-shard alone; the k-th score found there is shared with all other shards, which start from it.
+Rows are dealt into shards of bounded size. A task reads a shard's rows, builds a ball tree over them once, and walks it for each query
+that follows, the node with the greatest upper bound first, until no bound reaches the k-th score so far. Queries go
+through their shards in rounds, each of four times as many as before; the k-th score found by then is shared with the next round.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Rows of a shard, queries of a block and rows of a leaf, at most or nearly so.
-SHARD, BLOCK, LEAF = 8192, 2048, 48
+#: Rows of a shard, at most or nearly so, and rows of a leaf.
+SHARD, LEAF = 8192, 48
 #: Below this magnitude sums of products of whole numbers are exact in doubles.
 EXACT = float(1 << 53)
+#: Scores are 64 bits: greater ones are given as the greatest, lesser ones as the least.
+MOST = (1 << 63) - 1
+#: Relative error of a bound or of a product of many doubles, more than there is.
+ERROR = 1e-9
 
 
 class BallTree:
@@ -53,95 +58,121 @@ class BallTree:
         self.radii = np.array([n[1] for n in self.nodes])
 
 
-def search_shard(ids: np.ndarray, points: np.ndarray, own: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(number of query, id, score) of each query's ``k`` best rows, ties to smaller ids, of those that reach ``least``.
-
-    ``own`` are the queries' ids, whose rows are left out. Points and queries hold whole numbers.
-    """
-    exact = np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * points.shape[1] < EXACT
-    if not exact:  # too large for doubles: plain whole numbers, row by row
-        points, queries, out = points.astype(object), queries.astype(object), []
-        for n, q in enumerate(queries):
-            q, rows = [int(x) for x in q], ids != own[n]
-            scores = [(-sum(int(a) * b for a, b in zip(p, q)), int(i)) for i, p in zip(ids[rows], points[rows])]
-            out += [(n, i, -s) for s, i in heapq.nsmallest(k, scores) if -s >= least[n]]
-        return out
-    tree = BallTree(points)
-    ids, points, nodes = ids[tree.order], points[tree.order], tree.nodes
-    lengths = np.sqrt((queries**2).sum(axis=1))
-    out = []
-    for n, q in enumerate(queries):
-        # Bounds are rounded up by more than the error of the sums behind them.
-        bounds = tree.centres @ q + tree.radii * lengths[n]
-        bounds = bounds + 1e-9 * np.abs(bounds) + 1e-6 * (1 + lengths[n])
-        best_scores, best_ids, kth = np.empty(0), np.empty(0, dtype=np.int64), least[n]
+def floored(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) / scale, which doubles hold exactly for a ``scale`` that is a power of two, also where the product has no double."""
+    large = np.abs(x) >= EXACT
+    return np.where(large, x, np.floor(np.where(large, 0, x) * scale) / scale)
+
+
+class Shard:
+    """Rows with their tree, scaled by a power of two to less than 2."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, scale: int):
+        self.scale, self.unit = scale, 2.0 ** (math.frexp(np.abs(points).max(initial=0))[1] - 1) if points.any() else 1.0
+        self.tree = BallTree(points / self.unit)
+        self.ids, self.points = ids[self.tree.order], (points / self.unit)[self.tree.order]
+        self.longest = float(np.sqrt((self.points**2).sum(axis=1)).max())
+
+    def score(self, row: int, query: np.ndarray) -> int:
+        """The exact score of a row, within 64 bits."""
+        total = sum(Fraction(a) * Fraction(b) for a, b in zip(self.points[row].tolist(), query.tolist()))
+        return max(-MOST - 1, min(MOST, int(total * Fraction(self.unit) * self.scale**2)))
+
+    def search(self, own: int, query: np.ndarray, least: int | None, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the ``k`` best rows, ties to smaller ids, of those that reach ``least``; ``own`` is left out."""
+        largest, nodes = float(np.abs(query).max(initial=0)), self.tree.nodes
+        exact = self.unit * self.scale * (largest * self.scale) * len(query) < EXACT
+        unit = 2.0 ** (math.frexp(largest)[1] - 1) if largest else 1.0
+        q = query / unit
+        length = float(np.sqrt((q**2).sum()))
+        slack = ERROR * (1 + length) * (1 + self.longest)
+        # A score is at least kth where this share of it is, but for the slack.
+        share = lambda kth: -math.inf if kth is None else float(kth) / self.scale / self.scale / self.unit / unit - slack - ERROR * abs(float(kth) / self.scale / self.scale / self.unit / unit)
+        bounds = self.tree.centres @ q + self.tree.radii * length
+        best: list[tuple[int, int]] = []
+        kth, floor = least, share(least)
         heap = [(-bounds[0], 0)]
-        while heap and -heap[0][0] >= kth:
+        while heap and -heap[0][0] >= floor:
             _, at = heapq.heappop(heap)
             _, _, lo, hi, left = nodes[at]
             if left >= 0:
                 for child in (left, left + 1):
-                    if bounds[child] >= kth:
+                    if bounds[child] >= floor:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
-            scores = points[lo:hi] @ q
-            hits = np.nonzero((scores >= kth) & (ids[lo:hi] != own[n]))[0]
-            if len(hits):
-                best_scores, best_ids = np.concatenate([best_scores, scores[hits]]), np.concatenate([best_ids, ids[lo:hi][hits]])
-                first = np.lexsort((best_ids, -best_scores))[:k]
-                best_scores, best_ids = best_scores[first], best_ids[first]
-                if len(first) == k:
-                    kth = max(kth, best_scores[-1])
-        out += [(n, int(i), int(s)) for i, s in zip(best_ids, best_scores)]
-    return out
+            scores = self.points[lo:hi] @ q
+            hits = np.nonzero((scores >= floor) & (self.ids[lo:hi] != own))[0]
+            if exact:
+                found = zip((scores[hits] * (self.unit * unit * self.scale**2)).astype(np.int64).tolist(), self.ids[lo:hi][hits].tolist())
+            else:
+                found = ((self.score(lo + int(n), query), int(self.ids[lo + int(n)])) for n in hits)
+            best = heapq.nsmallest(k, [*best, *(f for f in found if kth is None or f[0] >= kth)], key=lambda f: (-f[0], f[1]))
+            if len(best) == k and (kth is None or best[-1][0] > kth):
+                kth, floor = best[-1][0], share(best[-1][0])
+        return best
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, the row's id (``vec_id``) and score: each query's ``k`` rows with the greatest inner product.
 
-    Components become floor(scale * x), so scores are whole numbers. Ties go to the smaller id. A query's own
+    Components become floor(scale * x), with a power of two as ``scale``, so scores are whole numbers; they are exact whatever their
+    size, and one beyond 64 bits is given, and ranked, as the nearest number of 64 bits. Ties go to the smaller id. A query's own
     row, which is each row with its id, is left out. Rows and queries with a null id, or whose vector is null,
     empty or holds a null or non-finite component, take no part; rows of other lengths than the query's don't
     match it. Equal rows are rows of their own; equal queries (id and vector) are answered once. No rows or no
     queries, no result rows. Other columns are not read, whatever their names.
     """
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError("scale must be a power of two")
 
     def usable(df: DataFrame) -> DataFrame:
         x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         fine = F.forall("v", lambda c: F.coalesce(F.abs(c) < F.lit(math.inf), F.lit(False)))
         return x.filter(F.col("id").isNotNull() & (F.size("v") > 0) & fine).withColumn("dim", F.size("v"))
 
+    def searched(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come shard by shard, the shard's own rows before the queries.
+        place, held, shard = None, [], None
+        for batch in stream:
+            at, kind, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            cuts = [0, *(np.nonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1]))[0] + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if at[lo] != place:
+                    place, held, shard = at[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                ids, x = part.column(3).to_numpy(), floored(part.column(5).flatten().to_numpy().reshape(hi - lo, -1), scale)
+                if not kind[lo]:
+                    held.append((ids, x))
+                elif held:
+                    shard = shard or Shard(*(np.concatenate([h[n] for h in held]) for n in (0, 1)), scale)
+                    for q, own, least, vector in zip(part.column(2).to_pylist(), ids.tolist(), part.column(4).to_pylist(), x):
+                        found += [(q, own, i, s) for s, i in shard.search(own, vector, least, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(4)], ["q", "query_id", "vec_id", "score"])
+
     rows, asked = usable(vectors), usable(queries).dropDuplicates(["id", "v"])
-    n_rows, n_asked = rows.count(), asked.count()
-    shards, blocks = max(1, math.ceil(n_rows / SHARD)), max(1, math.ceil(n_asked / BLOCK))
-    # Shards and blocks are dealt by chance, not by a key, so that no key can fill one.
-    rows = cut(rows.withColumn("shard", F.floor(F.rand(7) * shards).cast("int")))
-    asked = cut(
-        asked.withColumns({"q": F.xxhash64("id", "v"), "block": F.floor(F.rand(8) * blocks).cast("int"), "home": F.floor(F.rand(9) * shards).cast("int")})
-    )
-    schema = "q long, query_id long, vec_id long, score long"
-
-    def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("q", "query_id", "vec_id", "score")})
-        if left.empty or right.empty:
-            return empty
-        points, sought = (np.floor(np.stack(x["v"].to_list()) * scale) for x in (left, right))
-        own, least = right["id"].to_numpy(), right["least"].to_numpy(dtype=np.float64)
-        found = search_shard(left["id"].to_numpy(), points, own, sought, least, k)
-        at = np.array([f[0] for f in found], dtype=np.int64)
-        return pd.DataFrame({"q": right["q"].to_numpy()[at], "query_id": own[at], "vec_id": [f[1] for f in found], "score": [f[2] for f in found]}, columns=list(empty)).astype("int64")
-
-    def search(parts: DataFrame, sought: DataFrame, keys: list[str]) -> DataFrame:
-        return parts.groupBy(*keys).cogroup(sought.groupBy(*keys)).applyInPandas(searched, schema)
-
-    home = search(rows, asked.select("q", "id", "v", "dim", F.col("home").alias("shard"), F.lit(-math.inf).alias("least")), ["dim", "shard"])
-    place = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")
-    kth = home.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") == k).select(F.col("q").alias("kq"), F.col("query_id").alias("kid"), F.col("score").alias("kth"))
-    shared = asked.join(kth, (F.col("q") == F.col("kq")) & (F.col("id") == F.col("kid")), "left")
-    shared = shared.withColumn("least", F.coalesce(F.col("kth").cast("double"), F.lit(-math.inf))).drop("kth", "kq", "kid", "home")
-    shared = shared.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = search(every, shared, ["dim", "shard", "block"]).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    shards = max(1, math.ceil(rows.count() / SHARD))
+    # Rows and queries are dealt by chance, not by a key, so that no key can fill a shard.
+    rows = cut(rows.withColumn("shard", F.floor(F.rand(7) * shards).cast("long")))
+    asked = cut(asked.withColumns({"q": F.xxhash64("id", "v"), "home": F.floor(F.rand(9) * shards).cast("long")}))
+    null = F.lit(None).cast("long")
+    points = rows.select((F.col("dim") * F.lit(1 << 40) + F.col("shard")).alias("place"), F.lit(0).alias("kind"), null.alias("q"), "id", null.alias("least"), "v")
+    best = F.row_number().over(Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
+    found, done, more = None, 0, 1
+    while done < shards:
+        many = min(more, shards - done)
+        sought = asked.withColumn("least", null)
+        if found is not None:
+            kth = found.filter(F.col("rank") == k).select(F.col("q").alias("kq"), F.col("query_id").alias("kid"), "score")
+            sought = asked.join(kth, (F.col("q") == F.col("kq")) & (F.col("id") == F.col("kid")), "left").withColumn("least", F.col("score"))
+        sought = sought.select("dim", "q", "id", "least", "v", "home", F.explode(F.sequence(F.lit(done).cast("long"), F.lit(done + many - 1).cast("long"))).alias("further"))
+        sought = sought.select((F.col("dim") * F.lit(1 << 40) + (F.col("home") + F.col("further")) % shards).alias("place"), F.lit(1).alias("kind"), "q", "id", "least", "v")
+        both = points.unionByName(sought).repartition("place").sortWithinPartitions("place", "kind")
+        new = both.mapInArrow(searched, "q long, query_id long, vec_id long, score long")
+        new = new if found is None else new.unionByName(found.drop("rank"))
+        found = cut(new.select("*", best).filter(F.col("rank") <= k))
+        done, more = done + many, 4 * more
     return found.select("query_id", "rank", "vec_id", "score")
 
 

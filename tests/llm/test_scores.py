@@ -1,9 +1,11 @@
 """Token counts, top-k search, toxicity and quality against libraries, brute force and held-out labels."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -78,7 +80,6 @@ def vectors(spark):
 @pytest.mark.parametrize("shard", [8192, 40])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(top_k, "SHARD", shard)
-    monkeypatch.setattr(top_k, "BLOCK", 4)
     monkeypatch.setattr(top_k, "LEAF", 5)
     data, df = vectors(spark)
     got = top_k.top_k(df, df.filter("vec_id % 50 = 0")).collect()
@@ -96,6 +97,22 @@ def test_top_k_large_numbers(spark):
     assert (got["vec_id"], got["score"]) == (0, 256 * 256 * (10**13 + 2))
 
 
+def test_top_k_beyond_64_bits(spark):
+    """Exact up to 64 bits; beyond, the nearest number of 64 bits, with ties to smaller ids."""
+    r = np.random.default_rng(2)
+    data = [(k, [float(x) for x in r.normal(size=3) * 10.0 ** r.integers(0, 9, 3)]) for k in range(120)]
+    data += [(200, [1e14, 1.0, -1.0]), (201, [1e300, -1e300, 3.0]), (202, [-1e308, 1.0, 0.0]), (203, [1.7e308] * 3), (204, [5e-324, 0.0, -0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = top_k.top_k(df, df.filter("vec_id % 50 = 0 or vec_id > 199"), k=5).collect()
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in data}
+    want = set()
+    for i in whole:
+        if i % 50 == 0 or i > 199:
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], v)))), j) for j, v in whole.items() if j != i]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:5])}
+    assert set(map(tuple, got)) == want
+
+
 def test_top_k_empty(spark, empty):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k.top_k(none, none).count() == 0
