@@ -54,28 +54,39 @@ def mixed(h):
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(offset, hash) of each word; each eight bytes of a word are mixed by a key of their own."""
+    """Where each word begins and ends."""
     space = SPACE[data]
     starts = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
-    ends = np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
+    return starts, np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for the bytes of each span, A to Z in lower case; each eight bytes are mixed by a key of their own."""
     n = ends - starts
     if not len(n):
-        return starts, np.empty(0, np.uint64)
-    pieces = (n + 7) >> 3
+        return np.empty(0, np.uint64)
+    pieces = np.maximum((n + 7) >> 3, 1)
     first = np.cumsum(pieces) - pieces
-    word = np.repeat(np.arange(len(n)), pieces)
-    j = np.arange(len(word)) - first[word]
-    lower = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data), dtype="<u8", buffer=lower, strides=(1,))[starts[word] + 8 * j]
-    eight &= FIRST[np.minimum(n[word] - 8 * j, 8)]
+    span = np.repeat(np.arange(len(n)), pieces)
+    j = np.arange(len(span)) - first[span]
+    eight = eights(data)[starts[span] + 8 * j]
+    eight &= FIRST[np.minimum(n[span] - 8 * j, 8)]
     eight = mixed(mixed(eight ^ mixed(j.astype(np.uint64) * K[0] + K[1])) * K[2])
-    return starts, mixed(np.add.reduceat(eight, first) + n.astype(np.uint64) * K[3])
+    return mixed(np.add.reduceat(eight, first) + n.astype(np.uint64) * K[3])
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each offset as one number, A to Z in lower case."""
+    lower = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=lower, strides=(1,))
 
 
 def shingles(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct fingerprints of each text's shingles."""
     for part in batches(texts):
-        starts, each = words(np.frombuffer(b" ".join(part) + b" ", np.uint8))
+        data = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        starts, ends = words(data)
+        each = hashes(data, starts, ends)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in part]))
         if len(each) >= WORDS:
             m = len(each) - WORDS + 1

@@ -147,26 +147,80 @@ def test_toxicity_held_out(spark):
     assert found and sum("zox" in f or "vrump" in f for f in found) >= 0.95 * len(found)
 
 
-def test_forward_pass_is_exact():
-    """Runs of plain words as matrix powers give what summing over all labellings gives."""
-    r = np.random.default_rng(0)
-    model = toxicity.Field(-1.0, {"=bad": 2.0, "=worse": 3.0}, r.normal(size=(2, 2)))
-    words = [b"a", b"bad", b"b", b"c", b"worse", b"bad", b"d"]
-    total, clean, one = 0.0, 0.0, np.zeros(len(words))
-    for code in range(1 << len(words)):
-        y = [code >> k & 1 for k in range(len(words))]
-        s, last = 0.0, 0
-        for k, (c, w) in enumerate(zip(y, words)):
-            weight = model.weight(w)
-            s += model.step[last, c] + c * (model.bias + weight if weight else toxicity.PLAIN)
+def brute_field(step, emission):
+    """(log of all taggings, log of the one without offences, chance of each word to offend)."""
+    total, clean, one = 0.0, 0.0, np.zeros(len(emission))
+    for code in range(1 << len(emission)):
+        tags, last, x = [code >> k & 1 for k in range(len(emission))], 0, 0.0
+        for c, e in zip(tags, emission):
+            x += step[last, c] + c * e
             last = c
-        total += np.exp(s)
-        clean += np.exp(s) * (code == 0)
-        one += np.exp(s) * np.array(y)
-    odds, marginals = model.read(words)
-    assert odds == pytest.approx(np.log((total - clean) / clean))
-    assert [k for k, _ in marginals] == [1, 4, 5]
-    assert all(m == pytest.approx(one[k] / total) for k, m in marginals)
+        total += np.exp(x)
+        clean += np.exp(x) * (code == 0)
+        one += np.exp(x) * np.array(tags)
+    return np.log(total), np.log(clean), one / total
+
+
+def test_field_sums_over_all_taggings():
+    r = np.random.default_rng(0)
+    model = toxicity.Field(-1.0, step=r.normal(size=(2, 2)))
+    n = np.array([7, 0, 1, 4, 5])
+    emission = r.normal(size=n.sum()) * 2
+    odds, at = model.odds(emission, n), 0
+    for k, m in enumerate(n.tolist()):
+        part = emission[at : at + m]
+        at += m
+        if not m:
+            assert odds[k] == -50
+            continue
+        total, clean, one = brute_field(model.step, part)
+        assert odds[k] == pytest.approx(np.log(np.exp(total) - np.exp(clean)) - clean)
+        assert model.marginals(part) == pytest.approx(one)
+
+
+def test_gradient_of_the_labels():
+    """The gradient is that of the chance of the labels, summed over the taggings that agree with them."""
+    r = np.random.default_rng(1)
+    step, emission = r.normal(size=(2, 2)), r.normal(size=(3, 5)) - 1
+    mask, toxic, weight = np.arange(5) < np.array([[5], [3], [4]]), np.array([True, False, True]), np.array([1.0, 2.0, 0.5])
+
+    def likelihood(step, emission):
+        out = 0.0
+        for e, m, t, w in zip(emission, mask, toxic, weight):
+            total, clean, _ = brute_field(step, e[m])
+            out += w * (np.log(-np.expm1(clean - total)) if t else clean - total)
+        return out
+
+    value, by_emission, by_step = toxicity.gradient(step, emission, mask, toxic, weight)
+    assert value == pytest.approx(likelihood(step, emission))
+    for x, by in ((emission, by_emission), (step, by_step)):
+        for k in np.ndindex(x.shape):
+            more, less = x.copy(), x.copy()
+            more[k] += 1e-5
+            less[k] -= 1e-5
+            pair = [(likelihood(step, y) if x is emission else likelihood(y, emission)) for y in (more, less)]
+            assert by[k] == pytest.approx((pair[0] - pair[1]) / 2e-5, abs=1e-6)
+
+
+def test_a_word_offends_in_one_context_only():
+    r = random.Random(2)
+    other = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts, toxic = [], []
+    for k in range(600):
+        w = [r.choice(other) for _ in range(30)]
+        w[r.randrange(1, 29)] = "quux"
+        at = next(n for n, x in enumerate(w) if x == "quux")
+        w[at - 1] = "zig" if k % 3 == 0 else r.choice(["zag", "zog"])
+        if k % 3:  # the other word is everywhere, but not before it
+            w[(at + 5) % 28] = "zig"
+        texts.append(" ".join(w).encode())
+        toxic.append(float(k % 3 == 0))
+    with np.errstate(over="ignore"):
+        model = toxicity.fit(texts[:450], np.array(toxic[:450]))
+        score = model.score(model.of_texts(texts[450:]))
+        assert ((score >= 0.5) == np.array(toxic[450:])).mean() > 0.97
+        hits = [toxicity.offsets(model, t) for t, y in zip(texts[450:], toxic[450:]) if y]
+        assert sum(any(b"quux" in t[s["start"] : s["end"]] for s in spans) for spans, t in zip(hits, (t for t, y in zip(texts[450:], toxic[450:]) if y))) > 0.9 * len(hits)
 
 
 def test_toxicity_edges(spark, docs, empty, labels, rows):
@@ -205,6 +259,43 @@ def test_rule_ensemble_held_out(spark):
     assert sum((got[k]["score"] >= 0.7) == bool(known[k][1]) for k in out) >= 0.97 * len(out)
 
 
+def brute_features(spark, docs):
+    stats = textstats.with_features(textstats.with_statistics(docs, ["doc_id"]))
+    return [r.asDict() for r in stats.select("doc_id", "n_words", "n_repeat_words", *textstats.FEATURES).collect()]
+
+
+def test_ensemble_by_hand(spark):
+    """The compiled expression gives what adding up the rules' weights gives, on each row."""
+    docs, labels, _ = labelled_texts(spark)
+    got = {r["doc_id"]: r["score"] for r in rule_ensemble.score_quality(docs, labels).collect()}
+    model = rule_ensemble.learn(docs, labels, 4, 2)
+    assert model.rules
+    for row in brute_features(spark, docs):
+        total = model.bias + sum(w for rule, w in model.rules if all((row[f] > t) == above for f, above, t in rule))
+        assert got[row["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_decision_list_by_hand(spark):
+    """A row is kept if it passes the base rules and no rule of the list holds."""
+    docs, labels, known = labelled_texts(spark)
+    label = {k: q for k, q, _ in known}
+    stats = textstats.with_features(textstats.with_statistics(docs, ["doc_id"]))
+    rules = decision_list.learn(textstats.labelled(stats, labels, "quality").select("doc_id", "label", *textstats.FEATURES))
+    assert rules
+    got = {r["doc_id"]: r["kept"] for r in decision_list.judge_quality(docs, labels).collect()}
+    rows = brute_features(spark, docs)
+    for row in rows:
+        base = row["n_words"] < 10 or 100 * row["n_repeat_words"] > 20 * row["n_words"]
+        held = any(all((row[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        assert got[row["doc_id"]] == (not base and not held)
+    # Each rule finds the rejected ones with the precision that it must have, on the rows it wasn't grown on.
+    left = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 0]
+    for rule in rules:
+        found = [r for r in left if all((r[c.feature] > c.threshold) == c.above for c in rule)]
+        assert sum(label[r["doc_id"]] == 0 for r in found) >= decision_list.PRECISION * len(found)
+        left = [r for r in left if r not in found]
+
+
 def test_quality_edges(spark, docs, empty, labels, rows):
     judged = decision_list.judge_quality(docs, labels).collect()
     assert len(judged) == len(rows)
