@@ -155,9 +155,9 @@ def score_quality(
     model = learn(rows, labels, folds, fold)
     stats = with_features(with_statistics(rows, ["doc_id"] + ["row"] * whole))
     out = held_out(F.col("doc_id"), folds, fold)
-    # Spark would move a filter on the score below the statistics and work these out once for each mention; a column
-    # that isn't deterministic keeps it above.
-    return stats.select("doc_id", out.alias("held_out"), (model.score() + F.rand(0) * 0).alias("score"), *["row"] * whole)
+    # Spark would move a filter on the score below the statistics and work these out once for each mention; it
+    # doesn't move one on a column that comes out of a list.
+    return stats.select("doc_id", out.alias("held_out"), F.explode(F.array(model.score())).alias("score"), *["row"] * whole)
 
 
 #: What a score must reach for label 1.
