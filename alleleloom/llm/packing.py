@@ -12,20 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, each_copy, table, with_offsets, word_count
 
-#: For coarse bins, which ``pack`` does without: lengths up to EXACT have a bin each; above, STEPS bins lie between a
-#: power of two and the next.
-EXACT, STEPS = 2048, 512
 #: Rows of a bucket are numbered piece by piece, so that no task sorts a whole bucket.
 PIECES = 1024
 
 
-def upper_edge(length):
-    """The largest length in the same bin, as a column."""
-    power = F.greatest(F.length(F.bin(length)) - F.lit(STEPS.bit_length()), F.lit(0))
-    width = F.expr("bigint(1)") * F.pow(F.lit(2.0), power).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / width) * width).cast("long")
-
-
 def choose_boundaries(edges: list[int], counts: list[int], buckets: int) -> list[int]:
     """At most ``buckets`` of the ascending ``edges``, the last included, that pad the rows least.
 
@@ -85,7 +75,9 @@ def pack(docs: DataFrame, lengths: DataFrame | None = None, buckets: int = 8, bu
     bucket = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(bucket)
-    units = units.withColumn("bucket", bucket.cast("int")).withColumn("piece", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(PIECES)))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string")))
+    piece = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % PIECES
+    units = units.withColumn("bucket", bucket.cast("int")).withColumn("piece", piece)
     rows = each_copy(with_offsets(units, "piece", ["doc_id", "n_tokens"], "copies", within=["bucket"]), "copies", "copy")
     pad_to = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     rows = rows.withColumn("pad_to", pad_to).withColumn("fits", F.greatest(F.floor(F.lit(budget) / F.greatest("pad_to", F.lit(1))), F.lit(1)).cast("long"))
@@ -99,3 +91,28 @@ def pack(docs: DataFrame, lengths: DataFrame | None = None, buckets: int = 8, bu
 
 def op6_pack(spark, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+def levels(buckets: int) -> str:
+    """The tables of the dynamic programming in SQL: c1, c2 and so on, and b1 to b``buckets``, the numbers of the boundaries' lengths or -1."""
+    out = ["c1 as (select i as j, upto * n as cost, 0 as split from t)"]
+    for k in range(2, buckets + 1):
+        out.append(f"""c{k} as (select j, min(cost) as cost, min_by(i, (cost, i)) as split from (select b.i as j, a.i as i, coalesce(p.cost, 0) + (b.upto - (a.upto - a.c)) * b.n as cost
+    from t b join t a on a.i <= b.i left join c{k - 1} p on p.j = a.i - 1) x group by j)""")
+    out.append(f"b{buckets} as (select max(i) as j from t)")
+    out += [f"b{k} as (select coalesce((select split - 1 from c{k + 1} where c{k + 1}.j = (select b{k + 1}.j from b{k + 1})), -1) as j)" for k in range(buckets - 1, 0, -1)]
+    return ", ".join(out)
+
+
+#: The same packing in DuckDB's SQL, with the dynamic programming over all pairs of lengths.
+OP6_SQL = rf"""
+with u as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n, count(*) as copies from documents group by 1, 2),
+t as (select n, c, row_number() over (order by n) - 1 as i, sum(c) over (order by n) as upto from (select n, sum(copies)::double as c from u group by 1) h),
+{levels(8)},
+bounds as (select distinct t.n as pad_to from t join ({' union all '.join(f'select j from b{k}' for k in range(1, 9))}) b on t.i = b.j),
+named as (select pad_to, (row_number() over (order by pad_to) - 1)::int as bucket, lag(pad_to, 1, -1) over (order by pad_to) as above from bounds),
+placed as (select doc_id, n, bucket, pad_to, greatest(8192 // greatest(pad_to, 1), 1) as fits,
+    row_number() over (partition by bucket order by ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || n), 1, 8))::bigint % 1024, doc_id nulls first, n) - 1 as number
+  from u join named on n > above and n <= pad_to, unnest(range(copies)))
+select doc_id, n as n_tokens, bucket, pad_to, number // fits as batch_id, number % fits as slot, pad_to - n as n_pad from placed
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rule_ensemble": rule_ensemble.op10_quality,
 }
 
-ORACLES = {"op1_mix_hash_threshold": mixing.OP1_SQL, "op7_search_ball_tree": top_k.OP7_SQL}
+ORACLES = {"op1_mix_hash_threshold": mixing.OP1_SQL, "op6_pack_length_buckets": packing.OP6_SQL, "op7_search_ball_tree": top_k.OP7_SQL}
