@@ -160,3 +160,31 @@ def test_repeats_with_hot_anchors(spark, monkeypatch, hot, group):
     rows = [(k, word(60) + r.choice(ends) + passage[r.choice([0, 0, 9]) :] + r.choice(ends) + word(r.randint(0, 60))) for k in range(60)]
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert Counter(tuple(g) for g in got) == brute_repeats(rows)
+
+
+def test_every_link_of_a_corpus(spark):
+    """Recall on whole documents: components equal those of an exact join on shared shingles, at both thresholds. Measured: all of them."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders = [shingles(t) for _, t in rows], {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    for percent in (85, 80):
+        root = list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        links = 0
+        for k, s in enumerate(sets):
+            for j, both in Counter(j for x in s for j in holders[x] if j < k).items():
+                if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                    links += 1
+                    root[find(k)] = find(j)
+        least = {}
+        for k, (i, _) in enumerate(rows):
+            least[find(k)] = min(least.get(find(k), i), i)
+        got = near_copies.link_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+        assert links > 50 and {r["doc_id"]: r["component_id"] for r in got} == {i: least[find(k)] for k, (i, _) in enumerate(rows)}

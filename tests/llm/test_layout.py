@@ -49,6 +49,17 @@ def test_mix_reaches_targets(docs, rows):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_to_weights(docs.repartition(5)).collect()), key=str)
 
 
+def test_a_capped_source_gives_no_row_three_times(spark):
+    """A source whose words are all taken twice has none left, nor any of its rows without words."""
+    rows = [(k, "word " * 9 if k % 3 else "", "small" if k < 60 else "large") for k in range(60)]
+    rows += [(k, "word " * 200, "large") for k in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_to_weights(docs, weights=(1, 50)).collect()
+    assert {r["target"] / r["source_size"] for r in mixed if r["source"] == "small"} == {2.0}
+    assert max(r["times"] for r in mixed) == 2
+    assert max(Counter(r["doc_id"] for r in mixing.mixed_rows(docs, weights=(1, 50)).collect()).values()) == 2
+
+
 def test_mix_thresholds_are_nested(docs):
     lower = {(r["doc_id"], r["size"]): r["times"] for r in mixing.mix_to_weights(docs, share=0.5).filter("doc_id <> 3").collect()}
     upper = {(r["doc_id"], r["size"]): r["times"] for r in mixing.mix_to_weights(docs, share=0.9).filter("doc_id <> 3").collect()}

@@ -41,3 +41,25 @@ def test_pipeline(spark, docs, labels, tmp_path):
             assert stage.dtypes == rows.dtypes
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, stage.collect()), key=str)
+
+
+def test_stages_take_any_rows(spark, docs, labels, rows, tmp_path):
+    """Null ids, empty and long texts, repeated rows and columns whose names the operators use themselves."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = {"row": "size", "__id": "doc_id", "__kept_text": "text", "n_bytes": "hash", "k1": "hash", "w1": "size", "score": "hash", "kept_text": "size", "part": "hash", "of": "size"}
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars", *[docs[c].alias(n) for n, c in odd.items()])
+    stage = some
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, stage, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/odd{k}")
+        stage = spark.read.parquet(f"{tmp_path}/odd{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert stage.dtypes == some.dtypes
+        assert stage.count()
+
+
+def test_stages_take_no_rows(spark, empty, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stage = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, stage, str(tmp_path)).count() == 0
