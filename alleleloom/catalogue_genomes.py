@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import alleles
+from .functions import alleles, slots
 from .operators import align, score
 from .registry import query, table
 from .sources import adapters, genotypes
@@ -160,3 +160,32 @@ def panel_last_row_wins(spark, sf_dir):
         F.col("c_custkey").alias("line"), F.concat(F.lit("s"), (F.col("c_custkey") % 97).cast("string")).alias("sample"), F.col("c_mktsegment").alias("pop"), "super_pop"
     )
     return genotypes.panel_samples(genotypes.last_rows(rows, ["pop", "super_pop"]), 5, population="BUILDING")
+
+
+#: A sample's field and its FORMAT, as genotype files have them. The same for Spark and DuckDB.
+FORMAT = "case l_linenumber%3 when 0 then 'GT:DS' when 1 then 'GT' else 'DP:GT' end as format"
+FIELD = """(case l_linenumber%3 when 2 then '9:' else '' end)||(case cast(l_quantity as bigint)%9 when 0 then '0/0' when 1 then '0|1' when 2 then '1/1' when 3 then './.' when 4 then '0/2' when 5 then '1' when 6 then '.' when 7 then '1/0/1' else '0/1' end)
+    ||(case l_linenumber%3 when 0 then (case cast(l_quantity as bigint)%7 when 0 then ':1.25' when 1 then ':.' when 2 then ':2.5' when 3 then ':x' when 4 then ':' else ':0.5' end) else '' end) as field"""
+GT = "(case when regexp_matches(gt, '^[01][/|][01]$') then len(regexp_replace(gt, '[^1]', '', 'g'))::double end)"
+
+
+@query(f"""with f as (select l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, {FORMAT}, {FIELD} from lineitem),
+  p as (select *, string_split(field, ':') as parts, list_position(string_split(format, ':'), 'DS') as ds_at, list_position(string_split(format, ':'), 'GT') as gt_at from f),
+  x as (select *, case when ds_at>0 then parts[ds_at] end as ds, parts[gt_at] as gt from p)
+  select format, field, count(*) as n, any_value({GT}) as gt_dosage, any_value(case when regexp_matches(gt, '^[01]([/|][01])*$') then len(regexp_replace(gt, '[^1]', '', 'g')) end)::bigint as any_ploidy,
+    any_value(case when ds is not null and ds not in ('', '.') then (case when try_cast(ds as double) between 0 and 2 then try_cast(ds as double) end) else {GT} end) as dosage from x group by 1, 2""")
+def genotype_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber", "l_quantity", FORMAT).selectExpr("format", FIELD)
+    fields = F.split("format", ":")
+    gt = F.get(F.split("field", ":"), (F.array_position(fields, F.lit("GT")) - 1).cast("int"))
+    made = rows.groupBy("format", "field").agg(F.count(F.lit(1)).alias("n"))
+    return made.select("format", "field", "n", alleles.gt_dosage(gt).alias("gt_dosage"), alleles.any_ploidy_dosage(gt).alias("any_ploidy"), alleles.sample_dosage(F.col("field"), fields).alias("dosage"))
+
+
+@query("""select p_partkey, round_even(p_retailprice*p_size, 0)::bigint as quantised, list_sum(list_concat(list_transform(range(0, least(p_size, 32)), lambda i: 1), list_transform(range(0, 32-least(p_size, 32)), lambda i: 0)))::bigint as active,
+  least(p_size, 32)::bigint as ones from part""")
+def quantised_masks(spark, sf_dir):
+    rows = table(spark, sf_dir, "part")
+    ones = F.least(F.col("p_size"), F.lit(32))
+    mask = slots.padding_mask(ones, F.lit(32))
+    return rows.select("p_partkey", alleles.quantized(F.col("p_retailprice"), F.col("p_size")).alias("quantised"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("active"), ones.cast("long").alias("ones"))

@@ -240,3 +240,25 @@ def formatted_numbers(spark, sf_dir):
     first = first.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct("rec_ord", records.twelve_digits(F.col("evaluation_seconds")).alias("x")))).alias("l"))
     counts = rows.groupBy("scheme").agg(F.count_if(F.col("status") == "ok").alias("a"), F.count_if(F.col("status") == "failed").alias("b"))
     return first.join(counts, "scheme").select("scheme", F.array_join("l.x", ";").alias("listed"), records.ratio_text(F.col("a"), F.col("b")).alias("ratio"))
+
+
+#: Coefficients of a model of seconds (on log1p) and of one of success, as trained ones are stored.
+SECONDS, SUCCESS = [0.25, 0.004, 0.0015], [1.5, -0.01, -0.002]
+
+
+@query(REC + f"""r as (select rec_ord, peak_memory_mb, ciphertext_bytes from rec where status='ok')
+  select rec_ord, round(greatest(0, exp({SECONDS[0]}+peak_memory_mb*{SECONDS[1]}+ciphertext_bytes*{SECONDS[2]})-1), 6)::double as seconds,
+    round(1/(1+exp(-({SUCCESS[0]}+peak_memory_mb*{SUCCESS[1]}+ciphertext_bytes*{SUCCESS[2]}))), 9)::double as probability from r""")
+def model_predictions(spark, sf_dir):
+    names = ["peak_memory_mb", "ciphertext_bytes"]
+    rows = adapters.records(spark, sf_dir).filter("status = 'ok'")
+    return rows.select("rec_ord", F.round(models.predicted(names, SECONDS), 6).alias("seconds"), F.round(models.probability(names, SUCCESS), 9).alias("probability"))
+
+
+@query()
+def logistic_fit(spark, sf_dir):
+    """Coefficients of whether a record is of the first scheme, by its measurements. Fitted step by step, so without SQL."""
+    rows = adapters.records(spark, sf_dir).filter("status = 'ok'").select((F.col("scheme") == "CKKS").cast("int").alias("y"), "peak_memory_mb", (F.col("ciphertext_bytes") / 1000).alias("kilobytes"))
+    names = ["peak_memory_mb", "kilobytes"]
+    fitted = models.logistic(rows, names, "y", penalty=0.01)
+    return spark.createDataFrame(list(zip(["intercept", *names], fitted)), "feature string, coefficient double")

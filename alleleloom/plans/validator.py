@@ -150,3 +150,25 @@ ABLATIONS = [
     "no_scheme_selection", "no_packing_optimization", "no_chunk_strategy_optimization", "no_reduction_strategy_optimization", "no_learned_cost_model",
     "no_bayesian_refinement", "no_genomic_workload_features", "no_top_k_actual_validation", "no_error_constraint", "no_fixed_point_range_validator",
 ]
+
+
+def plan_vector() -> Column:
+    """Scheme, ring, window, scale bits and fixed scale of a plan as comparable numbers."""
+    scheme = F.when(F.col("scheme") == "CKKS", 0.0).when(F.col("scheme") == "BFV", 1.0).otherwise(2.0)
+    log10 = F.when(F.col("fixed_scale") > 0, F.log10(F.col("fixed_scale").cast("double")))
+    return F.array(
+        scheme, F.log2(F.col("ring").cast("double")), F.coalesce(F.when(F.col("window") > 0, F.log2(F.col("window").cast("double"))), F.lit(0.0)),
+        F.coalesce("scale_bits", F.lit(0)) / 60.0, F.coalesce(log10, F.lit(0.0)),
+    )
+
+
+def paired(predicted: DataFrame, measured: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Each prediction with the measurement of the same plan: key, predicted, measured, residual and whether there is a pair.
+
+    Of several measurements of a plan the mean of those that didn't fail counts.
+    """
+    means = measured.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.avg(value).alias("measured"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    rows = predicted.select(*key, F.col(value).alias("predicted")).join(means, same, "left")
+    status = F.when(F.col("measured").isNotNull(), "paired").when(F.col(f"__{key[0]}").isNotNull(), "unavailable_failed_measurement").otherwise("not_measured")
+    return rows.select(*key, "predicted", "measured", (F.col("measured") - F.col("predicted")).alias("residual"), status.alias("status"))

@@ -52,10 +52,11 @@ def read_vcf(spark: SparkSession, path: str, sample_ids: list[str] | None = None
         raise ValueError(f"no such samples: {unknown}")
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 9)
     f = F.col("f")
-    rows = rows.select("line", "f", alleles.chromosome(f[0]).alias("chrom"), f[1].cast("long").alias("position"), f[2].alias("rsid"), F.upper(f[3]).alias("ref"), F.upper(f[4]).alias("alt"))
+    cell = lambda k: F.get(f, F.lit(k))  # noqa: E731  a later filter may be asked before that on the number of fields
+    rows = rows.select("line", "f", alleles.chromosome(cell(0)).alias("chrom"), cell(1).try_cast("long").alias("position"), cell(2).alias("rsid"), F.upper(cell(3)).alias("ref"), F.upper(cell(4)).alias("alt"))
     if wanted is not None:
         rows = rows.join(wanted.select("chrom", "position").distinct(), ["chrom", "position"], "left_semi")
-    fields = F.split(f[8], ":")
+    fields = F.split(cell(8), ":")
     at = {n: k + 9 for k, n in enumerate(names)}
     samples = F.transform(literal([at[s] for s in chosen]).cast("array<int>"), lambda k: F.get(f, k)) if chosen else F.array().cast("array<string>")
     several = F.col("alt").contains(",")
@@ -286,8 +287,14 @@ def read_dosage_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, chrom, position, ref, alt, rsid, alt_dosage), one row per cell of a table with a column per variant.
 
     The header's columns are chrom:pos:REF:ALT with or without an id; the first one is sample_id. Cells of one line
-    come from that line, so the table is never as wide as its variants.
+    come from that line, so the table is never as wide as its variants. A .parquet path is read by its columns.
     """
+    if path.rstrip("/").endswith(".parquet"):
+        wide = spark.read.parquet(path)
+        if wide.columns[:1] != ["sample_id"]:
+            raise ValueError("the first column must be sample_id")
+        pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("cell")) for c in wide.columns[1:]])
+        return _cells(wide.select(F.col("sample_id").cast("string").alias("sample_id"), F.inline(pairs)))
     sep = "\t" if path.endswith((".tsv", ".txt")) else ","
     lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
     head = lines.orderBy("line").first()
@@ -298,7 +305,10 @@ def read_dosage_matrix(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"not a variant: {wrong[0]}")
     keys = spark.createDataFrame([(k + 1, n) for k, n in enumerate(names[1:])], "at int, key string")
     cells = lines.filter(F.col("line") > head["line"]).filter(F.trim("value") != "").select(F.split("value", sep).alias("f"))
-    cells = cells.select(F.col("f")[0].alias("sample_id"), F.posexplode("f").alias("at", "cell")).filter("at > 0").join(keys, "at")
+    return _cells(cells.select(F.col("f")[0].alias("sample_id"), F.posexplode("f").alias("at", "cell")).filter("at > 0").join(keys, "at"))
+
+
+def _cells(cells: DataFrame) -> DataFrame:
     k, value = F.split("key", ":"), F.trim("cell")
     return cells.select(
         "sample_id", alleles.chromosome(k[0]).alias("chrom"), k[1].cast("long").alias("position"), F.upper(k[2]).alias("ref"), F.upper(k[3]).alias("alt"),

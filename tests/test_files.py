@@ -76,6 +76,8 @@ def test_dosage_matrix_and_strands(spark, tmp_path):
     weights = spark.createDataFrame([("22", 100, 1, "G", "T", 2), ("22", 101, 2, "T", "A", 1)], "chrom string, position long, source_row long, effect_allele string, other_allele string, w_int long")
     got = {r["position"]: (r["reason"], r["flipped"]) for r in align.classify(weights, variants).collect()}
     assert got == {100: ("ok", True), 101: ("strand_ambiguous", None)}
+    spark.createDataFrame([("S1", 1.0, 2.0), ("S2", None, 2.5)], "sample_id string, `22:100:A:C` double, `22:101:A:T:rs2` double").write.parquet(f"{tmp_path}/m.parquet")
+    assert sorted(map(tuple, genotypes.read_dosage_matrix(spark, f"{tmp_path}/m.parquet").collect()), key=str) == sorted(map(tuple, cells.collect()), key=str)
     (tmp_path / "bad.csv").write_text("id,22:1:A:C\n")
     with pytest.raises(ValueError, match="sample_id"):
         genotypes.read_dosage_matrix(spark, str(tmp_path / "bad.csv"))

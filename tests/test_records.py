@@ -45,3 +45,21 @@ def test_sigmoid_at_its_ends(spark):
 
     got = spark.createDataFrame([(-1000.0,), (0.0,), (1000.0,), (2.0,)], "x double").select(models.sigmoid(F.col("x"))).collect()
     assert [r[0] for r in got] == [0.0, 0.5, 1.0, pytest.approx(1 / (1 + math.exp(-2)))]
+
+
+def test_logistic_finds_the_coefficients(spark):
+    import numpy as np
+
+    from alleleloom.operators import models
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 2))
+    y = r.random(4000) < 1 / (1 + np.exp(-(0.5 + x @ [1.5, -2.0])))
+    rows = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+    got = models.logistic(rows, ["a", "b"], "y")
+    assert got == pytest.approx([0.5, 1.5, -2.0], abs=0.25)
+    # At the maximum the residuals are orthogonal to the features.
+    p = 1 / (1 + np.exp(-(got[0] + x @ got[1:])))
+    assert np.abs(np.column_stack([np.ones(4000), x]).T @ (y - p)).max() < 0.5
+    hit = rows.select(((models.probability(["a", "b"], got) >= 0.5).cast("int") == F.col("y")).cast("double").alias("h")).agg(F.avg("h")).first()[0]
+    assert hit > 0.8
