@@ -156,12 +156,11 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, hourly.counts(rows).collect()))
 
 
-@pytest.mark.parametrize("values", [[5], [3, 3, 3], [-(2**63), 2**63 - 1, 0, 7, 7], list(range(-50, 1000, 7))])
-def test_nth_value(spark, values):
+@pytest.mark.parametrize("values", [[5], [1, 2], [3, 3, 3], [-(2**63), 2**63 - 1, 0, 7, 7], list(range(-50, 20000, 7)), [1] * 5000 + [2] * 5000, [1] * 5001 + [2] * 4999])
+def test_upper_median(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "x long").repartition(3)
-    for n in {1, len(values) // 2 + 1, len(values)}:
-        assert cohort.nth_value(rows, "x", F.lit(n)).first()[0] == sorted(values)[n - 1]
-    assert cohort.nth_value(rows.filter("false"), "x", F.lit(1)).count() == 0
+    assert cohort.upper_median(rows, "x").first()[0] == sorted(values)[len(values) // 2]
+    assert cohort.upper_median(rows.filter("false"), "x").count() == 0
 
 
 def test_frontier(spark):
