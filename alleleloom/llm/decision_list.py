@@ -142,3 +142,25 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def base_columns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, the COUNTS that have a contract, and base_failed: what the base rules see, without any learned verdict."""
+    stats = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
+    return stats.select("doc_id", *COUNTS[:5], ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"))
+
+
+def quality_base_columns(spark, sf_dir: str) -> DataFrame:
+    return base_columns(table(spark, sf_dir, "documents"))
+
+
+BASE_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+windows as (select r, i, array_to_string(ws[i:i + 4], ' ') as k from w, unnest(range(1, len(ws) - 3)) as u(i)),
+again as (select r, i from (select *, count(*) over (partition by r, k) as c from windows) x where c > 1),
+covered as (select r, count(distinct i + j) as n from again, (select unnest(range(0, 5)) as j) s group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from (
+  select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words from w left join covered c on w.r = c.r) x
+"""

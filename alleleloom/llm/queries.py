@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity_crf": toxicity.op8_toxicity,
     "op9_quality_decision_list": decision_list.op9_quality,
     "op10_quality_rule_ensemble": rule_ensemble.op10_quality,
+    "quality_base_columns": decision_list.quality_base_columns,
 }
 
-ORACLES = {"op1_mix_hash_threshold": mixing.OP1_SQL, "op6_pack_length_buckets": packing.OP6_SQL, "op7_search_ball_tree": top_k.OP7_SQL}
+ORACLES = {
+    "op1_mix_hash_threshold": mixing.OP1_SQL, "quality_base_columns": decision_list.BASE_SQL, "op6_pack_length_buckets": packing.OP6_SQL, "op7_search_ball_tree": top_k.OP7_SQL,
+}
