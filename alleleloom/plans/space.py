@@ -47,6 +47,32 @@ def candidates(spark: SparkSession, space: dict[str, list] = SPACE) -> DataFrame
     return near.unionByName(axes(whole, ["fixed_scale", "modulus"]))
 
 
+#: Further axes of whole plans, with the options that are used if no others are given.
+MORE = {"reduction": ["binary_tree"], "key_switching": ["HYBRID"], "scaling_technique": ["FLEXIBLEAUTO"]}
+
+
+def whole_plans(spark: SparkSession, variants: int, space: dict[str, list] | None = None) -> DataFrame:
+    """The candidates with every choice that a plan has, ready for the validator: those of ``candidates`` times the further axes.
+
+    Scaling techniques concern approximate schemes alone. Windows are as wide as what one ciphertext holds, and the rotations are
+    the powers of two that such a window, or all variants if they are fewer, needs.
+    """
+    space = SPACE | MORE | (space or {})
+    rows = candidates(spark, space)
+    for n in ("reduction", "key_switching", "scaling_technique"):
+        options = F.array(*map(F.lit, space[n]))
+        rows = rows.select("*", F.explode(options if n != "scaling_technique" else F.when(F.col("scheme") == "CKKS", options).otherwise(F.array(F.lit(None).cast("string")))).alias(n))
+    one = F.lit(1).cast("long")
+    window = F.col("width")
+    return rows.select(
+        "scheme", "ring", F.lit(128).cast("long").alias("security_bits"), F.col("slots").alias("slot_count"), window.alias("window"), window.alias("batch_size"), window.alias("per_ciphertext"),
+        F.greatest(one, slots.chunk_count(F.lit(variants), window)).alias("chunk_count"), F.lit(True).alias("feature_packing"), F.lit(False).alias("sample_packing"), one.alias("samples_each"),
+        F.lit(False).alias("score_packing"), one.alias("scores_each"), slots.rotations(F.least(F.lit(variants).cast("long"), window)).alias("rotations"), one.alias("depth"),
+        F.col("strategy").alias("aggregation"), "reduction", "key_switching", "scaling_technique", "scale_bits", F.col("scale_bits").alias("scaling_modulus_size"),
+        F.col("first_bits").alias("first_modulus_size"), "fixed_scale", "modulus", F.bround(F.log10(F.col("fixed_scale").cast("double"))).cast("long").alias("encoding_precision"), F.lit(False).alias("imputed"),
+    )
+
+
 def is_prime(n: int) -> bool:
     """By trial division; the moduli are below 2 to the 32, few and checked once each."""
     return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
