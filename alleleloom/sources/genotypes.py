@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alleles
+from ..operators.score import numbered
 
 
 #: What marks a weight as not additive, the columns where that may be said, and flags that say it.
@@ -222,8 +223,8 @@ def synthetic(spark: SparkSession, samples: int, variants: int, sd: float = 0.05
     return calls, spark.range(variants).select(F.col("id").alias("vrow")).withColumn("effect_weight", weight)
 
 
-def write_harmonized(dosages: DataFrame, weights: DataFrame, exclusions: DataFrame, folder: str, kind: str = "csv") -> None:
-    """dosage, weights and exclusions as ``csv``, ``parquet`` or ``both``. Dosages are (sample_id, variant_ord, effect_dosage), weights have variant_ord and WEIGHT_FIELDS.
+def write_harmonized(dosages: DataFrame, weights: DataFrame, exclusions: DataFrame, folder: str, kind: str = "csv", report: DataFrame | None = None) -> None:
+    """dosage, weights, exclusions and, as JSON, the report as ``csv``, ``parquet`` or ``both``. Dosages are (sample_id, variant_ord, effect_dosage), weights have variant_ord and WEIGHT_FIELDS.
 
     The CSV of dosages has a line for each sample and a column for each variant, named chrom:position:ref:alt:rsid; each of its
     files has the header. Parquet stays long: a row for each sample and variant.
@@ -242,6 +243,8 @@ def write_harmonized(dosages: DataFrame, weights: DataFrame, exclusions: DataFra
         lines.write.mode("overwrite").csv(f"{folder}/dosage.csv", header=True, sep="\x01", quote="")
         weights.orderBy("variant_ord").select(*WEIGHT_FIELDS).write.mode("overwrite").csv(f"{folder}/weights.csv", header=True)
     exclusions.write.mode("overwrite").csv(f"{folder}/exclusions.csv", header=True)
+    if report is not None:
+        report.select(*sorted(report.columns)).write.mode("overwrite").json(f"{folder}/report.json")
 
 
 #: The columns of written weights.
@@ -265,8 +268,8 @@ def read_harmonized(spark: SparkSession, dosage: str, weights: str) -> tuple[Dat
         if "effect_weight" not in names:
             raise ValueError("no column effect_weight")
         lines = lines.filter(F.col("value") != head["value"]).filter(F.trim("value") != "")
-        place = F.row_number().over(Window.orderBy("line")) - 1  # one row for each weight of a file of lines as wide as these are many
-        w = lines.select(place.cast("int").alias("variant_ord"), F.get(F.split("value", ","), F.lit(names.index("effect_weight"))).cast("double").alias("effect_weight"))
+        lines = numbered(lines.withColumnRenamed("line", "source_row"))
+        w = lines.select(F.col("variant_ord").cast("int").alias("variant_ord"), F.get(F.split("value", ","), F.lit(names.index("effect_weight"))).cast("double").alias("effect_weight"))
     if dosage.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(dosage)
         if rows.columns[:1] != ["sample_id"]:

@@ -84,7 +84,8 @@ def test_harmonised_round_trip(spark, tmp_path, kind):
     d = spark.createDataFrame([(f"S{i}", k, float(x)) for i, row in enumerate(dosages) for k, x in enumerate(row)], "sample_id string, variant_ord int, effect_dosage double")
     w = spark.createDataFrame(weights, "variant_ord int, chrom string, position long, rsid string, ref string, alt string, effect_allele string, orientation string, effect_weight double, dosage_source string, strand_flipped boolean")
     gone = spark.createDataFrame([("22", 7, "missing_from_vcf")], "chrom string, position long, reason string")
-    genotypes.write_harmonized(d.repartition(3), w.repartition(2), gone, str(tmp_path / "h"), kind="both")
+    genotypes.write_harmonized(d.repartition(3), w.repartition(2), gone, str(tmp_path / "h"), kind="both", report=spark.createDataFrame([(6, 1)], "matched_variants long, missing_variants long"))
+    assert spark.read.json(f"{tmp_path}/h/report.json").first()["matched_variants"] == 6
     back = genotypes.read_harmonized(spark, f"{tmp_path}/h/dosage.{kind}", f"{tmp_path}/h/weights.{kind}")
     assert {r["sample_id"]: round(r["score"], 9) for r in score.positional_scores(*back).collect()} == {"S0": 0.7, "S1": 0.75}
     assert spark.read.csv(f"{tmp_path}/h/exclusions.csv", header=True).count() == 1
