@@ -33,9 +33,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; what is written there goes when the session ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # only what is there can be marked for deletion
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/of"
 
 
 def cut(df: DataFrame) -> DataFrame:
