@@ -101,7 +101,11 @@ class Shard:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             scores = self.points[lo:hi] @ q
-            hits = np.nonzero((scores >= floor) & (self.ids[lo:hi] != own))[0]
+            hits = np.nonzero(scores >= floor)[0]
+            if len(hits):
+                hits = hits[self.ids[lo:hi][hits] != own]
+            if not len(hits):
+                continue
             if exact:
                 found = zip((scores[hits] * (self.unit * unit * self.scale**2)).astype(np.int64).tolist(), self.ids[lo:hi][hits].tolist())
             else:
