@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_list, mixing, near_copies, packing, repeats, rule_ensemble, sharding, token_counts, top_k, toxicity
+from . import decision_list, filter_audit, mixing, near_copies, packing, repeats, rule_ensemble, sharding, token_counts, top_k, toxicity
 
 QUERIES = {
     "op1_mix_hash_threshold": mixing.op1_mix,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity_crf": toxicity.op8_toxicity,
     "op9_quality_decision_list": decision_list.op9_quality,
     "op10_quality_rule_ensemble": rule_ensemble.op10_quality,
+    "op13_filter_audit": filter_audit.op13_audit,
     "quality_base_columns": decision_list.quality_base_columns,
 }
 
 ORACLES = {
     "op1_mix_hash_threshold": mixing.OP1_SQL, "quality_base_columns": decision_list.BASE_SQL, "op6_pack_length_buckets": packing.OP6_SQL, "op7_search_ball_tree": top_k.OP7_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
