@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import credentials, decision_list, filter_audit, mixing, near_copies, packing, repeats, rule_ensemble, sharding, token_counts, top_k, toxicity
+from . import credentials, decision_list, filter_audit, mixing, near_copies, packing, repeats, rule_ensemble, sharding, spelling, token_counts, top_k, toxicity
 
 QUERIES = {
     "op1_mix_hash_threshold": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity_crf": toxicity.op8_toxicity,
     "op9_quality_decision_list": decision_list.op9_quality,
     "op10_quality_rule_ensemble": rule_ensemble.op10_quality,
+    "op11_spelling_errata_trie": spelling.op11_spelling,
     "op12_secret_links": credentials.op12_credentials,
     "op13_filter_audit": filter_audit.op13_audit,
     "quality_base_columns": decision_list.quality_base_columns,
