@@ -80,9 +80,21 @@ def with_offsets(units: DataFrame, bucket: str, order: list[str], copies: str, w
     )
 
 
-def each_copy(units: DataFrame, copies: str, number: str) -> DataFrame:
-    """One row for each of ``copies`` equal rows, numbered from 0 in ``number``."""
-    return units.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))).drop(copies)
+#: So many copies of a row are made at once; rows with more are dealt out in blocks of as many.
+BLOCK = 1 << 16
+
+
+def each_copy(units: DataFrame, copies: str, number: str, most: int) -> DataFrame:
+    """One row for each of ``copies`` equal rows, numbered from 0 in ``number``; ``most`` is the greatest number of copies.
+
+    Where a row has more than BLOCK copies, blocks of them are dealt out before they are made, so that no task makes, or
+    holds, all copies of a row.
+    """
+    rows = units.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(BLOCK).cast("long"))))
+    if most > BLOCK:
+        rows = rows.repartition(F.xxhash64(*[c for c in rows.columns]))
+    last = F.least(F.col("__block") + BLOCK, F.col(copies)) - 1
+    return rows.withColumn(number, F.explode(F.sequence(F.col("__block"), last))).drop(copies, "__block")
 
 
 #: A table of so few rows, each of a few numbers and a short key, may be broadcast.

@@ -58,11 +58,12 @@ def mix_to_weights(
 
     Nulls: a text without words has size 0 and is taken 0 words, as a row as often as its hash says, up to ``cap`` times; a null source is a source of its own, last
     in order; a null id is hashed like any other value. Equal rows (id, source, text) share a hash: they are
-    counted first, and as many of them are taken as the budget has room for. No rows, no result rows. Other
+    counted first, and as many of them are taken as the budget has room for. Very long texts are only counted. No rows, no result rows. Other
     columns are not read, whatever their names.
     """
     units, limits = budgets(docs, id_col, text_col, source_col, weights, share, cap)
-    joined = each_copy(units.join(limits, units["source"].eqNullSafe(limits["of"])).drop("of"), "copies", "copy")
+    most = units.agg(F.max("copies")).first()[0] or 0
+    joined = each_copy(units.join(limits, units["source"].eqNullSafe(limits["of"])).drop("of"), "copies", "copy", most)
     extra = F.when(F.col("hash") < F.col("threshold"), 1).when((F.col("hash") == F.col("threshold")) & (F.col("copy") < F.col("at")), 1).otherwise(0)
     times = (F.col("whole") + extra).cast("long")
     return joined.select(

@@ -55,7 +55,7 @@ def choose_boundaries(edges: list[int], counts: list[int], buckets: int) -> list
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, lengths: DataFrame | None = None, buckets: int = 8, budget: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 8, budget: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, bucket, pad_to, batch_id, slot, n_pad for every row.
 
     A row's tokens are its words. It goes to the first bucket whose boundary ``pad_to`` is at least that; a
@@ -63,12 +63,12 @@ def pack(docs: DataFrame, lengths: DataFrame | None = None, buckets: int = 8, bu
     ``slot`` counts them from 0. Rows of a bucket are ordered by their contents, so reruns agree.
 
     Rows without words or with a null text have length 0 and lie in the first bucket. Equal rows are counted
-    first and numbered in turn. No rows, no result rows. Other columns are not read, whatever their names.
+    first and numbered in turn; very long texts are only counted. No rows, no result rows. Other columns are not read, whatever their names.
     """
     units = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens"))
     units = cut(units.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies")))
     # d different lengths need at least d * (d - 1) / 2 words: 100,000 of them have 5 * 10^9, so the histogram fits the driver.
-    histogram = units.groupBy("n_tokens").agg(F.sum("copies").alias("n")).orderBy("n_tokens").collect()
+    histogram = units.groupBy("n_tokens").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).orderBy("n_tokens").collect()
     bounds = choose_boundaries([r["n_tokens"] for r in histogram], [r["n"] for r in histogram], buckets)
     if not bounds:
         bounds = [0]
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, lengths: DataFrame | None = None, buckets: int = 8, bu
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string")))
     piece = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % PIECES
     units = units.withColumn("bucket", bucket.cast("int")).withColumn("piece", piece)
-    rows = each_copy(with_offsets(units, "piece", ["doc_id", "n_tokens"], "copies", within=["bucket"]), "copies", "copy")
+    rows = each_copy(with_offsets(units, "piece", ["doc_id", "n_tokens"], "copies", within=["bucket"]), "copies", "copy", max((r["most"] for r in histogram), default=0))
     pad_to = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     rows = rows.withColumn("pad_to", pad_to).withColumn("fits", F.greatest(F.floor(F.lit(budget) / F.greatest("pad_to", F.lit(1))), F.lit(1)).cast("long"))
     number = F.col("before") + F.col("copy")

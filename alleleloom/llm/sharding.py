@@ -51,8 +51,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str =
 
     Row numbers follow the contents (id, size, checksum), so reruns and other partitionings agree. Rows
     equal in all three are counted first and numbered in turn; which of them gets which number makes no
-    difference. A null text has no bytes (size 1, checksum 0); null ids are numbered like others. No rows, no
-    result rows. Other columns are not read, whatever their names.
+    difference. A null text has no bytes (size 1, checksum 0); null ids are numbered like others. Very long texts
+    are only measured. No rows, no result rows. Other columns are not read, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = docs.select(
@@ -62,13 +62,13 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str =
     )
     units = units.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     units = cut(units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(BUCKETS))))
-    n = units.agg(F.sum("copies")).first()[0] or 0
+    n, most = (x or 0 for x in units.agg(F.sum("copies"), F.max("copies")).first())
 
     @F.pandas_udf("long")
     def permuted(numbers: pd.Series) -> pd.Series:
         return pd.Series(feistel(numbers.to_numpy(), n, seed))
 
-    rows = each_copy(with_offsets(units, "bucket", ["doc_id", "size", "text_crc32"], "copies"), "copies", "copy")
+    rows = each_copy(with_offsets(units, "bucket", ["doc_id", "size", "text_crc32"], "copies"), "copies", "copy", most)
     rows = rows.withColumn("row_number", F.col("before") + F.col("copy")).withColumn("place", permuted("row_number"))
     return rows.select(
         "doc_id", "size", "text_crc32", "row_number",

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from alleleloom.llm import mixing, packing, sharding
+from alleleloom.llm import common, mixing, packing, sharding
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,3 +134,19 @@ def test_hash_is_that_of_the_sql(docs):
     r = docs.filter("doc_id = 7").select("text", mixing.row_hash("doc_id", "text").alias("h")).first()
     text = hashlib.md5(r["text"].encode()).hexdigest()
     assert r["h"] == int(hashlib.md5(f"7|{text}".encode()).hexdigest()[:15], 16)
+
+
+def test_copies_in_blocks(spark, docs, monkeypatch):
+    """Rows with more copies than a block are dealt out before they are made, with the same numbers."""
+    many = docs.unionByName(docs.filter("doc_id in (1, 2)").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(53)))).drop("n"))
+    whole = [sorted(map(tuple, f(many).collect()), key=str) for f in (sharding.shard_rows, packing.pack, mixing.mix_to_weights)]
+    monkeypatch.setattr(common, "BLOCK", 7)
+    assert whole == [sorted(map(tuple, f(many).collect()), key=str) for f in (sharding.shard_rows, packing.pack, mixing.mix_to_weights)]
+
+
+def test_a_row_with_very_many_copies(spark):
+    """Copies are made block by block: no array, nor any task, holds all of a row's."""
+    units = spark.createDataFrame([(1, 20_000_000), (2, 1)], "doc_id long, copies long")
+    rows = common.each_copy(units, "copies", "copy", 20_000_000)
+    assert tuple(rows.agg(F.count("*"), F.max("copy")).first()) == (20_000_001, 19_999_999)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
