@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -61,18 +62,27 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for the bytes of each span, A to Z in lower case; each eight bytes are mixed by a key of their own."""
+    """A number for the bytes of each span, A to Z in lower case: no two spans of under eight bytes share one, longer ones have 64 bits of a digest."""
     n = ends - starts
     if not len(n):
         return np.empty(0, np.uint64)
-    pieces = np.maximum((n + 7) >> 3, 1)
-    first = np.cumsum(pieces) - pieces
-    span = np.repeat(np.arange(len(n)), pieces)
-    j = np.arange(len(span)) - first[span]
-    eight = eights(data)[starts[span] + 8 * j]
-    eight &= FIRST[np.minimum(n[span] - 8 * j, 8)]
-    eight = mixed(mixed(eight ^ mixed(j.astype(np.uint64) * K[0] + K[1])) * K[2])
-    return mixed(np.add.reduceat(eight, first) + n.astype(np.uint64) * K[3])
+    whole = eights(data)[starts] & FIRST[np.minimum(n, 7)] | np.minimum(n, 7).astype(np.uint64) << np.uint64(56)
+    out = mixed(mixed(whole ^ K[0]) * K[2])
+    long = np.nonzero(n > 7)[0]
+    if len(long):
+        low = LOWER[data].tobytes()
+        found = ((low[s:e], e - s) for s, e in zip(starts[long].tolist(), ends[long].tolist()))
+        out[long] = np.fromiter((known_digest(w) if m <= KNOWN else digest(w) for w, m in found), np.uint64, len(long))
+    return out
+
+
+def digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+#: Digests of words up to this long are kept, up to so many of them.
+KNOWN = 64
+known_digest = lru_cache(1 << 17)(digest)
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -90,15 +100,17 @@ def shingles(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in part]))
         if len(each) >= WORDS:
             m = len(each) - WORDS + 1
-            windows = mixed(sum((each[k : k + m] * K[k] for k in range(1, WORDS)), each[:m] * K[0]))
+            windows = np.full(m, K[4])
+            for k in range(WORDS):  # one after the other: sums of words' numbers could be made equal
+                windows = mixed((windows ^ each[k : k + m]) * K[1] + K[3])
         for lo, hi in zip(bounds, bounds[1:]):
             if hi - lo >= WORDS:
                 yield np.unique(windows[lo : hi - WORDS + 1])
             elif hi > lo:
-                h = np.uint64(hi - lo)
+                h = np.array([hi - lo], dtype=np.uint64)
                 for w in each[lo:hi]:
-                    h = mixed(np.array([h * K[1] + w]))[0]
-                yield np.array([h], dtype=np.uint64)
+                    h = mixed((h ^ w) * K[1] + K[3])
+                yield h
             else:
                 yield np.empty(0, dtype=np.uint64)
 
@@ -346,7 +358,10 @@ def link_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc
     others and stays null. Rows with equal ids are rows of their own, linked by their texts. No rows, no result
     rows. Other columns are not read, whatever their names.
 
-    Two sets are one class, without a further look, if their digests of 128 bits agree; words and shingles are told apart by 64 bits.
+    Very long texts are read whole; their sets are as large. Ties: of equal ids each row is kept or not by the same rule.
+
+    Two sets are one class, without a further look, if their digests of 128 bits agree. Words of under eight bytes have numbers of their
+    own, longer ones 64 bits of a BLAKE2 digest, and shingles chain five of these in 64 bits.
     """
     text = F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)), text.alias("text"))
