@@ -15,7 +15,7 @@ answer says where in which text it belongs.
 2. Contexts in such buckets are told apart by the buckets Q, 2Q, ... further on. Of equal ones, all but those of the
    least document go whole. For those left the refined buckets Q + 1 after and before the anchor tell whether a part of
    them, to either side, can still be equal to another one. That is the second question.
-3. The strings of such sides are compared one by one, by fingerprints of 96 bits: the third question.
+3. The strings of such sides are compared one by one, by fingerprints of 96 bits (64 where they differ within one Q-gram): the third question.
 
 A bucket of more than HOT contexts isn't gathered in a task: its contexts are dealt out by their content, and
 its refined buckets likewise, each as one pair of ids from a part. What a part knows to be repeated within itself goes at once and asks nothing.
@@ -42,7 +42,6 @@ CHUNK, GROUP = 1 << 18, 6 << 20
 #: Contexts that one bucket may have in a task. The result doesn't depend on it.
 HOT = 1 << 14
 LAST = (1 << 63) - 1
-BASE = 0x9E3779B97F4A7C15
 K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -52,12 +51,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def buckets_of(data: np.ndarray) -> np.ndarray:
-    """The bucket of the Q-gram at each offset: a polynomial of its bytes, built by doubling, then mixed."""
-    h, n = data.astype(np.uint64) + np.uint64(1), 1
-    while n < Q:
-        h = h[:-n] * np.uint64(pow(BASE, n, 1 << 64)) + h[n:]
-        n *= 2
-    return mixed(h)
+    """The bucket of the Q-gram at each offset: 64 bits of its two halves, each mixed in two ways, so that none can be solved for given the others."""
+    if len(data) < Q:
+        return np.empty(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
+    eight = np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))
+    first, second = eight[: len(data) - Q + 1], eight[8 : len(data) - Q + 9]
+    other = mixed(eight * K[0])
+    h = mixed(mixed(first ^ K[2]) * K[1] + second) ^ other[8 : len(data) - Q + 9] * K[3]
+    return mixed(h + other[: len(data) - Q + 1])
 
 
 def sliding(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -292,8 +294,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all columns of ``docs``, whatever their names, with a null in place of the text.
 
     A null text is empty. A null id counts as greater than all others; rows with one id, null included, don't
-    remove from each other. Texts under LENGTH bytes stay whole. Equal rows are treated alike. Contexts and strings are taken for
-    equal if fingerprints of 96 bits agree. No rows, no result rows.
+    remove from each other. Texts under LENGTH bytes stay whole. Equal rows are treated alike. Texts of any length are
+    read in pieces, and equal rows are dealt to parts by where they are read. Contexts and strings are taken for equal if fingerprints of 96 bits agree, of which strings that differ
+    within one Q-gram share 32; a Q-gram's 64 bits are no sum of its bytes, so unequal ones with equal bits have to be searched for. No rows, no result rows.
     """
     id_ = F.col(id_col).cast("long")
     columns = [F.lit(None).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
@@ -453,7 +456,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if whole:
         schema = schema.add("kept_text", "string").add(rows.schema["row"])
-    texts = rows.withColumn("part", F.pmod("k1", F.lit(parts)).cast("int")).groupBy("part")
+    # Equal rows are dealt out by the input partition that they are in, so that no part holds all of them.
+    texts = rows.withColumn("part", F.pmod(F.xxhash64("k1", F.spark_partition_id()), F.lit(parts)).cast("int")).groupBy("part")
     known = texts.applyInArrow(ask_anchors, LETTER).groupBy("to").applyInArrow(tell_anchors, LETTER)
     known = texts.cogroup(known.groupBy("to")).applyInArrow(ask_contexts, LETTER).groupBy("to").applyInArrow(tell_contexts, LETTER)
     known = texts.cogroup(known.groupBy("to")).applyInArrow(ask_strings, LETTER).groupBy("to").applyInArrow(tell_strings, LETTER)

@@ -45,6 +45,24 @@ def test_components(docs, rows, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_built_collisions_are_not_linked(spark):
+    """Texts made to share a sum of mixed bytes, or the linear fingerprint of a Q-gram, aren't taken for equal."""
+    words = spark.createDataFrame([(1, "abcdefghijklmnop"), (2, "fzrlfdc5_oq*=_>)")], "doc_id long, text string")
+    assert [r["component_id"] for r in near_copies.link_near_copies(words).orderBy("doc_id").collect()] == [1, 2]
+    texts = [(1, "mmmmmmmmmmmmmmmmqiqzhgvs nsiopvuwzlcktdpsukghaxidw"), (2, "tsgnnndlislfrsulqiqzhgvs nsiopvuwzlcktdpsukghaxidw")]
+    assert [r["n_removed"] for r in repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()] == [0, 0]
+
+
+def test_words_have_numbers_of_their_own():
+    r = random.Random(2)
+    words = sorted({"".join(r.choice("abcdé1") for _ in range(r.randint(1, 20))) for _ in range(20000)} | {"a" * k for k in range(1, 400)})
+    data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+    with np.errstate(over="ignore"):
+        assert len(np.unique(near_copies.hashes(data, *near_copies.words(data)))) == len(words)
+        upper = np.frombuffer(" ".join(words).upper().replace("É", "é").encode() + b" ", np.uint8)
+        assert (near_copies.hashes(data, *near_copies.words(data)) == near_copies.hashes(upper, *near_copies.words(upper))).all()
+
+
 def test_large_nodes_branch(spark, monkeypatch):
     """With tiny nodes everything goes through the deeper levels, and the links stay the same."""
     monkeypatch.setattr(near_copies, "NODE", 4)
