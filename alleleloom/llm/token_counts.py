@@ -14,6 +14,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Distinct words that a worker remembers at once; beyond it starts anew.
-REMEMBERED = 700_000
+#: Distinct words that a worker remembers at once, each of so many bytes at most; beyond the number it starts anew.
+REMEMBERED, SHORT = 700_000, 48
 #: The rank of a pair that no merge joins.
 NONE = 1 << 60
 
@@ -58,6 +59,7 @@ class PrefixCounter:
         self.ends = {t.removesuffix(self.suffix): t for t in own if t.endswith(self.suffix)}
         self.inner = {t for t in own if not self.suffix or not t.endswith(self.suffix)}
         self.longest = max(map(len, self.ends), default=1)
+        self.reach = max(self.longest, max(map(len, self.inner), default=1))
         self.tree: dict = {}
         for t in self.inner:
             node = self.tree
@@ -122,18 +124,14 @@ class PrefixCounter:
                 return regex.compile(parts[0]["pattern"]["Regex"])
         return None
 
-    def piece_table(self, piece: str, every: bool = True) -> list[int]:
-        """Tokens of each prefix of a piece (with characters already mapped to bytes' symbols), from length 1.
-
-        Not ``every``: of the whole piece alone, in a list of one. A prefix ends its word, so its last token has
-        the suffix; what longer prefixes build on is the table without it.
-        """
-        n, tree, ends, fits, longest = len(piece), self.tree, self.ends, self.fits, self.longest
-        last, tokens, counts = [None] * (n + 1), [0] * (n + 1), []
+    def piece_states(self, piece: str) -> tuple[list[str | None], list[int]]:
+        """The last token and the tokens of each prefix of a piece (with characters already mapped to bytes' symbols) that goes on behind it."""
+        n, tree, fits = len(piece), self.tree, self.fits
+        last, tokens = [None] * (n + 1), [0] * (n + 1)
         last[0] = ""
         for j in range(n):
             before, node, more = last[j], tree, tokens[j] + 1
-            for i in range(j, n - 1):
+            for i in range(j, n):
                 node = node.get(piece[i])
                 if node is None:
                     break
@@ -141,13 +139,33 @@ class PrefixCounter:
                 if last[i + 1] is None and (t := node.get("")) is not None and (not j or fits(before, t)):
                     last[i + 1] = t
                     tokens[i + 1] = more
-        for i in range(1, n + 1) if every else (n,):
-            for j in range(max(0, i - longest), i):
-                t = ends.get(piece[j:i])
-                if t is not None and (not j or fits(last[j], t)):
-                    counts.append(tokens[j] + 1)
+        return last, tokens
+
+    def ended(self, piece: str, i: int, last: list[str | None], tokens: list[int], begins: bool = True) -> int:
+        """The tokens of a piece's first ``i`` symbols as a piece of their own: its last token then ends a word. ``begins``: the lists are of the piece from its first symbol on."""
+        for j in range(max(0, i - self.longest), i):
+            t = self.ends.get(piece[j:i])
+            if t is not None and (begins and not j or self.fits(last[j], t)):
+                return tokens[j] + 1
+        raise ValueError("a piece that the vocabulary can't spell")
+
+    def piece_table(self, piece: str, every: bool = True) -> list[int]:
+        """Tokens of each prefix of a piece, from length 1. Not ``every``: of the whole piece alone, in a list of one."""
+        last, tokens = self.piece_states(piece)
+        return [self.ended(piece, i, last, tokens) for i in (range(1, len(piece) + 1) if every else (len(piece),))]
+
+    def with_tail(self, piece: str, at: int, states: tuple[list[str | None], list[int]], tail: str) -> int:
+        """The tokens of a piece's first ``at`` symbols and ``tail`` behind them, from the states of the piece; only as many as the longest token are looked at again."""
+        low = max(0, at - self.reach)
+        symbols, last, tokens = piece[low:at] + tail, states[0][low : at + 1], states[1][low : at + 1]
+        for i in range(at - low + 1, len(symbols)):
+            for j in range(max(0, i - self.reach), i):
+                t = symbols[j:i]
+                if t in self.inner and (not low and not j or self.fits(last[j], t)):
+                    last.append(t)
+                    tokens.append(tokens[j] + 1)
                     break
-        return counts
+        return self.ended(symbols, len(symbols), last, tokens, begins=not low)
 
     def split(self, word: bytes) -> list[str]:
         """The pieces of a text without ASCII white space, as symbols; special tokens are empty pieces, of one token."""
@@ -168,16 +186,21 @@ class PrefixCounter:
     def word_count(self, word: bytes) -> int:
         n = self.words.get(word)
         if n is None:
-            n = 0
-            for piece in self.split(word):
-                m = self.pieces.get(piece)
-                if m is None:
-                    m = self.pieces[piece] = 1 if not piece or piece in self.ends else self.piece_table(piece, every=False)[0]
-                n += m
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-                self.pieces.clear()
-            self.words[word] = n
+            n = sum(map(self.piece_count, self.split(word)))
+            if len(word) <= SHORT:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = n
+        return n
+
+    def piece_count(self, piece: str) -> int:
+        n = self.pieces.get(piece)
+        if n is None:
+            n = 1 if not piece or piece in self.ends else self.piece_table(piece, every=False)[0]
+            if len(piece) <= SHORT:
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                self.pieces[piece] = n
         return n
 
     def count(self, text: bytes) -> int:
@@ -201,22 +224,58 @@ class PrefixCounter:
         return out + [before + n for n in self.plain_table(word[at:])]
 
     def plain_table(self, word: bytes) -> list[int]:
-        text, pieces = word.decode(), self.plain(word) if word else []
-        same = text.isascii() or (unicodedata.is_normalized("NFC", text) and all(len(c.lower().encode()) == len(c.encode()) for c in text))
-        counted = lambda w: sum(self.piece_table(p, every=False)[0] for p in self.plain(w))
-        out, before = [], 0
-        if same and sum(map(len, pieces)) == len(word):
-            # Cut short, a run of characters of one kind is a piece, but a mark with letters may be two.
-            for piece in pieces:
-                out += [before + n for n in ([counted(piece[:k].encode()) for k in range(1, len(piece) + 1)] if piece[0] == "'" else self.piece_table(piece))]
-                before = out[-1]
-        else:
-            out = [counted(word[:k].decode(errors="ignore").encode()) for k in range(1, len(word) + 1)]
-        for k in range(1, len(word)):
-            if word[k] & 0xC0 == 0x80:
-                out[k - 1] = out[k - 2] if k > 1 else 0
+        """Tokens of each prefix of a text without white space or special strings, from one byte on.
+
+        The text is cut where normalisation joins nothing across, so that a prefix up to such a place is normalised to a prefix of
+        the whole, whose tokens are in the tables of its pieces. A prefix that ends in a character and some of its marks goes on from
+        there by what these are normalised to.
+        """
+        runs = self.unjoined(word.decode())
+        normal = [self.library.normalizer.normalize_str(r) for r in runs]
+        whole = "".join(normal)
+        found = self.library.pre_tokenizer.pre_tokenize_str(whole)
+        bounds = [(start, end) for _, (start, end) in found]
+        states, ends = [self.piece_states(p) for p, _ in found], [start for start, _ in bounds]
+        before, size = [0, *accumulate(self.piece_count(p) for p, _ in found)], [0, *accumulate(len(c.encode()) for c in whole)]
+        out, at = [], 0
+        for run, to in zip(runs, normal):
+            for k in range(1, len(run) + 1):
+                tail = to if k == len(run) else self.library.normalizer.normalize_str(run[:k])
+                out += [out[-1] if out else 0] * (len(run[k - 1].encode()) - 1)
+                now = at + len(to)
+                p = bisect_right(ends, now - 1) - 1  # the piece that holds the last character
+                if k == len(run) and to and p >= 0 and now <= bounds[p][1] and whole[ends[p]] != "'":
+                    out.append(before[p] + self.ended(found[p][0], size[now] - size[ends[p]], *states[p]))
+                else:
+                    out.append(self.upto(whole, at, tail, found, bounds, states, before, ends, size))
+            at += len(to)
         return out
 
+    def upto(self, whole: str, at: int, tail: str, found: list, bounds: list, states: list, before: list[int], starts: list[int], size: list[int]) -> int:
+        """The tokens of ``whole`` up to ``at`` and then ``tail``."""
+        k = bisect_right(starts, at - 1) - 1  # the piece that holds the character before
+        if k < 0 or bounds[k][1] < at:
+            return before[k + 1] + sum(self.piece_count(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(tail))
+        piece, start = found[k][0], bounds[k][0]
+        if "'" in whole[max(0, at - 3) : at] and at - start <= 3:  # marks and letters may be one piece or two
+            k -= k > 0 and bounds[k - 1][1] == start and whole[start - 1] == "'"
+            again = whole[bounds[k][0] : at] + tail
+            return before[k] + sum(self.piece_count(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(again))
+        own = whole[max(start, at - 4) : at]
+        first, *more = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(own + tail)]
+        bytes_ = size[at] - size[start]
+        joined = first[len(own.encode()) :]
+        n = self.with_tail(piece, bytes_, states[k], joined) if joined else self.ended(piece, bytes_, *states[k])
+        return before[k] + n + sum(map(self.piece_count, more))
+
+    @staticmethod
+    def unjoined(text: str) -> list[str]:
+        """The text in runs between which normalisation joins nothing: each begins with a character that can't join the one before it."""
+        if text.isascii():
+            return list(text)
+        starts = [0, *(k for k in range(1, len(text)) if text[k] < "\u0300" or text[k] not in joining())]
+        return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])] if text else []
+
     def prefix_counts(self, text: bytes) -> list[int]:
         """Tokens of each prefix of the text, from one byte on: those of its words before, and of the part of a word at its end."""
         out, total, tables = [], 0, {}
@@ -244,6 +303,19 @@ class PrefixCounter:
         return start + max((n for n, tokens in enumerate(self.word_table(words[k]), 1) if tokens <= left), default=0)
 
 
+@cache
+def joining() -> frozenset[str]:
+    """Characters that composition may join to one before them: marks that have a class, and second parts of characters that can be taken apart."""
+    out = {chr(c) for r in ((0x1161, 0x1176), (0x11A8, 0x11C3)) for c in range(*r)}  # vowels and ends of Hangul syllables
+    for c in map(chr, range(0x300, 0x110000)):
+        if unicodedata.combining(c):
+            out.add(c)
+        of = unicodedata.decomposition(c).split()
+        if len(of) > 1 and not of[0].startswith("<"):
+            out.update(chr(int(x, 16)) for x in of[1:])
+    return frozenset(out)
+
+
 _counters: dict[str, PrefixCounter] = {}
 
 
@@ -272,7 +344,8 @@ def count_tokens(
 
     A null text is empty: 0 bytes, 0 tokens, an empty table. Special strings inside texts are one token, as in
     the library, however many there are. Equal rows have equal counts. Texts go through one at a time, so a batch holds no more than
-    its texts. No rows, no result rows. Other columns are not read, whatever their names.
+    its texts. Very long texts and words are read whole, in time that grows with their length (with ``prefixes`` or a ``budget`` also with the
+    square of the longest run of combining marks on one character); only words of up to SHORT bytes are remembered. No rows, no result rows. Other columns are not read, whatever their names.
     """
     fields = "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens array<long>" * prefixes + ", cut_bytes long" * (budget is not None)
 

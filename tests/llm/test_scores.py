@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -48,6 +49,33 @@ def test_every_prefix():
             assert counter.cut(text, budget) == max((k for k, n in enumerate(table, 1) if n <= budget), default=0)
 
 
+def test_prefixes_of_characters_that_normalisation_joins():
+    """Decomposed letters, Hangul parts, characters whose lower case is longer: every prefix, without encoding it anew."""
+    counter = token_counts.counter(token_counts.tokenizer_path("word_bpe_49k.json"))
+    count = lambda t: len(counter.library.encode(t, add_special_tokens=False).ids)
+    pool = ["e\u0301", "é", "İ", "ß", "漢", "가", "\u1100\u1161\u11a8", "क\u093c", "a", "B", "'s", "'re", "'", "’", "!", "1", "x\u0323\u0307", "\u0307", "\u212b", "ﬁ", "\u3000", "😀", "'ll", "''", "ſ", "\u09c7\u09be"]
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice(pool) for _ in range(r.randint(1, 14)))
+        table = counter.prefix_counts(text.encode())
+        assert [table[len(text[:k].encode()) - 1] for k in range(1, len(text) + 1)] == [count(text[:k]) for k in range(1, len(text) + 1)], text
+
+
+@pytest.mark.parametrize("more", ["漢字仮名", "e\u0301漢", "İx", "'", "가나다"])
+def test_long_words_take_time_in_proportion(more):
+    counter = token_counts.counter(token_counts.tokenizer_path("word_bpe_49k.json"))
+    text = ("e\u0301" + more * 20000)[:20000]
+    tables, took = [], []
+    for t in (text[:5000], text):
+        began = time.process_time()
+        tables.append(counter.prefix_counts(t.encode()))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+    assert tables[1][: len(tables[0])] == tables[0] and tables[1][-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
+    assert counter.cut(text.encode(), 2048) == max(k for k, n in enumerate(tables[1], 1) if n <= 2048)
+    assert not any(len(w) > token_counts.SHORT for w in (*counter.words, *counter.pieces))
+
+
 def test_many_special_strings(spark):
     """As many special strings as may be are split one after the other."""
     text = "<|endoftext|>" * 5000
