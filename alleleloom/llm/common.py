@@ -92,7 +92,8 @@ def each_copy(units: DataFrame, copies: str, number: str, most: int) -> DataFram
     """
     rows = units.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(BLOCK).cast("long"))))
     if most > BLOCK:
-        rows = rows.repartition(F.xxhash64(*[c for c in rows.columns]))
+        # With a number, as few rows that will be many aren't put together again.
+        rows = rows.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*rows.columns))
     last = F.least(F.col("__block") + BLOCK, F.col(copies)) - 1
     return rows.withColumn(number, F.explode(F.sequence(F.col("__block"), last))).drop(copies, "__block")
 
