@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import registry
 from .functions import alleles, slots
-from .operators import align, cohort, models, records, score
+from .operators import align, cohort, models, ranks, records, score
 from .plans import space
 from .registry import ORACLES, QUERIES, table
 from .sources import adapters
@@ -441,7 +441,7 @@ def regression_metrics(spark, sf_dir):
 @query(FIT + """, r as (select rank() over (order by a)+(count(*) over (partition by a)-1)/2.0 as ra, rank() over (order by b)+(count(*) over (partition by b)-1)/2.0 as rb from x)
   select round(corr(ra, rb),6)::double as spearman from r""")
 def spearman_avg_rank(spark, sf_dir):
-    return models.spearman(fit_rows(spark, sf_dir), "a", "b").select(F.round("spearman", 6).alias("spearman"))
+    return ranks.spearman(fit_rows(spark, sf_dir), "a", "b").select(F.round("spearman", 6).alias("spearman"))
 
 
 @query(FIT + """, k as (select count(*) filter (y=1 and p>=0.5) as tp, count(*) filter (y=0 and p<0.5) as tn, count(*) filter (y=0 and p>=0.5) as fp, count(*) filter (y=1 and p<0.5) as fn,
@@ -498,8 +498,9 @@ def records_hourly(spark, sf_dir):
     return hourly.counts(adapters.records(spark, sf_dir).join(rows, "rec_ord"))
 
 
-#: Queries of calls: with ``_all_samples`` after their names they score all customers instead of the SQL's 64. No SQL.
+#: Queries of calls: with ``_all_samples`` after their names they score all customers instead of those of the dense calls.
 OF_CALLS = [n for n, f in QUERIES.items() if "calls" in inspect.signature(f).parameters]
 QUERIES |= {f"{n}_all_samples": partial(QUERIES[n], calls=adapters.all_calls) for n in OF_CALLS}
+ORACLES |= {f"{n}_all_samples": adapters.of_all_calls(ORACLES[n]) for n in OF_CALLS if n in ORACLES}
 
-from . import catalogue_genomes, catalogue_plans, catalogue_records  # noqa: E402, F401  they register their queries
+from . import catalogue_genomes, catalogue_models, catalogue_plans, catalogue_records  # noqa: E402, F401  they register their queries

@@ -1,11 +1,10 @@
-"""Cost models: Gram sums for ridge regression, predictions, and measures of fit."""
+"""What cost models are made of: scaled features, Gram sums, logistic regression, predictions, and measures of fit."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,24 +24,12 @@ def one_hot(column: Column, names: list[str]) -> dict[str, Column]:
 
 
 def gram(rows: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(i, j, value) of X'X with a leading 1, and of X'y at j = -1, by one aggregation."""
-    names = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    sums = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (a * b).alias("value")) for i, a in enumerate(names) for j, b in enumerate(names)]
-    sums += [F.struct(F.lit(i).alias("i"), F.lit(-1).alias("j"), (a * F.col(target)).alias("value")) for i, a in enumerate(names)]
-    return rows.select(F.explode(F.array(*sums)).alias("s")).groupBy("s.i", "s.j").agg(F.sum("s.value").alias("value"))
-
-
-def ridge(rows: DataFrame, features: list[str], target: str, penalty: float = 1.0) -> list[float]:
-    """Intercept and coefficients; the intercept isn't penalised. Only the Gram sums come to the driver."""
-    n = len(features) + 1
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for r in gram(rows, features, target).collect():
-        if r["j"] < 0:
-            b[r["i"]] = r["value"]
-        else:
-            a[r["i"], r["j"]] = r["value"]
-    a[np.arange(1, n), np.arange(1, n)] += penalty
-    return np.linalg.lstsq(a, b, rcond=None)[0].tolist()
+    """(i, j, value) of X'X with a leading 1, and of X'y at j = -1: one sum for each pair, in one aggregation."""
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    sums = {(i, j): a * x[j] for i, a in enumerate(x) for j in range(i, len(x))} | {(i, -1): a * F.col(target) for i, a in enumerate(x)}
+    row = rows.agg(*[F.sum(v).alias(f"{i} {j}") for (i, j), v in sums.items()])
+    cell = lambda i, j, k: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"`{k[0]} {k[1]}`").alias("value"))
+    return row.select(F.inline(F.array(*[cell(i, j, (i, j)) for i, j in sums], *[cell(j, i, (i, j)) for i, j in sums if j > i])))
 
 
 def predicted(features: list[str], coefficients: list[float]) -> Column:
@@ -77,31 +64,6 @@ def regression_metrics(rows: DataFrame, actual: str, guess: str) -> DataFrame:
     return sums.select("n", "mae", "rmse", "mape", F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(0.0).alias("r2"))
 
 
-def average_ranks(rows: DataFrame, column: str, rank: str, pieces: int = 64) -> DataFrame:
-    """One row for each distinct value of ``column``: (of_``column``, ``rank``), where ties share the mean of their places.
-
-    Values are counted first. They are put in order range by range, in pieces between estimated quantiles, and the counts of
-    the pieces are summed up, so no task sorts all values.
-    """
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    bounds = counts.agg(F.array_distinct(F.percentile_approx("v", [k / pieces for k in range(1, pieces)], 1000)).alias("bounds"))
-    piece = F.size(F.filter("bounds", lambda b: b < F.col("v")))
-    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("piece", piece).drop("bounds")  # one row
-    ahead = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each piece
-    starts = counts.groupBy(F.col("piece").alias("of")).agg(F.sum("m").alias("m")).select("of", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(starts, F.col("piece") == F.col("of"))
-    return counts.select(F.col("v").alias(f"of_{column}"), (F.col("start") + F.col("before") + (F.col("m") + 1) / 2.0).alias(rank))
-
-
-def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks, 0 where either doesn't vary."""
-    both = rows.join(average_ranks(rows, a, "r_a"), F.col(a) == F.col(f"of_{a}")).join(average_ranks(rows, b, "r_b"), F.col(b) == F.col(f"of_{b}"))
-    x, y = F.col("r_a"), F.col("r_b")
-    sums = both.agg(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
-    return sums.select(F.coalesce(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")), F.lit(0.0)).alias("spearman"))
-
-
 def classification_metrics(rows: DataFrame, label: str, score: str) -> DataFrame:
     """One row: counts at a threshold of one half, balanced accuracy, Brier score and clipped log-loss."""
     y, p = F.col(label), F.col(score)

@@ -48,10 +48,19 @@ from events
 """
 
 
+DENSE_CALLS = f"from customer cross join v where c_custkey < {SAMPLES}"
+SPARSE_CALLS = "from (select distinct o_custkey as c_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey) s join v on v.vrow = l_partkey"
+
+
+def of_all_calls(sql: str) -> str:
+    """SQL over the dense calls turned to those of all customers; samples are dealt to as many populations as before."""
+    return sql.replace(DENSE_CALLS, SPARSE_CALLS).replace("sample_id//13", "sample_id//(select (max(c_custkey)+5)//5 from customer)")
+
+
 def duckdb(rest: str) -> str:
     """A query over w, v, g and rec in DuckDB's SQL."""
     w = WEIGHTS.format(text="varchar")
-    g = f"select c_custkey as sample_id, v.vrow, {DOSAGE.format(c='c_custkey')} as alt_dosage from customer cross join v where c_custkey < {SAMPLES}"
+    g = f"select c_custkey as sample_id, v.vrow, {DOSAGE.format(c='c_custkey')} as alt_dosage {DENSE_CALLS}"
     return f"with w as ({w}), v as ({GENOTYPES}), g as ({g}), rec as ({RECORDS}), {rest.strip()}"
 
 
