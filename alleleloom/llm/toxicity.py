@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -24,15 +24,17 @@ from .near_copies import FIRST, batches, eights, hashes, mixed, words
 from .rule_ensemble import held_out
 from .textstats import one_label
 
-#: At most so many labelled texts of either class are fitted, those whose ids have the least hashes, and of each at most
-#: PIECES pieces of PIECE words, spread evenly over the whole text, whatever its length. Scoring has no such bounds.
-TOXIC, CLEAN, PIECE, PIECES = 1500, 3500, 128, 8
+#: At most so many labelled texts of either class are fitted, those whose ids have the least hashes, each as a whole, and of them as
+#: many as have BYTES bytes together (the first one in any case). Scoring has no such bounds.
+TOXIC, CLEAN, BYTES = 1500, 3500, 12 << 20
 #: Features are those that the fitted texts have between so many different neighbours (copies of a text have the same).
 SUPPORT, PAIR_SUPPORT = 10, 6
 #: A word of which toxic texts speak this many times as often as clean ones, or more, starts as an offending one, with this log potential.
 RARER, START = 20, 6.0
 #: Steps of gradient ascent, each for a batch of texts, however many texts there are.
 STEPS, BATCH, RATE, PENALTY = 160, 128, 0.15, 3e-3
+#: Words of a batch, padded to its longest text; a longer text is a batch of its own.
+CELLS = 1 << 20
 #: Log potential of any offending word at first: texts have many words, and most are plain.
 BIAS = -9.0
 #: Bytes that begin a word, each such prefix being a feature of it.
@@ -148,16 +150,8 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -40, 40)))
 
 
-def pieces_of(text: bytes) -> list[bytes]:
-    """At most PIECES pieces of PIECE words, spread evenly over the text from its beginning to its end."""
-    w = text.split()
-    many = min(PIECES, -(-len(w) // PIECE))
-    starts = [round(k * (len(w) - PIECE) / max(1, many - 1)) if len(w) > PIECE else 0 for k in range(many)]
-    return [b" ".join(w[s : s + PIECE]) for s in starts]
-
-
 def chosen_features(features: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, starting weights) of the features that pieces of ``n`` words have between enough different neighbours."""
+    """(keys, starting weights) of the features that texts of ``n`` words have between enough different neighbours."""
     form, first = features[0], first_words(n)
     before, after = (np.concatenate(x) for x in ((np.zeros(1, np.uint64), form[:-1]), (form[1:], np.zeros(1, np.uint64))))
     before[first], after[first - 1] = 0, 0
@@ -211,20 +205,29 @@ def gradient(step: np.ndarray, emission: np.ndarray, mask: np.ndarray, toxic: np
     return float(value), by_emission, by_step
 
 
+def fitting(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Where batches of texts of these lengths, in rough order, begin and end: BATCH texts, or as many as have CELLS words with their padding."""
+    out, first, width = [], 0, 1
+    for k, n in enumerate(lengths.tolist()):
+        if k > first and (k - first == BATCH or (k - first + 1) * max(width, n) > CELLS):
+            out.append((first, k))
+            first, width = k, 1
+        width = max(width, n)
+    return [*out, (first, len(lengths))]
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0) -> Field:
     """A field from whole texts and their labels; a clean text stands for ``clean_weight`` of them in the curve."""
     if not len(texts) or toxic.min() == toxic.max():
         return Field(shift=0.0 if not len(texts) else 50.0 * (2 * float(toxic[0]) - 1), slope=0.0)
-    y, pieces = toxic.astype(bool), [pieces_of(t) for t in texts]
-    data, n = laid_out([p for ps in pieces for p in ps])
-    _, _, features = featured(data, first_words(n))
-    keys, start = chosen_features(features, n, np.repeat(y, [len(ps) for ps in pieces]))
+    y = toxic.astype(bool)
+    data, lengths = laid_out(texts)
+    _, _, features = featured(data, first_words(lengths))
+    keys, start = chosen_features(features, lengths, y)
     if not len(keys):
         return Field(slope=0.0)
     at = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
     known = keys[at] == features
-    # A text's offence may lie in any of its pieces, so they are one row together.
-    lengths = np.bincount(np.repeat(np.arange(len(pieces)), [len(ps) for ps in pieces]), weights=n, minlength=len(pieces)).astype(np.int64)
     begins = np.cumsum(lengths) - lengths
     f, rng = len(keys), np.random.default_rng(8)
     theta = np.concatenate([start, [BIAS, 0.0, 0.0, 0.0, 0.0]])
@@ -232,8 +235,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0) -> Fie
     for _ in range(-(-STEPS // -(-len(texts) // BATCH))):
         order = rng.permutation(len(texts))
         order = order[np.argsort(lengths[order] // 64, kind="stable")]  # texts of like length together, as padding costs time
-        for part in rng.permutation(np.arange(0, len(order), BATCH)):
-            some = order[part : part + BATCH]
+        parts = fitting(lengths[order])
+        for k in rng.permutation(len(parts)):
+            some = order[slice(*parts[k])]
             width = max(1, int(lengths[some].max()))
             mask = np.arange(width) < lengths[some][:, None]
             word = (begins[some][:, None] + np.arange(width))[mask]
@@ -262,19 +266,18 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0) -> Fie
 def learn(docs: DataFrame, labels: DataFrame, folds: int, fold: int, most: tuple[int, int] = (CLEAN, TOXIC)) -> Field:
     """From docs with doc_id and text (as bytes) and labels with ``toxic`` outside the fold; see TOXIC for the bounds.
 
-    The ids are drawn from the labels, so only their texts go anywhere, and of these the pieces that are fitted.
+    The ids are drawn from the labels, so only their texts go anywhere.
     """
     known = cut(one_label(labels, "toxic").filter(~held_out(F.col("__of"), folds, fold)))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = [known.filter(F.col("label") == c).orderBy(F.xxhash64("__of"), "__of").limit(most[c]) for c in (0, 1)]
     ids = cut(least[0].unionByName(least[1]))  # bounded, so it may be broadcast
 
-    def shortened(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([b" ".join(pieces_of(x.as_py())) for x in batch.column(2)], pa.binary())], ["doc_id", "label", "text"])
-
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__of"]).select("doc_id", "label", "text").mapInArrow(shortened, "doc_id long, label int, text binary")
-    drawn = rows.orderBy(F.xxhash64("doc_id"), "text").limit(sum(most)).select("label", "text").collect()
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__of"]).select("doc_id", "label", "text").withColumn("h", F.xxhash64("doc_id"))
+    place = Window.partitionBy("label").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a bounded number of rows
+    rows = rows.withColumns({"upto": F.sum(F.octet_length("text") + 1).over(place), "k": F.count(F.lit(1)).over(place)})
+    limit = F.when(F.col("label") == 1, most[1]).otherwise(most[0])
+    drawn = rows.filter((F.col("k") == 1) | (F.col("k") <= limit) & (F.col("upto") <= BYTES)).orderBy("h", "doc_id", "text").select("label", "text").collect()
     n1 = sum(r["label"] for r in drawn)
     weight = counts.get(0, 0) * max(1, n1) / (max(1, len(drawn) - n1) * max(1, counts.get(1, 0)))
     return fit([bytes(r["text"]) for r in drawn], np.array([r["label"] for r in drawn], dtype=float), weight)
@@ -286,7 +289,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
     ``spans`` are (start, end, marginal) of words whose marginal is at least a half, in bytes of the text; words
     next to each other are one span with the greatest marginal. Only the text goes into a score.
 
-    A null text is empty; empty texts get the score of texts in which no word offends. Labels that are null, neither
+    Very long texts are fitted and scored whole. A null text is empty; empty texts get the score of texts in which no word offends. Labels that are null, neither
     0 nor 1, or in contradiction are left out; without labels all scores are a half. Equal texts have equal
     scores. No rows, no result rows. Other columns are not read, whatever their names.
     """

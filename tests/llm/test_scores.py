@@ -336,3 +336,23 @@ def test_quality_edges(spark, docs, empty, labels, rows):
     for f in (decision_list.judge_quality, rule_ensemble.score_quality):
         assert f(empty, labels).count() == 0
         assert f(docs.limit(3), labels.filter("doc_id < 0")).count() == 3
+
+
+def test_long_texts_are_fitted_whole():
+    """An offence in the middle of long texts is learned; batches are bounded by their padded words."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    texts, toxic = [], []
+    for k in range(160):
+        w = [r.choice(words) for _ in range(2500 if k % 4 == 0 else 120)]
+        if k % 2 == 0:
+            w[len(w) // 2] = "vileword"
+        texts.append(" ".join(w).encode())
+        toxic.append(float(k % 2 == 0))
+    model = toxicity.fit(texts, np.array(toxic))
+    scores = model.score(model.of_texts(texts))
+    assert all((s >= 0.5) == (y == 1) for s, y in zip(scores, toxic))
+    lengths = np.array([1, 2, 3, 5, 100, toxicity.CELLS // 2, toxicity.CELLS * 3])
+    parts = toxicity.fitting(lengths)
+    assert [k for a, b in parts for k in range(a, b)] == list(range(len(lengths))) and parts[-1] == (6, 7)
+    assert all(b - a == 1 or (b - a) * lengths[a:b].max() <= toxicity.CELLS for a, b in parts)
