@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import registry
 from .functions import alleles, slots
 from .operators import align, cohort, models, ranks, records, score
-from .plans import space
+from .plans import space, validator
 from .registry import ORACLES, QUERIES, table
 from .sources import adapters
 from .sources.adapters import duckdb
@@ -262,36 +262,37 @@ def dedupe_ignore_first(spark, sf_dir):
     return adapters.genotypes(spark, sf_dir).groupBy("chrom", "position", "ref", "alt").agg(F.min("vrow").alias("vrow"))
 
 
-SPACE_SQL = """with base as (select s.scheme, r.ring, w.width, a.strategy, case when s.scheme='CKKS' then r.ring//2 else r.ring end as slots
-  from (select unnest(['CKKS','BFV','BGV']) as scheme) s, (select unnest([8192,16384,32768])::bigint as ring) r,
+SPACE_SQL = "wl as (" + adapters.WORKLOADS + """),
+  base as (select wl.*, s.scheme, r.ring, w.width, a.strategy, case when s.scheme='CKKS' then r.ring//2 else r.ring end as slots
+  from wl, (select unnest(['CKKS','BFV','BGV']) as scheme) s, (select unnest([8192,16384,32768])::bigint as ring) r,
     (select unnest([512,1024,2048,4096])::bigint as width) w, (select unnest(['reduce_then_add','add_then_reduce']) as strategy) a),
   sp as (select b.*, x.scale_bits::bigint as scale_bits, 60::bigint as first_bits, null::bigint as fixed_scale, null::bigint as modulus
     from base b, (select unnest([40,50]) as scale_bits) x where scheme='CKKS' and width<=slots
   union all select b.*, null, null, x.fixed_scale::bigint, 2147352577 from base b, (select unnest([100000,1000000,10000000]) as fixed_scale) x where scheme<>'CKKS' and width<=slots)"""
 
 
-@query(SPACE_SQL + " select scheme, ring, width, strategy, slots, coalesce(scale_bits,0) as scale_bits, coalesce(first_bits,0) as first_bits, coalesce(fixed_scale,0) as fixed_scale, coalesce(modulus,0) as modulus from sp", plain=True)
+@query(SPACE_SQL + " select workload, scheme, ring, width, strategy, slots, coalesce(scale_bits,0) as scale_bits, coalesce(first_bits,0) as first_bits, coalesce(fixed_scale,0) as fixed_scale, coalesce(modulus,0) as modulus from sp")
 def candidate_space(spark, sf_dir):
-    return space.candidates(spark).na.fill(0)
+    return space.candidates(adapters.workloads(spark, sf_dir)).drop("samples", "variants", "bound").na.fill(0)
 
 
-#: The workload that plans are judged for.
-SAMPLES, VARIANTS, BOUND = 4, 51225, 60.0
 FAULTS_SQL = SPACE_SQL + """, lim as (select *, case when scheme='CKKS' then first_bits+scale_bits*2 else 120 end as bits,
     case ring when 8192 then 218 when 16384 then 438 else 881 end as lim from sp),
   f as (select *, list_filter([case when bits>lim then 'modulus_budget_exceeded' end,
     case when scheme='BGV' and ring<16384 then 'bgv_ring_dimension_below_openfhe_minimum' end,
-    case when scheme<>'CKKS' and 2*ceil(60.0*fixed_scale+51225*0.5)>=modulus then 'fixed_point_wraparound' end], lambda x: x is not null) as faults from lim)"""
+    case when scheme<>'CKKS' and 2*ceil(2.0*bound*fixed_scale+variants*0.5)>=modulus then 'fixed_point_wraparound' end], lambda x: x is not null) as faults from lim)"""
 
 
-def judged(spark):
-    primes = [m for m in space.SPACE["modulus"] if space.is_prime(m)]
-    return space.candidates(spark).withColumn("faults", space.faults(SAMPLES, VARIANTS, BOUND, primes))
+def judged(spark, sf_dir):
+    """The candidates of each workload with all that is wrong with them."""
+    plans = validator.with_primes(space.whole_plans(adapters.workloads(spark, sf_dir)))
+    return plans.withColumn("faults", validator.issues(F.col("samples"), F.col("variants"), 0.0, 2.0, F.col("bound")))
 
 
-@query(FAULTS_SQL + " select scheme, ring, width, strategy, coalesce(scale_bits,0) as scale_bits, coalesce(fixed_scale,0) as fixed_scale, array_to_string(faults, ',') as faults, len(faults)=0 as valid from f", plain=True)
+@query(FAULTS_SQL + " select workload, scheme, ring, width, strategy, coalesce(scale_bits,0) as scale_bits, coalesce(fixed_scale,0) as fixed_scale, array_to_string(faults, ',') as faults, len(faults)=0 as valid from f")
 def candidate_validate(spark, sf_dir):
-    return judged(spark).select("scheme", "ring", "width", "strategy", "scale_bits", "fixed_scale", F.array_join("faults", ",").alias("faults"), (F.size("faults") == 0).alias("valid")).na.fill(0)
+    rows = judged(spark, sf_dir).withColumnsRenamed({"window": "width", "aggregation": "strategy"})
+    return rows.select("workload", "scheme", "ring", "width", "strategy", "scale_bits", "fixed_scale", F.array_join("faults", ",").alias("faults"), (F.size("faults") == 0).alias("valid")).na.fill(0)
 
 
 @query("""select p_partkey, range(0, p_partkey, p_size)[k]::bigint as "start", least(range(0, p_partkey, p_size)[k]+p_size, p_partkey)::bigint as "end"
@@ -314,42 +315,43 @@ def rotation_indices(spark, sf_dir):
 
 
 HALVINGS = "case when {0}>1 then len(bin(({0}-1)::bigint)) else 0 end"
-COUNTS_SQL = SPACE_SQL + f""", oc as (select *, (51225+width-1)//width as chunks, (51225//width)*({HALVINGS.format('width')}) + ({HALVINGS.format('(51225%width)')}) as each from sp),
+COUNTS_SQL = SPACE_SQL + f""", oc as (select *, (variants+width-1)//width as chunks, (variants//width)*({HALVINGS.format('width')}) + ({HALVINGS.format('(variants%width)')}) as each from sp),
   ot as (select *, case when strategy='add_then_reduce' then {HALVINGS.format('width')} else each end as turns from oc)"""
 
 
-@query(COUNTS_SQL + """ select distinct scheme, ring, width, strategy, (4*chunks)::bigint as ciphertext_count, (4*chunks)::bigint as multiplication_count,
-  (4*turns)::bigint as rotation_count, (4*(turns+chunks-1))::bigint as addition_count from ot""", plain=True)
+@query(COUNTS_SQL + """ select distinct workload, scheme, ring, width, strategy, (samples*chunks)::bigint as ciphertext_count, (samples*chunks)::bigint as multiplication_count,
+  (samples*turns)::bigint as rotation_count, (samples*(turns+chunks-1))::bigint as addition_count from ot""")
 def operation_counts(spark, sf_dir):
-    counts = slots.operation_counts(F.lit(SAMPLES), F.lit(VARIANTS), F.col("width"), F.col("strategy"))
-    return space.candidates(spark).select("scheme", "ring", "width", "strategy", *[c.alias(n) for n, c in counts.items()]).distinct()
+    counts = slots.operation_counts(F.col("samples"), F.col("variants"), F.col("width"), F.col("strategy"))
+    return space.candidates(adapters.workloads(spark, sf_dir)).select("workload", "scheme", "ring", "width", "strategy", *[c.alias(n) for n, c in counts.items()]).distinct()
 
 
-RANK_SQL = FAULTS_SQL + f""", rk as (select *, concat_ws(':', scheme, ring, width, strategy, coalesce(scale_bits::varchar,'-'), coalesce(first_bits::varchar,'-'), coalesce(fixed_scale::varchar,'-'), coalesce(modulus::varchar,'-')) as plan,
-    (4*((51225+width-1)//width)*ring)::bigint as cost from f),
-  rr as (select plan, scheme, cost, len(faults)=0 as feasible, (row_number() over (order by len(faults)>0, case when len(faults)=0 then cost end nulls last, plan))::int as rank from rk)"""
+RANK_SQL = FAULTS_SQL + """, rk as (select *, concat_ws(':', scheme, ring, width, strategy, coalesce(scale_bits::varchar,'-'), coalesce(first_bits::varchar,'-'), coalesce(fixed_scale::varchar,'-'), coalesce(modulus::varchar,'-')) as plan,
+    (samples*((variants+width-1)//width)*ring)::bigint as cost from f),
+  rr as (select workload, plan, scheme, cost, len(faults)=0 as feasible, (row_number() over (partition by workload order by len(faults)>0, case when len(faults)=0 then cost end nulls last, plan))::int as rank from rk)"""
 
 
-def ranked(spark):
-    rows = judged(spark).select("*", space.plan_key().alias("plan"), (SAMPLES * slots.chunk_count(F.lit(VARIANTS), F.col("width")) * F.col("ring")).alias("cost"))
+def ranked(spark, sf_dir):
+    rows = judged(spark, sf_dir).select("*", space.plan_key().alias("plan"), (F.col("samples") * slots.chunk_count(F.col("variants"), F.col("window")) * F.col("ring")).alias("cost"))
     rows = rows.withColumn("feasible", F.size("faults") == 0)
-    place = Window.orderBy(~F.col("feasible"), F.when(F.col("feasible"), F.col("cost")).asc_nulls_last(), "plan")
-    return rows.select("plan", "scheme", "cost", "feasible", F.row_number().over(place).alias("rank"))
+    place = Window.partitionBy("workload").orderBy(~F.col("feasible"), F.when(F.col("feasible"), F.col("cost")).asc_nulls_last(), "plan")  # some hundred plans each
+    return rows.select("workload", "plan", "scheme", "cost", "feasible", F.row_number().over(place).alias("rank"))
 
 
-@query(RANK_SQL + " select * from rr", plain=True)
+@query(RANK_SQL + " select * from rr")
 def rank_candidates(spark, sf_dir):
-    return ranked(spark)
+    return ranked(spark, sf_dir)
 
 
-@query(RANK_SQL + " select * from rr where feasible order by rank limit 5", plain=True)
+@query(RANK_SQL + " select * from rr where feasible and rank<=5")
 def topk_feasible(spark, sf_dir):
-    return ranked(spark).filter("feasible").orderBy("rank").limit(5)
+    """Of each workload the first five plans that nothing is wrong with."""
+    return ranked(spark, sf_dir).filter("feasible and rank <= 5")
 
 
-@query(RANK_SQL + " select scheme, min_by(plan, rank) as plan, min(rank) as rank from rr where feasible group by 1", plain=True)
+@query(RANK_SQL + " select workload, scheme, min_by(plan, rank) as plan, min(rank) as rank from rr where feasible group by 1, 2")
 def first_feasible_per_scheme(spark, sf_dir):
-    return ranked(spark).filter("feasible").groupBy("scheme").agg(F.min_by("plan", "rank").alias("plan"), F.min("rank").alias("rank"))
+    return ranked(spark, sf_dir).filter("feasible").groupBy("workload", "scheme").agg(F.min_by("plan", "rank").alias("plan"), F.min("rank").alias("rank"))
 
 
 PARETO = """p as (select candidate_id, scheme, round(avg(evaluation_seconds),6)::double as seconds, max(peak_memory_mb)::double as memory, min(ciphertext_bytes) as bytes from rec where status='ok' group by 1,2)"""
@@ -397,11 +399,14 @@ def records_status_counts(spark, sf_dir):
     return rows.groupBy("s.kind", "s.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""x as (select 1) select rec_ord, upper(scheme) as scheme, (status='ok')::int as execution_success, 'candidate:'||candidate_id as workload_group,
-  case when status='ok' then 'measured' else 'failed' end as measurement_kind, coalesce(nullif(ciphertext_bytes,0),1)::bigint as ciphertext_bytes,
+@query("""x as (select 1) select rec_ord, upper(scheme) as scheme, (status='ok')::int as execution_success, 'unspecified' as workload_group,
+  'measured_unspecified' as measurement_kind, ciphertext_bytes::double as ciphertext_bytes,
   round(sign(evaluation_seconds)*ln(1+abs(evaluation_seconds)),6)::double as log_seconds from rec""")
 def records_canonicalize(spark, sf_dir):
-    return records.canonical(adapters.records(spark, sf_dir)).withColumn("log_seconds", F.round("log_seconds", 6))
+    """Canonical columns of records that lack most keys."""
+    rows = records.canonicalize(adapters.records(spark, sf_dir))
+    seconds = F.signum("evaluation_seconds") * F.log1p(F.abs("evaluation_seconds"))
+    return rows.select("rec_ord", "scheme", "execution_success", "workload_group", "measurement_kind", "ciphertext_bytes", F.round(seconds, 6).alias("log_seconds"))
 
 
 @query("""x as (select 1) select rec_ord, scheme, status, null::double as peak_memory_mb from rec where status='failed'
@@ -412,12 +417,11 @@ def records_union_by_name(spark, sf_dir):
     return failed.unionByName(ok, allowMissingColumns=True).select("rec_ord", "scheme", "status", "peak_memory_mb")
 
 
-HELD_OUT = records.held_out_groups([str(k) for k in range(20)])
-
-
-@query(f"""x as (select 1) select candidate_id in ({','.join(HELD_OUT)}) as held_out, count(*) as n, count(distinct candidate_id) as n_groups from rec group by 1""")
+@query("""c as (select distinct candidate_id from rec), o as (select candidate_id, row_number() over (order by md5('20260728|'||candidate_id), candidate_id::varchar) as place, count(*) over () as many from c)
+  select place<=greatest(1, round_even(many*0.2, 0)) as held_out, count(*) as n, count(distinct rec.candidate_id) as n_groups from rec join o on rec.candidate_id=o.candidate_id group by 1""")
 def group_heldout_split(spark, sf_dir):
-    rows = adapters.records(spark, sf_dir).withColumn("held_out", F.col("candidate_id").isin([int(k) for k in HELD_OUT]))
+    """The rows of candidates held out and of the others; which ones are, a hash of all candidates that the table has decides."""
+    rows = records.with_held_out(adapters.records(spark, sf_dir), "candidate_id")
     return rows.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate_id").alias("n_groups"))
 
 

@@ -196,28 +196,30 @@ def prediction_pairing(spark, sf_dir):
 
 
 AXES = {"reduction": ["binary_tree", "eval_sum"], "key_switching": ["HYBRID", "BV"], "scaling_technique": ["FIXEDAUTO", "FLEXIBLEAUTO"], "first_bits": [50, 60]}
-WHOLE_SQL = f"""with base as (select s.scheme, r.ring, w.win, a.aggregation, d.reduction, k.key_switching, case when s.scheme='CKKS' then r.ring//2 else r.ring end as cap
-    from (select unnest(['CKKS','BFV','BGV']) as scheme) s, (select unnest([8192,16384,32768])::bigint as ring) r, (select unnest([512,1024,2048,4096])::bigint as win) w,
+WHOLE_SQL = "wl as (" + adapters.WORKLOADS + """), base as (select wl.workload, wl.variants, wl.bound, s.scheme, r.ring, w.win, a.aggregation, d.reduction, k.key_switching, case when s.scheme='CKKS' then r.ring//2 else r.ring end as cap
+    from wl, (select unnest(['CKKS','BFV','BGV']) as scheme) s, (select unnest([8192,16384,32768])::bigint as ring) r, (select unnest([512,1024,2048,4096])::bigint as win) w,
       (select unnest(['reduce_then_add','add_then_reduce']) as aggregation) a, (select unnest(['binary_tree','eval_sum']) as reduction) d, (select unnest(['HYBRID','BV']) as key_switching) k),
   pl as (select b.*, t.technique, x.scale_bits, f.first_bits, null as fixed_scale from base b, (select unnest(['FIXEDAUTO','FLEXIBLEAUTO']) as technique) t, (select unnest([40,50])::bigint as scale_bits) x,
       (select unnest([50,60])::bigint as first_bits) f where scheme='CKKS' and win<=cap
-    union all select b.*, null, null, null, y.fixed_scale from base b, (select unnest([100000,1000000,10000000])::bigint as fixed_scale) y where scheme<>'CKKS' and win<=cap)
-  select scheme, ring, win as "window", aggregation, reduction, key_switching, technique as scaling_technique, scale_bits, first_bits as first_modulus_size, fixed_scale,
-    greatest(1, ceil({VARIANTS}/win::double))::bigint as chunk_count, len(list_filter(range(0,20), lambda i: (1::bigint<<i)<least({VARIANTS},win)))::bigint as n_rotations,
-    round(log10(fixed_scale))::bigint as encoding_precision from pl"""
+    union all select b.*, null, null, null, y.fixed_scale from base b, (select unnest([100000,1000000,10000000])::bigint as fixed_scale) y where scheme<>'CKKS' and win<=cap),
+  wp as (select workload, variants, bound, scheme, ring, win as "window", aggregation, reduction, key_switching, technique as scaling_technique, scale_bits, first_bits as first_modulus_size, fixed_scale,
+    greatest(1, ceil(variants/win::double))::bigint as chunk_count, len(list_filter(range(0,20), lambda i: (1::bigint<<i)<least(variants,win)))::bigint as n_rotations,
+    round(log10(fixed_scale))::bigint as encoding_precision from pl)"""
 
 
-@query(WHOLE_SQL)
+@query(adapters.duckdb(WHOLE_SQL + " select * exclude (variants, bound) from wp"))
 def candidate_plans(spark, sf_dir):
-    rows = space.whole_plans(spark, VARIANTS, AXES)
+    """Every choice of a plan for each workload."""
+    rows = space.whole_plans(adapters.workloads(spark, sf_dir), AXES)
     return rows.select(
-        "scheme", "ring", "window", "aggregation", "reduction", "key_switching", "scaling_technique", "scale_bits", "first_modulus_size", "fixed_scale", "chunk_count",
+        "workload", "scheme", "ring", "window", "aggregation", "reduction", "key_switching", "scaling_technique", "scale_bits", "first_modulus_size", "fixed_scale", "chunk_count",
         F.size("rotations").cast("long").alias("n_rotations"), "encoding_precision",
     )
 
 
-@query(WHOLE_SQL.replace("with base", "with q as (with base", 1) + f""") select scheme, ring, count(*) as plans, count(*) filter (case when scheme='CKKS' then first_modulus_size+2*scale_bits<=case ring when 8192 then 218 when 16384 then 438 else 881 end and first_modulus_size>=scale_bits
-    else 120<=218 and not (scheme='BGV' and ring<16384) and 2*ceil({HIGH * SUM_ABS}*fixed_scale+{VARIANTS}*0.5)<2147352577 end) as valid from q group by 1, 2""")
+@query(adapters.duckdb(WHOLE_SQL + """ select workload, scheme, ring, count(*) as plans, count(*) filter (case when scheme='CKKS' then first_modulus_size+2*scale_bits<=case ring when 8192 then 218 when 16384 then 438 else 881 end and first_modulus_size>=scale_bits
+    else 120<=218 and not (scheme='BGV' and ring<16384) and 2*ceil(2.0*bound*fixed_scale+variants*0.5)<2147352577 end) as valid from wp group by 1, 2, 3"""))
 def candidate_plans_valid(spark, sf_dir):
-    rows = validator.with_primes(space.whole_plans(spark, VARIANTS, AXES)).withColumn("issues", validator.issues(SAMPLES, VARIANTS, LOW, HIGH, SUM_ABS))
-    return rows.groupBy("scheme", "ring").agg(F.count(F.lit(1)).alias("plans"), F.count_if(F.size("issues") == 0).alias("valid"))
+    rows = validator.with_primes(space.whole_plans(adapters.workloads(spark, sf_dir), AXES))
+    rows = rows.withColumn("issues", validator.issues(F.col("samples"), F.col("variants"), 0.0, 2.0, F.col("bound")))
+    return rows.groupBy("workload", "scheme", "ring").agg(F.count(F.lit(1)).alias("plans"), F.count_if(F.size("issues") == 0).alias("valid"))

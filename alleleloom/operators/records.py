@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,11 +13,6 @@ from . import ranks
 METRICS = ["evaluation_seconds", "peak_memory_mb", "ciphertext_bytes"]
 
 
-def truthy(*columns: Column) -> Column:
-    """The first that is neither null nor 0."""
-    return F.coalesce(*[F.nullif(c, F.lit(0)) for c in columns])
-
-
 def summaries(records: DataFrame, by: list[str], metrics: list[str] = METRICS) -> DataFrame:
     """Median, mean, sample deviation (0 for one), least, greatest and count per group and metric, over rows that are ok.
 
@@ -43,24 +37,18 @@ def group_statistics(records: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def canonical(records: DataFrame) -> DataFrame:
-    """The derived columns that the models and reports use."""
-    return records.select(
-        "rec_ord",
-        F.upper("scheme").alias("scheme"),
-        (F.col("status") == "ok").cast("int").alias("execution_success"),
-        F.concat_ws(":", F.lit("candidate"), F.col("candidate_id").cast("string")).alias("workload_group"),
-        F.when(F.col("status") == "ok", "measured").otherwise("failed").alias("measurement_kind"),
-        truthy(F.col("ciphertext_bytes"), F.lit(1).cast("bigint")).alias("ciphertext_bytes"),
-        (F.signum("evaluation_seconds") * F.log1p(F.abs("evaluation_seconds"))).alias("log_seconds"),
-    )
+def with_held_out(rows: DataFrame, group: str, fraction: float = 0.2, seed: int = 20260728) -> DataFrame:
+    """Adds ``held_out``: whether the row's group is among those with the least hashes of the seed and its name, a ``fraction`` of all groups and one at least.
 
-
-def held_out_groups(groups: list[str], fraction: float = 0.2, seed: int = 20260728) -> list[str]:
-    """The groups of a reproducible held-out split: at least one, all of their rows together."""
-    shuffled = sorted(groups)
-    random.Random(seed).shuffle(shuffled)
-    return shuffled[: max(1, round(len(groups) * fraction))]
+    The last hash that is held out tells it of each row, so no list of groups is sent anywhere.
+    """
+    text = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    key = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), text)).alias("h"), text.alias("g"))
+    groups = rows.select(key.alias("k")).distinct()
+    many = groups.count()
+    edge = groups.orderBy("k").limit(max(1, round(many * fraction))).agg(F.max("k").alias("k")).first()["k"] if many else None
+    held = key <= F.struct(F.lit(edge["h"]).alias("h"), F.lit(edge["g"]).alias("g")) if edge else F.lit(False)
+    return rows.withColumn("held_out", held)
 
 
 def source_domain(*texts: Column) -> Column:

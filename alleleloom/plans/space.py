@@ -1,6 +1,6 @@
-"""The space of execution plans as DataFrames: candidates, their faults, costs, ranks and frontier.
+"""The space of execution plans as DataFrames: candidates, their names, and the frontier of what was measured.
 
-The axes are short lists of options; their product grows with the options, not with any data.
+The axes are short lists of options; each workload of a table gets their whole product.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import slots
@@ -30,8 +30,8 @@ SPACE = {
 MOST_BITS = {1024: 27, 2048: 54, 4096: 109, 8192: 218, 16384: 438, 32768: 881, 65536: 1761}
 
 
-def candidates(spark: SparkSession, space: dict[str, list] = SPACE) -> DataFrame:
-    """One row per plan: approximate schemes vary the scale, whole-number schemes the fixed scale and modulus."""
+def candidates(workloads: DataFrame, space: dict[str, list] = SPACE) -> DataFrame:
+    """One row per plan for each row of ``workloads``: approximate schemes vary the scale, whole-number schemes the fixed scale and modulus."""
 
     def axes(rows: DataFrame, names: list[str]) -> DataFrame:
         for n in names:
@@ -39,7 +39,7 @@ def candidates(spark: SparkSession, space: dict[str, list] = SPACE) -> DataFrame
             rows = rows.select("*", F.explode(values).alias(n))
         return rows
 
-    base = axes(spark.range(1).select(), ["scheme", "ring", "width", "strategy"]).withColumn("slots", slots.capacity(F.col("scheme"), F.col("ring")))
+    base = axes(workloads, ["scheme", "ring", "width", "strategy"]).withColumn("slots", slots.capacity(F.col("scheme"), F.col("ring")))
     base = base.filter("width <= slots")
     none = lambda n: F.lit(None).cast("long").alias(n)
     near = axes(base.filter("scheme = 'CKKS'"), ["scale_bits", "first_bits"]).select("*", none("fixed_scale"), none("modulus"))
@@ -51,64 +51,31 @@ def candidates(spark: SparkSession, space: dict[str, list] = SPACE) -> DataFrame
 MORE = {"reduction": ["binary_tree"], "key_switching": ["HYBRID"], "scaling_technique": ["FLEXIBLEAUTO"]}
 
 
-def whole_plans(spark: SparkSession, variants: int, space: dict[str, list] | None = None) -> DataFrame:
-    """The candidates with every choice that a plan has, ready for the validator: those of ``candidates`` times the further axes.
+def whole_plans(workloads: DataFrame, space: dict[str, list] | None = None) -> DataFrame:
+    """The candidates with every choice that a plan has, ready for the validator, for each workload (with ``variants``): those of ``candidates`` times the further axes.
 
     Scaling techniques concern approximate schemes alone. Windows are as wide as what one ciphertext holds, and the rotations are
     the powers of two that such a window, or all variants if they are fewer, needs.
     """
     space = SPACE | MORE | (space or {})
-    rows = candidates(spark, space)
+    rows, variants = candidates(workloads, space), F.col("variants")
     for n in ("reduction", "key_switching", "scaling_technique"):
         options = F.array(*map(F.lit, space[n]))
         rows = rows.select("*", F.explode(options if n != "scaling_technique" else F.when(F.col("scheme") == "CKKS", options).otherwise(F.array(F.lit(None).cast("string")))).alias(n))
     one = F.lit(1).cast("long")
     window = F.col("width")
     return rows.select(
-        "scheme", "ring", F.lit(128).cast("long").alias("security_bits"), F.col("slots").alias("slot_count"), window.alias("window"), window.alias("batch_size"), window.alias("per_ciphertext"),
-        F.greatest(one, slots.chunk_count(F.lit(variants), window)).alias("chunk_count"), F.lit(True).alias("feature_packing"), F.lit(False).alias("sample_packing"), one.alias("samples_each"),
-        F.lit(False).alias("score_packing"), one.alias("scores_each"), slots.rotations(F.least(F.lit(variants).cast("long"), window)).alias("rotations"), one.alias("depth"),
+        *workloads.columns, "scheme", "ring", F.lit(128).cast("long").alias("security_bits"), F.col("slots").alias("slot_count"), window.alias("window"), window.alias("batch_size"), window.alias("per_ciphertext"),
+        F.greatest(one, slots.chunk_count(variants, window)).alias("chunk_count"), F.lit(True).alias("feature_packing"), F.lit(False).alias("sample_packing"), one.alias("samples_each"),
+        F.lit(False).alias("score_packing"), one.alias("scores_each"), slots.rotations(F.least(variants, window)).alias("rotations"), one.alias("depth"),
         F.col("strategy").alias("aggregation"), "reduction", "key_switching", "scaling_technique", "scale_bits", F.col("scale_bits").alias("scaling_modulus_size"),
         F.col("first_bits").alias("first_modulus_size"), "fixed_scale", "modulus", F.bround(F.log10(F.col("fixed_scale").cast("double"))).cast("long").alias("encoding_precision"), F.lit(False).alias("imputed"),
     )
 
 
-def is_prime(n: int) -> bool:
-    """By trial division; the moduli are below 2 to the 32, few and checked once each."""
-    return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
-
-
-def faults(samples: int, variants: int, bound: float, primes: list[int], depth: int = 1, most_mb: float | None = None) -> Column:
-    """The ordered names of what is wrong with a plan, as an array."""
-    ring, width, slots_, scheme = F.col("ring"), F.col("width"), F.col("slots"), F.col("scheme")
-    near = scheme == "CKKS"
-    bits = F.when(near, F.col("first_bits") + F.col("scale_bits") * max(1, depth + 1)).otherwise(F.lit(60 * max(2, depth + 1)))
-    limit = reduce(lambda out, x: F.when(ring == x[0], F.lit(x[1])).otherwise(out), MOST_BITS.items(), F.lit(None).cast("int"))
-    whole = F.ceil(F.lit(bound) * F.col("fixed_scale") + variants * 0.5)
-    component = ring * bits / 8
-    memory = (samples * F.greatest(F.lit(1), slots.chunk_count(F.lit(variants), width)) * 3 * component + component * (8 + 2 * slots.halvings(F.least(F.lit(variants), width)))) / 2**20
-    modulus = F.col("modulus")
-    tests = [
-        ("invalid_ring_dimension", (F.bit_count(ring) != 1) | (ring < 1024)),
-        ("window_exceeds_slots", (width <= 0) | (width > slots_)),
-        ("unsupported_chunk_aggregation", ~F.col("strategy").isin("reduce_then_add", "add_then_reduce")),
-        ("modulus_budget_exceeded", limit.isNull() | (bits > limit)),
-        ("ckks_scale_too_small", near & (F.coalesce("scale_bits", F.lit(0)) < 20)),
-        ("ckks_first_modulus_too_small", near & (F.col("first_bits") < F.col("scale_bits"))),
-        ("invalid_fixed_point_scale", ~near & (F.coalesce("fixed_scale", F.lit(0)) <= 0)),
-        ("invalid_plaintext_modulus", ~near & (F.coalesce(modulus, F.lit(0)) <= 2)),
-        ("plaintext_modulus_not_prime", ~near & (modulus > 2) & ~modulus.isin(primes)),
-        ("plaintext_modulus_not_batching_compatible", ~near & modulus.isin(primes) & (modulus % (2 * ring) != 1)),
-        ("bgv_ring_dimension_below_openfhe_minimum", (scheme == "BGV") & (modulus >= 2**30) & (ring < 16384)),
-        ("fixed_point_wraparound", ~near & (2 * whole >= modulus)),
-        ("estimated_memory_exceeded", F.lit(False) if most_mb is None else memory > most_mb),
-    ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
-
-
 def plan_key() -> Column:
     """A text that names a plan, for joins and ties."""
-    return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("scheme", "ring", "width", "strategy", "scale_bits", "first_bits", "fixed_scale", "modulus")])
+    return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("scheme", "ring", "window", "aggregation", "scale_bits", "first_modulus_size", "fixed_scale", "modulus")])
 
 
 def frontier(rows: DataFrame, objectives: list[str]) -> DataFrame:

@@ -71,12 +71,12 @@ def modulus_bits() -> Column:
     return F.when(F.col("scheme") == "CKKS", near).otherwise(60 * F.greatest(F.lit(2), F.col("depth") + 1))
 
 
-def memory_mb(samples: int) -> Column:
+def memory_mb(samples: int | Column) -> Column:
     component = F.col("ring") * modulus_bits() / 8
     return (samples * F.greatest(F.lit(1), F.col("chunk_count")) * 3 * component + component * (8 + 2 * F.size("rotations"))) / 2**20
 
 
-def issues(samples: int, variants: int, low: float, high: float, sum_abs: float, security: int = 128, most_mb: float | None = None) -> Column:
+def issues(samples: int | Column, variants: int | Column, low: float, high: float, sum_abs: float | Column, security: int = 128, most_mb: float | None = None) -> Column:
     """The types of all issues of a plan, in the order of the checks, as an array; a plan is valid if there are none.
 
     Of rows with scheme, ring, security_bits, slot_count, window, batch_size, per_ciphertext, chunk_count, feature_packing,
@@ -91,7 +91,7 @@ def issues(samples: int, variants: int, low: float, high: float, sum_abs: float,
     scale = F.coalesce(F.nullif(col("scale_bits"), F.lit(0)), col("scaling_modulus_size"))
     given = F.coalesce(col("modulus"), F.lit(0))
     fixed = F.coalesce(col("fixed_scale"), F.lit(0))
-    whole = F.ceil(F.lit(max(abs(low), abs(high)) * sum_abs) * fixed + variants * 0.5)
+    whole = F.ceil(F.lit(max(abs(low), abs(high)) * sum_abs) * fixed + F.lit(variants) * 0.5)
     is_prime = F.coalesce("modulus_is_prime", F.lit(False))
     tests = [
         ("unsupported_security_profile", (col("security_bits") != security) | F.lit(security != 128)),

@@ -48,6 +48,13 @@ from events
 """
 
 
+#: One workload for each chromosome with weights and nation with customers of the same number: what plans are made for.
+WORKLOADS = """
+select w.chrom as workload, c.samples, w.variants, w.bound
+from (select chrom, count(*) as variants, cast(sum(abs(w_int)) as double)/10000.0 as bound from w group by chrom) w
+  join (select c_nationkey, count(*) as samples from customer group by c_nationkey) c on c.c_nationkey = cast(w.chrom as bigint)
+"""
+
 DENSE_CALLS = f"from customer cross join v where c_custkey < {SAMPLES}"
 SPARSE_CALLS = "from (select distinct o_custkey as c_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey) s join v on v.vrow = l_partkey"
 
@@ -102,5 +109,10 @@ def _dosed(rows: DataFrame) -> DataFrame:
     return rows.selectExpr(*[c for c in rows.columns if c != "sample_id"], "sample_id", f"{text} as alt_dosage")
 
 
+def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(workload, samples, variants, bound), the bound being the sum of the weights' sizes."""
+    return spark.sql(WORKLOADS.replace("from w ", "from {w} ").replace("from customer", "from {customer}"), w=weights(spark, sf_dir), customer=_table(spark, sf_dir, "customer"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RECORDS.replace("from events", "from {events}"), events=_table(spark, sf_dir, "events"))

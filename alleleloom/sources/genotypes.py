@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,9 +156,9 @@ def read_scoring_file(spark: SparkSession, path: str, chrom: str | None = None)
 
 
 def count_records(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> tuple[int, int]:
-    """(records of a genotype file, those that ``wanted`` keys leave out)."""
+    """(records of a genotype file, those that ``wanted`` keys leave out); rows of under nine fields are no records."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(alleles.chromosome(f[0]).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("position"))
+    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.size(f) >= 9)).select(alleles.chromosome(f[0]).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("position"))
     total = rows.count()
     return total, 0 if wanted is None else rows.join(wanted.select("chrom", "position").distinct(), ["chrom", "position"], "left_anti").count()
 
@@ -227,7 +229,7 @@ def write_harmonized(dosages: DataFrame, weights: DataFrame, exclusions: DataFra
     """dosage, weights, exclusions and, as JSON, the report as ``csv``, ``parquet`` or ``both``. Dosages are (sample_id, variant_ord, effect_dosage), weights have variant_ord and WEIGHT_FIELDS.
 
     The CSV of dosages has a line for each sample and a column for each variant, named chrom:position:ref:alt:rsid; each of its
-    files has the header. Parquet stays long: a row for each sample and variant.
+    files has the header, and a null is an empty cell. Parquet stays long: a row for each sample and variant.
     """
     if kind not in ("csv", "parquet", "both"):
         raise ValueError("kind must be csv, parquet or both")
@@ -238,7 +240,7 @@ def write_harmonized(dosages: DataFrame, weights: DataFrame, exclusions: DataFra
         label = alleles.label(F.col("chrom"), F.col("position"), F.col("ref"), F.col("alt"), F.col("rsid"))
         names = weights.agg(F.array_sort(F.collect_list(F.struct("variant_ord", label.alias("name")))).alias("n")).select("n.name").first()[0]  # the header of one line
         cells = dosages.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("variant_ord", "effect_dosage"))).alias("c"))
-        line = F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("c", lambda c: c.getField("effect_dosage").cast("string")))
+        line = F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("c", lambda c: F.coalesce(c.getField("effect_dosage").cast("string"), F.lit(""))))
         lines = cells.select(line.alias(",".join(["sample_id", *names])))
         lines.write.mode("overwrite").csv(f"{folder}/dosage.csv", header=True, sep="\x01", quote="")
         weights.orderBy("variant_ord").select(*WEIGHT_FIELDS).write.mode("overwrite").csv(f"{folder}/weights.csv", header=True)
@@ -283,7 +285,7 @@ def read_harmonized(spark: SparkSession, dosage: str, weights: str) -> tuple[Dat
     f = F.split("value", ",")
     cells = F.when(F.size(f) == n + 1, F.slice(f, 2, n)).otherwise(F.raise_error(F.lit("dosages and weights differ in number")).cast("array<string>"))
     rows = lines.filter((F.trim("value") != "") & ~F.col("value").rlike("^\ufeff?sample_id,"))
-    return rows.select(f[0].alias("sample_id"), F.posexplode(cells).alias("variant_ord", "cell")).select("sample_id", "variant_ord", F.col("cell").cast("double").alias("effect_dosage")), w
+    return rows.select(f[0].alias("sample_id"), F.posexplode(cells).alias("variant_ord", "cell")).select("sample_id", "variant_ord", F.nullif(F.trim("cell"), F.lit("")).cast("double").alias("effect_dosage")), w
 
 
 def read_dosage_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -340,21 +342,57 @@ def read_record_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """As json, jsonl, csv or parquet by the path's ending; columns in order of name, nested ones as JSON text but in json and jsonl."""
+    """As json, jsonl, csv or parquet by the path's ending; columns in order of name.
+
+    json is one file with a list, or an object if there is one record; it is written row by row by one task. Nested columns are JSON text
+    in csv and parquet. In parquet, texts of which all that aren't empty are numbers become numbers, and empty ones null.
+    """
     kind, rows = path.rstrip("/").rpartition(".")[2], records.select(*sorted(records.columns))
-    if kind in ("json", "jsonl"):
+    if kind == "jsonl":
         rows.write.mode("overwrite").json(path)
         return
+    if kind == "json":
+        lines = rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).mapInArrow(as_list, "value string")
+        if rows.isEmpty():
+            lines = records.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
+        lines.write.mode("overwrite").text(path)
+        return
     nested = [c for c, t in rows.dtypes if t.startswith(("struct", "array", "map"))]
     rows = rows.withColumns({c: F.to_json(c) for c in nested}) if nested else rows
     if kind == "csv":
         rows.write.mode("overwrite").csv(path, header=True)
     elif kind == "parquet":
-        rows.write.mode("overwrite").parquet(path)
+        retyped(rows).write.mode("overwrite").parquet(path)
     else:
         raise ValueError(f"unknown kind of records: {kind}")
 
 
+def as_list(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that make a JSON list of the lines read, or the only line itself."""
+    line, n = None, 0
+    for batch in stream:
+        out = []
+        for value in batch.column(0).to_pylist():
+            if line is not None:
+                out.append(("[" if n == 1 else "") + line + ",")
+            line, n = value, n + 1
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    if line is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([line if n == 1 else line + "]"], pa.string())], ["value"])
+
+
+def retyped(rows: DataFrame) -> DataFrame:
+    """``rows`` with text columns of numbers alone, but for empty texts, as whole numbers if all are, else as doubles."""
+    texts = [c for c, t in rows.dtypes if t == "string"]
+    if not texts:
+        return rows
+    value = {c: F.nullif(F.trim(f"`{c}`"), F.lit("")) for c in texts}
+    seen = [F.struct(F.count(v), F.count(v.try_cast("double")), F.count(v.try_cast("long"))).alias(c) for c, v in value.items()]
+    counts = rows.agg(*seen).first()
+    kinds = {c: "long" if n == longs else "double" for c in texts for n, doubles, longs in [tuple(counts[c])] if n and n == doubles}
+    return rows.withColumns({c: value[c].try_cast(k) for c, k in kinds.items()}) if kinds else rows
+
+
 def write_aligned(calls: DataFrame, classified: DataFrame, folder: str) -> None:
     """dosage, weights and exclusions as Parquet; variants are named by source_row, never by place."""
     calls.write.mode("overwrite").parquet(f"{folder}/dosage")
