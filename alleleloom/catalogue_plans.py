@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import slots
-from .plans import space, validator
+from .plans import space, suggestions, validator
 from .registry import query, table
 from .sources import adapters
 
@@ -195,6 +195,62 @@ def prediction_pairing(spark, sf_dir):
     return out.withColumns({"measured": F.round("measured", 6), "residual": F.round("residual", 6)})
 
 
+#: Measurements of plans from the lines that have their part: each fifth plan fails, and each third has none. The same for Spark and DuckDB.
+TRIALS = """
+select l_partkey as plan_id, case when l_partkey%5=0 then 'failed' else 'ok' end as status, avg(case when l_partkey%5<>0 then l_quantity end) as evaluation_seconds,
+  avg(case when l_partkey%5<>0 then l_quantity*2 end) as total_seconds, max(case when l_partkey%5<>0 then l_tax*10000 end) as peak_memory_mb,
+  cast(count(case when l_partkey%5<>0 then 1 end)*1000 as double) as ciphertext_bytes, min(case when l_partkey%5<>0 and l_partkey%7<>0 then l_extendedprice end) as key_bytes,
+  avg(case when l_partkey%5<>0 then l_discount end) as max_absolute_error from {lines} where l_partkey%3<>0 group by l_partkey
+"""
+TRIALS_SQL = "tm as (" + TRIALS.format(lines="lineitem") + ")"
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, workload, status and metrics) of measured plans."""
+    rows = spark.sql(TRIALS, lines=table(spark, sf_dir, "lineitem"))
+    return rows.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan_id"), F.col("p_brand").alias("workload")), "plan_id")
+
+
+TOP = 3
+SELECTED_SQL = RANKED_SQL + ", " + TRIALS_SQL + f""",
+  cp as (select rr.plan_id, rr.workload, rr.objective, rr.score, rr.rank, tm.* exclude (plan_id), case when rank<={TOP} then 'top_k_actual_validation' else 'bayesian_refinement' end as phase
+    from rr left join tm on rr.plan_id=tm.plan_id where feasible and (rank<={TOP} or status is not null)),
+  cl as (select *, {' and '.join(f'{m} is not null' for m in validator.BALANCED)} as whole from cp),
+  cs as (select *, {', '.join(f"coalesce((ln(1+{m})-min(ln(1+{m})) filter (whole) over g)/nullif(max(ln(1+{m})) filter (whole) over g-min(ln(1+{m})) filter (whole) over g,0),0) as s_{m}" for m in validator.BALANCED)}
+    from cl window g as (partition by workload, objective)),
+  cm as (select *, case objective when 'evaluation_latency' then evaluation_seconds when 'total_latency' then total_seconds when 'memory' then peak_memory_mb when 'ciphertext_size' then ciphertext_bytes
+      when 'key_size' then key_bytes end as single, case when whole then {'+'.join(f's_{m}' for m in validator.BALANCED)} end as balanced from cs),
+  ck as (select *, case when objective='balanced_multi_objective' then balanced else single end as measured_score from cm)"""
+
+
+@query(SELECTED_SQL + """ select plan_id, workload, objective, rank, phase, status, case when status is null then 'not_measured' when status='ok' and (single is not null or whole) then 'paired' else 'unavailable_failed_measurement' end as pairing,
+  case when status='ok' and objective<>'balanced_multi_objective' then round(single-score,4) end::double as residual, round(measured_score,6)::double as measured_score from ck""")
+def plan_trials(spark, sf_dir):
+    """The first plans of each workload and objective by rank, and all others that were measured, with what was measured; failures stay."""
+    rows = validator.ranked_by_objectives(judged(spark, sf_dir), MOST, ["workload"], "plan_id")
+    rows = suggestions.compared(rows, trials(spark, sf_dir), ["workload"], "plan_id", TOP)
+    return rows.select("plan_id", "workload", "objective", "rank", "phase", "status", "pairing", F.round("residual", 4).alias("residual"), F.round("measured_score", 6).alias("measured_score"))
+
+
+@query(SELECTED_SQL + """, pick as (select workload, objective, min((round(measured_score,9), rank, plan_id, measured_score)) filter (status='ok' and measured_score is not null) as m, min((rank, plan_id)) as p,
+    count(*) filter (phase='top_k_actual_validation') as top, count(*) filter (status<>'ok') as failed, count(*) filter (phase='bayesian_refinement') as refined from ck group by 1, 2)
+  select a.workload, a.objective, case when m is not null then 'measured_and_validated' when p is not null then 'predicted_only_no_successful_actual_validation' else 'no_feasible_candidate' end as status,
+    coalesce(m[3], p[2]) as selected, round(m[4],6)::double as measured_score, coalesce(top,0) as top, coalesce(failed,0) as failed, coalesce(refined,0) as refined
+  from (select distinct workload, objective from rr) a left join pick on a.workload=pick.workload and a.objective=pick.objective""")
+def plan_selection(spark, sf_dir):
+    """Which plan each workload and objective ends up with, and whether it was measured or only predicted."""
+    rows = validator.ranked_by_objectives(judged(spark, sf_dir), MOST, ["workload"], "plan_id")
+    return suggestions.selected(rows, trials(spark, sf_dir), ["workload"], "plan_id", TOP).withColumn("measured_score", F.round("measured_score", 6))
+
+
+@query()
+def plan_suggestions(spark, sf_dir):
+    """The sound plans of each workload without a measurement, by the improvement that a Gaussian process over all measured ones expects. Matrices have no SQL."""
+    sound = judged(spark, sf_dir).filter(F.size("issues") == 0)
+    tried = trials(spark, sf_dir).select("workload", "plan_id", F.col("evaluation_seconds").alias("value"))
+    return suggestions.suggested(sound, tried, ["workload"], "plan_id", validator.plan_vector())
+
+
 AXES = {"reduction": ["binary_tree", "eval_sum"], "key_switching": ["HYBRID", "BV"], "scaling_technique": ["FIXEDAUTO", "FLEXIBLEAUTO"], "first_bits": [50, 60]}
 WHOLE_SQL = "wl as (" + adapters.WORKLOADS + """), base as (select wl.workload, wl.variants, wl.bound, s.scheme, r.ring, w.win, a.aggregation, d.reduction, k.key_switching, case when s.scheme='CKKS' then r.ring//2 else r.ring end as cap
     from wl, (select unnest(['CKKS','BFV','BGV']) as scheme) s, (select unnest([8192,16384,32768])::bigint as ring) r, (select unnest([512,1024,2048,4096])::bigint as win) w,
