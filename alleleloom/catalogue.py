@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import inspect
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +20,12 @@ def query(sql: str | None = None, plain: bool = False):
     return registry.query(sql if plain or not sql else duckdb(sql))
 
 
-def classified(spark: SparkSession, sf_dir: str, calls=adapters.calls) -> DataFrame:
+def classified(spark: SparkSession, sf_dir: str, calls=adapters.all_calls) -> DataFrame:
     variants = adapters.genotypes(spark, sf_dir)
     return align.classify(adapters.weights(spark, sf_dir), variants, align.incomplete(calls(spark, sf_dir, variants.select("vrow", "alt"))))
 
 
-def scored(spark: SparkSession, sf_dir: str, reasons: tuple[str, ...] = ("ok",), calls=adapters.calls) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, reasons: tuple[str, ...] = ("ok",), calls=adapters.all_calls) -> DataFrame:
     """The effect dosages of the aligned variants: the calls come from the aligned rows themselves, so nothing is joined again."""
     rows = align.classify(adapters.weights(spark, sf_dir), adapters.genotypes(spark, sf_dir))
     if reasons == ("ok",):
@@ -58,22 +57,22 @@ ORDERED = EFFECT + ", o as (select e.*, k.ord from e join (select source_row, ro
 
 
 @query(FULL + " select reason, count(*) as n, count(*) filter (side='ALT') as n_alt, count(*) filter (flipped) as n_flipped from c group by 1")
-def align_report(spark, sf_dir, calls=adapters.calls):
+def align_report(spark, sf_dir, calls=adapters.all_calls):
     return align.report(classified(spark, sf_dir, calls=calls))
 
 
 @query(FULL + " select chrom, position, source_row, reason from c where reason<>'ok'")
-def align_exclusions(spark, sf_dir, calls=adapters.calls):
+def align_exclusions(spark, sf_dir, calls=adapters.all_calls):
     return classified(spark, sf_dir, calls=calls).filter("reason <> 'ok'").select("chrom", "position", "source_row", "reason")
 
 
 @query(FULL + " select source_row, side, flipped, vrow from c where reason='ok'")
-def align_orientation(spark, sf_dir, calls=adapters.calls):
+def align_orientation(spark, sf_dir, calls=adapters.all_calls):
     return classified(spark, sf_dir, calls=calls).filter("reason = 'ok'").select("source_row", "side", "flipped", "vrow")
 
 
 @query(FULL + " select distinct v.chrom, v.position from v where not exists (select 1 from c where c.chrom=v.chrom and c.position=v.position and n_weights=1 and n_genotypes=1)")
-def align_vcf_only(spark, sf_dir, calls=adapters.calls):
+def align_vcf_only(spark, sf_dir, calls=adapters.all_calls):
     return align.unused_genotypes(classified(spark, sf_dir, calls=calls), adapters.genotypes(spark, sf_dir))
 
 
@@ -84,25 +83,25 @@ def align_semijoin_pushdown(spark, sf_dir):
 
 
 @query(FULL + EFFECT + " select sample_id, count(d) as n, sum(d*w_int)::bigint as score_int from e group by 1")
-def prs_fixed(spark, sf_dir, calls=adapters.calls):
+def prs_fixed(spark, sf_dir, calls=adapters.all_calls):
     return score.scores(scored(spark, sf_dir, calls=calls), ["sample_id"])
 
 
 @query(FULL + EFFECT + " select sample_id, round(sum(d*w_int)/10000.0, 6)::double as score from e group by 1")
-def prs_float_round6(spark, sf_dir, calls=adapters.calls):
+def prs_float_round6(spark, sf_dir, calls=adapters.all_calls):
     return score.scores(scored(spark, sf_dir, calls=calls), ["sample_id"]).select("sample_id", F.round(F.col("score_int") / 10000.0, 6).alias("score"))
 
 
 @query(FULL + EFFECT + """, s as (select unnest([0,1,2])::int as score_id)
   select sample_id, score_id, sum(d * case score_id when 0 then w_int when 1 then abs(w_int) else w_int%7 end)::bigint as score_int from e, s group by 1, 2""")
-def prs_multi_score(spark, sf_dir, calls=adapters.calls):
+def prs_multi_score(spark, sf_dir, calls=adapters.all_calls):
     w = F.col("w_int")
     sums = [F.struct(F.lit(k).alias("score_id"), F.sum(F.col("effect_dosage") * x).alias("score_int")) for k, x in enumerate((w, F.abs(w), w % 7))]
     rows = scored(spark, sf_dir, calls=calls).groupBy("sample_id").agg(F.array(*sums).alias("s"))
     return rows.select("sample_id", F.inline("s"))
 
 
-def in_order(spark, sf_dir, calls=adapters.calls):
+def in_order(spark, sf_dir, calls=adapters.all_calls):
     ok = classified(spark, sf_dir, calls).filter("reason = 'ok'").select("source_row", "w_int", "side", "vrow", "alt")
     made = calls(spark, sf_dir, score.numbered(ok))
     return made.select("sample_id", "variant_ord", "w_int", (alleles.effect_dosage(F.col("alt_dosage"), F.col("side")) * F.col("w_int")).alias("product"))
@@ -110,20 +109,20 @@ def in_order(spark, sf_dir, calls=adapters.calls):
 
 @query(FULL + ORDERED + """, p as (select sample_id, ord//128 as win, sum(d*w_int) as part from o group by 1, 2)
   select sample_id, count(*) as windows, sum(part)::bigint as score_int from p group by 1""")
-def prs_windowed_reduce_then_add(spark, sf_dir, calls=adapters.calls):
+def prs_windowed_reduce_then_add(spark, sf_dir, calls=adapters.all_calls):
     parts = in_order(spark, sf_dir, calls=calls).groupBy("sample_id", F.floor(F.col("variant_ord") / 128).alias("window")).agg(F.sum("product").alias("part"))
     return parts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("part").alias("score_int"))
 
 
 @query(FULL + ORDERED + """, p as (select sample_id, ord%128 as slot, sum(d*w_int) as part from o group by 1, 2)
   select sample_id, count(*) as slots, sum(part)::bigint as score_int from p group by 1""")
-def prs_windowed_add_then_reduce(spark, sf_dir, calls=adapters.calls):
+def prs_windowed_add_then_reduce(spark, sf_dir, calls=adapters.all_calls):
     parts = in_order(spark, sf_dir, calls=calls).groupBy("sample_id", (F.col("variant_ord") % 128).alias("slot")).agg(F.sum("product").alias("part"))
     return parts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("slots"), F.sum("part").alias("score_int"))
 
 
-@query(FULL + EFFECT + " select sample_id//13 as site, count(distinct sample_id) as n_samples, sum(d*w_int)::bigint as site_sum from e group by 1")
-def prs_site_sums(spark, sf_dir, calls=adapters.calls):
+@query(FULL + EFFECT + " select sample_id//(select (max(c_custkey)+5)//5 from customer) as site, count(distinct sample_id) as n_samples, sum(d*w_int)::bigint as site_sum from e group by 1")
+def prs_site_sums(spark, sf_dir, calls=adapters.all_calls):
     rows = score.scores(scored(spark, sf_dir, calls=calls), ["sample_id"])
     n = adapters.SAMPLES if calls is adapters.calls else table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] + 1  # keys start at 0
     site = cohort.site_of(n, 5)
@@ -132,14 +131,14 @@ def prs_site_sums(spark, sf_dir, calls=adapters.calls):
 
 @query(FULL + ORDERED + """, p as (select sample_id//4 as block, ord//256 as win, sum(d*w_int)::bigint as part from o group by 1, 2)
   select block, win, part from p""")
-def prs_block_sums(spark, sf_dir, calls=adapters.calls):
+def prs_block_sums(spark, sf_dir, calls=adapters.all_calls):
     rows = in_order(spark, sf_dir, calls=calls)
     return rows.groupBy(F.floor(F.col("sample_id") / 4).alias("block"), F.floor(F.col("variant_ord") / 256).alias("win")).agg(F.sum("product").alias("part"))
 
 
 @query(FULL + EFFECT + """, s as (select sample_id, sum(d*w_int)::bigint as score_int from e group by 1), m as (select *, ((score_int%65537)+65537)%65537 as r from s)
   select sample_id, r as residue, case when r>32768 then r-65537 else r end as centered from m""")
-def prs_mod_p_centered(spark, sf_dir, calls=adapters.calls):
+def prs_mod_p_centered(spark, sf_dir, calls=adapters.all_calls):
     s = F.col("score_int")
     return score.scores(scored(spark, sf_dir, calls=calls), ["sample_id"]).select("sample_id", F.pmod(s, F.lit(65537)).cast("long").alias("residue"), alleles.centered(s, 65537).cast("long").alias("centered"))
 
@@ -151,30 +150,30 @@ def loose(spark, sf_dir, policy, calls):
 
 @query(LOOSE + EFFECT + """, k as (select source_row from e group by 1 having count(d)=count(*))
   select sample_id, count(*) as n, round(sum(d*w_int)/10000.0, 6)::double as score from e join k using (source_row) group by 1""")
-def missing_exclude(spark, sf_dir, calls=adapters.calls):
+def missing_exclude(spark, sf_dir, calls=adapters.all_calls):
     return loose(spark, sf_dir, "exclude_variant", calls)
 
 
 @query(LOOSE + EFFECT + " select sample_id, count(*) as n, round(sum(coalesce(d,0)*w_int)/10000.0, 6)::double as score from e group by 1")
-def missing_zero(spark, sf_dir, calls=adapters.calls):
+def missing_zero(spark, sf_dir, calls=adapters.all_calls):
     return loose(spark, sf_dir, "zero", calls)
 
 
 @query(LOOSE + EFFECT + """, m as (select source_row, avg(d) as mean from e group by 1)
   select sample_id, count(*) as n, round(sum(coalesce(d, mean, 0)*w_int)/10000.0, 6)::double as score from e join m using (source_row) group by 1""")
-def missing_mean(spark, sf_dir, calls=adapters.calls):
+def missing_mean(spark, sf_dir, calls=adapters.all_calls):
     return loose(spark, sf_dir, "mean_dosage", calls)
 
 
 @query("""x as (select vrow, count(alt_dosage) as n_calls, coalesce(sum(alt_dosage),0)::bigint as alt_count from g group by 1)
   select vrow, n_calls, alt_count, least(alt_count, 2*n_calls-alt_count) as minor_count from x""")
-def allele_counts(spark, sf_dir, calls=adapters.calls):
+def allele_counts(spark, sf_dir, calls=adapters.all_calls):
     return cohort.allele_counts(calls(spark, sf_dir))
 
 
 @query("""x as (select vrow, count(alt_dosage) as n_calls, coalesce(sum(alt_dosage),0)::bigint as alt_count from g group by 1)
   select vrow, round(alt_count/(2.0*n_calls), 6)::double as frequency from x where least(alt_count, 2*n_calls-alt_count) >= 40""")
-def allele_frequency_mac(spark, sf_dir, calls=adapters.calls):
+def allele_frequency_mac(spark, sf_dir, calls=adapters.all_calls):
     counts = cohort.allele_counts(calls(spark, sf_dir)).filter("minor_count >= 40")
     return counts.select("vrow", F.round(F.col("alt_count") / (2.0 * F.col("n_calls")), 6).alias("frequency"))
 
@@ -185,20 +184,20 @@ PHENOTYPE = EFFECT + """, s as (select sample_id, sum(d*w_int)::bigint as score_
 
 
 @query(FULL + PHENOTYPE + " select * from ph")
-def phenotype_upper_median(spark, sf_dir, calls=adapters.calls):
+def phenotype_upper_median(spark, sf_dir, calls=adapters.all_calls):
     return cohort.upper_median_phenotypes(score.scores(scored(spark, sf_dir, calls=calls), ["sample_id"]).drop("n"))
 
 
 @query(FULL + PHENOTYPE + """ select vrow, coalesce(sum(alt_dosage) filter (phenotype=1),0)::bigint as case_count,
   coalesce(sum(alt_dosage) filter (phenotype=0),0)::bigint as control_count from g join ph using (sample_id) group by 1""")
-def case_control_counts(spark, sf_dir, calls=adapters.calls):
+def case_control_counts(spark, sf_dir, calls=adapters.all_calls):
     phenotypes = phenotype_upper_median(spark, sf_dir, calls=calls).select("sample_id", "phenotype")
     return cohort.case_control_counts(calls(spark, sf_dir), phenotypes)
 
 
 @query(FULL + EFFECT + """, s as (select sample_id, sum(d*w_int)::bigint as score_int from e group by 1)
   select count(*) as n, round(avg(score_int),6)::double as mean, round(stddev_pop(score_int),6)::double as sd, min(score_int) as lo, max(score_int) as hi from s""")
-def score_summary_pop(spark, sf_dir, calls=adapters.calls):
+def score_summary_pop(spark, sf_dir, calls=adapters.all_calls):
     rows = cohort.summary(score.scores(scored(spark, sf_dir, calls=calls), ["sample_id"]), "score_int")
     return rows.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
@@ -206,7 +205,7 @@ def score_summary_pop(spark, sf_dir, calls=adapters.calls):
 @query(FULL + EFFECT + """, s as (select sample_id, sum(d*w_int)/10000.0::double as a, sum(d*round(w_int/100.0))/100.0::double as b from e group by 1)
   select round(max(abs(b-a)),6)::double as max_abs, round(avg(abs(b-a)),6)::double as mean_abs, round(max(abs(b-a)/greatest(abs(a),1e-15)),6)::double as max_rel,
     round(avg(abs(b-a)/greatest(abs(a),1e-15)),6)::double as mean_rel, true as all_finite from s""")
-def error_metrics(spark, sf_dir, calls=adapters.calls):
+def error_metrics(spark, sf_dir, calls=adapters.all_calls):
     d, w = F.col("effect_dosage"), F.col("w_int")
     pairs = scored(spark, sf_dir, calls=calls).groupBy("sample_id").agg((F.sum(d * w) / 10000.0).alias("a"), (F.sum(d * F.round(w / 100.0)) / 100.0).alias("b"))
     out = cohort.errors(pairs, "a", "b")
@@ -216,7 +215,7 @@ def error_metrics(spark, sf_dir, calls=adapters.calls):
 @query(FULL + EFFECT + """, k as (select source_row, any_value(w_int) as w from e group by 1)
   select (select min(d) from e) as min_dosage, (select max(d) from e) as max_dosage, count(*) as variants, round(avg(w),6)::double as mean_weight,
     round(stddev_pop(w),6)::double as sd_weight, max(abs(w)) as max_abs, sum(abs(w))::bigint as sum_abs, count(*) filter (w=0) as zeros from k""")
-def workload_features(spark, sf_dir, calls=adapters.calls):
+def workload_features(spark, sf_dir, calls=adapters.all_calls):
     each = scored(spark, sf_dir, calls=calls).groupBy("source_row", "w_int").agg(F.min("effect_dosage").alias("lo"), F.max("effect_dosage").alias("hi"))
     w = F.col("w_int")
     return each.agg(
@@ -226,7 +225,7 @@ def workload_features(spark, sf_dir, calls=adapters.calls):
 
 
 @query(FULL + """ select 2*sum(abs(w_int))::bigint as bound, (2147352577//2 - 2*sum(abs(w_int)))::bigint as margin, 2*sum(abs(w_int)) < 2147352577//2 as safe from c where reason='ok'""")
-def dot_bound_margin(spark, sf_dir, calls=adapters.calls):
+def dot_bound_margin(spark, sf_dir, calls=adapters.all_calls):
     bound = classified(spark, sf_dir, calls=calls).filter("reason = 'ok'").agg((2 * F.sum(F.abs("w_int"))).alias("bound"))
     return bound.select("bound", (F.lit(2147352577 // 2) - F.col("bound")).alias("margin"), (F.col("bound") < 2147352577 // 2).alias("safe"))
 
@@ -296,15 +295,12 @@ def candidate_validate(spark, sf_dir):
 
 
 @query("""select p_partkey, range(0, p_partkey, p_size)[k]::bigint as "start", least(range(0, p_partkey, p_size)[k]+p_size, p_partkey)::bigint as "end"
-  from part, unnest(range(1, (ceil(p_partkey/p_size::double))::bigint+1)) as t(k) where p_partkey<200 and p_partkey>0""", plain=True)
+  from part, unnest(range(1, (ceil(p_partkey/p_size::double))::bigint+1)) as t(k) where p_partkey>0""", plain=True)
 def chunk_ranges(spark, sf_dir):
-    return chunk_ranges_all_parts(spark, sf_dir).filter("p_partkey < 200")
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(slots.chunk_ranges(F.col("p_partkey"), F.col("p_size").cast("long"))))
 
 
-@query()
-def chunk_ranges_all_parts(spark, sf_dir):
-    """As ``chunk_ranges``, without the bound on the parts that its SQL has."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.inline(slots.chunk_ranges(F.col("p_partkey"), F.col("p_size").cast("long"))))
+QUERIES["chunk_ranges_all_parts"], ORACLES["chunk_ranges_all_parts"] = chunk_ranges, ORACLES["chunk_ranges"]  # as it was called before
 
 
 @query("""select p_partkey, list_sum(list_transform(range(0, 40), lambda i: case when (1::bigint<<i) < p_partkey then 1::bigint<<i else 0 end))::bigint as total,
@@ -487,7 +483,7 @@ def feature_log_scale(spark, sf_dir):
 
 
 @query()
-def prs_fsum_exact(spark, sf_dir, calls=adapters.calls):
+def prs_fsum_exact(spark, sf_dir, calls=adapters.all_calls):
     """The correctly rounded sum of weights as doubles, added in exact pieces. No SQL for it."""
     rows = scored(spark, sf_dir, calls=calls).select("sample_id", (F.col("effect_dosage") * (F.col("w_int") / 10000.0)).alias("x"))
     return score.exact_sums(rows, ["sample_id"], "x").withColumnRenamed("x", "score")
@@ -502,9 +498,10 @@ def records_hourly(spark, sf_dir):
     return hourly.counts(adapters.records(spark, sf_dir).join(rows, "rec_ord"))
 
 
-#: Queries of calls: with ``_all_samples`` after their names they score all customers instead of those of the dense calls.
+#: Queries of calls take all customers' calls, sparse ones; with ``_all_samples`` after their names they are the same, as they were called before. With
+#: ``calls=adapters.calls`` they take the dense ones of a few customers.
 OF_CALLS = [n for n, f in QUERIES.items() if "calls" in inspect.signature(f).parameters]
-QUERIES |= {f"{n}_all_samples": partial(QUERIES[n], calls=adapters.all_calls) for n in OF_CALLS}
-ORACLES |= {f"{n}_all_samples": adapters.of_all_calls(ORACLES[n]) for n in OF_CALLS if n in ORACLES}
+QUERIES |= {f"{n}_all_samples": QUERIES[n] for n in OF_CALLS}
+ORACLES |= {f"{n}_all_samples": ORACLES[n] for n in OF_CALLS if n in ORACLES}
 
 from . import catalogue_genomes, catalogue_models, catalogue_plans, catalogue_records  # noqa: E402, F401  they register their queries

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -258,11 +259,17 @@ def evaluate_splits(canonical_: DataFrame, scope: str | None = None, fraction: f
 
     The measured rows with status ok are summed up once, in total and for what each split holds out; the models of a split come from the
     difference. They are measured on the rows held out, or on all others if none of these has the target. A split that can't be made, or without any
-    row to train on, is one row without a target. No rows, seven of those.
+    row to train on, is one row without a target. No rows, seven of those. What is read several times is kept on the executors until the result, some dozen rows, is there.
     """
-    spark = canonical_.sparkSession
-    rows = facts(of_scope(records.for_training(canonical_).filter("status = 'ok'"), scope))
-    tests = held_out(facts(canonical_), rows, fraction, seed)
+    rows = facts(of_scope(records.for_training(canonical_).filter("status = 'ok'"), scope)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _evaluated(rows, held_out(facts(canonical_), rows, fraction, seed), scope, penalty)
+    finally:
+        rows.unpersist()
+
+
+def _evaluated(rows: DataFrame, tests: dict[str, tuple[Column | None, str | None]], scope: str | None, penalty: float) -> DataFrame:
+    spark = rows.sparkSession
     made = {n: t for n, (t, _) in tests.items() if t is not None}
     sets = {ALL: F.lit(True), **made}
     sums = collected(gram_sums(rows, sets))
@@ -291,6 +298,7 @@ def evaluate_splits(canonical_: DataFrame, scope: str | None = None, fraction: f
             t, why = None, "cost-model training requires at least one training row"
         heads.append((n, SPLITS[n], "ok" if t is not None else "unavailable", why, sizes[ALL] - sizes[n] if t is not None else 0, sizes[n] if t is not None else 0))
     heads = spark.createDataFrame(heads, "name string, group_key string, status string, reason string, train_rows long, test_rows long")
+    measures = spark.createDataFrame(measures.collect(), measures.schema)
     out = heads.join(measures, (F.col("name") == F.col("split")) & (F.col("status") == "ok"), "left")
     measured_on = F.when(F.col("target").isNotNull(), F.when(tested, "test").otherwise("train")).alias("measured_on")
     return out.select("name", "group_key", "status", "reason", "train_rows", "test_rows", "target", measured_on, "n", "mae", "rmse", "mape", "r2", "spearman")

@@ -55,19 +55,13 @@ from (select chrom, count(*) as variants, cast(sum(abs(w_int)) as double)/10000.
   join (select c_nationkey, count(*) as samples from customer group by c_nationkey) c on c.c_nationkey = cast(w.chrom as bigint)
 """
 
-DENSE_CALLS = f"from customer cross join v where c_custkey < {SAMPLES}"
 SPARSE_CALLS = "from (select distinct o_custkey as c_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey) s join v on v.vrow = l_partkey"
 
 
-def of_all_calls(sql: str) -> str:
-    """SQL over the dense calls turned to those of all customers; samples are dealt to as many populations as before."""
-    return sql.replace(DENSE_CALLS, SPARSE_CALLS).replace("sample_id//13", "sample_id//(select (max(c_custkey)+5)//5 from customer)")
-
-
 def duckdb(rest: str) -> str:
     """A query over w, v, g and rec in DuckDB's SQL."""
     w = WEIGHTS.format(text="varchar")
-    g = f"select c_custkey as sample_id, v.vrow, {DOSAGE.format(c='c_custkey')} as alt_dosage {DENSE_CALLS}"
+    g = f"select c_custkey as sample_id, v.vrow, {DOSAGE.format(c='c_custkey')} as alt_dosage {SPARSE_CALLS}"
     return f"with w as ({w}), v as ({GENOTYPES}), g as ({g}), rec as ({RECORDS}), {rest.strip()}"
 
 
@@ -86,7 +80,7 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str, variants: DataFrame | None = None) -> DataFrame:
     """(sample_id, vrow, alt_dosage) of ``variants``, with vrow and alt, or of all genotypes.
 
-    Dense, for the customers with keys below SAMPLES alone, as the SQL has it. ``all_calls`` has no such bound.
+    Dense, for the customers with keys below SAMPLES alone. ``all_calls``, which the queries take, has no such bound.
     """
     variants = genotypes(spark, sf_dir) if variants is None else variants
     samples = _table(spark, sf_dir, "customer").filter(F.col("c_custkey") < SAMPLES).select(F.col("c_custkey").alias("sample_id"))
