@@ -183,13 +183,13 @@ def plan_vectors(spark, sf_dir):
 
 
 @query("with pl as (" + PLANS.format(text="varchar", part="part") + """), p as (select plan_id, scheme, ring, total_seconds from pl),
-  m as (select plan_id, scheme, avg(case when l_returnflag<>'A' then l_quantity end) as measured from lineitem join p on l_partkey=plan_id where l_linenumber=1 group by 1,2)
+  m as (select plan_id, scheme, avg(case when l_returnflag<>'A' then l_quantity end) as measured from lineitem join p on l_partkey=plan_id group by 1,2)
   select p.plan_id, p.scheme, p.total_seconds as predicted, round(m.measured,6)::double as measured, round(m.measured-p.total_seconds,6)::double as residual,
     case when m.measured is not null then 'paired' when m.plan_id is not null then 'unavailable_failed_measurement' else 'not_measured' end as status
   from p left join m on p.plan_id=m.plan_id and p.scheme=m.scheme""")
 def prediction_pairing(spark, sf_dir):
     rows = plans(spark, sf_dir).select("plan_id", "scheme", "total_seconds")
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("plan_id"), F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("total_seconds"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("plan_id"), F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("total_seconds"))
     made = lines.join(rows.select("plan_id", "scheme"), "plan_id")
     out = validator.paired(rows, made, ["plan_id", "scheme"], "total_seconds")
     return out.withColumns({"measured": F.round("measured", 6), "residual": F.round("residual", 6)})

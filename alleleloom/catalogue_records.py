@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cohort, models, records
@@ -231,15 +231,14 @@ def text_values(spark, sf_dir):
     )
 
 
-@query(REC + """l as (select scheme, string_agg(printf('%.12g', evaluation_seconds), ';' order by rec_ord) as listed from (select *, row_number() over (partition by scheme order by rec_ord) as r from rec where status='ok') where r<=5 group by 1)
-  select l.scheme, listed, case when g.b=0 then '' else printf('%.6f', g.a/g.b) end as ratio from l join (select scheme, count(*) filter (status='ok')::double as a, count(*) filter (status='failed')::double as b from rec group by 1) g on l.scheme=g.scheme""")
+@query(REC + """g as (select scheme, count(*) filter (status='ok')::double as a, count(*) filter (status='failed')::double as b from rec group by 1)
+  select rec_ord, rec.scheme, coalesce(printf('%.12g', evaluation_seconds), '') as seconds, case when g.b=0 then '' else printf('%.6f', g.a/g.b) end as ratio from rec join g on rec.scheme=g.scheme""")
 def formatted_numbers(spark, sf_dir):
-    """The first five values of each scheme as texts of twelve digits, and a ratio that is empty where it has none."""
+    """Each record's measurement as a text of up to twelve digits, and its scheme's ratio of successes to failures, empty where it has none."""
     rows = adapters.records(spark, sf_dir)
-    first = rows.filter("status = 'ok'").withColumn("r", F.row_number().over(Window.partitionBy("scheme").orderBy("rec_ord"))).filter("r <= 5")
-    first = first.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct("rec_ord", records.twelve_digits(F.col("evaluation_seconds")).alias("x")))).alias("l"))
     counts = rows.groupBy("scheme").agg(F.count_if(F.col("status") == "ok").alias("a"), F.count_if(F.col("status") == "failed").alias("b"))
-    return first.join(counts, "scheme").select("scheme", F.array_join("l.x", ";").alias("listed"), records.ratio_text(F.col("a"), F.col("b")).alias("ratio"))
+    text = records.twelve_digits(F.col("evaluation_seconds")).alias("seconds")
+    return rows.join(counts, "scheme").select("rec_ord", "scheme", text, records.ratio_text(F.col("a"), F.col("b")).alias("ratio"))
 
 
 #: Coefficients of a model of seconds (on log1p) and of one of success, as trained ones are stored.
