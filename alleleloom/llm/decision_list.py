@@ -130,7 +130,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     Rows with under 10 words or over 20 % repeated words fail the base rules; the others are kept unless the
     learned list rejects them. Null and empty texts have no words and fail. Labels that are null, neither 0
     nor 1, or in contradiction are left out; without labels the list is empty. Ties between conditions go to
-    the first in the order of FEATURES and thresholds. Equal rows are judged alike, each for itself.
+    the first in the order of FEATURES and thresholds. Equal rows are judged alike, each for itself; very long texts are
+    judged whole. No rows, no result rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     stats = cut(with_features(with_statistics(rows, ["doc_id"])))

@@ -148,7 +148,7 @@ def score_quality(
 
     Only the statistics of the whole text go into a score. Null and empty texts have statistics of 0 and are
     scored like others. Labels that are null, neither 0 nor 1, or in contradiction are left out; without any
-    the score is the same for all rows, near 1. Equal texts have equal scores. No rows, no result rows. Other
+    the score is the same for all rows, near 1. Equal texts have equal scores; very long ones are read whole. No rows, no result rows. Other
     columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.struct("*").alias("row")] * whole)
