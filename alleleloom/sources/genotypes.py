@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alleles
+from ..operators import cohort, ranks
 from ..operators.score import numbered
 
 
@@ -210,12 +211,12 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def synthetic(spark: SparkSession, samples: int, variants: int, sd: float = 0.05, decimals: int = 7, sparsity: float = 0.0, missing_rate: float = 0.0, imputed: bool = False, seed: int = 20260728) -> tuple[DataFrame, DataFrame]:
+def synthetic(spark: SparkSession, samples: int, variants: int, sd: float = 0.05, decimals: int = 7, sparsity: float = 0.0, missing_rate: float = 0.0, imputed: bool = False, frequencies: tuple[float, float] = (0.01, 0.5), seed: int = 20260728) -> tuple[DataFrame, DataFrame]:
     """(calls of sample_id, vrow and alt_dosage; weights of vrow and effect_weight), the same for the same seed at any partitioning."""
     of = lambda *parts: uniform(F.lit(seed), *parts)
     normal = lambda *p: F.sqrt(-2 * F.log(1 - of(*p, F.lit("a")))) * F.cos(2 * math.pi * of(*p, F.lit("b")))
     calls = spark.range(samples * variants).select(F.floor(F.col("id") / variants).alias("sample_id"), (F.col("id") % variants).alias("vrow"))
-    frequency = 0.01 + 0.49 * of(F.lit("frequency"), F.col("vrow"))
+    frequency = frequencies[0] + (frequencies[1] - frequencies[0]) * of(F.lit("frequency"), F.col("vrow"))
     hit = lambda n: (of(F.lit(n), F.col("sample_id"), F.col("vrow")) < frequency).cast("double")
     dosage = hit("first") + hit("second")
     if imputed:
@@ -225,6 +226,25 @@ def synthetic(spark: SparkSession, samples: int, variants: int, sd: float = 0.05
     return calls, spark.range(variants).select(F.col("id").alias("vrow")).withColumn("effect_weight", weight)
 
 
+def synthetic_cohort(spark: SparkSession, samples: int, variants: int, informative: float = 0.02, sd: float = 0.08, seed: int = 20260701) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls and weights as of ``synthetic``, without missing ones, and (sample_id, score, phenotype): 1 for scores from the upper median on.
+
+    A share ``informative`` of the variants, one at least, has a weight that isn't 0: those with the least draws.
+    """
+    if samples < 1 or variants < 1 or not 0 < informative <= 1:
+        raise ValueError("samples and variants must be positive, and the informative share in (0, 1]")
+    calls, weights = synthetic(spark, samples, variants, sd=sd, decimals=15, frequencies=(0.05, 0.5), seed=seed)
+    drawn = weights.withColumns({"draw": uniform(F.lit(seed), F.lit("informative"), F.col("vrow")), "n": F.lit(1).cast("long")})
+    drawn = ranks.with_before(drawn.groupBy("draw").agg(F.sum("n").alias("n"), F.min("vrow").alias("vrow"), F.min("effect_weight").alias("effect_weight")), "draw", "n")
+    tells = F.col("before") < max(1, int(variants * informative))
+    weights = drawn.select("vrow", F.when(tells, F.col("effect_weight")).otherwise(0.0).alias("effect_weight"))
+    weights = spark.range(variants).select(F.col("id").alias("vrow")).join(weights, "vrow", "left").na.fill(0.0)
+    scored = calls.join(weights.filter("effect_weight <> 0"), "vrow").groupBy("sample_id").agg(F.round(F.sum(F.col("alt_dosage") * F.col("effect_weight")), 12).alias("score"))
+    scored = spark.range(samples).select(F.col("id").alias("sample_id")).join(scored, "sample_id", "left").na.fill(0.0)
+    threshold = cohort.upper_median(scored, "score").select(F.col("value").alias("__t"))
+    return calls, weights, scored.crossJoin(F.broadcast(threshold)).select("sample_id", "score", (F.col("score") >= F.col("__t")).cast("int").alias("phenotype"))  # one row
+
+
 def write_harmonized(dosages: DataFrame, weights: DataFrame, exclusions: DataFrame, folder: str, kind: str = "csv", report: DataFrame | None = None) -> None:
     """dosage, weights, exclusions and, as JSON, the report as ``csv``, ``parquet`` or ``both``. Dosages are (sample_id, variant_ord, effect_dosage), weights have variant_ord and WEIGHT_FIELDS.
 

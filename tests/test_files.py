@@ -187,3 +187,19 @@ def test_frontier(spark):
     want = {p[0] for p in full if not any(all(q[i] <= p[i] for i in (1, 2, 3)) and q[1:] != p[1:] for q in full)}
     got = space.frontier(spark.createDataFrame(points, "k int, a double, b double, c double").repartition(5), ["a", "b", "c"])
     assert {row["k"] for row in got.collect()} == want
+
+
+def test_synthetic_cohort(spark):
+    calls, weights, people = genotypes.synthetic_cohort(spark, 21, 200, informative=0.1)
+    w = {r["vrow"]: r["effect_weight"] for r in weights.collect()}
+    assert len(w) == 200 and sum(x != 0 for x in w.values()) == 20
+    scores = dict.fromkeys(range(21), 0.0)
+    for r in calls.collect():
+        scores[r["sample_id"]] += r["alt_dosage"] * w[r["vrow"]]
+    got = {r["sample_id"]: (r["score"], r["phenotype"]) for r in people.collect()}
+    assert {k: s for k, (s, _) in got.items()} == pytest.approx(scores)
+    middle = sorted(s for s, _ in got.values())[10]
+    assert all(p == (s >= middle) for s, p in got.values())
+    assert [tuple(r) for r in people.orderBy("sample_id").collect()] == [tuple(r) for r in genotypes.synthetic_cohort(spark, 21, 200, informative=0.1)[2].orderBy("sample_id").collect()]
+    with pytest.raises(ValueError, match="informative"):
+        genotypes.synthetic_cohort(spark, 3, 3, informative=0)
