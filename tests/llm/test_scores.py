@@ -141,6 +141,51 @@ def test_top_k_beyond_64_bits(spark):
     assert set(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_top_k_goes_where_it_must(spark, monkeypatch, hot):
+    """Clustered vectors, a third of them equal where hot: results of brute force, for a small part of queries x shards."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 8))
+    x = centres[rng.integers(60, size=6000)] / np.linalg.norm(centres, axis=1).mean() + rng.normal(scale=0.02, size=(6000, 8))
+    if hot:
+        x[::3] = x[0]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    sent, as_was = [], top_k.small
+
+    def counted(popular):
+        sent.append(popular)
+        return as_was(popular)
+
+    def placed(*given):
+        spaces, rows = placing(*given)
+        shards.append(int(spaces[8].shards.sum()))
+        return spaces, rows
+
+    placing, shards = top_k._placed, []
+    monkeypatch.setattr(top_k, "_placed", placed)
+    monkeypatch.setattr(top_k, "small", counted)
+    monkeypatch.setattr(top_k, "ASKED", 40)
+    got = top_k.top_k(df, df.filter("vec_id % 50 = 0"), shard_rows=60).collect()
+    whole = np.floor(x * 256).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 50):
+        scores = whole @ whole[q]
+        order = [n for n in sorted(range(6000), key=lambda n: (-scores[n], n)) if n != q][:5]
+        want += [(q, r + 1, n, int(scores[n])) for r, n in enumerate(order)]
+    assert sorted(tuple(r) for r in got) == want
+    if not hot:
+        # Rows that went through a shuffle, as the places' counts have them.
+        visits = sum(p.agg(F.sum("asked")).first()[0] or 0 for p in sent)
+        assert visits < 0.1 * 120 * shards[0], (visits, shards)
+
+
+def test_top_k_wild_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0]), (3, [-1e300, 0.0]), (4, [1.0, 1.0]), (50, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k.top_k(df, df.filter("vec_id in (1, 50)"), k=3, shard_rows=2).collect())
+    assert got == [(1, 1, 0, top_k.MOST), (1, 2, 2, 4 * 65536), (1, 3, 4, 2 * 65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+
+
 def test_top_k_empty(spark, empty):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k.top_k(none, none).count() == 0
