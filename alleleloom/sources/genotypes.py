@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import alleles
 from ..operators import cohort, ranks
 from ..operators.score import numbered
+from . import blocked
 
 
 #: What marks a weight as not additive, the columns where that may be said, and flags that say it.
@@ -22,12 +23,16 @@ TRUE = ["1", "true", "yes", "y"]
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines numbered from 1, in order of the files' names and of the lines in each. Files ending in .gz are read by one task each.
+    """(line, value): lines numbered from 1, in order of the files' names and of the lines in each.
 
-    The lines of each split are counted, and the counts summed up, so lines needn't come together anywhere.
+    The lines of each split are counted, and the counts summed up, so lines needn't come together anywhere. Block-compressed files
+    are split as others are; those that are compressed as one stream are read by one task each.
     """
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
-    rows = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    texts, packed = blocked.by_kind(spark, path)
+    kinds = [spark.read.text(texts).select(*place, F.monotonically_increasing_id().alias("id"), "value")] if texts else []
+    kinds += [blocked.lines(spark, packed)] if packed else []
+    rows = kinds[0].unionByName(kinds[1]) if len(kinds) > 1 else kinds[0]
     splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
     splits = splits.select(F.col("file").alias("f"), F.col("start").alias("s"), (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1).alias("shift"))
