@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -41,7 +42,8 @@ def is_blocked(spark: SparkSession, file: str) -> bool:
 def by_kind(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """The paths to read as text and those to read as blocks; of a path with files of one kind it is the path itself."""
     files = spark.read.text(path).inputFiles()
-    blocked = [f for f in files if is_blocked(spark, f)]
+    with ThreadPoolExecutor(32) as pool:  # it is waiting for the store that takes time
+        blocked = [f for f, yes in zip(files, pool.map(lambda f: is_blocked(spark, f), files)) if yes]
     if not blocked or len(blocked) == len(files):
         return ([], [path]) if blocked else ([path], [])
     return [unquote(f) for f in files if f not in set(blocked)], [unquote(f) for f in blocked]
