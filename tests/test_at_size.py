@@ -1,6 +1,7 @@
 """What shows on large tables alone, on small ones made for it."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from alleleloom import catalogue
@@ -37,3 +38,12 @@ def test_calls_of_all_genotypes_of_a_number(spark, million, name):
     assert want and sorted(map(tuple, catalogue.QUERIES[name](spark, million).select(*columns).collect()), key=str) == want
     again = catalogue.QUERIES.get(f"{name}_all_samples")
     assert again is catalogue.QUERIES[name]
+
+
+def test_embedding_dot_in_single_precision(spark, tmp_path):
+    near = [float(x) for x in np.round(np.arange(1, 400) / 1000 + 0.0005, 4).astype(np.float32)]  # next to halves
+    assert any(np.float32(x) * np.float32(1000) % 1 == 0.5 != x * 1000 % 1 for x in near)
+    vectors = [near[k : k + 8] for k in range(0, len(near), 8)] + [[], None, [None, 1.0, None], [None], [3e6, 2.5e7, 1e9]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    columns, want = rows_of_sql(tmp_path, "embedding_dot", ("embeddings",))
+    assert sorted(map(tuple, catalogue.embedding_dot(spark, str(tmp_path)).select(*columns).collect()), key=str) == want
