@@ -1,10 +1,13 @@
 """What shows on large tables alone, on small ones made for it."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
 
 from alleleloom import catalogue
+from alleleloom.operators import score
 
 CALLED = [
     "case_control_counts", "error_metrics", "missing_exclude", "missing_mean", "missing_zero", "prs_block_sums", "prs_fixed", "prs_float_round6", "prs_mod_p_centered", "prs_multi_score",
@@ -40,6 +43,15 @@ def test_calls_of_all_genotypes_of_a_number(spark, million, name):
     assert again is catalogue.QUERIES[name]
 
 
+def test_exact_sums_in_one_pass(spark):
+    data = [(None, 0.1), (None, 0.2), (1, 1e300), (1, 0.1), (1, -1e300), (1, 5e-324), (2, None), (3, 2.0**1023), (3, -1.0), (4, -5e-324)] + [(5, k / 10000) for k in range(-300, 900)]
+    sums = score.exact_sums(spark.createDataFrame(data, "k long, x double"), ["k"], "x")
+    of = {k: [x for i, x in data if i == k and x is not None] for k, _ in data}
+    assert {r["k"]: r["x"] for r in sums.collect()} == {k: math.fsum(x) for k, x in of.items()}
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan and "Generate" not in plan
+
+
 def test_embedding_dot_in_single_precision(spark, tmp_path):
     near = [float(x) for x in np.round(np.arange(1, 400) / 1000 + 0.0005, 4).astype(np.float32)]  # next to halves
     assert any(np.float32(x) * np.float32(1000) % 1 == 0.5 != x * 1000 % 1 for x in near)
