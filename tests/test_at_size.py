@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 
 from alleleloom import catalogue
-from alleleloom.operators import score
+from alleleloom.functions import slots
+from alleleloom.operators import cost_models, score
+from alleleloom.plans import validator
 
 CALLED = [
     "case_control_counts", "error_metrics", "missing_exclude", "missing_mean", "missing_zero", "prs_block_sums", "prs_fixed", "prs_float_round6", "prs_mod_p_centered", "prs_multi_score",
@@ -59,3 +61,12 @@ def test_embedding_dot_in_single_precision(spark, tmp_path):
     spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     columns, want = rows_of_sql(tmp_path, "embedding_dot", ("embeddings",))
     assert sorted(map(tuple, catalogue.embedding_dot(spark, str(tmp_path)).select(*columns).collect()), key=str) == want
+
+
+def test_chunk_rows_deal_out_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(slots, "RUN", 16)
+    monkeypatch.setattr(slots, "EACH", 100)
+    parts = [(1, 1000, 1), (2, 7, 50), (3, 0, 1), (4, 160, 10), (5, 161, 10), (6, 333, 2)]
+    out = slots.chunk_rows(spark.createDataFrame(parts, "k long, items long, width int").coalesce(1), "items", "width", ["k"])
+    assert sorted(map(tuple, out.collect())) == sorted((k, lo, min(lo + w, n)) for k, n, w in parts for lo in range(0, n, w))
+    assert out.rdd.getNumPartitions() == 13 and max(map(len, out.rdd.glom().collect())) < 300
