@@ -70,3 +70,8 @@ def test_chunk_rows_deal_out_long_rows(spark, monkeypatch):
     out = slots.chunk_rows(spark.createDataFrame(parts, "k long, items long, width int").coalesce(1), "items", "width", ["k"])
     assert sorted(map(tuple, out.collect())) == sorted((k, lo, min(lo + w, n)) for k, n, w in parts for lo in range(0, n, w))
     assert out.rdd.getNumPartitions() == 13 and max(map(len, out.rdd.glom().collect())) < 300
+
+
+def test_canonical_records_have_groups_kinds_and_sizes(spark):
+    rows = catalogue.records_canonicalize(spark, "/root/testdata/sf0.001").select("workload_group", "measurement_kind", "ciphertext_bytes").collect()
+    assert len({r[0] for r in rows}) > 1 and {r[1] for r in rows} == {"measured", "failed"} and min(r[2] for r in rows) == 1
