@@ -144,14 +144,26 @@ def ranked_by_objectives(plans: DataFrame, most: dict[str, float], by: list[str]
     Plans have ``issues`` and predictions. One with issues has no score and no other reasons; a missing prediction counts as
     nothing in the balanced score and as no score in the others, which comes last.
     """
+    rows = by_objectives(plans, most, [*by, key])
+    place = Window.partitionBy(*by, "objective").orderBy(F.size("reasons") > 0, F.col("score").asc_nulls_last(), key)
+    return rows.withColumn("rank", F.row_number().over(place))
+
+
+def best_by_objectives(plans: DataFrame, most: dict[str, float], by: list[str], key: str) -> DataFrame:
+    """(``by``, objective, ``key``, score): the first of ``ranked_by_objectives`` where it has no reasons. A least value for each objective and workload, so nothing is put in order."""
+    rows = by_objectives(plans, most, [*by, key]).filter(F.size("reasons") == 0)
+    first = F.min(F.struct(F.col("score").isNull(), "score", key)).alias("first")
+    return rows.groupBy(*by, "objective").agg(first).select(*by, "objective", f"first.{key}", "first.score")
+
+
+def by_objectives(plans: DataFrame, most: dict[str, float], keep: list[str]) -> DataFrame:
+    """(``keep``, reasons, objective, score) of each plan and objective."""
     sound = F.size("issues") == 0
     balanced = reduce(lambda a, b: a + b, [F.log1p(F.coalesce(F.col(c), F.lit(0.0))) for c in BALANCED])
     scores = [F.struct(F.lit(n).alias("objective"), F.col(c).cast("double").alias("score")) for n, c in OBJECTIVES.items()]
     scores.append(F.struct(F.lit("balanced_multi_objective").alias("objective"), F.round(balanced, 6).alias("score")))
     rows = plans.withColumn("reasons", F.when(sound, predicted_reasons(most)).otherwise(F.col("issues"))).withColumn("o", F.explode(F.array(*scores)))
-    rows = rows.select(*by, key, "reasons", "o.objective", F.when(sound, F.col("o.score")).alias("score"))
-    place = Window.partitionBy(*by, "objective").orderBy(F.size("reasons") > 0, F.col("score").asc_nulls_last(), key)
-    return rows.withColumn("rank", F.row_number().over(place))
+    return rows.select(*keep, "reasons", "o.objective", F.when(sound, F.col("o.score")).alias("score"))
 
 
 def without(name: str, plans: DataFrame, scheme: str = "CKKS", window: int = 4096) -> DataFrame:

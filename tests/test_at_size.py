@@ -75,3 +75,13 @@ def test_chunk_rows_deal_out_long_rows(spark, monkeypatch):
 def test_canonical_records_have_groups_kinds_and_sizes(spark):
     rows = catalogue.records_canonicalize(spark, "/root/testdata/sf0.001").select("workload_group", "measurement_kind", "ciphertext_bytes").collect()
     assert len({r[0] for r in rows}) > 1 and {r[1] for r in rows} == {"measured", "failed"} and min(r[2] for r in rows) == 1
+
+
+def test_best_plans_without_order(spark):
+    kinds = "w string, id long, issues array<string>, evaluation_seconds double, total_seconds double, peak_memory_mb double, ciphertext_bytes double, key_bytes double, max_absolute_error double, max_relative_error double, success_probability double, feasible_probability double"
+    plans = [("a", k, ["x"] if k % 3 == 0 else [], None if k % 4 == 0 else float(k % 5), 1.0, float(k % 7), 2.0, None, 0.1, 0.1, 1.0, None) for k in range(40)] + [("b", 99, ["x"], *[1.0] * 9), (None, 7, [], *[None] * 9)]
+    rows, most = spark.createDataFrame(plans, kinds), {"peak_memory_mb": 5.0}
+    want = validator.ranked_by_objectives(rows, most, ["w"], "id").filter("rank = 1 and size(reasons) = 0").select("w", "objective", "id", "score").collect()
+    best = validator.best_by_objectives(rows, most, ["w"], "id")
+    assert want and sorted(map(tuple, best.collect()), key=str) == sorted(map(tuple, want), key=str)
+    assert "Window" not in best._jdf.queryExecution().optimizedPlan().toString()
