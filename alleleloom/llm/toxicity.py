@@ -221,13 +221,20 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0) -> Fie
     if not len(texts) or toxic.min() == toxic.max():
         return Field(shift=0.0 if not len(texts) else 50.0 * (2 * float(toxic[0]) - 1), slope=0.0)
     y = toxic.astype(bool)
-    data, lengths = laid_out(texts)
-    _, _, features = featured(data, first_words(lengths))
+    lengths, features = [], []
+    for part in batches(texts):  # what is made of each byte on the way is many times as large as the texts
+        data, n = laid_out(part)
+        lengths.append(n)
+        features.append(featured(data, first_words(n))[2])
+    lengths, features = np.concatenate(lengths), np.concatenate(features, axis=1)
     keys, start = chosen_features(features, lengths, y)
     if not len(keys):
         return Field(slope=0.0)
-    at = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
-    known = keys[at] == features
+    at, known = np.empty(features.shape, np.int32), np.empty(features.shape, bool)
+    for k, f in enumerate(features):
+        at[k] = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
+        known[k] = keys[at[k]] == f
+    del features, f
     begins = np.cumsum(lengths) - lengths
     f, rng = len(keys), np.random.default_rng(8)
     theta = np.concatenate([start, [BIAS, 0.0, 0.0, 0.0, 0.0]])

@@ -8,6 +8,7 @@ import pytest
 
 from alleleloom import catalogue
 from alleleloom.functions import slots
+from alleleloom.llm import toxicity
 from alleleloom.operators import cost_models, score
 from alleleloom.plans import validator
 
@@ -85,3 +86,12 @@ def test_best_plans_without_order(spark):
     best = validator.best_by_objectives(rows, most, ["w"], "id")
     assert want and sorted(map(tuple, best.collect()), key=str) == sorted(map(tuple, want), key=str)
     assert "Window" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_toxicity_lays_out_texts_in_parts(monkeypatch):
+    sizes, laid = [], toxicity.laid_out
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    monkeypatch.setattr(toxicity, "laid_out", lambda texts: sizes.append(sum(map(len, texts))) or laid(texts))
+    texts = [b"some words %d and others " % k * 4000 + b"awful" * (k % 2) for k in range(60)]
+    toxicity.fit(texts, np.arange(60) % 2 * 1.0)
+    assert max(sizes) < sum(map(len, texts)) / 2
