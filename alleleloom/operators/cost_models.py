@@ -298,18 +298,27 @@ def _evaluated(rows: DataFrame, tests: dict[str, tuple[Column | None, str | None
             t, why = None, "cost-model training requires at least one training row"
         heads.append((n, SPLITS[n], "ok" if t is not None else "unavailable", why, sizes[ALL] - sizes[n] if t is not None else 0, sizes[n] if t is not None else 0))
     heads = spark.createDataFrame(heads, "name string, group_key string, status string, reason string, train_rows long, test_rows long")
-    measures = spark.createDataFrame(measures.collect(), measures.schema)
     out = heads.join(measures, (F.col("name") == F.col("split")) & (F.col("status") == "ok"), "left")
     measured_on = F.when(F.col("target").isNotNull(), F.when(tested, "test").otherwise("train")).alias("measured_on")
     return out.select("name", "group_key", "status", "reason", "train_rows", "test_rows", "target", measured_on, "n", "mae", "rmse", "mape", "r2", "spearman")
 
 
 def regression_measures(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(``by``, n, mae, rmse, mape, r2, spearman) of ``actual`` and ``predicted`` in each group; mape leaves zeros out and is 0 without others, r2 and spearman are 0 where nothing varies."""
-    a, e = F.col("actual"), F.col("predicted") - F.col("actual")
-    sums = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.coalesce(F.avg(F.when(a != 0, F.abs(e / a))), F.lit(0.0)).alias("mape"),
-        F.sum(e * e).alias("res"), (F.var_pop(a) * F.count(a)).alias("tot"),
-    )
-    sums = sums.withColumn("r2", F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(0.0)).drop("res", "tot")
-    return ranks.same(sums, ranks.spearman(rows, "actual", "predicted", by), by)
+    """(``by``, n, mae, rmse, mape, r2, spearman) of ``actual`` and ``predicted`` in each group; mape leaves zeros out and is 0 without others, r2 and spearman are 0 where nothing varies.
+
+    Equal pairs of both are counted and kept first: the predictions are made once, and everything else comes from the counts. The result, a row for each group, is collected.
+    """
+    pairs = ranks.pairs_of(rows, "actual", "predicted", by).persist(StorageLevel.DISK_ONLY)
+    try:
+        a, e, n = F.col("__a"), F.col("__b") - F.col("__a"), F.col("__n")
+        all_, nonzero = F.sum(n), F.sum(F.when(a != 0, n))
+        sums = pairs.groupBy(*by).agg(
+            all_.alias("n"), (F.sum(n * F.abs(e)) / all_).alias("mae"), F.sqrt(F.sum(n * e * e) / all_).alias("rmse"),
+            F.coalesce(F.sum(F.when(a != 0, n * F.abs(e / a))) / nonzero, F.lit(0.0)).alias("mape"), F.sum(n * e * e).alias("res"), (F.sum(n * a) / all_).alias("mean"),
+        )
+        spread = ranks.same(pairs, sums.select(*by, "mean"), by).groupBy(*by).agg(F.sum(n * (a - F.col("mean")) * (a - F.col("mean"))).alias("tot"))
+        sums = ranks.same(sums, spread, by).withColumn("r2", F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(0.0)).drop("res", "tot", "mean")
+        out = ranks.same(sums, ranks.spearman_of_pairs(pairs, by), by)
+        return rows.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        pairs.unpersist()

@@ -53,9 +53,13 @@ def with_before(counts: DataFrame, value: str, n: str, by: list[str] = ()) -> Da
     return rows.withColumn("before", F.col("__start") + F.col("__in")).drop("__b", "__c", "__in", "__start")
 
 
-def average_ranks(rows: DataFrame, column: str, rank: str, by: list[str] = ()) -> DataFrame:
-    """One row for each distinct value of ``column`` in a group: (``by``, of_``column``, ``rank``), where ties share the mean of their places; nulls have none."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias(f"of_{column}")).agg(F.count(F.lit(1)).alias("__m"))
+def average_ranks(rows: DataFrame, column: str, rank: str, by: list[str] = (), n: Column | None = None) -> DataFrame:
+    """One row for each distinct value of ``column`` in a group: (``by``, of_``column``, ``rank``), where ties share the mean of their places; nulls have none.
+
+    ``n``: how many rows each stands for, if not one.
+    """
+    m = F.count(F.lit(1)) if n is None else F.sum(n)
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias(f"of_{column}")).agg(m.alias("__m"))
     counts = with_before(counts, f"of_{column}", "__m", by)
     return counts.select(*by, f"of_{column}", (F.col("before") + (F.col("__m") + 1) / 2.0).alias(rank))
 
@@ -63,13 +67,22 @@ def average_ranks(rows: DataFrame, column: str, rank: str, by: list[str] = ()) -
 def spearman(rows: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
     """(``by``, spearman): the correlation of average ranks, 0 where either doesn't vary. Rows with a null have no rank and don't count.
 
-    Equal pairs are counted before their ranks are looked up.
+    Equal pairs are counted before their ranks are looked up, and both ranks come from these counts.
     """
-    by = list(by)
+    return spearman_of_pairs(pairs_of(rows, a, b, by), by)
+
+
+def pairs_of(rows: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
+    """(``by``, __a, __b, __n): how often each pair of values that aren't null occurs in a group."""
     rows = rows.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b")).dropna(subset=["__a", "__b"])
-    pairs = rows.groupBy(*by, "__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    return rows.groupBy(*by, "__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def spearman_of_pairs(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``spearman`` of what ``pairs_of`` gives."""
+    by, rows = list(by), pairs
     for c, r in (("__a", "__ra"), ("__b", "__rb")):
-        pairs = same(pairs, average_ranks(rows, c, r, by).withColumnRenamed(f"of_{c}", c), [*by, c])
+        pairs = same(pairs, average_ranks(rows, c, r, by, F.col("__n")).withColumnRenamed(f"of_{c}", c), [*by, c])
     n, x, y = F.col("__n"), F.col("__ra"), F.col("__rb")
     total = lambda c: F.sum(n * c)
     sums = pairs.groupBy(*by).agg(F.sum(n).alias("n"), total(x).alias("x"), total(y).alias("y"))

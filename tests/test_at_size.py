@@ -88,6 +88,25 @@ def test_best_plans_without_order(spark):
     assert "Window" not in best._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_measures_read_the_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    data = [("s", "t", float(k % 7), float(k % 5 + 0.5)) for k in range(200)] + [("s", "u", 0.0, 1.0), ("s", "u", 0.0, 3.0)]
+    rows = spark.createDataFrame(data, "split string, target string, actual double, predicted double").mapInArrow(counted, "split string, target string, actual double, predicted double")
+    got = {r["target"]: r for r in cost_models.regression_measures(rows, ["split", "target"]).collect()}
+    assert read.value == len(data)
+    a, p = (np.array(x) for x in zip(*[(r[2], r[3]) for r in data[:200]]))
+    t, u = got["t"], got["u"]
+    want = [200, np.abs(p - a).mean(), np.sqrt(((p - a) ** 2).mean()), np.abs((p - a)[a != 0] / a[a != 0]).mean(), 1 - ((p - a) ** 2).sum() / ((a - a.mean()) ** 2).sum()]
+    assert [t[c] for c in ("n", "mae", "rmse", "mape", "r2")] == pytest.approx(want)
+    assert (u["n"], u["mae"], u["mape"], u["r2"], u["spearman"]) == (2, 2.0, 0.0, 0.0, 0.0)
+
+
 def test_toxicity_lays_out_texts_in_parts(monkeypatch):
     sizes, laid = [], toxicity.laid_out
     monkeypatch.setattr(toxicity, "STEPS", 1)
