@@ -114,3 +114,22 @@ def test_toxicity_lays_out_texts_in_parts(monkeypatch):
     texts = [b"some words %d and others " % k * 4000 + b"awful" * (k % 2) for k in range(60)]
     toxicity.fit(texts, np.arange(60) % 2 * 1.0)
     assert max(sizes) < sum(map(len, texts)) / 2
+
+
+def test_chunk_rows_are_small_when_written(spark, tmp_path):
+    parts = [(k, 20_000 + 7 * k % 90, 10 + k % 3) for k in range(600)]
+    out = slots.chunk_rows(spark.createDataFrame(parts, "k long, items long, width int").coalesce(1), "items", "width", ["k"])
+    out.write.parquet(f"{tmp_path}/out")
+    rows = sum(-(-n // w) for _, n, w in parts)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == rows and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < rows / 2
+
+
+@pytest.mark.parametrize("starts", [2, 1 << 16])
+def test_chunk_rows_of_lists(spark, monkeypatch, starts):
+    monkeypatch.setattr(slots, "STARTS", starts)
+    monkeypatch.setattr(slots, "TOGETHER", 4)
+    monkeypatch.setattr(slots, "RUN", 10)
+    parts = [(k, k * k % 61, 1 + k % 4) for k in range(60)] + [(60, None, 4), (61, 5, None), (62, -3, 2), (63, 4000, 3), (63, 4000, 3), (None, 4000, 3)]
+    out = slots.chunk_rows(spark.createDataFrame(parts, "k long, items long, width int"), "items", "width", ["k"])
+    want = [(k, lo, min(lo + w, n)) for k, n, w in parts if n and w for lo in range(0, n, w)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
