@@ -123,7 +123,8 @@ def weight_features(spark, sf_dir):
 @query("""with d as (select vec_id as sample_id, unnest(range(0, len(embedding)))::int as variant_ord, unnest(list_transform(embedding, lambda x: (abs(round(x*1000))::bigint%3)::double)) as d from embeddings),
   w as (select distinct variant_ord, ((variant_ord*7)%11-5)/8.0::double as weight from d) select sample_id, round(sum(d*weight),6)::double as score from d join w using (variant_ord) group by 1""")
 def positional_scores(spark, sf_dir):
-    values = F.transform("embedding", lambda x: (F.abs(F.round(x * 1000)).cast("long") % 3).cast("double"))
+    """Products are of single precision, as in SQL, which decides what is a half."""
+    values = F.transform("embedding", lambda x: (F.abs(F.round(x * F.lit(1000).cast("float"))).cast("long") % 3).cast("double"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.posexplode(values).alias("variant_ord", "effect_dosage"))
     weights = rows.select("variant_ord").distinct().withColumn("effect_weight", ((F.col("variant_ord") * 7) % 11 - 5) / 8.0)
     return score.positional_scores(rows, weights).withColumn("score", F.round("score", 6))

@@ -64,6 +64,14 @@ def test_embedding_dot_in_single_precision(spark, tmp_path):
     assert sorted(map(tuple, catalogue.embedding_dot(spark, str(tmp_path)).select(*columns).collect()), key=str) == want
 
 
+def test_positional_scores_in_single_precision(spark, tmp_path):
+    near = [float(x) for x in np.round(np.arange(1, 400) / 1000 + 0.0005, 4).astype(np.float32)]  # next to halves
+    vectors = [[sign * x for x in near[k : k + 8]] for sign in (1, -1) for k in range(0, len(near), 8)] + [[], None, [None, 1.0, None], [None], [3e6, 2.5e7, 1e9]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    columns, want = rows_of_sql(tmp_path, "positional_scores", ("embeddings",))
+    assert sorted(map(tuple, catalogue.QUERIES["positional_scores"](spark, str(tmp_path)).select(*columns).collect()), key=str) == want
+
+
 def test_chunk_rows_deal_out_long_rows(spark, monkeypatch):
     monkeypatch.setattr(slots, "RUN", 16)
     monkeypatch.setattr(slots, "EACH", 100)
