@@ -226,7 +226,7 @@ def text_values(spark, sf_dir):
     allowed = F.when(F.col("event_id") % 2 == 0, F.array(*map(F.lit, ("BFV", "X", "BGV")))).otherwise(F.array(F.lit("CKKS")))
     return rows.select(
         "event_id", "text", F.nanvl(records.numeric(F.nullif(text, F.lit(""))), F.lit(None).cast("double")).alias("number"), records.usable_numeric(text).alias("is_number"), records.usable_label(text).alias("is_label"),
-        records.binary_label(text, F.when(F.col("event_type") == "view", "ok").otherwise("")).alias("label"),
+        records.binary_label(text, F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") != "view", "")).alias("label"),
         F.array_join(F.array_sort(F.array_intersect(F.array(*map(F.lit, ORDER)), allowed)), ",").alias("schemes"),
     )
 

@@ -72,6 +72,13 @@ def test_positional_scores_in_single_precision(spark, tmp_path):
     assert sorted(map(tuple, catalogue.QUERIES["positional_scores"](spark, str(tmp_path)).select(*columns).collect()), key=str) == want
 
 
+def test_text_values_of_events_without_type(spark, tmp_path):
+    rows = [(k, t) for k in [*range(-30, 40), None, 999_999, 5_999_999, (1 << 53) + 1, (1 << 63) - 1] for t in ("view", "click", "View", "", None)]
+    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    columns, want = rows_of_sql(tmp_path, "text_values", ("events",))
+    assert sorted(map(tuple, catalogue.QUERIES["text_values"](spark, str(tmp_path)).select(*columns).collect()), key=str) == want
+
+
 def test_chunk_rows_deal_out_long_rows(spark, monkeypatch):
     monkeypatch.setattr(slots, "RUN", 16)
     monkeypatch.setattr(slots, "EACH", 100)
